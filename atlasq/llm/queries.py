@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, rules
+from . import mixing, packing, rules, shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,18 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.token_output(table(spark, sf_dir, "documents"))
+
+
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_shards": op4_token_shards,
     "op5_mix_sources": op5_mix_sources,
+    "op8_pack_sequences": op8_pack_sequences,
 }
 ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL}
