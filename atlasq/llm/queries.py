@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, rules, shards
+from . import mixing, packing, rules, search, shards, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -29,10 +33,16 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_products(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_shards": op4_token_shards,
     "op5_mix_sources": op5_mix_sources,
     "op8_pack_sequences": op8_pack_sequences,
+    "op10_top_products": op10_top_products,
 }
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op10_top_products": search.SQL}
