@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, rules, search, shards, suffixes
+from . import jaccard, mixing, packing, rules, search, shards, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.token_output(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_ids(table(spark, sf_dir, "documents"))
+
+
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_shards": op4_token_shards,
     "op5_mix_sources": op5_mix_sources,
+    "op6_jaccard_components": op6_jaccard_components,
     "op8_pack_sequences": op8_pack_sequences,
     "op10_top_products": op10_top_products,
 }
