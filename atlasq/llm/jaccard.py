@@ -340,7 +340,7 @@ def _join_large(large: DataFrame) -> DataFrame:
     mine = F.when(F.col("home") < 0, F.lit(0.0)).otherwise(F.element_at("d", F.greatest(F.col("home") + 1, F.lit(1))))
     to_block = asked.drop("cell", "block").join(directory.withColumnRenamed("cell", "home"), "region").where((F.col("home") < 0) | ((mine >= F.col("low") - NEAR - 1e-9) & (mine <= F.col("high") + NEAR + 1e-9)))
     turns = to_block.select("block", "turn").distinct()
-    left = to_block.select("block", "turn", "sid", "label", "set", "d")
+    left = to_block.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "turn", "sid", "label", "set", "d")))
     right = marked.select("block", "sid", "label", "set", "d").join(turns, "block").select("block", "turn", "sid", "label", "set", "d")
 
     def compare(asked: pa.Table, members: pa.Table) -> pa.Table:
@@ -349,7 +349,7 @@ def _join_large(large: DataFrame) -> DataFrame:
         size = np.fromiter(map(len, content), np.int64, len(content))
         near = np.array(d, np.float64).reshape(len(sid), -1)
         a, b = [], []
-        for s, lab, raw, own in zip(*(asked.column(c).to_pylist() for c in ("sid", "label", "set", "d"))):
+        for s, lab, raw, own in zip(*(asked.column(c).to_pylist() for c in ("q_sid", "q_label", "q_set", "q_d"))):
             one = np.frombuffer(raw, np.uint64)
             may = (size * 100 >= PERCENT * len(one)) & (len(one) * 100 >= PERCENT * size)
             if near.shape[1]:
@@ -361,7 +361,7 @@ def _join_large(large: DataFrame) -> DataFrame:
             b += met.values()
         return pa.table([B.binary_array(a), B.binary_array(b)], ["a", "b"])
 
-    more = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInArrow(compare, "a binary, b binary")
+    more = left.groupBy("q_block", "q_turn").cogroup(right.groupBy("block", "turn")).applyInArrow(compare, "a binary, b binary")
     whole = connected_components(star.union(more), "large").select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
     return large.select("sid").join(whole, "sid", "left").select("sid", F.coalesce("cluster", "sid").alias("cluster"))
 
