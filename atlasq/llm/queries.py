@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, rules, search, shards, suffixes
+from . import jaccard, language_model, mixing, packing, rules, search, shards, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_products(table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_jaccard_components": op6_jaccard_components,
     "op8_pack_sequences": op8_pack_sequences,
+    "op9_score_texts": op9_score_texts,
     "op10_top_products": op10_top_products,
 }
 ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op10_top_products": search.SQL}
