@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, language_model, mixing, packing, rules, search, shards, suffixes
+from . import jaccard, language_model, licenses, mixing, packing, resampling, rules, search, shards, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,14 @@ def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents have no paths; a tree is laid out by source and doc_id, each tenth document being a licence file."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 1000"), F.expr("doc_id div 100"), name)
+    return licenses.licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -47,10 +60,12 @@ def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_importance_resampling": op2_importance_resampling,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_shards": op4_token_shards,
     "op5_mix_sources": op5_mix_sources,
     "op6_jaccard_components": op6_jaccard_components,
+    "op7_license_scan": op7_license_scan,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_score_texts": op9_score_texts,
     "op10_top_products": op10_top_products,
