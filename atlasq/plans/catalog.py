@@ -1,10 +1,541 @@
-"""All registered queries and the SQL that gives the same rows."""
+"""All registered queries and the SQL that gives the same rows.
+
+The driver's tables hold no geometry, so points, boxes and pixels are derived from keys by the same
+integer arithmetic in both languages. Queries named ext_ use what Spark itself brings (joins,
+aggregates, windows, streams); the others are this engine's own operators.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import boxes, expression, geometry, projection, values
+from ..functions.boxes import Box, Extent
+from ..operators import aggregates, grid, hits, labels, ordering, raster
+from . import processor, spec, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+
+
+def customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Points from c_custkey."""
+    df = table(spark, sf, "customer").withColumns({"id": F.col("c_custkey"), "x": F.expr("cast((c_custkey * 37) % 360 - 180 as double)"), "y": F.expr("cast((c_custkey * 17) % 170 - 85 as double)")})
+    return df.withColumns({"minx": F.col("x"), "maxx": F.col("x"), "miny": F.col("y"), "maxy": F.col("y"), "geom_type": F.lit(1)})
+
+
+def suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").withColumns({"ox": F.expr("cast((s_suppkey * 53) % 360 - 180 as double)"), "oy": F.expr("cast((s_suppkey * 29) % 170 - 85 as double)")})
+
+
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes from p_partkey, of half size p_size / 10."""
+    x, y = F.expr("cast((p_partkey * 37) % 360 - 180 as double)"), F.expr("cast((p_partkey * 17) % 170 - 85 as double)")
+    b = Box.around(x, y, F.expr("p_size / 10e0"))
+    return table(spark, sf, "part").withColumns(dict(zip(("minx", "miny", "maxx", "maxy"), b.parts())) | {"id": F.col("p_partkey")})
+
+
+def pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """A raster of 64 by 64 mean quantities."""
+    return table(spark, sf, "lineitem").groupBy(F.expr("cast(l_orderkey % 64 as int)").alias("x"), F.expr("cast(l_partkey % 64 as int)").alias("y")).agg(F.expr("cast(sum(cast(l_quantity as bigint)) % 256 as double)").alias("value"))
+
+
+def rgba(spark: SparkSession, sf: str, seed: int = 0) -> DataFrame:
+    return pixels(spark, sf).select("x", "y", *[(F.expr(f"cast(value as bigint) * {k + seed * 2 + 3} + x * {k + 1} + y * {seed + 1}") % 256).cast("int").alias(c) for k, c in enumerate("rgba")])
+
+
+_C = "(SELECT *, c_custkey AS id, ((c_custkey * 37) % 360 - 180)::DOUBLE AS x, ((c_custkey * 17) % 170 - 85)::DOUBLE AS y FROM customer)"
+_S = "(SELECT *, ((s_suppkey * 53) % 360 - 180)::DOUBLE AS ox, ((s_suppkey * 29) % 170 - 85)::DOUBLE AS oy FROM supplier)"
+_PC = "(SELECT *, p_partkey AS id, ((p_partkey * 37) % 360 - 180)::DOUBLE AS cx, ((p_partkey * 17) % 170 - 85)::DOUBLE AS cy, p_size / 10e0 AS h FROM part)"
+_P = f"(SELECT *, cx - h AS minx, cy - h AS miny, cx + h AS maxx, cy + h AS maxy FROM {_PC})"
+_PX = "(SELECT (l_orderkey % 64)::INTEGER AS x, (l_partkey % 64)::INTEGER AS y, (sum(l_quantity::BIGINT) % 256)::DOUBLE AS value FROM lineitem GROUP BY 1, 2)"
+
+
+def _rgba_sql(seed: int = 0) -> str:
+    return f"(SELECT x, y, {', '.join(f'((value::BIGINT * {k + seed * 2 + 3} + x * {k + 1} + y * {seed + 1}) % 256)::INTEGER AS {c}' for k, c in enumerate('rgba'))} FROM {_PX})"
+
+
+_MERC = "radians(least(greatest(x, -180e0), 180e0)) * 6378137e0 AS mx, ln(tan(radians(least(greatest(y, -85.05112877980659e0), 85.05112877980659e0) + 90e0) / 2)) * 6378137e0 AS my"
+
+WORLD = projection.View(256, 256, Extent(-180.0, -90.0, 180.0, 90.0))
+DEMO = spec.MapSpec(
+    256, 256, projection.LONLAT, Extent(-90.0, -60.0, 90.0, 60.0), 0, None, "RESPECT",
+    (
+        spec.Style("customers", (
+            spec.Rule("rich", "[c_acctbal] > 5000 and [c_mktsegment] = 'BUILDING'", symbolizers=(spec.Symbolizer("point"),)),
+            spec.Rule("debt", "[c_acctbal] < 0", symbolizers=(spec.Symbolizer("point"),)),
+            spec.Rule("rest", kind="else", symbolizers=(spec.Symbolizer("dot"),)),
+            spec.Rule("halo", kind="also", symbolizers=(spec.Symbolizer("markers"),)),
+            spec.Rule("too-small", max_scale=10.0, symbolizers=(spec.Symbolizer("point"),)),
+        )),
+    ),
+    (spec.Layer("customers", ("customers",)),),
+)
+_VIEW = "x >= -90 AND x <= 90 AND y >= -60 AND y <= 60"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN c_acctbal > 5000 AND c_mktsegment = 'BUILDING' THEN 'rich' WHEN c_acctbal < 0 THEN 'debt' ELSE 'rest' END AS rule_name,
+    round((mx + 10018754e0) / 20037508e0 * 512e0, 6) AS px, round((10018754e0 - my) / 20037508e0 * 512e0, 6) AS py
+    FROM (SELECT *, {_MERC} FROM {_C}) WHERE mx BETWEEN -10018754e0 AND 10018754e0 AND my BETWEEN -10018754e0 AND 10018754e0""")
+def map_viewport_customers(spark, sf):
+    """Flagship: project to web mercator, cut to the viewport, route through rules (first match), give pixels."""
+    view = projection.View(512, 512, Extent(-10018754.0, -10018754.0, 10018754.0, 10018754.0))
+    df = customers(spark, sf)
+    mx, my = projection.to_mercator(F.col("x"), F.col("y"))
+    df = df.withColumns({"mx": mx, "my": my}).where(Box.point(F.col("mx"), F.col("my")).intersects(view.extent))
+    rules = tuple(r for r in DEMO.styles[0].rules if r.name in ("rich", "debt", "rest"))
+    routed = processor.route(df, spec.Style("s", rules, "first"), 1e6)
+    px, py = view.forward(F.col("mx"), F.col("my"))
+    return routed.select("c_custkey", "rule_name", F.round(px, 6).alias("px"), F.round(py, 6).alias("py"))
+
+
+@query(f"""SELECT id, rule_name, 0 AS layer_no, 0 AS style_no FROM (SELECT *, unnest(CASE WHEN c_acctbal > 5000 AND c_mktsegment = 'BUILDING' THEN ['rich', 'halo'] WHEN c_acctbal < 0 THEN ['debt', 'halo'] ELSE ['rest'] END) AS rule_name FROM {_C} WHERE {_VIEW})""")
+def map_all_rules(spark, sf):
+    """Entry A: a map with if, else, also rules, one of them outside the scale."""
+    out = processor.run_map(DEMO, {"customers": processor.SpatialTable(customers(spark, sf))})
+    return out.select("id", "rule_name", "layer_no", "style_no")
+
+
+@query(f"SELECT id, CASE WHEN c_acctbal > 5000 AND c_mktsegment = 'BUILDING' THEN 'rich' WHEN c_acctbal < 0 THEN 'debt' ELSE 'rest' END AS rule_name FROM {_C}")
+def rules_first_match(spark, sf):
+    style = spec.Style("s", DEMO.styles[0].rules, "first")
+    return processor.route(customers(spark, sf), style, 1e6).select("id", "rule_name")
+
+
+@query("""SELECT c_custkey, c_acctbal + c_nationkey AS e_add, c_nationkey // 3 AS e_int_div, c_nationkey % 7 AS e_mod, CASE WHEN c_nationkey = 0 THEN NULL ELSE c_acctbal / c_nationkey END AS e_div,
+    (CASE WHEN c_acctbal < 0 THEN ceil(c_acctbal) ELSE ceil(c_acctbal) END IS NOT NULL) AS e_num, length(c_name) + 0 AS e_len, (c_acctbal > 100 OR c_nationkey < 5) AND c_mktsegment <> 'BUILDING' AS e_bool,
+    regexp_matches(c_name, '^Customer.*1$') AS e_match, regexp_replace(c_name, '0+', '_', 'g') AS e_replace, c_mktsegment || '/' || c_nationkey AS e_concat,
+    least(c_acctbal, 0e0) AS e_min, greatest(c_acctbal, 0e0) AS e_max, abs(c_acctbal) AS e_abs, round(pow(c_nationkey, 2), 6) AS e_pow FROM customer""")
+def expression_values(spark, sf):
+    """The expression language over customers."""
+    df = table(spark, sf, "customer")
+    e = {
+        "e_add": "[c_acctbal] + [c_nationkey]", "e_int_div": "[c_nationkey] / 3", "e_mod": "[c_nationkey] % 7", "e_div": "[c_acctbal] / [c_nationkey]", "e_num": "[c_acctbal] != null", "e_len": "length([c_name])",
+        "e_bool": "[c_acctbal] > 100 or [c_nationkey] < 5 and [c_mktsegment] != 'BUILDING'", "e_match": "[c_name].match('^Customer.*1$')", "e_replace": "[c_name].replace('0+', '_')", "e_concat": "[c_mktsegment] + '/' + [c_nationkey]",
+        "e_min": "min([c_acctbal], 0)", "e_max": "max([c_acctbal], 0)", "e_abs": "abs([c_acctbal])", "e_pow": "pow([c_nationkey], 2)",
+    }
+    return df.select("c_custkey", *[expression.column(t, df).alias(n) for n, t in e.items()])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity <= 10 AND l_discount > 0.05 AS both, NOT (l_returnflag = 'A') AS not_a, CASE WHEN l_quantity = 0 THEN FALSE ELSE TRUE END AS truth,
+    (floor(l_extendedprice - 20000) + 0.5e0) AS half, CASE WHEN floor(l_extendedprice - 20000) < 0 THEN floor(l_extendedprice - 20000)::BIGINT + 1 ELSE floor(l_extendedprice - 20000)::BIGINT END AS as_int FROM lineitem""")
+def expression_conversions(spark, sf):
+    df = table(spark, sf, "lineitem")
+    half = F.floor(F.col("l_extendedprice") - 20000).cast("double") + 0.5
+    c = lambda t: expression.column(t, df)
+    return df.select("l_orderkey", "l_linenumber", c("[l_quantity] <= 10 and [l_discount] > 0.05").alias("both"), c("not [l_returnflag] = 'A'").alias("not_a"), c("bool([l_quantity])").alias("truth"), half.alias("half"), c("int([l_extendedprice] - 20000)").alias("as_int"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 3000 AND c_mktsegment = 'MACHINERY' THEN 1 ELSE 1 END AS one FROM customer WHERE c_acctbal > 3000 AND c_mktsegment = 'MACHINERY'")
+def filter_pushdown(spark, sf):
+    df = table(spark, sf, "customer")
+    return expression.where(df, "[c_acctbal] > @least and [c_mktsegment] = 'MACHINERY'", {"least": 3000}).select("c_custkey", F.lit(1).alias("one"))
+
+
+@query("SELECT n_nationkey, 'icons/' || n_name || '_' || n_regionkey || '.png' AS path FROM nation")
+def path_expression(spark, sf):
+    df = table(spark, sf, "nation")
+    return df.select("n_nationkey", expression.path_column("icons/[n_name]_[n_regionkey].png", df).alias("path"))
+
+
+@query("SELECT p_partkey, round(10 + 2 * (cos(radians(p_size)) * 3 - sin(radians(p_size)) * 4), 6) AS x, round(20 + 2 * (sin(radians(p_size)) * 3 + cos(radians(p_size)) * 4), 6) AS y FROM part")
+def transform_expression(spark, sf):
+    """translate, scale and rotate with an attribute, applied to the point (3, 4)."""
+    df = table(spark, sf, "part")
+    m = expression.transform_columns("translate(10, 20), scale(2), rotate([p_size])", df)
+    return df.select("p_partkey", F.round(m[0] * 3 + m[2] * 4 + m[4], 6).alias("x"), F.round(m[1] * 3 + m[3] * 4 + m[5], 6).alias("y"))
+
+
+@query("SELECT n_nationkey, upper(n_name) AS up, lower(n_name) AS low, reverse(n_name) AS back FROM nation")
+def text_transforms(spark, sf):
+    t = expression.TEXT_TRANSFORMS
+    return table(spark, sf, "nation").select("n_nationkey", t["uppercase"](F.col("n_name")).alias("up"), t["lowercase"](F.col("n_name")).alias("low"), t["reverse"](F.col("n_name")).alias("back"))
+
+
+# --- boxes and extents ---------------------------------------------------------------
+
+
+@query(f"SELECT id, minx, miny, maxx, maxy FROM {_P} WHERE minx <= 40 AND maxx >= -40 AND miny <= 30 AND maxy >= -30")
+def bbox_scan(spark, sf):
+    q = spec.SpatialQuery(Extent(-40.0, -30.0, 40.0, 30.0), names=())
+    return processor.SpatialTable(parts(spark, sf)).query(q).select("id", "minx", "miny", "maxx", "maxy")
+
+
+@query(f"SELECT id FROM {_P} WHERE minx <= 12.5 AND maxx >= 7.5 AND miny <= 7.5 AND maxy >= 2.5")
+def bbox_at_point(spark, sf):
+    return processor.SpatialTable(parts(spark, sf)).at_point(10.0, 5.0, 2.5).select("id")
+
+
+@query(f"""SELECT id, minx <= 0 AND maxx >= 0 AND miny <= 0 AND maxy >= 0 AS has_origin, (maxx - minx) * (maxy - miny) AS area, CASE WHEN minx <= 20 AND maxx >= -20 AND miny <= 20 AND maxy >= -20 THEN greatest(minx, -20e0) END AS inner_minx,
+    greatest(miny, -20e0) AS clip_miny, least(minx, -20e0) AS union_minx, (minx + maxx) / 2 AS center_x, minx - 1.5e0 AS padded, (minx + maxx) / 2 - (maxx - minx) * 2 / 2 AS doubled, minx + 3e0 AS moved FROM {_P}""")
+def box_functions(spark, sf):
+    b, o = Box.columns(), Box.fixed(Extent(-20.0, -20.0, 20.0, 20.0))
+    return parts(spark, sf).select("id", b.contains(F.lit(0.0), F.lit(0.0)).alias("has_origin"), b.area().alias("area"), b.intersect(o).minx.alias("inner_minx"), b.clip(o).miny.alias("clip_miny"), b.union(o).minx.alias("union_minx"), b.center()[0].alias("center_x"), b.pad(1.5).minx.alias("padded"), b.scaled(2).minx.alias("doubled"), b.moved(3.0, 0.0).minx.alias("moved"))
+
+
+@query("SELECT p_partkey, (p_size + 1)::DOUBLE AS w, -p_size::DOUBLE AS minx FROM part")
+def box_parse(spark, sf):
+    b = Box.parse(F.expr("concat(-p_size, ', ', -1, ' ', 1, ',', 5)"))
+    return table(spark, sf, "part").select("p_partkey", b.width().alias("w"), b.minx.alias("minx"))
+
+
+@query(f"SELECT min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM {_P}")
+def extent_aggregate(spark, sf):
+    return aggregates.extent(parts(spark, sf))
+
+
+@query(f"SELECT p_brand, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM {_P} GROUP BY p_brand")
+def extent_by_group(spark, sf):
+    return aggregates.extent(parts(spark, sf), "p_brand")
+
+
+@query(f"SELECT CASE WHEN count(DISTINCT k) > 1 THEN 4 ELSE max(k) END AS geom_type FROM (SELECT CASE WHEN p_size % 2 = 0 THEN 1 ELSE 3 END AS k FROM part ORDER BY p_partkey LIMIT 5)")
+def geometry_kind_summary(spark, sf):
+    df = parts(spark, sf).withColumn("geom_type", F.expr("CASE WHEN p_size % 2 = 0 THEN 1 ELSE 3 END"))
+    return aggregates.geometry_kind(df)
+
+
+@query("SELECT c_nationkey, coalesce(bool_or(c_acctbal > 9000), FALSE) AS painted FROM customer GROUP BY 1")
+def painted(spark, sf):
+    return table(spark, sf, "customer").groupBy("c_nationkey").agg(aggregates.any_match(F.col("c_acctbal") > 9000))
+
+
+# --- projection and tiles ---------------------------------------------------------------
+
+
+@query(f"SELECT id, round(mx, 4) + 0e0 AS mx, round(my, 4) + 0e0 AS my FROM (SELECT *, {_MERC} FROM {_C})")
+def project_forward(spark, sf):
+    mx, my = projection.project(F.col("x"), F.col("y"), "epsg:4326", "epsg:3857")
+    return customers(spark, sf).select("id", F.round(mx, 4).alias("mx"), F.round(my, 4).alias("my"))
+
+
+@query(f"SELECT id, round(degrees(x * 100000e0 / 6378137e0), 6) AS lon, round(degrees(atan(exp(y * 100000e0 / 6378137e0)) * 2 - pi() / 2), 6) AS lat FROM {_C}")
+def project_backward(spark, sf):
+    lon, lat = projection.to_lonlat(F.col("x") * 100000.0, F.col("y") * 100000.0)
+    return customers(spark, sf).select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query(f"""SELECT tx, ty, count(*) AS n FROM (SELECT least(greatest(trunc((mx + 20037508.342789244e0) * 16e0 / 40075016.68557849e0)::INTEGER, 0), 15) AS tx, least(greatest(trunc((20037508.342789244e0 - my) * 16e0 / 40075016.68557849e0)::INTEGER, 0), 15) AS ty
+    FROM (SELECT *, {_MERC} FROM {_C})) GROUP BY 1, 2""")
+def tile_counts(spark, sf):
+    mx, my = projection.to_mercator(F.col("x"), F.col("y"))
+    tx, ty = projection.tile_of(mx, my, 4)
+    return customers(spark, sf).select(tx.alias("tx"), ty.alias("ty")).groupBy("tx", "ty").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, round((x + 180) * 256 / 360, 6) AS px, round((90 - y) * 256 / 180, 6) AS py FROM {_C}")
+def world_to_pixel(spark, sf):
+    px, py = WORLD.forward(F.col("x"), F.col("y"))
+    return customers(spark, sf).select("id", F.round(px, 6).alias("px"), F.round(py, 6).alias("py"))
+
+
+# --- order, runs, limits ---------------------------------------------------------------
+
+_RUNS = "(SELECT *, sum(new) OVER (ORDER BY o_orderkey) AS run_id FROM (SELECT *, CASE WHEN o_orderstatus IS NOT DISTINCT FROM lag(o_orderstatus) OVER (ORDER BY o_orderkey) AND row_number() OVER (ORDER BY o_orderkey) > 1 THEN 0 ELSE 1 END AS new FROM orders))"
+
+
+@query(f"SELECT run_id::BIGINT AS run_id, min(o_orderstatus) AS o_orderstatus, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n FROM {_RUNS} GROUP BY run_id")
+def group_by_runs(spark, sf):
+    return ordering.runs(table(spark, sf, "orders"), "o_orderstatus", "o_orderkey")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS feature_no FROM orders")
+def sort_by_attribute(spark, sf):
+    return ordering.sort_by(table(spark, sf, "orders"), "o_totalprice DESC", tie="o_orderkey", number="feature_no").select("o_orderkey", "feature_no")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 50")
+def row_limit(spark, sf):
+    return ordering.first_rows(table(spark, sf, "customer"), 50, "c_custkey").select("c_custkey", "c_name")
+
+
+@query(f"SELECT p_brand, max_by(p_partkey, {{'a': h, 'k': -p_partkey}}) AS part, max(h * 2 * h * 2) AS area FROM {_PC} GROUP BY p_brand")
+def largest_part(spark, sf):
+    df = parts(spark, sf)
+    area = F.struct((F.col("p_size") / F.lit(10.0)).alias("a"), (-F.col("p_partkey")).alias("k"))
+    h = F.col("p_size") / F.lit(10.0)
+    return df.groupBy("p_brand").agg(F.max_by("p_partkey", area).alias("part"), F.max(h * 2 * h * 2).alias("area"))
+
+
+# --- joins ---------------------------------------------------------------
+
+
+@query(f"SELECT c.id AS id, p.id AS part FROM {_C} c JOIN {_P} p ON p.minx <= c.x AND p.maxx >= c.x AND p.miny <= c.y AND p.maxy >= c.y")
+def join_points_in_boxes(spark, sf):
+    b = parts(spark, sf).select(F.col("id").alias("part"), "minx", "miny", "maxx", "maxy")
+    return hits.join_points(customers(spark, sf).select("id", "x", "y"), b, 6.0).select("id", "part")
+
+
+@query(f"SELECT a.id AS a, b.id AS b FROM {_P} a JOIN {_P} b ON a.id < b.id AND a.minx <= b.maxx AND a.maxx >= b.minx AND a.miny <= b.maxy AND a.maxy >= b.miny WHERE a.p_brand = 'Brand#11' AND b.p_brand = 'Brand#22'")
+def join_boxes(spark, sf):
+    side = lambda brand, p: parts(spark, sf).where(F.col("p_brand") == brand).select(F.col("id").alias(p[0]), *[F.col(c).alias(f"{p}{c}") for c in ("minx", "miny", "maxx", "maxy")])
+    return hits.join_boxes(side("Brand#11", "a_"), side("Brand#22", "b_"), 6.0, "inner", "a_", "b_").where("a < b").select("a", "b")
+
+
+@query(f"SELECT c.c_custkey, s.s_suppkey, round(sqrt((c.x - s.ox) * (c.x - s.ox) + (c.y - s.oy) * (c.y - s.oy)), 6) AS distance FROM {_C} c JOIN {_S} s ON (c.x - s.ox) * (c.x - s.ox) + (c.y - s.oy) * (c.y - s.oy) <= 25")
+def join_near_points(spark, sf):
+    return hits.join_near(customers(spark, sf), suppliers(spark, sf), 5.0).select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT p.id AS id FROM {_P} p WHERE EXISTS (SELECT 1 FROM {_S} s WHERE p.minx <= s.ox + 1 AND p.maxx >= s.ox - 1 AND p.miny <= s.oy + 1 AND p.maxy >= s.oy - 1)")
+def semi_join_index(spark, sf):
+    right = Box.around(F.col("ox"), F.col("oy"), 1.0)
+    s = suppliers(spark, sf).select(*[c.alias(f"r_{n}") for c, n in zip(right.parts(), ("minx", "miny", "maxx", "maxy"))])
+    left = parts(spark, sf).select("id", *[F.col(c).alias(f"l_{c}") for c in ("minx", "miny", "maxx", "maxy")])
+    return hits.join_boxes(left, s, 6.0, "left_semi").select("id")
+
+
+@query(f"SELECT id FROM {_C} WHERE sqrt((x - 20) * (x - 20) + (y - 10) * (y - 10)) <= 30")
+def point_query(spark, sf):
+    return hits.hit_test(customers(spark, sf), 20.0, 10.0, 30.0).select("id")
+
+
+@query(f"SELECT id, c_name FROM {_C} WHERE x >= -90 AND x <= 90 AND y >= -60 AND y <= 60 AND sqrt((x - 4.921875e0) * (x - 4.921875e0) + y * y) <= 2.109375e0")
+def map_point_query(spark, sf):
+    """Entry B: the pixel (135, 128) within three pixels."""
+    return processor.query_map_point(DEMO, {"customers": processor.SpatialTable(customers(spark, sf))}, 0, 135.0, 128.0).select("id", "c_name")
+
+
+@query(f"SELECT id, c_name, c_acctbal FROM {_C} WHERE x BETWEEN -50 AND 50 AND y BETWEEN -20 AND 20 AND c_acctbal > 100 AND c_mktsegment = 'AUTOMOBILE' AND 50000 > 1000")
+def sql_tokens(spark, sf):
+    """Entry C: SQL text with tokens, columns pruned and the box applied."""
+    customers(spark, sf).createOrReplaceTempView("atlasq_customers")
+    q = spec.SpatialQuery(Extent(-50.0, -20.0, 50.0, 20.0), (10.0, 10.0), 50000.0, ("c_name", "c_acctbal"), variables={"segment": "AUTOMOBILE"})
+    text = "(SELECT * FROM atlasq_customers WHERE minx >= !bbox!.minx AND maxx <= !bbox!.maxx AND miny >= !bbox!.miny AND maxy <= !bbox!.maxy AND c_acctbal > !pixel_width! * 1000 AND c_mktsegment = !@segment! AND !scale_denominator! > 1000 AND !nothing! IS NULL) AS data"
+    return tokens.scan(spark, text, q).select("id", "c_name", "c_acctbal")
+
+
+# --- geometry ---------------------------------------------------------------
+
+_LINE = "[{'x': x, 'y': y}, {'x': x + 3, 'y': y + 4}, {'x': x + 3, 'y': y + 10}]"
+
+
+def _line() -> F.Column:
+    p = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    return F.array(p(0, 0), p(3, 4), p(3, 10))
+
+
+def _ring() -> F.Column:
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return F.array(p("minx", "miny"), p("maxx", "miny"), p("maxx", "maxy"), p("minx", "maxy"), p("minx", "miny"))
+
+
+@query(f"SELECT id, 11e0 AS length, x AS minx, y + 10 AS maxy, sqrt((least(greatest(0 - x, 0), 0)) * 0) + 0e0 AS zero FROM {_C}")
+def line_measures(spark, sf):
+    df = customers(spark, sf).withColumn("pts", _line())
+    e = geometry.points_envelope(F.col("pts"))
+    return df.select("id", geometry.points_length(F.col("pts")).alias("length"), e["minx"].alias("minx"), e["maxy"].alias("maxy"), geometry.line_distance(F.col("pts"), F.col("x"), F.col("y")).alias("zero"))
+
+
+@query(f"SELECT id, round((maxx - minx) * (maxy - miny), 6) AS area, FALSE AS clockwise, round(cx, 6) AS x, round(cy, 6) AS y, minx <= 1 AND 1 < maxx AND miny <= 1 AND 1 < maxy AS inside FROM {_P}")
+def ring_measures(spark, sf):
+    df = parts(spark, sf).withColumn("pts", _ring())
+    c = geometry.ring_centroid(F.col("pts"))
+    return df.select("id", F.round(geometry.ring_area(F.col("pts")), 6).alias("area"), geometry.ring_clockwise(F.col("pts")).alias("clockwise"), F.round(c["x"], 6).alias("x"), F.round(c["y"], 6).alias("y"), geometry.ring_contains(F.col("pts"), F.lit(1.0), F.lit(1.0)).alias("inside"))
+
+
+def _int_wkt(df: DataFrame) -> F.Column:
+    return F.concat(F.lit("POINT("), F.col("x").cast("int").cast("string"), F.lit(" "), F.col("y").cast("int").cast("string"), F.lit(")"))
+
+
+@query(f"SELECT id, 'POINT(' || x::INTEGER || ' ' || y::INTEGER || ')' AS wkt, '{{\"type\":\"Point\",\"coordinates\":[' || x::INTEGER || ',' || y::INTEGER || ']}}' AS json, 1 AS kind FROM {_C}")
+def codec_round_trip(spark, sf):
+    df = customers(spark, sf)
+    df = df.withColumn("geom", geometry.from_wkt(_int_wkt(df)))
+    return df.select("id", geometry.to_wkt("geom").alias("wkt"), geometry.to_geojson("geom").alias("json"), geometry.wkb_kind(F.col("geom")).alias("kind"))
+
+
+def box_geometry(df: DataFrame) -> DataFrame:
+    n = lambda c: F.col(c).cast("string")
+    text = F.concat(F.lit("POLYGON(("), F.concat_ws(",", F.concat_ws(" ", n("minx"), n("miny")), F.concat_ws(" ", n("minx"), n("maxy")), F.concat_ws(" ", n("maxx"), n("maxy")), F.concat_ws(" ", n("maxx"), n("miny")), F.concat_ws(" ", n("minx"), n("miny"))), F.lit("))"))
+    return df.withColumn("geom", geometry.from_wkt(text))
+
+
+@query(f"SELECT id, round(minx, 6) AS minx, round(maxy, 6) AS maxy, round(cx, 6) AS x, round(cy, 6) AS y, TRUE AS valid, TRUE AS simple, round(8 * h, 6) AS length FROM {_P} WHERE h > 0")
+def polygon_functions(spark, sf):
+    df = box_geometry(parts(spark, sf).where("p_size > 0"))
+    e, c = geometry.envelope("geom"), geometry.centroid("geom")
+    return df.select("id", F.round(e["minx"], 6).alias("minx"), F.round(e["maxy"], 6).alias("maxy"), F.round(c["x"], 6).alias("x"), F.round(c["y"], 6).alias("y"), geometry.is_valid("geom").alias("valid"), geometry.is_simple("geom").alias("simple"), F.round(geometry.path_length("geom"), 6).alias("length"))
+
+
+@query(f"SELECT id, round(sqrt(pow(greatest(greatest(minx - 1, 1 - maxx), 0), 2) + pow(greatest(greatest(miny - 1, 1 - maxy), 0), 2)), 6) AS distance, minx <= 1 AND 1 < maxx AND miny <= 1 AND 1 < maxy AS hit FROM {_P} WHERE h > 0")
+def closest_and_hit(spark, sf):
+    df = box_geometry(parts(spark, sf).where("p_size > 0"))
+    one = F.lit(1.0)
+    return df.select("id", F.round(geometry.closest_point("geom", one, one)["distance"], 6).alias("distance"), geometry.hit("geom", one, one, F.lit(0.0)).alias("hit"))
+
+
+@query(f"SELECT id, round(cx, 3) AS x, round(cy, 3) AS y FROM {_P} WHERE h > 0")
+def interior_points(spark, sf):
+    df = box_geometry(parts(spark, sf).where("p_size > 0"))
+    p = geometry.interior("geom")
+    return df.select("id", F.round(p["x"], 3).alias("x"), F.round(p["y"], 3).alias("y"))
+
+
+@query(f"SELECT id, round(greatest(minx, -10e0), 6) AS minx, round(least(maxx, 10e0), 6) AS maxx FROM {_P} WHERE h > 0 AND minx < 10 AND maxx > -10 AND miny < 10 AND maxy > -10")
+def clip_polygons(spark, sf):
+    df = box_geometry(parts(spark, sf).where("p_size > 0 and minx < 10 and maxx > -10 and miny < 10 and maxy > -10"))
+    c = geometry.clip("geom", F.lit(-10.0), F.lit(-10.0), F.lit(10.0), F.lit(10.0))
+    e = geometry.envelope(c)
+    return df.select("id", F.round(e["minx"], 6).alias("minx"), F.round(e["maxx"], 6).alias("maxx"))
+
+
+@query(f"SELECT id, 'LINESTRING(' || x::INTEGER || ' ' || y::INTEGER || ',' || (x + 10)::INTEGER || ' ' || y::INTEGER || ')' AS wkt FROM {_C}")
+def simplify_lines(spark, sf):
+    df = customers(spark, sf)
+    at = lambda dx, dy: F.concat_ws(" ", (F.col("x").cast("int") + dx).cast("string"), (F.col("y") + dy).cast("string"))
+    text = F.concat(F.lit("LINESTRING("), F.concat_ws(",", at(0, 0.0), at(3, 0.25), at(6, -0.25), at(10, 0.0)), F.lit(")"))
+    return df.select("id", geometry.to_wkt(geometry.simplify(geometry.from_wkt(text), F.lit("douglas-peucker"), F.lit(0.5))).alias("wkt"))
+
+
+# --- labels, groups, grids ---------------------------------------------------------------
+
+
+@query(f"SELECT px, py, max(id) AS feature FROM (SELECT id, floor((x + 180) * 256e0 / 360e0)::INTEGER AS px, floor((90 - y) * 256e0 / 180e0)::INTEGER AS py FROM {_C}) WHERE px BETWEEN 0 AND 255 AND py BETWEEN 0 AND 255 GROUP BY px, py")
+def grid_points(spark, sf):
+    return grid.point_grid(customers(spark, sf), WORLD)
+
+
+@query(f"SELECT id, c_name AS key, c_mktsegment FROM customer JOIN (SELECT max(id) AS id FROM (SELECT id, floor((x + 180) * 256e0 / 360e0)::INTEGER AS px, floor((90 - y) * 256e0 / 180e0)::INTEGER AS py FROM {_C}) WHERE px BETWEEN 0 AND 255 AND py BETWEEN 0 AND 255 GROUP BY px, py) ON c_custkey = id")
+def grid_keys(spark, sf):
+    c = customers(spark, sf)
+    return grid.key_dictionary(grid.point_grid(c, WORLD), c, "c_name", ("c_mktsegment",)).select("id", "key", "c_mktsegment")
+
+
+@query("""SELECT l_orderkey, l_linenumber, i AS sub_id, v, CASE WHEN v > 1000 THEN 'big' ELSE 'small' END AS rule_name, l_returnflag || i AS repeat_key FROM (
+    SELECT *, unnest([1, 2, 3])::BIGINT AS i FROM lineitem) t, LATERAL (SELECT CASE i WHEN 1 THEN l_quantity WHEN 2 THEN l_extendedprice ELSE l_tax END AS v) WHERE v > 0.01""")
+def group_unpivot(spark, sf):
+    df = table(spark, sf, "lineitem").withColumns({"v1": F.col("l_quantity"), "v2": F.col("l_extendedprice"), "v3": F.col("l_tax")})
+    rules = [(spec.Rule("a", "[v] > 1000"), "big"), (spec.Rule("b", "[v] > 0.01"), "small")]
+    out = labels.unpivot_group(df, {"v": "v%", "n": "%"}, 1, 3, rules, "[l_returnflag] + [sub_id]")
+    return out.select("l_orderkey", "l_linenumber", "sub_id", "v", "rule_name", "repeat_key")
+
+
+@query()
+def label_collision(spark, sf):
+    """Greedy placement of customers' labels by tile, the richest first."""
+    df = customers(spark, sf).withColumn("tile", F.concat_ws("/", F.floor(F.col("x") / 30), F.floor(F.col("y") / 30)))
+    b = Box.around(F.col("x"), F.col("y"), 2.0)
+    df = df.select("id", "tile", "c_mktsegment", (-F.col("c_acctbal")).alias("rank"), *[c.alias(n) for c, n in zip(b.parts(), ("minx", "miny", "maxx", "maxy"))])
+    return labels.place_labels(df, "tile", ["rank", "id"], (-180.0, -90.0, 180.0, 90.0), 0.5, 4.0, "c_mktsegment").select("id", "tile", "placed")
+
+
+@query(f"SELECT id, x + 5e0 AS x, y AS y, 0e0 AS angle FROM {_C}")
+def marker_placement(spark, sf):
+    df = customers(spark, sf)
+    text = F.concat(F.lit("LINESTRING("), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit(","), (F.col("x") + 10).cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit(")"))
+    lines = df.select("id", geometry.from_wkt(text).alias("geom"))
+    return labels.markers(lines, "line", 10.0).select("id", "x", "y", "angle")
+
+
+@query("SELECT p_partkey, s AS size, d AS direction, ((i - 1) * 2 + j - 1)::INTEGER AS option FROM part, (SELECT unnest([12, 10, 8]) AS s, unnest([1, 2, 3]) AS i), (SELECT unnest(['N', 'S']) AS d, unnest([1, 2]) AS j)")
+def label_alternatives(spark, sf):
+    return labels.text_alternatives(table(spark, sf, "part").select("p_partkey"), [12, 10, 8], ["N", "S"]).select("p_partkey", "size", "direction", "option")
+
+
+# --- rasters ---------------------------------------------------------------
+
+COLORS = raster.Colorizer((raster.Stop(20, (0, 0, 255, 255), "discrete"), raster.Stop(100, (0, 255, 0, 255), "linear"), raster.Stop(200, (255, 0, 0, 255), "exact")), "linear", (9, 9, 9, 9))
+
+
+@query(f"""SELECT x, y, CASE WHEN value = 7 THEN 0 WHEN value < 20 THEN 9 WHEN value < 100 THEN 0 WHEN value < 200 THEN floor(0::FLOAT + (value::FLOAT - 100::FLOAT) / 100::FLOAT * 255::FLOAT)::INTEGER WHEN value = 200 THEN 255 ELSE 9 END AS r,
+    CASE WHEN value = 7 THEN 0 WHEN value < 20 THEN 9 WHEN value < 100 THEN 255 WHEN value < 200 THEN 0 WHEN value = 200 THEN 0 ELSE 9 END AS b FROM {_PX}""")
+def raster_colorizer(spark, sf):
+    return raster.nested_case(pixels(spark, sf), COLORS, "value", 7.0).select("x", "y", "r", "b")
+
+
+@query(f"SELECT (x * 2 + i)::INTEGER AS x, (y * 2 + j)::INTEGER AS y, value FROM {_PX}, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)")
+def raster_scale_nearest(spark, sf):
+    return raster.nearest_scale(pixels(spark, sf), 64, 64, 128, 128).select("x", "y", "value")
+
+
+@query(f"SELECT (x // 4)::INTEGER AS x, (y // 4)::INTEGER AS y, round(avg(value), 6) AS value FROM {_PX} GROUP BY 1, 2")
+def raster_overview(spark, sf):
+    return raster.block_mean(pixels(spark, sf), 4).select("x", "y", F.round("value", 6).alias("value"))
+
+
+@query(f"SELECT x, y, (r * a + 127) // 255 AS r, CASE WHEN a = 0 THEN 0 ELSE least((((g * a + 127) // 255) * 255) // a, 255) END AS g, a FROM {_rgba_sql()}")
+def raster_premultiply(spark, sf):
+    p = raster.premultiply(rgba(spark, sf))
+    return p.select("x", "y", "r", F.expr("CASE WHEN a = 0 THEN 0 ELSE least((g * 255) div a, 255) END").cast("int").alias("g"), "a")
+
+
+@query(f"""SELECT x, y, CASE WHEN al = 0 THEN 0 ELSE floor(least(greatest(cr / al, 0), 1) * 255 + 0.5e0)::INTEGER END AS r, floor(al * 255 + 0.5e0)::INTEGER AS a FROM (
+    SELECT d.x, d.y, s.a / 255e0 + d.a / 255e0 * (1 - s.a / 255e0) AS al, s.a / 255e0 * (s.r / 255e0) + d.a / 255e0 * (1 - s.a / 255e0) * (d.r / 255e0) AS cr FROM {_rgba_sql()} d JOIN {_rgba_sql(1)} s ON d.x = s.x AND d.y = s.y)""")
+def raster_composite(spark, sf):
+    return raster.composite(rgba(spark, sf, 1), rgba(spark, sf)).select("x", "y", "r", "a")
+
+
+@query(f"""SELECT x, y, CASE WHEN al = 0 THEN 0 ELSE floor(least(greatest(cr / al, 0), 1) * 255 + 0.5e0)::INTEGER END AS r, floor(al * 255 + 0.5e0)::INTEGER AS a FROM (
+    SELECT x, y, sa + da - sa * da AS al, sa * da * (sr * dr) + sa * (1 - da) * sr + da * (1 - sa) * dr AS cr FROM (SELECT d.x, d.y, s.a / 255e0 AS sa, d.a / 255e0 AS da, s.r / 255e0 AS sr, d.r / 255e0 AS dr FROM {_rgba_sql()} d JOIN {_rgba_sql(1)} s ON d.x = s.x AND d.y = s.y))""")
+def raster_multiply(spark, sf):
+    return raster.composite(rgba(spark, sf, 1), rgba(spark, sf), "multiply").select("x", "y", "r", "a")
+
+
+@query(f"SELECT p.x, p.y, round(coalesce(sum(q.value), 0) / 9e0, 6) AS value FROM {_PX} p JOIN {_PX} q ON abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 GROUP BY 1, 2")
+def raster_blur(spark, sf):
+    return raster.convolve_pixels(pixels(spark, sf), "blur").select("x", "y", F.round("value", 6).alias("value"))
+
+
+@query(f"SELECT x, y, a - r AS r, floor(r * 0.3e0 + g * 0.59e0 + b * 0.11e0 + 0.5e0)::INTEGER AS luma FROM {_rgba_sql()}")
+def raster_invert_gray(spark, sf):
+    df = rgba(spark, sf)
+    luma = raster.gray(df).select("x", "y", F.col("r").alias("luma"))
+    return raster.invert(df).select("x", "y", "r").join(luma, ["x", "y"])
+
+
+@query(f"SELECT x, y, (arg_min(i, dd * 10 + i))::INTEGER AS palette_index FROM (SELECT p.x, p.y, c.i, (p.r - c.r) * (p.r - c.r) + (p.g - c.r) * (p.g - c.r) + (p.b - c.r) * (p.b - c.r) + (p.a - 255) * (p.a - 255) AS dd FROM {_rgba_sql()} p, (SELECT unnest([0, 128, 255]) AS r, unnest([0, 1, 2]) AS i) c) GROUP BY x, y")
+def raster_palette(spark, sf):
+    return raster.quantize(rgba(spark, sf), [(0, 0, 0, 255), (128, 128, 128, 255), (255, 255, 255, 255)]).select("x", "y", "palette_index")
+
+
+@query(f"SELECT count(*) FILTER (WHERE abs(p.r - q.r) > 16) AS n_different FROM {_rgba_sql()} p JOIN {_rgba_sql(1)} q ON p.x = q.x AND p.y = q.y")
+def raster_compare(spark, sf):
+    return aggregates.differing_pixels(rgba(spark, sf), rgba(spark, sf, 1), 16, value="r")
+
+
+@query(f"SELECT min(value) = max(value) AS solid FROM {_PX}")
+def raster_is_solid(spark, sf):
+    return aggregates.is_solid(pixels(spark, sf))
+
+
+# --- extensions: what Spark brings ---------------------------------------------------------------
+
+
+@query("SELECT r_name, n_name, sum(o_totalprice)::DECIMAL(38, 2)::VARCHAR AS total, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def ext_star_join(spark, sf):
+    t = lambda n: table(spark, sf, n)
+    j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy("r_name", "n_name").agg(F.sum(F.col("o_totalprice").cast("decimal(28,6)")).cast("decimal(38,2)").cast("string").alias("total"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+def ext_event_hours(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type", F.window("ts", "1 hour")["start"].alias("start")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS rank FROM events")
+def ext_event_rank(spark, sf):
+    return table(spark, sf, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("rank"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, grouping_id(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def ext_cube(spark, sf):
+    return table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
