@@ -25,11 +25,13 @@ from .store import buckets, materialize, small_batches, with_row_id
 
 LENGTH, GRAM = 200, 64
 #: Different windows of one hash beyond which they are spread over shards.
-HOT = 3000
+HOT = 500
 #: Bytes of windows sorted at once in a shard.
 SORT_BYTES = 2 << 20
 FLUSH = 200_000
 
+#: A string of a spread window in the merge: two hashes, whether its shard found it repeated, and its place.
+STRING = np.dtype([("key", "<u8"), ("more", "<u8"), ("known", "u1"), ("h", "<i8"), ("digest", "<i8"), ("a", "<u2")])
 ENTRY = np.dtype([("h", "<u8"), ("digest", "<u8"), ("rid", "<i8"), ("lo", "<u4"), ("n", "<u2")])
 
 
@@ -186,6 +188,7 @@ def spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     nb = buckets(spark)
+    ranges = max(1, nb // 8)
     rows = with_row_id(docs)
     texts = rows.select("_rid", F.col("text").cast("string").alias("text"))
 
@@ -272,39 +275,45 @@ def spans(docs: DataFrame) -> DataFrame:
                 j += 1
             base = np.cumsum(size[i:j]) - size[i:j]
             at, of, twice, first = repeats(strings[i:j], number[i:j])
-            names = ["h", "digest", "a", "z", "key", "more"]
+            names = ["h", "digest", "a", "z", "range", "strings"]
             runs = _intervals(h[i:j], digest[i:j], base, at[twice], of[twice])
-            none = pa.nulls(len(runs[0]), pa.int64())
-            out.append(pa.table([*runs, none, none], names))
+            out.append(pa.table([*runs, pa.nulls(len(runs[0]), pa.int32()), pa.nulls(len(runs[0]), pa.binary())], names))
             if hot:
-                # one row for each different string, for the merge with other shards
+                # one entry for each different string, for the merge with other shards
                 text = np.frombuffer(b"".join(strings[i:j]), np.uint8)
                 p, w = at[first], of[first]
-                key, more = (B.span_hash(B.prefix_hash(t), p, p + LENGTH).view(np.int64) for t in (text, _SECOND[text]))
-                known = pa.array(np.where(twice[first], 1, 0).astype(np.int64))
-                out.append(pa.table([pa.array(h[i:j][w]), pa.array(digest[i:j][w]), pa.array(p - base[w]), known, pa.array(key), pa.array(more)], names))
+                e = np.empty(len(p), STRING)
+                e["key"], e["more"] = (B.span_hash(B.prefix_hash(t), p, p + LENGTH) for t in (text, _SECOND[text]))
+                e["known"], e["h"], e["digest"], e["a"] = twice[first], h[i:j][w], digest[i:j][w], p - base[w]
+                part = (e["key"] % np.uint64(ranges)).astype(np.int32)
+                order = np.lexsort((e["more"], e["key"], part))
+                e, part = e[order], part[order]
+                cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                gap = pa.nulls(len(cut), pa.int64())
+                out.append(pa.table([gap, gap, gap, gap, pa.array(part[cut]), B.binary_array([x.tobytes() for x in np.split(e, cut[1:])])], names))
             i = j
         return pa.concat_tables(out)
 
-    schema = "h long, digest long, a long, z long, key long, more long"
+    schema = "h long, digest long, a long, z long, range int, strings binary"
     sorted_shards = materialize(fetched.groupBy("shard", "hot").applyInArrow(sort_shard, schema), "suffixes")
 
     def merge(group: pa.Table) -> pa.Table:
-        """Strings of several shards that fall into one range of keys: those in two shards, or known as repeated in one, are repeated."""
-        key, more, known = (group.column(c).to_numpy() for c in ("key", "more", "z"))
-        order = np.lexsort((more, key))
-        key, more, known = key[order], more[order], known[order]
-        both = np.empty(len(key), [("k", "<i8"), ("m", "<i8")])
-        both["k"], both["m"] = key, more
-        code = np.cumsum(np.append(False, both[1:] != both[:-1]))
+        """The sorted strings of several shards in one range of hashes: what a binary search finds in two shards, or
+        where one shard knows it as repeated, is repeated. Shards have marked what they know themselves."""
+        lists = [np.frombuffer(x, STRING) for x in group.column("strings").to_pylist()]
+        every = np.concatenate(lists)
+        order = np.lexsort((every["more"], every["key"]))
+        every = every[order]
+        fresh = np.ones(len(every), bool)
+        fresh[1:] = (every["key"][1:] != every["key"][:-1]) | (every["more"][1:] != every["more"][:-1])
+        code = np.cumsum(fresh)
         low, high = np.searchsorted(code, code, "left"), np.searchsorted(code, code, "right")
-        total = np.append(0, np.cumsum(known))
-        hit = order[(high - low > 1) | (total[high] > total[low])]
-        taken = group.select(["h", "digest", "a"]).take(pa.array(hit))
-        return taken.append_column("z", taken.column("a")).append_column("key", pa.nulls(len(hit), pa.int64())).append_column("more", pa.nulls(len(hit), pa.int64()))
+        hit = every[(high - low > 1) & (every["known"] == 0)]
+        columns = [pa.array(np.ascontiguousarray(hit[c]).astype(np.int64)) for c in ("h", "digest", "a", "a")]
+        return pa.table(columns, ["h", "digest", "a", "z"])
 
-    across = sorted_shards.where("key is not null").withColumn("range", F.shiftright("key", 52)).groupBy(F.pmod("range", F.lit(8 * nb)).alias("range")).applyInArrow(merge, schema)
-    runs = sorted_shards.where("key is null").select("h", "digest", "a", "z").union(across.select("h", "digest", "a", "z"))
+    across = sorted_shards.where("strings is not null").select("range", "strings").groupBy("range").applyInArrow(merge, "h long, digest long, a long, z long")
+    runs = sorted_shards.where("strings is null").select("h", "digest", "a", "z").union(across)
     other = found.where("not alone").select("_rid", "h", "digest", "lo").join(runs, ["h", "digest"]).select("_rid", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("z") + LENGTH).alias("end"))
     whole = found.where("alone").select("_rid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("end"))
     cut = whole.union(other).groupBy("_rid").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
