@@ -14,6 +14,14 @@ ENVELOPE = "minx double, miny double, maxx double, maxy double"
 XY = "x double, y double"
 
 
+_TYPES = {"binary": T.BinaryType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "int": T.IntegerType()}
+
+
+def _struct(fields: str) -> T.StructType:
+    """A struct type from "name type, ..." without a session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split() for x in fields.split(","))])
+
+
 def _scalar(kind: str, f):
     """A pandas UDF that gives null for null and for what can't be read."""
 
@@ -25,14 +33,14 @@ def _scalar(kind: str, f):
 
     if kind.count(" ") == 0:
 
-        @F.pandas_udf(kind)
+        @F.pandas_udf(_TYPES[kind])
         def run(*cols: pd.Series) -> pd.Series:
             return pd.Series([safe(*row) for row in zip(*cols)], dtype=object)
 
         return run
-    names = T.StructType.fromDDL(kind).names
+    names = _struct(kind).names
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(_struct(kind))
     def rows(*cols: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([safe(*row) or (None,) * len(names) for row in zip(*cols)], columns=names, dtype=object)
 
@@ -75,12 +83,12 @@ point_at_length = _scalar("x double, y double, angle double", _wkb(lambda g, d:
 grid_points = _scalar("binary", _wkb(lambda g, dx, dy, alternating: C.to_wkb(C.Geometry("MultiPoint", S.grid_points(g, dx, dy, alternating)))))
 
 
-@F.pandas_udf("array<struct<x:double,y:double,angle:double>>")
+@F.pandas_udf(T.ArrayType(_struct("x double, y double, angle double")))
 def marker_positions(geom: pd.Series, placement: pd.Series, spacing: pd.Series) -> pd.Series:
     return pd.Series([[{"x": x, "y": y, "angle": a} for x, y, a in S.marker_positions(C.from_wkb(bytes(g)), p, s)] if g is not None else None for g, p, s in zip(geom, placement, spacing)])
 
 
-@F.pandas_udf("array<struct<path:int,pos:int,x:double,y:double,cmd:int>>")
+@F.pandas_udf(T.ArrayType(_struct("path int, pos int, x double, y double, cmd int")))
 def vertices(geom: pd.Series) -> pd.Series:
     """The command stream: 1 moves, 2 draws a line, 95 closes a ring."""
 
