@@ -369,5 +369,5 @@ def to_svg_path(g: Geometry) -> str:
             if not len(a):
                 continue
             own = a[:-1] if s.kind == "Polygon" and len(a) > 1 and (a[0] == a[-1]).all() else a
-            out.append("M" + "L".join(f"{_shown(x)} {_shown(y)} " for x, y in own).strip() + ("Z" if s.kind == "Polygon" else ""))
+            out.append("M" + "L".join(f"{_shown(x)} {_shown(y)}" for x, y in own) + ("Z" if s.kind == "Polygon" else ""))
     return " ".join(out)

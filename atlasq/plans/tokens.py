@@ -15,7 +15,10 @@ _TOKEN = re.compile(r"!(@?\w+)!")
 def shown(x: float) -> str:
     """Sixteen significant digits with a decimal point."""
     text = f"{x:#.16g}"
-    return text.rstrip("0") + "0" if "." in text and "e" not in text else text
+    if "." not in text or "e" in text:
+        return text
+    text = text.rstrip("0")
+    return text + "0" if text.endswith(".") else text
 
 
 def box_sql(e: Extent) -> str:
