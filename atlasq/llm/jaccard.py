@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import connected_components
-from .store import buckets, materialize, small_batches, text_of, with_row_id
+from .store import buckets, free_name, materialize, small_batches, text_of, with_row_id
 
 WORDS, PERCENT = 5, 80
 #: The distance within which two documents are linked.
@@ -28,8 +28,9 @@ NEAR = 1 - PERCENT / 100
 REGION = 500
 #: Documents compared pairwise at once, and pivots of a region.
 LEAF, PIVOTS, BLOCK = 40, 8, 256
-#: Shingles in at least this share of a piece's documents are candidates for the end of the order; so many are kept at most (an order is all they decide).
-COMMON_SHARE, COMMON = 0.03, 20_000
+#: Slots of the bitmap of shared shingles: 2**(32 - SLOT_SHIFT), 16 MB whatever the input. An order is all that the most
+#: common shingles (of those found at least COMMON_TIMES times, COMMON at most) decide: they come last.
+SLOT_SHIFT, COMMON_TIMES, COMMON = 5, 16, 20_000
 FLUSH = 250_000
 ENTRY = np.dtype([("h", "<u8"), ("sid", "V12"), ("n", "<u4")])
 
@@ -176,28 +177,57 @@ def groups(docs: DataFrame) -> DataFrame:
     nb = buckets(spark)
     rows = with_row_id(text_of(docs))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_rid", "doc_id", "n_shingles", "sid", "common", "times"]
+    # which shingles occur in two sets: the others can link nothing. Hashes are told apart by 32 bits and kept in a
+    # bitmap of fixed size, so some are taken for shared that aren't, which costs time only
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flushed() -> pa.RecordBatch:
+            own, times = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            v = np.repeat(own, np.minimum(times, 2))
+            b = ((v.astype(np.uint64) * np.uint64(nb)) >> np.uint64(32)).astype(np.int32)
+            cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+            return pa.RecordBatch.from_arrays([pa.array(b[cut]), B.binary_array([x.tobytes() for x in np.split(v, cut[1:])])], ["b", "blob"])
+
         for batch in batches:
-            for i, j, data, at in B.pieces(batch.column("text")):
-                h, offset = shingle_sets(data, at)
-                n = np.diff(offset)
-                sid = [s if m else None for s, m in zip(set_ids(h, offset), n.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("_rid").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.int64())], names)
-                own, times = np.unique(h, return_counts=True)
-                often = times >= max(8, COMMON_SHARE * (j - i))
-                if often.any():
-                    k = int(often.sum())
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(own[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names)
-
-    told = materialize(rows.mapInArrow(describe, "_rid long, doc_id long, n_shingles long, sid binary, common long, times long"), "sets")
-    slim = told.where("common is null").select("_rid", "doc_id", "n_shingles", "sid")
-    frequent = told.where("common is not null").groupBy("common").agg(F.sum("times").alias("times")).orderBy(F.col("times").desc(), "common").limit(COMMON).collect()
-    by_value = sorted((int(r["common"]) & (1 << 64) - 1, COMMON - k) for k, r in enumerate(frequent))
-    common, place = np.array([c for c, _ in by_value], np.uint64), np.array([p for _, p in by_value], np.uint64)
+            for _, _, data, at in B.pieces(batch.column("text")):
+                held.append((shingle_sets(data, at)[0] >> np.uint64(32)).astype(np.uint32))
+                if sum(map(len, held)) >= 8 * FLUSH:
+                    yield flushed()
+        if held and sum(map(len, held)):
+            yield flushed()
+
+    def marked(group: pa.Table) -> pa.Table:
+        v, times = np.unique(np.frombuffer(b"".join(group.column("blob").to_pylist()), np.uint32), return_counts=True)
+        v, times = v[times > 1], times[times > 1]
+        b = group.column("b")[0].as_py()
+        base = (b << 32) // nb >> SLOT_SHIFT >> 3 << 3
+        top = (((b + 1) << 32) // nb >> SLOT_SHIFT) + 8
+        bits = np.zeros(top - base, np.uint8)
+        bits[(v >> np.uint32(SLOT_SHIFT)).astype(np.int64) - base] = 1
+        often = np.argsort(-times, kind="stable")[: max(16, COMMON // nb)]
+        often = np.sort(often[times[often] >= COMMON_TIMES])
+        return pa.table([pa.array([base], pa.int64()), B.binary_array([np.packbits(bits).tobytes()]), B.binary_array([v[often].tobytes()]), B.binary_array([times[often].astype(np.int64).tobytes()])], ["base", "bits", "common", "times"])
+
+    texts = rows.select("_rid", "text")
+    slices = texts.mapInArrow(seen, "b int, blob binary").groupBy("b").applyInArrow(marked, "base long, bits binary, common binary, times binary").collect()
+    bitmap = np.zeros((1 << 32 >> SLOT_SHIFT >> 3) + 16, np.uint8)
+    for r in slices:
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        at = r["base"] >> 3
+        bitmap[at : at + len(own)] |= own[: len(bitmap) - at]
+    common = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(bytes(r["common"]), np.uint32) for r in slices)])
+    times = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r["times"]), np.int64) for r in slices)])
+    place = np.empty(len(common), np.uint64)
+    place[np.lexsort((common, times))] = np.arange(len(common), dtype=np.uint64)
+    order = np.argsort(common)
+    shared = spark.sparkContext.broadcast((bitmap, common[order], place[order]))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_rid", "doc_id", "n_shingles", "sid", "b", "blob"]
         held: list[np.ndarray] = []
+        bitmap, common, place = shared.value
 
         def flushed() -> pa.RecordBatch:
             e = np.concatenate(held)
@@ -206,27 +236,35 @@ def groups(docs: DataFrame) -> DataFrame:
             order = np.argsort(b, kind="stable")
             e, b = e[order], b[order]
             cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            return pa.RecordBatch.from_arrays([pa.array(b[cut]), B.binary_array([x.tobytes() for x in np.split(e, cut[1:])])], ["b", "blob"])
+            gap = [pa.nulls(len(cut), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*gap, pa.array(b[cut]), B.binary_array([x.tobytes() for x in np.split(e, cut[1:])])], names)
 
         for batch in batches:
-            for _, _, data, at in B.pieces(batch.column("text")):
+            for i, j, data, at in B.pieces(batch.column("text")):
                 h, offset = shingle_sets(data, at)
                 n = np.diff(offset)
-                sid = np.frombuffer(b"".join(set_ids(h, offset)), "V12")
-                _, firsts = np.unique(sid, return_index=True)
+                ids = set_ids(h, offset)
+                yield pa.RecordBatch.from_arrays([batch.column("_rid").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array([x if m else None for x, m in zip(ids, n.tolist())], pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
+                sid = np.frombuffer(b"".join(ids), "V12")
                 chosen = np.zeros(len(n), bool)
-                chosen[firsts] = True
+                chosen[np.unique(sid, return_index=True)[1]] = True
+                slot = (h >> np.uint64(32 + SLOT_SHIFT)).astype(np.int64)
+                is_shared = (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+                of = np.repeat(np.arange(len(n)), n)
+                alone = np.bincount(of[~is_shared], minlength=len(n))
+                take = np.where(chosen & (n > 0), np.maximum(n - needed(n) + 1 - alone, 0), 0)
+                may = is_shared & (take > 0)[of]
+                h, of = h[may], of[may]
+                v = (h >> np.uint64(32)).astype(np.uint32)
                 key = h >> np.uint64(1)
                 if len(common):
-                    where = np.searchsorted(common, h)
+                    where = np.searchsorted(common, v)
                     where[where == len(common)] = 0
-                    hit = common[where] == h
+                    hit = common[where] == v
                     key[hit] = (np.uint64(1) << np.uint64(63)) | place[where[hit]]
-                of = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((key, of))
-                h = h[order]
-                take = np.where(chosen & (n > 0), n - needed(n) + 1, 0)
-                pick = B.ragged(offset[:-1], take)
+                h = h[np.lexsort((key, of))]
+                first = np.searchsorted(of, np.arange(len(n)))
+                pick = B.ragged(first, take)
                 e = np.empty(len(pick), ENTRY)
                 e["h"], e["sid"], e["n"] = h[pick], np.repeat(sid, take), np.repeat(n, take)
                 held.append(e)
@@ -235,6 +273,9 @@ def groups(docs: DataFrame) -> DataFrame:
         if held and sum(map(len, held)):
             yield flushed()
 
+    told = materialize(rows.mapInArrow(prefixes, "_rid long, doc_id long, n_shingles long, sid binary, b int, blob binary"), "sets")
+    slim = told.where("b is null").select("_rid", "doc_id", "n_shingles", "sid")
+
     def chains(group: pa.Table) -> pa.Table:
         """Sets that share a shingle, as a chain by size; it breaks where the next size is too large for any link."""
         e = np.frombuffer(b"".join(group.column("blob").to_pylist()), ENTRY)
@@ -251,8 +292,7 @@ def groups(docs: DataFrame) -> DataFrame:
         raw = [x.tobytes() for x in pair]
         return pa.table([B.binary_array([x[:12] for x in raw]), B.binary_array([x[12:] for x in raw])], ["a", "b"])
 
-    texts = rows.select("_rid", "text")
-    edges = texts.mapInArrow(prefixes, "b int, blob binary").groupBy("b").applyInArrow(chains, "a binary, b binary")
+    edges = told.where("b is not null").select("b", "blob").groupBy("b").applyInArrow(chains, "a binary, b binary")
     regions = connected_components(edges, "regions").withColumnRenamed("node", "sid").withColumnRenamed("component", "region")
     sizes = regions.groupBy("region").agg(F.count("*").alias("region_size"))
     first = slim.where("sid is not null").groupBy("sid").agg(F.min("_rid").alias("_rid"))
@@ -384,4 +424,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = materialize(groups(docs), "groups")
     stay = found.where("cluster is not null").groupBy("cluster").agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_rid")).select("_rid")
     stay = stay.union(found.where("cluster is null").select("_rid"))
-    return with_row_id(docs).join(stay, "_rid", "left_semi").select(*docs.columns)
+    key = free_name(docs, "_rid")
+    return with_row_id(docs, key).join(stay.withColumnRenamed("_rid", key), key, "left_semi").select(*docs.columns)

@@ -55,6 +55,13 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def buckets(spark: SparkSession, factor: int = 2) -> int:
     return max(1, factor * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
