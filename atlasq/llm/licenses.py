@@ -44,7 +44,7 @@ def notices(text: str) -> list[str]:
 
 
 def detected(docs: DataFrame) -> DataFrame:
-    """docs with its row number _rid, license (null if none) and similarity (0 if none).
+    """docs (which has none of the names used here) with _license (null if none) and _similarity (0 if none).
 
     Terms outside the templates count towards a line's length like those that only one template has.
     A term's document frequency counts the notice lines of all documents.
@@ -113,7 +113,7 @@ def detected(docs: DataFrame) -> DataFrame:
     best = found.mapInArrow(compare, "_rid long, similarity double, license string").where(f"similarity >= {LEAST}")
     best = best.groupBy("_rid").agg(F.max(F.struct("similarity", "license")).alias("best"))
     out = rows.join(best, "_rid", "left")
-    return out.select("_rid", *docs.columns, F.col("best.license").alias("_license"), F.coalesce("best.similarity", F.lit(0.0)).alias("_similarity"))
+    return out.select(*docs.columns, F.col("best.license").alias("_license"), F.coalesce("best.similarity", F.lit(0.0)).alias("_similarity"))
 
 
 def licenses(docs: DataFrame, file_name: str = "LICENSE") -> DataFrame:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import free_name, materialize
 
 WEIGHTS = (5, 2, 1)
 #: Targets add up to this many percent of all words, and none is above CAP times its source's words.
 TOTAL_PERCENT = 150
 CAP = 2
 HASH_BITS = 60
-#: Bits of the hash that one histogram resolves; the first is finer, as it spreads all rows.
-FIRST_BITS, STEP_BITS = 16, 11
+#: Bits of the hash that a histogram resolves: a source has 2**12 buckets at most, however hot it is.
+FIRST_BITS, STEP_BITS = 12, 12
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def sized(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.size(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
+        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
     )
 
 
@@ -107,12 +107,13 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs as the mix has them: each as often as it is taken."""
     sizes = materialize(sized(docs), "mix")
     aims = materialize(targets(sizes), "mix-targets")
-    low = thresholds(sizes, aims).select(F.col("source").alias("_own"), "rounds", "low")
-    marked = docs.withColumn("_h", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long"))
-    out = marked.join(low, F.col("source").cast("string").eqNullSafe(F.col("_own")))
-    takes = F.least(F.col("rounds") + (F.col("_h") < F.col("low")).cast("long"), F.lit(CAP)).cast("int")
+    own, h, rounds, low, copy = (free_name(docs, n) for n in ("_own", "_h", "_rounds", "_low", "_copy"))
+    cut = thresholds(sizes, aims).select(F.col("source").alias(own), F.col("rounds").alias(rounds), F.col("low").alias(low))
+    marked = docs.withColumn(h, F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long"))
+    out = marked.join(cut, F.col("source").cast("string").eqNullSafe(F.col(own)))
+    takes = F.least(F.col(rounds) + (F.col(h) < F.col(low)).cast("long"), F.lit(CAP)).cast("int")
     copies = F.when(takes > 0, F.sequence(F.lit(1), takes)).otherwise(F.array().cast("array<int>"))
-    return out.withColumn("_copy", F.explode(copies)).select(*docs.columns)
+    return out.withColumn(copy, F.explode(copies)).select(*docs.columns)
 
 
 SQL = r"""

@@ -77,7 +77,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
         for batch in batches:
             for i, j, data, at in B.pieces(batch.column("text")):
                 bucket, of = features(data, at)
-                log_ratio = np.bincount(of, weights=ratio[bucket], minlength=j - i)
+                log_ratio = np.bincount(of, weights=ratio[bucket], minlength=j - i).astype(np.float64)
                 rid = batch.column("_rid").to_numpy()[i:j].astype(np.uint64)
                 uniform = (B.mix(rid + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
                 key = log_ratio - np.log(-np.log(np.clip(uniform, 1e-300, 1 - 1e-16)))

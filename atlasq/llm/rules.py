@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import materialize, small_batches, text_of, with_row_id
+from .store import free_name, materialize, small_batches, text_of, with_row_id
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -194,5 +194,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = judged(docs).where("kept").select("_rid")
-    return with_row_id(docs).join(kept, "_rid", "left_semi").drop("_rid")
+    key = free_name(docs, "_rid")
+    kept = judged(docs).where("kept").select(F.col("_rid").alias(key))
+    return with_row_id(docs, key).join(kept, key, "left_semi").select(*docs.columns)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import buckets, materialize, small_batches, with_row_id
+from .store import buckets, free_name, materialize, small_batches, with_row_id
 
 LENGTH, GRAM = 200, 64
 #: Different windows of one hash beyond which they are spread over shards.
@@ -183,14 +183,15 @@ def _intervals(h: np.ndarray, digest: np.ndarray, base: np.ndarray, at: np.ndarr
 _SECOND = np.random.Generator(np.random.PCG64(7)).permutation(256).astype(np.uint8)
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """docs with _rid and _spans: the removed byte ranges of each row as packed pairs (start, end), null where there are none."""
+def spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, whose name comes second: the removed byte ranges (start, end) of each row, null where there are none."""
     spark = docs.sparkSession
     small_batches(spark)
     nb = buckets(spark)
     ranges = max(1, nb // 8)
-    rows = with_row_id(docs)
-    texts = rows.select("_rid", F.col("text").cast("string").alias("text"))
+    key, name = free_name(docs, "_rid"), free_name(docs, "_spans")
+    rows = with_row_id(docs, key)
+    texts = rows.select(F.col(key).alias("_rid"), F.col("text").cast("string").alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -317,7 +318,8 @@ def spans(docs: DataFrame) -> DataFrame:
     other = found.where("not alone").select("_rid", "h", "digest", "lo").join(runs, ["h", "digest"]).select("_rid", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("z") + LENGTH).alias("end"))
     whole = found.where("alone").select("_rid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("end"))
     cut = whole.union(other).groupBy("_rid").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    return rows.join(cut.hint("shuffle_hash"), "_rid", "left")
+    cut = cut.select(F.col("_rid").alias(key), F.col("_spans").alias(name))
+    return rows.join(cut.hint("shuffle_hash"), key, "left").select(*docs.columns, name), name
 
 
 def _joined(values: list[dict] | None) -> list[tuple[int, int]]:
@@ -357,8 +359,8 @@ def removal_digest(docs: DataFrame) -> DataFrame:
                 digest.append(hashlib.sha256(_kept(raw, removed)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marked = spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return marked.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked, _ = spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -371,14 +373,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, values in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for text, values in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist()):
                 removed = _joined(values)
                 out.append(_kept(text.encode(), removed).decode("utf-8", "ignore") if removed and text is not None else text)
-            names = [c for c in batch.schema.names if c != "_spans"]
+            names = [c for c in batch.schema.names if c != name]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    marked = spans(docs).select(*docs.columns, "_spans").withColumn("text", F.col("text").cast("string"))
-    cut = marked.mapInArrow(run, marked.drop("_spans").schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    marked, name = spans(docs)
+    marked = marked.withColumn("text", F.col("text").cast("string"))
+    cut = marked.mapInArrow(run, marked.drop(name).schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
