@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, label: str = "cc", rounds: int = 60)
         mine, theirs = hop, hop
         a = links.join(mine.select(F.col("node").alias("a"), F.col("component").alias("la")), "a")
         c = a.join(theirs.select(F.col("node").alias("b"), F.col("component").alias("lb")), "b").select("la", "lb").where("la <> lb")
-        best = c.groupBy(F.col("la").alias("component")).agg(F.min("lb").alias("other"))
+        # written first, so that the join below has two exchanges and a hot component can be split
+        best = materialize(c.groupBy(F.col("la").alias("component")).agg(F.min("lb").alias("other")), f"{label}-best{i}")
         nxt = hop.join(best, "component", "left").select("node", F.when(F.col("other") < F.col("component"), F.col("other")).otherwise(F.col("component")).alias("component"))
         nxt = materialize(nxt, f"{label}-{i}")
         moved = labels.join(nxt.withColumnRenamed("component", "now"), "node").where("component <> now").limit(1).count()

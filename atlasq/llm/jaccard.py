@@ -28,9 +28,9 @@ NEAR = 1 - PERCENT / 100
 REGION = 500
 #: Documents compared pairwise at once, and pivots of a region.
 LEAF, PIVOTS, BLOCK = 40, 8, 256
-#: Slots of the bitmap of shared shingles: 2**(32 - SLOT_SHIFT), 16 MB whatever the input. An order is all that the most
+#: Slots of the bitmap of shared shingles: 2**(32 - SLOT_SHIFT), 8 MB whatever the input. An order is all that the most
 #: common shingles (of those found at least COMMON_TIMES times, COMMON at most) decide: they come last.
-SLOT_SHIFT, COMMON_TIMES, COMMON = 5, 16, 20_000
+SLOT_SHIFT, COMMON_TIMES, COMMON = 6, 16, 20_000
 FLUSH = 250_000
 ENTRY = np.dtype([("h", "<u8"), ("sid", "V12"), ("n", "<u4")])
 
@@ -223,6 +223,7 @@ def groups(docs: DataFrame) -> DataFrame:
     place[np.lexsort((common, times))] = np.arange(len(common), dtype=np.uint64)
     order = np.argsort(common)
     shared = spark.sparkContext.broadcast((bitmap, common[order], place[order]))
+    del slices, bitmap
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_rid", "doc_id", "n_shingles", "sid", "b", "blob"]
@@ -415,7 +416,8 @@ def component_ids(docs: DataFrame) -> DataFrame:
     id. Columns besides doc_id and text play no part. An empty table gives an empty result.
     """
     found = materialize(groups(docs), "groups")
-    least = found.where("cluster is not null").groupBy("cluster").agg(F.min("doc_id").alias("least"))
+    # written first: a join of two exchanges splits a hot cluster, a join with an aggregate of the same stage can't
+    least = materialize(found.where("cluster is not null").groupBy("cluster").agg(F.min("doc_id").alias("least")), "least")
     return found.join(least, "cluster", "left").select("doc_id", "n_shingles", F.when(F.col("cluster").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
