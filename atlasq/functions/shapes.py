@@ -209,30 +209,32 @@ def interior(g: Geometry, scale: float = 1.0) -> tuple[float, float] | None:
 
 
 def _crosses(p: np.ndarray, q: np.ndarray, closed: bool) -> bool:
-    """Whether two of a path's segments meet other than as neighbours at their shared end."""
+    """Whether two of a path's segments meet other than as neighbours at their shared end. Segments are taken in
+    blocks against all later ones, so a long path needs little memory."""
     n = len(p)
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        d1, d2 = q[i] - p[i], q[j] - p[j]
-        w = p[j] - p[i]
-        den = d1[0] * d2[:, 1] - d1[1] * d2[:, 0]
-        num_t = w[:, 0] * d2[:, 1] - w[:, 1] * d2[:, 0]
-        num_u = w[:, 0] * d1[1] - w[:, 1] * d1[0]
+    block = max(1, 20_000 // max(n, 1))
+    for at in range(0, n - 1, block):
+        i, j = np.nonzero(np.arange(at, min(at + block, n - 1))[:, None] < np.arange(n)[None, :])
+        i = i + at
+        d1, d2, w = q[i] - p[i], q[j] - p[j], p[j] - p[i]
+        den = d1[:, 0] * d2[:, 1] - d1[:, 1] * d2[:, 0]
+        cross = w[:, 0] * d1[:, 1] - w[:, 1] * d1[:, 0]
         with np.errstate(divide="ignore", invalid="ignore"):
-            t, u = num_t / den, num_u / den
+            t, u = (w[:, 0] * d2[:, 1] - w[:, 1] * d2[:, 0]) / den, cross / den
+        after, around = j == i + 1, (i == 0) & (j == n - 1) & closed
         meet = (den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        near = (j == i + 1) | (closed & (i == 0) & (j == n - 1))
-        at_end = ((j == i + 1) & (t == 1) & (u == 0)) | ((i == 0) & (j == n - 1) & (t == 0) & (u == 1))
-        if (meet & ~(near & at_end)).any():
+        at_end = (after & (t == 1) & (u == 0)) | (around & (t == 0) & (u == 1))
+        if (meet & ~at_end).any():
             return True
-        flat = (den == 0) & (w[:, 0] * d1[1] - w[:, 1] * d1[0] == 0)
-        if flat.any():
-            n1 = d1 @ d1
-            if n1:
-                a, b = (w[flat] @ d1) / n1, ((w[flat] + d2[flat]) @ d1) / n1
-                over = np.minimum(1, np.maximum(a, b)) - np.maximum(0, np.minimum(a, b))
-                if (over > 1e-12).any() or (~near[flat] & (over >= 0)).any():
-                    return True
+        flat = np.flatnonzero((den == 0) & (cross == 0))
+        if len(flat):
+            n1 = (d1[flat] ** 2).sum(1)
+            ok = n1 > 0
+            flat, n1 = flat[ok], n1[ok]
+            a, b = (w[flat] * d1[flat]).sum(1) / n1, ((w[flat] + d2[flat]) * d1[flat]).sum(1) / n1
+            over = np.minimum(1, np.maximum(a, b)) - np.maximum(0, np.minimum(a, b))
+            if (over > 1e-12).any() or (~(after | around)[flat] & (over >= 0)).any():
+                return True
     return False
 
 

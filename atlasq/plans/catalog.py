@@ -516,6 +516,106 @@ def raster_is_solid(spark, sf):
     return aggregates.is_solid(pixels(spark, sf))
 
 
+@query(f"SELECT p.x, p.y, CASE WHEN p.a = 0 THEN 0 ELSE p.a // 2 END AS a, (p.r = 255 AND p.g = 255 AND p.b = 255) AS white FROM {_rgba_sql()} p")
+def raster_opacity(spark, sf):
+    df = raster.opacity(rgba(spark, sf), 0.5)
+    return df.select("x", "y", "a", ((F.col("r") == 255) & (F.col("g") == 255) & (F.col("b") == 255)).alias("white"))
+
+
+@query(f"SELECT x, y, least(greatest(value - 100, -128e0), 127e0)::BIGINT AS value FROM {_PX}")
+def raster_cast(spark, sf):
+    return raster.cast_pixels(pixels(spark, sf).withColumn("value", F.col("value") - 100), "gray8s")
+
+
+@query(f"SELECT x, y, value FROM {_PX} WHERE x BETWEEN 8 AND 15 AND y BETWEEN 4 AND 7")
+def raster_view(spark, sf):
+    df = pixels(spark, sf).withColumnsRenamed({"x": "px", "y": "py"})
+    return grid.view_part(df, 8, 4, 8, 4).withColumnsRenamed({"px": "x", "py": "y"})
+
+
+@query()
+def raster_warp(spark, sf):
+    """Longitudes and latitudes to the mercator plane, nearest pixels."""
+    source = projection.View(64, 64, Extent(-180.0, -90.0, 180.0, 90.0))
+    target = projection.View(64, 64, Extent(-2e7, -2e7, 2e7, 2e7))
+    return raster.warp(pixels(spark, sf), source, projection.LONLAT, target, projection.MERCATOR)
+
+
+@query()
+def raster_color_blind(spark, sf):
+    return raster.color_blind(raster.scale_hsla(rgba(spark, sf), s=(0.0, 0.5)), "deuteranope").select("x", "y", "r", "g", "b")
+
+
+# --- sources ---------------------------------------------------------------
+
+_CSV = "lon,lat,name,n,share,ok\n1,2,one,5,0.5,true\n3,4,two,x,1e3,false\n\n5,6,bad\n7.5,8,three,7,2.25,true\n"
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 1e0, 2e0, 'one', 5::BIGINT, 0.5e0, TRUE), (2, 3e0, 4e0, 'two', NULL, 1000e0, FALSE), (3, 7.5e0, 8e0, 'three', 7, 2.25e0, TRUE)) AS t(id, x, y, name, n, share, ok)")
+def source_csv(spark, sf):
+    from ..sources import registry
+
+    return registry.create(spark, {"type": "csv", "inline": _CSV}).df.select("id", "x", "y", "name", "n", "share", "ok")
+
+
+_JSON = '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"a":"x","b":[1,2],"c":3},"geometry":{"type":"Point","coordinates":[1,2]}},{"type":"Feature","properties":{"a":null,"c":4},"geometry":{"type":"LineString","coordinates":[[0,0],[10,5]]}}]}'
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'x', '[1,2]', 3::BIGINT, 1e0, 2e0, 1::INTEGER), (2, NULL, NULL, 4, 10e0, 5e0, 2)) AS t(id, a, b, c, maxx, maxy, geom_type)")
+def source_geojson(spark, sf):
+    from ..sources import registry
+
+    return registry.create(spark, {"type": "geojson", "inline": _JSON}).df.select("id", "a", "b", "c", "maxx", "maxy", "geom_type")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'POLYGON((10 10,12 10,12 12,10 10))')) AS t(id, wkt)")
+def source_topojson(spark, sf):
+    from ..sources import registry
+
+    text = '{"type":"Topology","transform":{"scale":[2,2],"translate":[10,10]},"arcs":[[[0,0],[1,0],[0,1]],[[1,1],[-1,-1]]],"objects":{"o":{"type":"Polygon","arcs":[[0,1]]}}}'
+    return registry.create(spark, {"type": "topojson", "inline": text}).df.select("id", geometry.to_wkt("geom").alias("wkt"))
+
+
+@query("SELECT c_custkey AS id, cell, CASE cell WHEN '007' THEN 'string' WHEN '5' THEN 'bigint' WHEN '0.25' THEN 'double' WHEN 'true' THEN 'boolean' ELSE 'string' END AS kind FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '007' WHEN 1 THEN '5' WHEN 2 THEN '0.25' WHEN 3 THEN 'true' ELSE '' END AS cell FROM customer)")
+def csv_cell_kinds(spark, sf):
+    from ..sources import delimited
+
+    df = table(spark, sf, "customer").withColumn("cell", F.expr("CASE c_custkey % 5 WHEN 0 THEN '007' WHEN 1 THEN '5' WHEN 2 THEN '0.25' WHEN 3 THEN 'true' ELSE '' END"))
+    return df.select(F.col("c_custkey").alias("id"), "cell", delimited.typed(F.col("cell"))["kind"].alias("kind"))
+
+
+@query(f"SELECT id, '{{\"type\":\"Feature\",\"id\":' || id || ',\"geometry\":{{\"type\":\"Point\",\"coordinates\":[' || x::INTEGER || ',' || y::INTEGER || ']}},\"properties\":{{\"c_mktsegment\":\"' || c_mktsegment || '\"}}}}' AS value FROM {_C}")
+def sink_geojson(spark, sf):
+    from ..sources import json_tables
+
+    df = customers(spark, sf)
+    df = df.withColumn("geom", geometry.from_wkt(_int_wkt(df)))
+    return json_tables.to_geojson_lines(processor.SpatialTable(df), ["c_mktsegment"]).select(F.get_json_object("value", "$.id").cast("bigint").alias("id"), "value")
+
+
+# --- parts and policies ---------------------------------------------------------------
+
+
+@query("SELECT l_orderkey AS id, max_by(l_linenumber, {'a': l_extendedprice, 'n': -l_linenumber}) AS part_no FROM lineitem GROUP BY 1")
+def multi_policy_largest(spark, sf):
+    df = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("part_no"), F.col("l_extendedprice").alias("area"))
+    return labels.multi_policy(df, "largest").select("id", "part_no")
+
+
+@query(f"SELECT c.id AS id, min_by(s.s_suppkey, {{'d': (c.x - s.ox) * (c.x - s.ox) + (c.y - s.oy) * (c.y - s.oy), 'k': s.s_suppkey}}) AS nearest FROM {_C} c JOIN {_S} s ON (c.x - s.ox) * (c.x - s.ox) + (c.y - s.oy) * (c.y - s.oy) <= 400 GROUP BY 1")
+def nearest_neighbour(spark, sf):
+    near = hits.join_near(customers(spark, sf), suppliers(spark, sf), 20.0)
+    d = F.struct((F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)).alias("d"), F.col("s_suppkey").alias("k"))
+    return ordering.nearest(near, ["id"], F.col("s_suppkey"), d).select("id", F.col("part").alias("nearest"))
+
+
+@query("SELECT n_nationkey, round(-20037508.342789244e0 + n_nationkey % 8 * 40075016.68557849e0 / 8, 3) AS minx, round(20037508.342789244e0 - (n_nationkey % 8) * 40075016.68557849e0 / 8, 3) AS maxy, 7 - n_nationkey % 8 AS tms FROM nation")
+def tile_boxes(spark, sf):
+    df = table(spark, sf, "nation").withColumn("t", F.col("n_nationkey") % 8)
+    b = projection.tile_box(F.col("t"), F.col("t"), 3)
+    return df.select("n_nationkey", F.round(b.minx, 3).alias("minx"), F.round(b.maxy, 3).alias("maxy"), projection.tms_row(F.col("t"), F.lit(3)).alias("tms"))
+
+
 # --- extensions: what Spark brings ---------------------------------------------------------------
 
 
