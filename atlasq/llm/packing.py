@@ -18,7 +18,7 @@ WINDOW = 2048
 #: Pieces that are packed with others hold at most so many ids.
 PIECE = 512
 #: Windows that are balanced together, and the free places left in each on average at first.
-GROUP, SLACK = 48, 2
+GROUP, SLACK = 48, 8
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
