@@ -277,8 +277,8 @@ def groups(docs: DataFrame) -> DataFrame:
     told = materialize(rows.mapInArrow(prefixes, "_rid long, doc_id long, n_shingles long, sid binary, b int, blob binary"), "sets")
     slim = told.where("b is null").select("_rid", "doc_id", "n_shingles", "sid")
 
-    def chains(group: pa.Table) -> pa.Table:
-        """Sets that share a shingle, as a chain by size; it breaks where the next size is too large for any link."""
+    def stars(group: pa.Table) -> pa.Table:
+        """Sets that share a shingle, in the order of their sizes; each is tied to the first of its run, and a run ends where the next size is too large for any link."""
         e = np.frombuffer(b"".join(group.column("blob").to_pylist()), ENTRY)
         _, back, times = np.unique(e["h"], return_inverse=True, return_counts=True)
         e = e[times[back] > 1]
@@ -286,14 +286,17 @@ def groups(docs: DataFrame) -> DataFrame:
         order = np.lexsort((parts["b"], parts["a"], e["n"], e["h"]))
         e = e[order]
         n = e["n"].astype(np.int64)
-        follows = (e["h"][1:] == e["h"][:-1]) & (100 * n[:-1] >= PERCENT * n[1:]) & (e["sid"][1:] != e["sid"][:-1])
-        pair = np.empty(int(follows.sum()), [("a", "V12"), ("b", "V12")])
-        pair["a"], pair["b"] = e["sid"][:-1][follows], e["sid"][1:][follows]
+        fresh = np.ones(len(e), bool)
+        fresh[1:] = (e["h"][1:] != e["h"][:-1]) | (100 * n[:-1] < PERCENT * n[1:])
+        lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(e) else np.zeros(0, np.int64)
+        apart = e["sid"][lead] != e["sid"]
+        pair = np.empty(int(apart.sum()), [("a", "V12"), ("b", "V12")])
+        pair["a"], pair["b"] = e["sid"][lead[apart]], e["sid"][apart]
         pair = np.unique(pair.view("V24")) if len(pair) else pair.view("V24")
         raw = [x.tobytes() for x in pair]
         return pa.table([B.binary_array([x[:12] for x in raw]), B.binary_array([x[12:] for x in raw])], ["a", "b"])
 
-    edges = told.where("b is not null").select("b", "blob").groupBy("b").applyInArrow(chains, "a binary, b binary")
+    edges = told.where("b is not null").select("b", "blob").groupBy("b").applyInArrow(stars, "a binary, b binary")
     regions = connected_components(edges, "regions").withColumnRenamed("node", "sid").withColumnRenamed("component", "region")
     sizes = regions.groupBy("region").agg(F.count("*").alias("region_size"))
     first = slim.where("sid is not null").groupBy("sid").agg(F.min("_rid").alias("_rid"))
