@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import buckets, materialize, small_batches, text_of, with_row_id
+from .store import bounded_sample, buckets, materialize, small_batches, text_of, with_row_id
 
 FOLDS, HELD_OUT = 7, 2
 #: Words that are units of their own, and classes of the others.
@@ -234,7 +234,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         return np.where(own >= 0, own, OWN + s.astype(np.int64)), np.where(at >= 0, c[at], -1) if len(keys) else np.full(len(h), -1), own >= 0
 
     start = Model.start(share)
-    few = train.where(F.length("text").between(1, START_CHARS)).orderBy(F.xxhash64("_rid")).limit(START_DOCS).select("text").collect()
+    few = bounded_sample(train.where(F.length("text").between(1, START_CHARS)), START_DOCS, "_rid").select("text").collect()
     if few:
         trainer = Trainer(start, share, 1)
         for _ in range(4):

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import materialize, small_batches, text_of, with_row_id
+from .store import bounded_sample, materialize, small_batches, text_of, with_row_id
 
 #: Buckets of hashed words and word pairs.
 FEATURES = 1 << 13
-#: The target model is fitted on at most so many labelled documents (those with the smallest hashes of doc_id).
+#: The target model is fitted on at most so many labelled documents (chosen by a hash of doc_id).
 TARGET_DOCS = 20_000
 #: Share of rows kept where no label tells it.
 DEFAULT_SHARE = 0.5
@@ -51,7 +51,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     told = marks.agg(F.count("*").alias("n"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good")).first()
     if share is None:
         share = told["good"] / told["n"] if told["n"] else DEFAULT_SHARE
-    good = marks.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS).collect()
+    good = bounded_sample(marks.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), TARGET_DOCS, "doc_id").collect()
     wanted = spark.sparkContext.broadcast(np.sort(np.array([r["doc_id"] for r in good], np.int64)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import materialize, small_batches, with_row_id
+from .store import bounded_sample, materialize, small_batches, with_row_id
 
-#: Pivots are centres of at most SAMPLE vectors (those with the smallest hashes of vec_id); the bound holds for any input.
+#: Pivots are centres of at most SAMPLE vectors (chosen by a hash of vec_id); the bound holds for any input.
 PIVOTS, SAMPLE = 64, 4096
 #: Annuli for each pivot, cut at quantiles of the sample's distances.
 RINGS = 8
@@ -93,7 +93,7 @@ def top_products(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: i
     if not stats["n"]:
         return spark.createDataFrame([], schema)
     top, dim = int(stats["norm"]), int(stats["bytes"]) // 8
-    few = table.orderBy(F.xxhash64("vec_id"), "_rid").limit(SAMPLE).select("norm", "comps").collect()
+    few = bounded_sample(table, SAMPLE, "vec_id", "_rid").select("norm", "comps").collect()
 
     def lifted(x: np.ndarray, norm: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(top - norm, 0))[:, None]], axis=1)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from . import tokens
-from .store import materialize, small_batches, text_of
+from .store import bounded_sample, materialize, small_batches, text_of
 
 MAGIC = b"ATQS"
 HEAD = struct.Struct("<4sBxxxII32s")
@@ -32,7 +32,7 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("is_set", "u1"), ("offset", "<u8"), ("size
 #: A shard is closed when its frames reach this many bytes.
 SHARD_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
-#: The dictionary is trained on at most so many documents (those with the smallest hashes of doc_id) of at most so many characters.
+#: The dictionary is trained on at most so many documents (chosen by a hash of doc_id) of at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8192
 LEVEL = 3
 
@@ -52,7 +52,7 @@ def serialize(ids: np.ndarray, width: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A zstandard dictionary from serialized id arrays of a bounded sample; empty where there is too little text."""
-    few = docs.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text").collect()
+    few = bounded_sample(docs.where(F.length("text").between(1, SAMPLE_CHARS)), SAMPLE_DOCS, "doc_id").select("text").collect()
     coder = tokens.encoder(path)
     width = 2 if coder.vocabulary <= 1 << 16 else 4
     samples = []
