@@ -32,7 +32,8 @@ FLUSH = 200_000
 
 #: A string of a spread window in the merge: two hashes, whether its shard found it repeated, and its place.
 STRING = np.dtype([("key", "<u8"), ("more", "<u8"), ("known", "u1"), ("h", "<i8"), ("digest", "<i8"), ("a", "<u2")])
-ENTRY = np.dtype([("h", "<u8"), ("digest", "<u8"), ("rid", "<i8"), ("lo", "<u4"), ("n", "<u2")])
+#: A window on its way to its shard. state: 0 one window, 1 one that stands for several equal ones, 2 one of those, which is decided.
+ENTRY = np.dtype([("h", "<u8"), ("digest", "<u8"), ("rid", "<i8"), ("lo", "<u4"), ("n", "u1"), ("state", "u1")])
 
 
 def fingerprints(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +200,12 @@ def spans(docs: DataFrame) -> tuple[DataFrame, str]:
         def flushed() -> pa.RecordBatch:
             e = np.concatenate(held)
             held.clear()
-            b = (e["h"] % np.uint64(nb)).astype(np.int32)
+            # equal windows are repeats all over; one of them goes on to its hash's shard, the others are spread by document
+            pair = B.mix(e["h"] ^ (e["digest"] * np.uint64(0x9E3779B97F4A7C15)))
+            _, first, back, times = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+            e["state"] = np.where(times[back] > 1, 2, 0)
+            e["state"][first[times > 1]] = 1
+            b = (np.where(e["state"] == 2, B.mix(e["rid"].view(np.uint64) if e["rid"].flags.contiguous else np.ascontiguousarray(e["rid"]).view(np.uint64)), e["h"]) % np.uint64(nb)).astype(np.int32)
             order = np.argsort(b, kind="stable")
             e, b = e[order], b[order]
             cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
@@ -211,7 +217,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, str]:
                 h, digest, doc, lo, n = fingerprints(data, at)
                 if len(h):
                     e = np.empty(len(h), ENTRY)
-                    e["h"], e["digest"], e["rid"], e["lo"], e["n"] = h, digest, rid[i + doc], lo, n
+                    e["h"], e["digest"], e["rid"], e["lo"], e["n"], e["state"] = h, digest, rid[i + doc], lo, n, 0
                     held.append(e)
                 if sum(map(len, held)) >= FLUSH:
                     yield flushed()
@@ -220,7 +226,9 @@ def spans(docs: DataFrame) -> tuple[DataFrame, str]:
 
     def members(group: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(group.column("blob").to_pylist()), ENTRY)
-        own, back, n = np.unique(e["h"], return_inverse=True, return_counts=True)
+        decided, e = e[e["state"] == 2], e[e["state"] < 2]
+        own, back = np.unique(e["h"], return_inverse=True)
+        n = np.bincount(back, weights=1 + e["state"]) if len(e) else np.zeros(0)
         e = e[n[back] > 1]
         e = e[np.lexsort((e["lo"], e["rid"], e["digest"], e["h"]))]
         new_h = np.ones(len(e), bool)
@@ -229,10 +237,15 @@ def spans(docs: DataFrame) -> tuple[DataFrame, str]:
         rep[1:] |= e["digest"][1:] != e["digest"][:-1]
         which, kind = np.cumsum(new_h) - 1, np.cumsum(rep) - 1
         variants = np.bincount(which[rep], minlength=which[-1] + 1 if len(which) else 0)[which] if len(e) else np.zeros(0, np.int64)
-        number = np.bincount(kind)[kind] if len(e) else np.zeros(0, np.int64)
+        number = np.bincount(kind, weights=1 + e["state"])[kind] if len(e) else np.zeros(0, np.int64)
+        alone, hot = variants == 1, variants > HOT
+        if len(decided):
+            e = np.concatenate([e, decided])
+            fill = lambda x, v: np.concatenate([x, np.full(len(decided), v, x.dtype)])
+            rep, number, alone, hot = fill(rep, False), fill(number, 2), fill(alone, True), fill(hot, False)
         as_long = lambda x: pa.array(x.astype(np.int64))
         return pa.table(
-            [pa.array(e["rid"].astype(np.int64)), pa.array(e["h"].view(np.int64) if e["h"].flags.contiguous else np.ascontiguousarray(e["h"]).view(np.int64)), pa.array(np.ascontiguousarray(e["digest"]).view(np.int64)), as_long(e["lo"]), as_long(e["n"]), pa.array(variants == 1), pa.array(rep), as_long(np.minimum(number, 2)), pa.array(variants > HOT)],
+            [pa.array(e["rid"].astype(np.int64)), pa.array(e["h"].view(np.int64) if e["h"].flags.contiguous else np.ascontiguousarray(e["h"]).view(np.int64)), pa.array(np.ascontiguousarray(e["digest"]).view(np.int64)), as_long(e["lo"]), as_long(e["n"]), pa.array(alone), pa.array(rep), as_long(np.minimum(number, 2)), pa.array(hot)],
             ["_rid", "h", "digest", "lo", "n", "alone", "rep", "number", "hot"],
         )
 
