@@ -386,3 +386,18 @@ def test_licences(spark, none):
         (0, None, "Apache-2.0", "r/s"), (1, "MIT", "MIT", None), (2, None, "MIT", "r"), (2, None, "MIT", "r"), (3, None, "Apache-2.0", "r/s"), (4, "Apache-2.0", "Apache-2.0", None), (5, "CC-BY-NC-4.0", "CC-BY-NC-4.0", None), (6, None, None, None), (7, "GPL-3.0", "GPL-3.0", None), (8, None, "MIT", "r"),
     ]
     assert licenses.licenses(none.withColumn("path", F.lit("a/b"))).count() == 0
+
+
+def test_licences_inside_longer_texts(spark):
+    """Notices in one line with other text, across line breaks, and told apart by version and name."""
+    wrapped = "/*\n * This {} is free\n * software; you can redistribute it and/or\n * modify it under the terms of the GNU {}General\n * Public License as published by the Free Software\n * Foundation; either version {} of the\n * License, or (at your option) any later version.\n */\nint main;"
+    other = "lorem ipsum dolor sit amet " * 10
+    cases = [
+        ("Copyright 2020 Foo Bar. Released under the MIT License.", "MIT"), (other + "Released under the MIT License. " + other, "MIT"),
+        (wrapped.format("program", "", "3"), "GPL-3.0"), (wrapped.format("program", "", "2"), "GPL-2.0"), (wrapped.format("library", "Lesser ", "2.1"), "LGPL-2.1"), (wrapped.format("library", "Lesser ", "3"), "LGPL-3.0"), (wrapped.format("program", "Affero ", "3"), "AGPL-3.0"),
+        (other + "This work is licensed under the GNU General\nPublic License, version 2. " + other, "GPL-2.0"), ("It is under the GNU General Public License. " + other, "GPL"), ("MIT License\n\nCopyright (c) 2020 Foo\n\n" + licenses.TEMPLATES["MIT"][2], "MIT"), (licenses.TEMPLATES["MIT"][2].replace(" ", "\n# "), "MIT"),
+        ("Released under the Foo License.", None), (other + "my driving licence was lost", None), ("Licensed under CC BY-NC-SA 4.0.", None), (other * 200 + "Licensed under CC BY-SA 4.0. " + other * 200, "CC-BY-SA-4.0"),
+    ]
+    docs = spark.createDataFrame([(i, f"d{i}/a.txt", t) for i, (t, _) in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license for r in licenses.licenses(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
