@@ -1,9 +1,11 @@
 """Scores of documents under a log-bilinear model trained by noise-contrastive estimation, and under word counts.
 
 The model predicts units: the most frequent words one by one, all others in classes by their last
-letters. A token's probability is that of its unit given the units before it (log-bilinear, over
-all units) times that of the word in its unit (counts plus one, with one place for unseen words), so
-probabilities add up to 1 over all words. Counts cover all training documents. Training passes over
+letters. A token's probability is that of its unit given the words before it (log-bilinear, over
+all units) times that of the word in its class given the words before it: counts plus one, with one place
+for unseen words, times the exponential of a log-bilinear score, over their sum in the class. So
+probabilities add up to 1 over all words. Each word of a class with LEARNT training tokens has a target
+and context embeddings of its own, so the model grows with the vocabulary; rarer ones have score 0. Counts cover all training documents. Training passes over
 all of them: each task continues from one start model with its own documents, and the models'
 parameters are averaged by the numbers of their tokens.
 """
@@ -28,6 +30,10 @@ CONTEXT, WIDTH = 3, 16
 #: The start model is trained on at most so many documents and characters; all documents follow.
 START_DOCS, START_CHARS = 400, 4000
 NOISE, BATCH, RATE = 48, 2048, 0.05
+#: Training tokens from which a word of a class has embeddings, most such words, noise words of its class a token.
+LEARNT, WORDS, CLASS_NOISE = 20, 32_768, 4
+#: Parameters are averaged in chunks of this many.
+CHUNK = 1 << 16
 #: Counts of this many words at most go to every task; those of the others are joined.
 FREQUENT = 300_000
 FLUSH = 300_000
@@ -57,35 +63,89 @@ def token_stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, s, offset
 
 
+class Classes:
+    """The learnt words sorted by class: edges of the classes, counts plus one, and those of all other words of each class with one place for unseen ones."""
+
+    def __init__(self, edges: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+        self.edges, self.weight = edges, weight
+        self.heap = np.append(0.0, np.cumsum(weight, dtype=np.float64))
+        self.rest = total - (self.heap[edges[1:]] - self.heap[edges[:-1]])
+        self.total = total
+
+    def draw(self, k: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """CLASS_NOISE words of each class in k by weight; the number of learnt words for any other word."""
+        x = rng.random((len(k), CLASS_NOISE)) * self.total[k][:, None]
+        found = np.searchsorted(self.heap, self.heap[self.edges[k]][:, None] + x, side="right") - 1
+        return np.where(found < self.edges[k + 1][:, None], found, len(self.weight))
+
+
+def _ascend(x: np.ndarray, seen: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
+    """An AdaGrad step on the rows at of x but the last one; g may have several rows for one."""
+    at, g = at[at < len(x) - 1], g[at < len(x) - 1]
+    if not len(at):
+        return
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(at[order]) > 0))
+    g = np.add.reduceat(g[order], first, axis=0)
+    at = at[order][first]
+    seen[at] += g * g
+    x[at] += RATE * g / np.sqrt(seen[at])
+
+
 class Model:
-    """Context tables (CONTEXT, UNITS + 1, WIDTH; the last unit stands before a document), targets and biases."""
+    """Context tables (CONTEXT, UNITS + 1, WIDTH; the last unit stands before a document), targets and biases.
 
-    def __init__(self, tables: np.ndarray, targets: np.ndarray, bias: np.ndarray) -> None:
-        self.tables, self.targets, self.bias = tables, targets, bias
+    The same of the learnt words of classes: near (CONTEXT, words + 1, WIDTH) and inner (words + 1, WIDTH); the last one is no such word, its row 0.
+    """
+
+    def __init__(self, tables: np.ndarray, targets: np.ndarray, bias: np.ndarray, near: np.ndarray, inner: np.ndarray) -> None:
+        self.tables, self.targets, self.bias, self.near, self.inner = tables, targets, bias, near, inner
 
     @staticmethod
-    def start(share: np.ndarray) -> Model:
+    def start(share: np.ndarray, words: int = 0) -> Model:
         rng = np.random.Generator(np.random.PCG64(11))
-        return Model(rng.normal(0, 0.1, (CONTEXT, UNITS + 1, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (UNITS, WIDTH)).astype(np.float32), np.log(share).astype(np.float32))
+        own = np.random.Generator(np.random.PCG64(12))
+        near, inner = (own.normal(0, 0.1, shape).astype(np.float32) for shape in ((CONTEXT, words + 1, WIDTH), (words + 1, WIDTH)))
+        near[:, -1] = inner[-1] = 0
+        return Model(rng.normal(0, 0.1, (CONTEXT, UNITS + 1, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (UNITS, WIDTH)).astype(np.float32), np.log(share).astype(np.float32), near, inner)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.tables, self.targets, self.bias)])
+        return np.concatenate([x.ravel() for x in (self.tables, self.targets, self.bias, self.near, self.inner)])
 
     @staticmethod
     def of(flat: np.ndarray) -> Model:
         a, b = CONTEXT * (UNITS + 1) * WIDTH, UNITS * WIDTH
+        rows = (len(flat) - a - b - UNITS) // (WIDTH * (CONTEXT + 1))
         flat = flat.astype(np.float32)
-        return Model(flat[:a].reshape(CONTEXT, UNITS + 1, WIDTH).copy(), flat[a : a + b].reshape(UNITS, WIDTH).copy(), flat[a + b :].copy())
-
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.tables[i][context[i]] for i in range(CONTEXT))
+        tables, targets, bias, near, inner = np.split(flat, np.cumsum([a, b, UNITS, CONTEXT * rows * WIDTH]))
+        return Model(tables.reshape(CONTEXT, UNITS + 1, WIDTH).copy(), targets.reshape(UNITS, WIDTH).copy(), bias.copy(), near.reshape(CONTEXT, rows, WIDTH).copy(), inner.reshape(rows, WIDTH).copy())
+
+    def predicted(self, context: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        r = sum(self.tables[i][context[i]] for i in range(CONTEXT))
+        return r if before is None else r + sum(self.near[i][before[i]] for i in range(CONTEXT))
+
+    def log_in_class(self, unit: np.ndarray, context: np.ndarray, word: np.ndarray, before: np.ndarray, classes: Classes) -> np.ndarray:
+        """For tokens of classes the natural logarithm of their words' probabilities in the class over counts plus one; 0 for others."""
+        out = np.zeros(len(unit))
+        order = np.argsort(unit, kind="stable")
+        order = order[unit[order] >= OWN]
+        for k in np.unique(unit[order]) - OWN:
+            a, b = np.searchsorted(unit[order], [k + OWN, k + OWN + 1])
+            low, high = classes.edges[k], classes.edges[k + 1]
+            step = max(64, (1 << 21) // max(1, high - low))
+            for i in range(a, b, step):
+                t = order[i : min(b, i + step)]
+                r = self.predicted(context[:, t], before[:, t])
+                total = np.exp(np.clip(r @ self.inner[low:high].T, -30, 30)) @ classes.weight[low:high].astype(np.float32) + classes.rest[k]
+                out[t] = np.clip(np.einsum("ij,ij->i", r, self.inner[word[t]]), -30, 30) - np.log(total)
+        return out
 
-    def log_probabilities(self, unit: np.ndarray, context: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, unit: np.ndarray, context: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """Natural logarithms of the units' normalised probabilities."""
         out = np.empty(len(unit))
         for i in range(0, len(unit), 8192):
             u = unit[i : i + 8192]
-            score = self.predicted(context[:, i : i + 8192]) @ self.targets.T
+            score = self.predicted(context[:, i : i + 8192], None if before is None else before[:, i : i + 8192]) @ self.targets.T
             score += self.bias
             own = score[np.arange(len(u)), u]
             top = score.max(1)
@@ -98,21 +158,36 @@ class Model:
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps; a batch shares its noise."""
 
-    def __init__(self, model: Model, share: np.ndarray, seed: int) -> None:
+    def __init__(self, model: Model, share: np.ndarray, seed: int, classes: Classes) -> None:
+        self.classes = classes
+        self.seen_words = [np.full(x.shape, 1e-7, np.float32) for x in (model.near, model.inner)]
         self.m, self.rng, self.tokens = model, np.random.Generator(np.random.PCG64(seed)), 0
         self.noise = np.log(NOISE * share).astype(np.float32)
         self.heap = np.cumsum(share)
         self.seen = [np.full(x.shape, 1e-7, np.float32) for x in (model.tables, model.targets, model.bias)]
 
-    def step(self, unit: np.ndarray, context: np.ndarray) -> None:
+    def step(self, unit: np.ndarray, context: np.ndarray, word: np.ndarray, before: np.ndarray) -> None:
         m, n = self.m, len(unit)
         drawn = np.minimum(np.searchsorted(self.heap, self.rng.random(NOISE) * self.heap[-1]), UNITS - 1)
-        r = m.predicted(context)
+        r = m.predicted(context, before)
         q, z = m.targets[unit], m.targets[drawn]
         real = 1 / (1 + np.exp(self.noise[unit] - m.bias[unit] - np.einsum("ij,ij->i", r, q)))
         fake = 1 / (1 + np.exp(np.clip(self.noise[drawn] - m.bias[drawn] - r @ z.T, -60, 60)))
         real = (1 - real).astype(np.float32)
         back = real[:, None] * q - fake @ z
+        # within classes the noise has the counts' shares, so a score's ratio to it is the log-bilinear part
+        inside = np.flatnonzero(unit >= OWN)
+        if len(inside) and len(m.inner) > 1:
+            other = self.classes.draw(unit[inside] - OWN, self.rng)
+            mine, base = r[inside], np.float32(np.log(CLASS_NOISE))
+            w, v = m.inner[word[inside]], m.inner[other]
+            up = 1 - 1 / (1 + np.exp(np.clip(base - np.einsum("ij,ij->i", mine, w), -60, 60)))
+            down = 1 / (1 + np.exp(np.clip(base - np.einsum("ij,ikj->ik", mine, v), -60, 60)))
+            back[inside] += up[:, None] * w - np.einsum("ik,ikj->ij", down, v)
+            g = np.concatenate([up[:, None] * mine, (-down[:, :, None] * mine[:, None, :]).reshape(-1, WIDTH)])
+            _ascend(m.inner, self.seen_words[1], np.concatenate([word[inside], other.ravel()]), (g / n).astype(np.float32))
+        for i in range(CONTEXT):
+            _ascend(m.near[i], self.seen_words[0][i], before[i], (back / n).astype(np.float32))
         hot = np.zeros((UNITS, n), np.float32)
         hot[unit, np.arange(n)] = real
         targets, bias = hot @ r, hot.sum(1)
@@ -130,15 +205,15 @@ class Trainer:
             x += RATE * g / np.sqrt(seen)
         self.tokens += n
 
-    def learn(self, unit: np.ndarray, context: np.ndarray) -> None:
+    def learn(self, unit: np.ndarray, context: np.ndarray, word: np.ndarray, before: np.ndarray) -> None:
         for i in range(0, len(unit), BATCH):
-            self.step(unit[i : i + BATCH], context[:, i : i + BATCH])
+            self.step(unit[i : i + BATCH], context[:, i : i + BATCH], word[i : i + BATCH], before[:, i : i + BATCH])
 
 
-def contexts(unit: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """For each token the units one, two, ... before it in its document."""
+def contexts(unit: np.ndarray, offset: np.ndarray, none: int = UNITS) -> np.ndarray:
+    """For each token the units (or words) one, two, ... before it in its document."""
     place = np.arange(len(unit)) - np.repeat(offset[:-1], np.diff(offset))
-    out = np.full((CONTEXT, len(unit)), UNITS, np.int64)
+    out = np.full((CONTEXT, len(unit)), none, np.int64)
     for i in range(CONTEXT):
         there = np.flatnonzero(place > i)
         out[i, there] = unit[there - i - 1]
@@ -221,49 +296,65 @@ def score_documents(docs: DataFrame) -> DataFrame:
     class_words = np.array([r["class_words"] for r in told], np.int64).reshape(-1, CLASSES).sum(0) - np.bincount(own["s"], minlength=CLASSES)
     share = np.concatenate([own["c"], np.zeros(OWN - len(own), np.int64), class_tokens]).astype(np.float64) + 0.5
     share /= share.sum()
-    in_class = np.log10(class_tokens + class_words + 1.0)
+    rest = top[OWN:]
+    rest = rest[rest["c"] >= LEARNT][:WORDS]
+    rest = rest[np.lexsort((rest["h"], rest["s"]))]
+    n_learnt = len(rest)
+    classes = Classes(np.searchsorted(rest["s"], np.arange(CLASSES + 1)), rest["c"] + 1.0, class_tokens + class_words + 1.0)
+    learnt = {int(h): i for i, h in enumerate(rest["h"])}
     top = top[np.argsort(top["h"])]
     number = {int(h): i for i, h in enumerate(own["h"])}
     unit_of_top = np.array([number.get(int(h), -1) for h in top["h"]], np.int16)
-    shared = spark.sparkContext.broadcast((top["h"].copy(), top["c"].copy(), unit_of_top))
+    shared = spark.sparkContext.broadcast((top["h"].copy(), top["c"].copy(), unit_of_top, np.array([learnt.get(int(h), n_learnt) for h in top["h"]], np.int64)))
 
-    def units(h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, c, unit = shared.value
+    def units(h: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        keys, c, unit, word = shared.value
         at = _lookup(keys, h)
         own = np.where(at >= 0, unit[at], -1) if len(keys) else np.full(len(h), -1)
-        return np.where(own >= 0, own, OWN + s.astype(np.int64)), np.where(at >= 0, c[at], -1) if len(keys) else np.full(len(h), -1), own >= 0
+        return np.where(own >= 0, own, OWN + s.astype(np.int64)), np.where(at >= 0, c[at], -1) if len(keys) else np.full(len(h), -1), own >= 0, np.where(at >= 0, word[at], n_learnt) if len(keys) else np.full(len(h), n_learnt)
 
-    start = Model.start(share)
+    start = Model.start(share, n_learnt)
     few = bounded_sample(train.where(F.length("text").between(1, START_CHARS)), START_DOCS, "_rid").select("text").collect()
     if few:
-        trainer = Trainer(start, share, 1)
+        trainer = Trainer(start, share, 1, classes)
         for _ in range(4):
             for _, _, data, at in B.pieces(pa.array([r["text"] for r in few])):
                 h, s, offset = token_stream(data, at)
-                unit = units(h, s)[0]
-                trainer.learn(unit, contexts(unit, offset))
-    first = start.flat()
+                unit, _, _, word = units(h, s)
+                trainer.learn(unit, contexts(unit, offset), word, contexts(word, offset, n_learnt))
+    first = spark.sparkContext.broadcast(start.flat())
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(Model.of(first), share, 2)
+        trainer = Trainer(Model.of(first.value), share, 2, classes)
         for batch in batches:
             for _, _, data, at in B.pieces(batch.column("text")):
                 h, s, offset = token_stream(data, at)
-                unit = units(h, s)[0]
-                trainer.learn(unit, contexts(unit, offset))
+                unit, _, _, word = units(h, s)
+                trainer.learn(unit, contexts(unit, offset), word, contexts(word, offset, n_learnt))
         if trainer.tokens:
-            flat = trainer.m.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), float(trainer.tokens)))], ["i", "x", "w"])
+            flat = trainer.m.flat()
+            cut = range(0, len(flat), CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), B.binary_array([flat[i : i + CHUNK].tobytes() for i in cut]), pa.array([float(trainer.tokens)] * len(cut))], ["i", "x", "w"])
 
-    mean = train.mapInArrow(learn, "i int, x double, w double").groupBy("i").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x")).collect()
-    flat = first.astype(np.float64)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for i, x, w in zip(*(batch.column(c).to_pylist() for c in ("i", "x", "w"))):
+                sums = held.setdefault(i, [0.0, 0.0])
+                sums[0] = sums[0] + np.frombuffer(x, np.float32).astype(np.float64) * w
+                sums[1] += w
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), B.binary_array([(x / w).astype(np.float32).tobytes() for x, w in held.values()]), pa.array([w for _, w in held.values()], pa.float64())], ["i", "x", "w"])
+
+    mean = train.mapInArrow(learn, "i int, x binary, w double").repartition("i").mapInArrow(added, "i int, x binary, w double").collect()
+    flat = first.value.copy()
     for r in mean:
-        flat[r["i"]] = r["x"]
-    model = flat.astype(np.float32)
+        x = np.frombuffer(bytes(r["x"]), np.float32)
+        flat[r["i"] * CHUNK : r["i"] * CHUNK + len(x)] = x
+    model = spark.sparkContext.broadcast(flat)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_rid", "doc_id", "held_out", "n_tokens", "known", "logs", "own_logs", "lm", "b", "blob"]
-        m = Model.of(model)
+        m = Model.of(model.value)
         waiting: list[np.ndarray] = []
 
         def rare() -> pa.RecordBatch:
@@ -276,12 +367,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
             rid = batch.column("_rid").to_numpy()
             for i, j, data, at in B.pieces(batch.column("text")):
                 h, s, offset = token_stream(data, at)
-                unit, c, own = units(h, s)
+                unit, c, own, word = units(h, s)
                 n = np.diff(offset)
                 of = np.repeat(np.arange(j - i), n)
                 log = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0.0)
-                lm = m.log_probabilities(unit, contexts(unit, offset)) / np.log(10)
-                lm[~own] -= in_class[unit[~own] - OWN]
+                context, before = contexts(unit, offset), contexts(word, offset, n_learnt)
+                lm = (m.log_probabilities(unit, context, before) + m.log_in_class(unit, context, word, before, classes)) / np.log(10)
                 sums = [np.bincount(of, weights=w, minlength=j - i) for w in (log, np.where(own, log, 0.0), lm)]
                 known = np.bincount(of[c > 0], minlength=j - i)
                 unknown = c < 0

@@ -351,6 +351,15 @@ def test_rare_words_are_joined(spark, make, monkeypatch):
     assert got == want
 
 
+def test_words_of_a_class_are_told_apart_by_context(spark, make):
+    """Exchanging two words of one class changes scores as the corpus has them; each pair's counts cancel out."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 128, 150)) + (" aaving mooing" if d % 2 else " bbving cooing") for d in range(600)]
+    texts += ["aaving mooing", "aaving cooing", "bbving cooing", "bbving mooing"]
+    score = {r.doc_id: r.score for r in language_model.score_documents(make(texts)).collect()}
+    assert score[600] - score[601] + score[602] - score[603] > 0.1
+
+
 # --- resampling and licences
 
 
