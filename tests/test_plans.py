@@ -140,3 +140,17 @@ def test_against_sql(spark, sf, name):
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     rows = lambda d: sorted(map(tuple, d[sorted(d.columns)].map(str).values))
     assert rows(got) == rows(want)
+
+
+def test_whole_part_table_is_joined(spark):
+    """Every overlapping pair, whatever the brands."""
+    import numpy as np
+
+    from atlasq.plans import catalog
+
+    sf = "/root/testdata/sf0.01"
+    rows = catalog.parts(spark, sf).select("id", "minx", "miny", "maxx", "maxy").collect()
+    i, x, y, z, w = (np.array(c) for c in zip(*rows))
+    a, b = np.nonzero((i[:, None] < i) & (x[:, None] <= z) & (z[:, None] >= x) & (y[:, None] <= w) & (w[:, None] >= y))
+    got = [(r.a, r.b) for r in catalog.QUERIES["join_boxes_all"](spark, sf).collect()]
+    assert len(got) == len(a) > 0 and set(got) == set(zip(i[a].tolist(), i[b].tolist()))
