@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import materialize, small_batches, with_row_id
 
@@ -162,12 +163,12 @@ class Templates:
                     s[c[:, self.barred[j]].sum(1) > 0] = 0
                 if self.barred_near[j]:
                     s[near[:, self.barred_near[j]].sum(1) > 0] = 0
-                top = max(top, (round(float(s.max()), 6), self.forms[j][0]), key=lambda x: (x[0], x[1] or ""))
+                top = min(top, (round(float(s.max()), 6), self.forms[j][0]), key=lambda x: (-x[0], x[1] or "~"))
         return top
 
 
 def detected(docs: DataFrame, file: Column | None = None) -> DataFrame:
-    """docs (which has none of the names used here) with _license (null if none) and _similarity (0 if none).
+    """docs (which has none of the names used here) without text, with _license (null if none) and _similarity (0 if none).
 
     A document has the licence of the template with the highest cosine to its header, to the whole of it
     where file is true, or to a window of the template's length near a mark. Terms outside
@@ -175,22 +176,28 @@ def detected(docs: DataFrame, file: Column | None = None) -> DataFrame:
     document frequency counts the parts of all documents that notices() finds.
     """
     small_batches(docs.sparkSession)
-    rows = with_row_id(docs)
     words = vocabulary()
     number = {w: i for i, w in enumerate(words)}
+    others = [c for c in docs.columns if c != "text"]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, whole, part = [], [], []
-            for r, text, is_file in zip(batch.column("_rid").to_pylist(), batch.column("text").to_pylist(), batch.column("file").to_pylist()):
-                for w, x in notices(text or "", is_file):
-                    rid.append(r)
+            row, first, whole, part = [], [], [], []
+            for r, (text, is_file) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_file").to_pylist())):
+                # a row without any notice has one row too, so that this one job reads the texts and numbers the rows
+                for i, (w, x) in enumerate(notices(text or "", is_file) or [(None, None)]):
+                    row.append(r)
+                    first.append(i == 0)
                     whole.append(w)
                     part.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(whole, pa.bool_()), pa.array(part, pa.string())], ["_rid", "whole", "part"])
+            own = batch.select([*others, "_rid"]).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(first, pa.bool_()), pa.array(whole, pa.bool_()), pa.array(part, pa.string())], [*others, "_rid", "_first", "_whole", "_part"])
 
     is_file = F.lit(False) if file is None else F.coalesce(file, F.lit(False))
-    found = materialize(rows.select("_rid", F.col("text").cast("string").alias("text"), is_file.alias("file")).mapInArrow(parts, "_rid long, whole boolean, part string"), "notices")
+    rows = with_row_id(docs.select(*others, F.col("text").cast("string").alias("text"), is_file.alias("_file")))
+    schema = T.StructType([*(docs.schema[c] for c in others), *(T.StructField(n, t) for n, t in (("_rid", T.LongType()), ("_first", T.BooleanType()), ("_whole", T.BooleanType()), ("_part", T.StringType())))])
+    table = materialize(rows.mapInArrow(parts, schema), "notices")
+    found = table.where("_part is not null").select("_rid", F.col("_whole").alias("whole"), F.col("_part").alias("part"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(words) + 1, np.int64)
@@ -211,9 +218,9 @@ def detected(docs: DataFrame, file: Column | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_rid"), pa.array([s for s, _ in best], pa.float64()), pa.array([x for _, x in best], pa.string())], ["_rid", "similarity", "license"])
 
     best = found.mapInArrow(compare, "_rid long, similarity double, license string").where(f"similarity >= {LEAST}")
-    best = best.groupBy("_rid").agg(F.max(F.struct("similarity", "license")).alias("best"))
-    out = rows.join(best, "_rid", "left")
-    return out.select(*docs.columns, F.col("best.license").alias("_license"), F.coalesce("best.similarity", F.lit(0.0)).alias("_similarity"))
+    best = best.groupBy("_rid").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "license")).alias("best"))
+    out = table.where("_first").join(best, "_rid", "left")
+    return out.select(*others, F.col("best.license").alias("_license"), F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("_similarity"))
 
 
 def licenses(docs: DataFrame, file_name: str = "LICENSE") -> DataFrame:
@@ -223,15 +230,16 @@ def licenses(docs: DataFrame, file_name: str = "LICENSE") -> DataFrame:
     with a licence of its own) in the nearest directory at or above its own; among several in one
     directory the most similar one, then the first by name, counts. Directories are joined, not
     documents: each distinct one with the ancestors that its path spells. Null or empty texts have no
-    licence of their own; a null path has no directory. Repeated rows are documents of their own.
-    An empty table gives an empty result.
+    licence of their own; very long ones are scanned as a whole, around every mark. Forms that are equally
+    similar to a text count by name as well. A null path has no directory. Repeated rows are documents of
+    their own; other columns play no part. An empty table gives an empty result.
     """
     is_file = F.element_at(F.split("path", "/"), -1) == file_name
-    found = materialize(detected(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text"), is_file).drop("text"), "licenses")
+    found = materialize(detected(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text"), is_file), "licenses")
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     found = found.withColumn("folder", folder)
     files = found.where(F.col("_license").isNotNull() & is_file)
-    files = files.groupBy(F.col("folder").alias("above")).agg(F.max_by("_license", F.struct("_similarity", F.lit(0) - F.ascii("_license"), "_license")).alias("from_file"))
+    files = files.groupBy(F.col("folder").alias("above")).agg(F.min_by("_license", F.struct(-F.col("_similarity"), "_license")).alias("from_file"))
     folders = found.select("folder").where("folder is not null").distinct()
     parts = F.split("folder", "/")
     climbs = folders.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts)))).withColumn("above", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
