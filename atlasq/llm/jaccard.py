@@ -2,37 +2,46 @@
 
 Jaccard distance is a metric. Texts that share nothing are all at distance 1 of each other, so pivots
 cannot part them; the first regions are therefore formed by shared shingles: two sets that are alike
-enough share one among the first few in any fixed order (rare ones first), and what is connected by
-such shared shingles is a region. Inside a region pivots are chosen, documents lie in Voronoi cells
+enough share one among the first few in any fixed order (rare ones first), and how far down the order the
+first shared one stands bounds how alike they can be. What is connected by such shared shingles, between sets that
+this bound lets be near, is a region. Inside a region pivots are chosen, documents lie in Voronoi cells
 around them, the triangle inequality tells which ones beyond a cell's border could still be near
 one inside, and cells join recursively; what no pivot can part is compared exactly in blocks.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import connected_components
-from .store import buckets, free_name, materialize, small_batches, text_of, with_row_id
+from .store import buckets, free_name, keyed, materialize, small_batches, text_of
 
 WORDS, PERCENT = 5, 80
 #: The distance within which two documents are linked.
 NEAR = 1 - PERCENT / 100
 #: Regions of more documents than this are joined by several tasks.
 REGION = 500
-#: Documents compared pairwise at once, and pivots of a region.
-LEAF, PIVOTS, BLOCK = 40, 8, 256
-#: Slots of the bitmap of shared shingles: 2**(32 - SLOT_SHIFT), 8 MB whatever the input. An order is all that the most
-#: common shingles (of those found at least COMMON_TIMES times, COMMON at most) decide: they come last.
+#: Documents compared pairwise at once, and pivots of a region within a task.
+LEAF, PIVOTS = 40, 8
+#: Pivots of a large region, at most and one for so many of its documents; documents (and bytes of sets) measured, and compared, at once.
+SPREAD_PIVOTS, PER_PIVOT, BLOCK, BLOCK_BYTES = 32, 250, 1024, 8 << 20
+#: A region is cut along its cells if they have no more than this many copies of its documents together, and the
+#: largest no more than this share of them; otherwise its blocks are compared.
+COPIES, SHARE = 3.0, 0.8
+#: Slots of the bitmaps of shared and of common shingles: 2**(32 - SLOT_SHIFT), 8 MB each whatever the input. An order is
+#: all that common shingles (found at least COMMON_TIMES times) decide: they come last, the COMMON most common ones by number.
 SLOT_SHIFT, COMMON_TIMES, COMMON = 6, 16, 20_000
 FLUSH = 250_000
-ENTRY = np.dtype([("h", "<u8"), ("sid", "V12"), ("n", "<u4")])
+#: A shingle of a set's prefix, the set, its size, and the largest set that it can be linked with if this is the first shared one.
+ENTRY = np.dtype([("h", "<u8"), ("sid", "V12"), ("n", "<u4"), ("most", "<u4")])
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +85,11 @@ def needed(n: int | np.ndarray) -> int | np.ndarray:
     return (PERCENT * n + 99) // 100
 
 
+def largest_partner(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The size up to which a set can be linked with one of n whose first shared shingle stands at place (from 0) of its order."""
+    return np.maximum((100 + PERCENT) * (n - place) // PERCENT - n, 0)
+
+
 class Union:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -169,13 +183,52 @@ def _stragglers(own: list[np.ndarray], ids: list[int], d: np.ndarray, links: Uni
             links.join(ids[x], ids[rivals[i]])
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """_rid, doc_id, n_shingles, member (the digest of the row's set) and cluster (the smallest digest it is connected with)
-    for each row of docs; member and cluster are null for an empty set."""
-    spark = docs.sparkSession
+def ties(e: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Pairs of sets that connect all sets which entries of shared shingles allow to be linked.
+
+    The sets of a shingle are taken in the order of their sizes. Two can only be linked by it if each is at most as
+    large as the other's entry allows; sets without any such partner fall out. Each of the others is tied to the first
+    of its run, and a run ends where the next size is too large for any link.
+    """
+    parts = np.frombuffer(np.ascontiguousarray(e["sid"]).tobytes(), [("a", "<u8"), ("b", "<u4")])
+    order = np.lexsort((parts["b"], parts["a"], e["n"], e["h"]))
+    e = e[order]
+    new = np.ones(len(e), bool)
+    new[1:] = (e["h"][1:] != e["h"][:-1]) | (e["sid"][1:] != e["sid"][:-1])
+    e = e[new]
+    head = np.ones(len(e), bool)
+    head[1:] = e["h"][1:] != e["h"][:-1]
+    of = np.cumsum(head) - 1
+    # sizes and bounds below 2**32, so that those of one shingle lie together in one ascending order
+    n, most, base = e["n"].astype(np.int64), e["most"].astype(np.int64), of.astype(np.int64) << 32
+    end = np.searchsorted(base + n, base + most, side="right")
+    best = np.maximum.accumulate(base + most) if len(e) else base
+    second = np.full(len(e), -1, np.int64)
+    if len(e) > 1:
+        second[1:] = np.maximum.accumulate(np.minimum((base + most)[1:], best[:-1]))
+    at = np.maximum(end - 1, 0)
+    inside = np.arange(len(e)) < end
+    other = np.where(inside & (base + most == best[at]), second[at], best[at])
+    e = e[(end > 0) & (other >= base + n)] if len(e) else e
+    n = e["n"].astype(np.int64)
+    fresh = np.ones(len(e), bool)
+    fresh[1:] = (e["h"][1:] != e["h"][:-1]) | (100 * n[:-1] < PERCENT * n[1:])
+    lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(e) else np.zeros(0, np.int64)
+    apart = e["sid"][lead] != e["sid"]
+    pair = np.empty(int(apart.sum()), [("a", "V12"), ("b", "V12")])
+    pair["a"], pair["b"] = e["sid"][lead[apart]], e["sid"][apart]
+    pair = np.unique(pair.view("V24")) if len(pair) else pair.view("V24")
+    raw = [x.tobytes() for x in pair]
+    return [x[:12] for x in raw], [x[12:] for x in raw]
+
+
+def groups(rows: DataFrame, key: str = "_rid") -> DataFrame:
+    """_rid (rows' column key, which each scan of rows must give alike), doc_id, n_shingles, member (the digest of the row's set) and cluster (the smallest digest it is connected with)
+    for each row; member and cluster are null for an empty set."""
+    spark = rows.sparkSession
     small_batches(spark)
-    nb = buckets(spark)
-    rows = with_row_id(text_of(docs))
+    nb = buckets(rows)
+    rows = text_of(rows, F.col(key).alias("_rid"))
 
     # which shingles occur in two sets: the others can link nothing. Hashes are told apart by 32 bits and kept in a
     # bitmap of fixed size, so some are taken for shared that aren't, which costs time only
@@ -206,29 +259,35 @@ def groups(docs: DataFrame) -> DataFrame:
         top = (((b + 1) << 32) // nb >> SLOT_SHIFT) + 8
         bits = np.zeros(top - base, np.uint8)
         bits[(v >> np.uint32(SLOT_SHIFT)).astype(np.int64) - base] = 1
-        often = np.argsort(-times, kind="stable")[: max(16, COMMON // nb)]
+        many = np.zeros(top - base, np.uint8)
+        many[(v[times >= COMMON_TIMES] >> np.uint32(SLOT_SHIFT)).astype(np.int64) - base] = 1
+        often = np.argsort(-times, kind="stable")[: 4 + 2 * COMMON // nb]
         often = np.sort(often[times[often] >= COMMON_TIMES])
-        return pa.table([pa.array([base], pa.int64()), B.binary_array([np.packbits(bits).tobytes()]), B.binary_array([v[often].tobytes()]), B.binary_array([times[often].astype(np.int64).tobytes()])], ["base", "bits", "common", "times"])
+        return pa.table([pa.array([base], pa.int64()), B.binary_array([np.packbits(bits).tobytes()]), B.binary_array([np.packbits(many).tobytes()]), B.binary_array([v[often].tobytes()]), B.binary_array([times[often].astype(np.int64).tobytes()])], ["base", "bits", "many", "common", "times"])
 
     texts = rows.select("_rid", "text")
-    slices = texts.mapInArrow(seen, "b int, blob binary").groupBy("b").applyInArrow(marked, "base long, bits binary, common binary, times binary").collect()
-    bitmap = np.zeros((1 << 32 >> SLOT_SHIFT >> 3) + 16, np.uint8)
+    slices = texts.mapInArrow(seen, "b int, blob binary").groupBy("b").applyInArrow(marked, "base long, bits binary, many binary, common binary, times binary").collect()
+    bitmaps = {c: np.zeros((1 << 32 >> SLOT_SHIFT >> 3) + 16, np.uint8) for c in ("bits", "many")}
     for r in slices:
-        own = np.frombuffer(bytes(r["bits"]), np.uint8)
         at = r["base"] >> 3
-        bitmap[at : at + len(own)] |= own[: len(bitmap) - at]
+        for c, bitmap in bitmaps.items():
+            own = np.frombuffer(bytes(r[c]), np.uint8)
+            bitmap[at : at + len(own)] |= own[: len(bitmap) - at]
     common = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(bytes(r["common"]), np.uint32) for r in slices)])
     times = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r["times"]), np.int64) for r in slices)])
+    most = np.lexsort((common, -times))[:COMMON]
+    common, times = common[most], times[most]
     place = np.empty(len(common), np.uint64)
     place[np.lexsort((common, times))] = np.arange(len(common), dtype=np.uint64)
     order = np.argsort(common)
-    shared = spark.sparkContext.broadcast((bitmap, common[order], place[order]))
-    del slices, bitmap
+    shared = spark.sparkContext.broadcast((bitmaps["bits"], bitmaps["many"], common[order], place[order]))
+    del slices, bitmaps
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_rid", "doc_id", "n_shingles", "sid", "b", "blob"]
         held: list[np.ndarray] = []
-        bitmap, common, place = shared.value
+        bits, many, common, place = shared.value
+        has = lambda bitmap, slot: (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
         def flushed() -> pa.RecordBatch:
             e = np.concatenate(held)
@@ -250,24 +309,27 @@ def groups(docs: DataFrame) -> DataFrame:
                 chosen = np.zeros(len(n), bool)
                 chosen[np.unique(sid, return_index=True)[1]] = True
                 slot = (h >> np.uint64(32 + SLOT_SHIFT)).astype(np.int64)
-                is_shared = (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+                is_shared = has(bits, slot)
                 of = np.repeat(np.arange(len(n)), n)
                 alone = np.bincount(of[~is_shared], minlength=len(n))
                 take = np.where(chosen & (n > 0), np.maximum(n - needed(n) + 1 - alone, 0), 0)
                 may = is_shared & (take > 0)[of]
-                h, of = h[may], of[may]
+                h, of, slot = h[may], of[may], slot[may]
                 v = (h >> np.uint64(32)).astype(np.uint32)
-                key = h >> np.uint64(1)
+                # those found once or a few times, then common ones, then the most common ones by their numbers
+                key = (h >> np.uint64(2)) | (has(many, slot).astype(np.uint64) << np.uint64(62))
                 if len(common):
                     where = np.searchsorted(common, v)
                     where[where == len(common)] = 0
                     hit = common[where] == v
                     key[hit] = (np.uint64(1) << np.uint64(63)) | place[where[hit]]
                 h = h[np.lexsort((key, of))]
-                first = np.searchsorted(of, np.arange(len(n)))
-                pick = B.ragged(first, take)
+                first = np.searchsorted(of, np.arange(len(n) + 1))
+                pick = B.ragged(first[:-1], take)
                 e = np.empty(len(pick), ENTRY)
                 e["h"], e["sid"], e["n"] = h[pick], np.repeat(sid, take), np.repeat(n, take)
+                # the shingles that no other set has come before all these
+                e["most"] = largest_partner(np.repeat(n, take), np.repeat(alone - first[:-1], take) + pick)
                 held.append(e)
                 if sum(map(len, held)) >= FLUSH:
                     yield flushed()
@@ -278,23 +340,8 @@ def groups(docs: DataFrame) -> DataFrame:
     slim = told.where("b is null").select("_rid", "doc_id", "n_shingles", "sid")
 
     def stars(group: pa.Table) -> pa.Table:
-        """Sets that share a shingle, in the order of their sizes; each is tied to the first of its run, and a run ends where the next size is too large for any link."""
-        e = np.frombuffer(b"".join(group.column("blob").to_pylist()), ENTRY)
-        _, back, times = np.unique(e["h"], return_inverse=True, return_counts=True)
-        e = e[times[back] > 1]
-        parts = np.frombuffer(np.ascontiguousarray(e["sid"]).tobytes(), [("a", "<u8"), ("b", "<u4")])
-        order = np.lexsort((parts["b"], parts["a"], e["n"], e["h"]))
-        e = e[order]
-        n = e["n"].astype(np.int64)
-        fresh = np.ones(len(e), bool)
-        fresh[1:] = (e["h"][1:] != e["h"][:-1]) | (100 * n[:-1] < PERCENT * n[1:])
-        lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(e) else np.zeros(0, np.int64)
-        apart = e["sid"][lead] != e["sid"]
-        pair = np.empty(int(apart.sum()), [("a", "V12"), ("b", "V12")])
-        pair["a"], pair["b"] = e["sid"][lead[apart]], e["sid"][apart]
-        pair = np.unique(pair.view("V24")) if len(pair) else pair.view("V24")
-        raw = [x.tobytes() for x in pair]
-        return pa.table([B.binary_array([x[:12] for x in raw]), B.binary_array([x[12:] for x in raw])], ["a", "b"])
+        a, b = ties(np.frombuffer(b"".join(group.column("blob").to_pylist()), ENTRY))
+        return pa.table([B.binary_array(a), B.binary_array(b)], ["a", "b"])
 
     edges = told.where("b is not null").select("b", "blob").groupBy("b").applyInArrow(stars, "a binary, b binary")
     regions = connected_components(edges, "regions").withColumnRenamed("node", "sid").withColumnRenamed("component", "region")
@@ -311,7 +358,18 @@ def groups(docs: DataFrame) -> DataFrame:
     full = texts.join(wanted.hint("shuffle_hash"), "_rid").mapInArrow(sets, "sid binary, region binary, region_size long, set binary")
     full = materialize(full, "region-sets")
 
-    def join_small(group: pa.Table) -> pa.Table:
+    small = _joined(full.where(f"region_size <= {REGION}"), buckets(full))
+    large = full.where(f"region_size > {REGION}")
+    if large.limit(1).count():
+        small = small.union(_join_large(large))
+    clusters = materialize(small, "clusters")
+    return slim.join(clusters, "sid", "left").select("_rid", "doc_id", "n_shingles", F.col("sid").alias("member"), F.coalesce("cluster", "sid").alias("cluster"))
+
+
+def _joined(sets: DataFrame, nb: int) -> DataFrame:
+    """(sid, cluster) of small regions (sid, region, set): each region in one task, cluster being the smallest sid reached in it."""
+
+    def run(group: pa.Table) -> pa.Table:
         sid, region, raw = (group.column(c).to_pylist() for c in ("sid", "region", "set"))
         content = [np.frombuffer(x, np.uint64) for x in raw]
         links = Union(len(sid))
@@ -329,62 +387,111 @@ def groups(docs: DataFrame) -> DataFrame:
             least[r] = min(least.get(r, sid[x]), sid[x])
         return pa.table([B.binary_array(sid), B.binary_array([least[links.find(x)] for x in range(len(sid))])], ["sid", "cluster"])
 
-    small = full.where(f"region_size <= {REGION}").withColumn("b", F.pmod(F.xxhash64("region"), F.lit(2 * nb)))
-    clusters = small.groupBy("b").applyInArrow(join_small, "sid binary, cluster binary")
-    large = full.where(f"region_size > {REGION}")
-    if large.limit(1).count():
-        clusters = clusters.union(_join_large(large))
-    clusters = materialize(clusters, "clusters")
-    return slim.join(clusters, "sid", "left").select("_rid", "doc_id", "n_shingles", F.col("sid").alias("member"), F.coalesce("cluster", "sid").alias("cluster"))
+    return sets.select("sid", "region", "set").withColumn("b", F.pmod(F.xxhash64("region"), F.lit(nb))).groupBy("b").applyInArrow(run, "sid binary, cluster binary")
+
+
+def _blocks(size: Column, total: Column) -> Column:
+    """Parts that so many sets of so many bytes together are dealt to."""
+    return F.greatest(F.ceil(size / BLOCK), F.ceil(total / BLOCK_BYTES), F.lit(1))
+
+
+def _measured(level: DataFrame, depth: int) -> DataFrame:
+    """The members of parts (sid, part, size, set) with their distances to their part's pivots (d), the nearest one (home),
+    the pivots in whose balls they lie (balls), and all cells that they belong to (cells).
+
+    A cell of a pivot has what is nearest to it and what is at most 2 * NEAR farther from it than from its own
+    pivot; no link crosses such a border. One more cell has what may be near a document at distance 1 of all pivots.
+    """
+    by_part = level.groupBy("part").agg(F.first("size").alias("all"), F.sum(F.length("set")).alias("bytes"))
+    by_part = materialize(by_part.withColumn("blocks", _blocks(F.col("all"), F.col("bytes"))), f"parts{depth}")
+    number = F.least(F.greatest(F.ceil(F.col("size") / PER_PIVOT), F.lit(PIVOTS)), F.lit(SPREAD_PIVOTS))
+    drawn = level.withColumn("pivot", F.pmod(F.xxhash64("sid", F.lit(depth)), number))
+    drawn = drawn.groupBy("part", "pivot").agg(F.min_by(F.struct("sid", "set"), F.xxhash64("sid", F.lit(-1 - depth))).alias("p"))
+    pivots = drawn.join(by_part, "part").select(F.col("part").alias("p_part"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("p_block"), F.col("p.sid").alias("p_sid"), F.col("p.set").alias("p_set"))
+    members = level.join(by_part, "part").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).select("part", "block", "size", "sid", "set")
+
+    def measure(own: pa.Table, pivots: pa.Table) -> pa.Table:
+        many = [np.frombuffer(x, np.uint64) for x in own.column("set").to_pylist()]
+        names, ones = zip(*sorted(zip(pivots.column("p_sid").to_pylist(), pivots.column("p_set").to_pylist())))
+        n = np.fromiter(map(len, many), np.int64, len(many))
+        d, balls = np.empty((len(many), len(ones))), np.empty((len(many), len(ones)), bool)
+        for j, raw in enumerate(ones):
+            one = np.frombuffer(raw, np.uint64)
+            inter = shared_with(one, many)
+            d[:, j], balls[:, j] = 1 - inter / (n + len(one) - inter), linked(inter, n, len(one))
+        near, home = d.min(1), d.argmin(1)
+        cells = (d - near[:, None] <= 2 * NEAR + 1e-9) & (near < 1 - 1e-12)[:, None]
+        cells = np.concatenate([cells, (near >= 1 - NEAR - 1e-9)[:, None]], axis=1)
+        lists = [[names[j] for j in np.flatnonzero(x).tolist()] for x in balls]
+        return pa.table(
+            [*(own.column(c) for c in ("part", "size", "sid", "set")), pa.array(d.tolist(), pa.list_(pa.float64())), pa.array(home, pa.int32()), pa.array(lists, pa.list_(pa.binary())), pa.array([np.flatnonzero(x).tolist() for x in cells], pa.list_(pa.int32()))],
+            ["part", "size", "sid", "set", "d", "home", "balls", "cells"],
+        )
+
+    schema = "part string, size long, sid binary, set binary, d array<double>, home int, balls array<binary>, cells array<int>"
+    return members.groupBy("part", "block").cogroup(pivots.groupBy("p_part", "p_block")).applyInArrow(measure, schema)
 
 
 def _join_large(large: DataFrame) -> DataFrame:
     """Clusters of the members of large regions, by several tasks for each region.
 
-    Some members of a region are its pivots. Every member is linked with the pivots in whose balls it
-    lies; that connects most of what is near. Members outside their region's largest component so far
-    are then compared with all blocks of members that the triangle inequality leaves, both in blocks.
+    A region is cut along the cells of its pivots, whose borders are replicated, and the cells are regions of the next
+    round; small ones are joined in one task each. A region that its pivots can't part, as nearly all of it is near all of
+    them, or far from all, is joined in blocks.
     """
-    pick = F.pmod(F.xxhash64("sid"), F.ceil(F.col("region_size") / PIVOTS)) == 0
-    pivots = large.where(pick).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("sid", "set"))).alias("pivots"))
+    level = large.select("sid", F.hex("region").alias("part"), F.col("region_size").alias("size"), "set")
+    edges: list[DataFrame] = []
+    for depth in itertools.count():
+        placed = materialize(_measured(level, depth), f"placed{depth}")
+        edges.append(placed.select(F.col("sid").alias("a"), F.explode("balls").alias("b")))
+        cells = placed.select("part", "size", F.explode("cells").alias("cell")).groupBy("part", "size", "cell").count()
+        shape = cells.groupBy(F.col("part").alias("of"), F.col("size").alias("all")).agg(F.sum("count").alias("copies"), F.max("count").alias("largest"))
+        # as many rows as large parts, and as their cells
+        shape = materialize(shape.withColumn("cut", (F.col("copies") <= F.col("all") * COPIES) & (F.col("largest") <= F.col("all") * SHARE)), f"shape{depth}")
+        number = {r["cut"]: r["count"] for r in shape.groupBy("cut").count().collect()}
+        if number.get(False):
+            edges.append(_join_blocks(placed.join(shape.where("not cut").select(F.col("of").alias("part")), "part", "left_semi"), depth))
+        if not number.get(True):
+            break
+        mine = placed.select("part", "sid", "set", F.explode("cells").alias("cell")).join(shape.where("cut").select(F.col("of").alias("part")), "part", "left_semi")
+        named = mine.join(cells.drop("size"), ["part", "cell"]).where("count > 1")
+        named = materialize(named.select("sid", F.concat_ws("/", "part", "cell").alias("part"), F.col("count").alias("size"), "set"), f"cells{depth}")
+        small = _joined(named.where(f"size <= {REGION}").withColumnRenamed("part", "region"), buckets(named))
+        edges.append(small.select(F.col("sid").alias("a"), F.col("cluster").alias("b")))
+        level = named.where(f"size > {REGION}")
+        if not level.limit(1).count():
+            break
+    links = functools.reduce(DataFrame.union, edges)
+    whole = connected_components(links, "large").select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
+    return large.select("sid").join(whole, "sid", "left").select("sid", F.coalesce("cluster", "sid").alias("cluster"))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sid", "region", "region_size", "set", "d", "cell", "near"]
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for raw, pivots in zip(batch.column("set").to_pylist(), batch.column("pivots").to_pylist()):
-                own = np.frombuffer(raw, np.uint64)
-                many = [np.frombuffer(p["set"], np.uint64) for p in pivots or []]
-                inter = shared_with(own, many) if many else np.zeros(0, np.int64)
-                n = np.fromiter(map(len, many), np.int64, len(many))
-                d = 1 - inter / (n + len(own) - inter)
-                ball = linked(inter, n, len(own))
-                out[0].append(d.tolist())
-                out[1].append(int(d.argmin()) if len(d) else -1)
-                out[2].append([pivots[k]["sid"] for k in np.flatnonzero(ball).tolist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(out[0], pa.list_(pa.float64())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.binary()))], names)
-
-    base = "sid binary, region binary, region_size long, set binary, d array<double>, cell int, near array<binary>"
-    placed = materialize(large.join(pivots, "region", "left").mapInArrow(measure, base), "placed")
-    star = placed.select(F.col("sid").alias("a"), F.explode("near").alias("b"))
+
+def _join_blocks(placed: DataFrame, depth: int) -> DataFrame:
+    """Links (a, b) that connect, with those of members and pivots, all that is near in regions that can't be cut.
+
+    The balls of the pivots connect most of what is near. Members outside their region's largest component so far
+    are compared with all blocks of members that the triangle inequality and the sizes leave.
+    """
+    star = placed.select(F.col("sid").alias("a"), F.explode("balls").alias("b"))
     labels = connected_components(star, "balls").withColumnRenamed("node", "sid").withColumnRenamed("component", "label")
     placed = placed.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    by_label = placed.groupBy("region", "label").count()
-    main = by_label.groupBy("region").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    cells = placed.groupBy("region", "cell").agg(F.count("*").alias("cell_size"))
-    marked = placed.join(main, "region").join(cells, ["region", "cell"]).withColumn("block", F.concat_ws("/", F.hex("region"), "cell", F.pmod(F.xxhash64("sid"), F.ceil(F.col("cell_size") / BLOCK))))
-    marked = materialize(marked.drop("near"), "marked")
-    # a block's distances to its own pivot tell which stragglers it can be near
-    span = F.element_at("d", F.greatest(F.col("cell") + 1, F.lit(1)))
-    directory = marked.where("cell >= 0").groupBy("region", "cell", "block").agg(F.min(span).alias("low"), F.max(span).alias("high"))
-    directory = directory.union(marked.where("cell < 0").groupBy("region", "cell", "block").agg(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")))
+    main = placed.groupBy("part", "label").count().groupBy("part").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    n = (F.length("set") / 8).cast("long")
+    cells = placed.groupBy("part", "home").agg(F.count("*").alias("cell_size"), F.sum(F.length("set")).alias("bytes"))
+    marked = placed.join(main, "part").join(cells, ["part", "home"]).withColumn("n", n)
+    marked = marked.withColumn("block", F.concat_ws("/", "part", "home", F.pmod(F.xxhash64("sid"), _blocks(F.col("cell_size"), F.col("bytes")))))
+    marked = materialize(marked.select("part", "home", "block", "sid", "label", "main", "n", "set", "d"), f"marked{depth}")
+    # a block's distances to its own pivot, and its sizes, tell which stragglers it can be near
+    span = F.element_at("d", F.col("home") + 1)
+    directory = marked.groupBy("part", "home", "block").agg(F.min(span).alias("low"), F.max(span).alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     outside = marked.where("label <> main")
-    counts = outside.groupBy("region").agg(F.count("*").alias("outside"))
-    asked = outside.join(counts, "region").withColumn("turn", F.pmod(F.xxhash64("sid", F.lit(1)), F.ceil(F.col("outside") / BLOCK)))
-    mine = F.when(F.col("home") < 0, F.lit(0.0)).otherwise(F.element_at("d", F.greatest(F.col("home") + 1, F.lit(1))))
-    to_block = asked.drop("cell", "block").join(directory.withColumnRenamed("cell", "home"), "region").where((F.col("home") < 0) | ((mine >= F.col("low") - NEAR - 1e-9) & (mine <= F.col("high") + NEAR + 1e-9)))
-    turns = to_block.select("block", "turn").distinct()
-    left = to_block.select(*(F.col(c).alias(f"q_{c}") for c in ("block", "turn", "sid", "label", "set", "d")))
+    counts = outside.groupBy("part").agg(F.count("*").alias("outside"), F.sum(F.length("set")).alias("bytes"))
+    asked = outside.join(counts, "part").withColumn("turn", F.pmod(F.xxhash64("sid", F.lit(1)), _blocks(F.col("outside"), F.col("bytes"))))
+    asked = asked.select("part", "turn", F.col("sid").alias("q_sid"), F.col("label").alias("q_label"), F.col("n").alias("q_n"), F.col("set").alias("q_set"), F.col("d").alias("q_d"))
+    mine = F.element_at("q_d", F.col("home") + 1)
+    near = (mine >= F.col("low") - NEAR - 1e-9) & (mine <= F.col("high") + NEAR + 1e-9) & (F.col("most") * 100 >= F.col("q_n") * PERCENT) & (F.col("least") * PERCENT <= F.col("q_n") * 100)
+    left = asked.join(directory, "part").where(near).select(F.col("block").alias("q_block"), F.col("turn").alias("q_turn"), "q_sid", "q_label", "q_set", "q_d")
+    turns = left.select(F.col("q_block").alias("block"), F.col("q_turn").alias("turn")).distinct()
     right = marked.select("block", "sid", "label", "set", "d").join(turns, "block").select("block", "turn", "sid", "label", "set", "d")
 
     def compare(asked: pa.Table, members: pa.Table) -> pa.Table:
@@ -395,9 +502,7 @@ def _join_large(large: DataFrame) -> DataFrame:
         a, b = [], []
         for s, lab, raw, own in zip(*(asked.column(c).to_pylist() for c in ("q_sid", "q_label", "q_set", "q_d"))):
             one = np.frombuffer(raw, np.uint64)
-            may = (size * 100 >= PERCENT * len(one)) & (len(one) * 100 >= PERCENT * size)
-            if near.shape[1]:
-                may &= np.abs(near - np.array(own)).max(1) <= NEAR + 1e-9
+            may = (size * 100 >= PERCENT * len(one)) & (len(one) * 100 >= PERCENT * size) & (np.abs(near - np.array(own)).max(1) <= NEAR + 1e-9)
             found = [i for i in np.flatnonzero(may).tolist() if label[i] != lab]
             hit = linked(shared_with(one, [content[i] for i in found]), size[found], len(one)) if found else []
             met = {label[i]: sid[i] for i, ok in zip(found, hit) if ok}
@@ -405,9 +510,7 @@ def _join_large(large: DataFrame) -> DataFrame:
             b += met.values()
         return pa.table([B.binary_array(a), B.binary_array(b)], ["a", "b"])
 
-    more = left.groupBy("q_block", "q_turn").cogroup(right.groupBy("block", "turn")).applyInArrow(compare, "a binary, b binary")
-    whole = connected_components(star.union(more), "large").select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
-    return large.select("sid").join(whole, "sid", "left").select("sid", F.coalesce("cluster", "sid").alias("cluster"))
+    return left.groupBy("q_block", "q_turn").cogroup(right.groupBy("block", "turn")).applyInArrow(compare, "a binary, b binary")
 
 
 def component_ids(docs: DataFrame) -> DataFrame:
@@ -418,7 +521,7 @@ def component_ids(docs: DataFrame) -> DataFrame:
     their set are linked. Rows with a null doc_id take part; a component of such rows alone has a null
     id. Columns besides doc_id and text play no part. An empty table gives an empty result.
     """
-    found = materialize(groups(docs), "groups")
+    found = materialize(groups(keyed(text_of(docs), "documents")), "groups")
     # written first: a join of two exchanges splits a hot cluster, a join with an aggregate of the same stage can't
     least = materialize(found.where("cluster is not null").groupBy("cluster").agg(F.min("doc_id").alias("least")), "least")
     return found.join(least, "cluster", "left").select("doc_id", "n_shingles", F.when(F.col("cluster").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
@@ -426,8 +529,9 @@ def component_ids(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each component: the one with the smallest doc_id stays."""
-    found = materialize(groups(docs), "groups")
+    key = free_name(docs, "_rid")
+    rows = keyed(docs, "documents", key)
+    found = materialize(groups(rows, key), "groups")
     stay = found.where("cluster is not null").groupBy("cluster").agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_rid")).select("_rid")
     stay = stay.union(found.where("cluster is null").select("_rid"))
-    key = free_name(docs, "_rid")
-    return with_row_id(docs, key).join(stay.withColumnRenamed("_rid", key), key, "left_semi").select(*docs.columns)
+    return rows.join(stay.withColumnRenamed("_rid", key), key, "left_semi").select(*docs.columns)

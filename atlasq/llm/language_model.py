@@ -256,7 +256,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    nb = buckets(spark)
+    nb = buckets(docs)
     rows = with_row_id(text_of(docs)).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False)))
     train = rows.where("not held_out").select("_rid", "text")
 

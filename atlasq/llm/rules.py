@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import free_name, materialize, small_batches, text_of, with_row_id
+from .store import free_name, keyed, materialize, small_batches, text_of, with_row_id
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -162,16 +162,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("_rid").slice(i, j - i), batch.column("doc_id").slice(i, j - i), *(pa.array(m[c], pa.int64()) for c in COUNTS)], ["_rid", "doc_id", *COUNTS])
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, key: str | None = None) -> DataFrame:
     """One row per row of docs: _rid, doc_id, the counts of COUNTS, base_failed, votes, posterior, kept.
 
+    _rid is docs' column key, if given, and otherwise a number of this result alone.
+
     Null and empty texts count as no words, so base_failed holds. Repeated rows are judged alike,
     each for itself; a null doc_id is kept as it is. Columns besides doc_id and text play no part.
     An empty table gives an empty result. Only the numbers of documents by vote pattern (at most
     3 to the number of rules, whatever the input) reach the driver.
     """
     small_batches(docs.sparkSession)
-    rows = with_row_id(text_of(docs))
+    rows = text_of(docs, F.col(key).alias("_rid")) if key else with_row_id(text_of(docs))
     counted = materialize(rows.mapInArrow(_count, "_rid long, doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)), "rules")
     rules = votes()
     pattern = sum((v * 3**k for k, v in enumerate(rules.values())), F.lit(0)).cast("int")
@@ -195,5 +197,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     key = free_name(docs, "_rid")
-    kept = judged(docs).where("kept").select(F.col("_rid").alias(key))
-    return with_row_id(docs, key).join(kept, key, "left_semi").select(*docs.columns)
+    rows = keyed(docs, "documents", key)
+    kept = judged(rows, key).where("kept").select(F.col("_rid").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)

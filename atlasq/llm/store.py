@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes in an Arrow batch handed to Python, so that long texts stay within a worker's memory.
@@ -51,10 +51,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """Number the rows. The numbers depend on the scan's partitions only, so a repeated scan gives the same ones."""
+    """Number the rows within one job. Another scan, cut for another number of cores, gives other numbers: see keyed()."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def keyed(df: DataFrame, label: str, name: str = "_rid") -> DataFrame:
+    """df with numbered rows, written once. What is joined by the number in later jobs reads this copy, not df again."""
+    return materialize(with_row_id(df, name), label)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -74,10 +79,18 @@ def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     return df.where(F.xxhash64(*keys) < F.lit(cut)).limit(most)
 
 
-def buckets(spark: SparkSession, factor: int = 2) -> int:
-    return max(1, factor * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Bytes of a table's files for each of its buckets.
+BUCKET_BYTES = 16 << 20
+
+
+def buckets(df: DataFrame, factor: int = 2) -> int:
+    """How many buckets df's rows are dealt to: by its size where the plan knows it, at least factor for each shuffle partition."""
+    spark = df.sparkSession
+    least = max(1, factor * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, size // BUCKET_BYTES if size < 1 << 60 else 0)
 
 
-def text_of(docs: DataFrame) -> DataFrame:
-    """documents as doc_id bigint and text string; other columns are left out, whatever their names."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def text_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """documents as doc_id bigint and text string, and what more asks for; other columns are left out, whatever their names."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

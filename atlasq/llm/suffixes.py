@@ -2,12 +2,11 @@
 
 A string of LENGTH bytes is found again wherever it stands by the smallest hash among its
 GRAM-byte pieces: equal strings have equal smallest hashes. Consecutive positions
-of a document that share that piece (the first, if several have its hash) form a window. Windows whose hash occurs once in the corpus hold nothing repeated and go no
-further; the others are dealt to shards by their hash, equal windows as one with their number.
+of a document that share that piece (the first, if several have its hash) form a window. Windows whose hash occurs once
+in the corpus hold nothing repeated and go no further; of the others one of each kind is dealt to a shard by its hash, with its number.
 A shard is sorted into a suffix array (Larsson-Sadakane refinement), its common prefixes follow by
-Kasai's rule, and neighbours that share LENGTH bytes are repeats. Where one hash has too many
-different windows for one shard, they are spread over several, and the sorted strings of those
-shards are merged by binary search.
+Kasai's rule, and neighbours that share LENGTH bytes (or one string of a window found twice) are repeats. Hashes with
+many different windows are spread over shards, and the sorted strings of those shards are merged by binary search.
 """
 
 from __future__ import annotations
@@ -21,19 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import buckets, free_name, materialize, small_batches, with_row_id
+from .store import bounded_sample, buckets, free_name, keyed, materialize, small_batches
 
 LENGTH, GRAM = 200, 64
 #: Different windows of one hash beyond which they are spread over shards.
-HOT = 500
+HOT = 128
+#: Hashes of at least so many windows among at most so many documents (chosen by a hash of the row's number) are spread before they meet
+#: in one task. The sample decides where windows go, not what is found.
+SAMPLE_TIMES, SAMPLE_DOCS = 32, 20_000
 #: Bytes of windows sorted at once in a shard.
 SORT_BYTES = 2 << 20
 FLUSH = 200_000
 
 #: A string of a spread window in the merge: two hashes, whether its shard found it repeated, and its place.
 STRING = np.dtype([("key", "<u8"), ("more", "<u8"), ("known", "u1"), ("h", "<i8"), ("digest", "<i8"), ("a", "<u2")])
-#: A window on its way to its shard. state: 0 one window, 1 one that stands for several equal ones, 2 one of those, which is decided.
-ENTRY = np.dtype([("h", "<u8"), ("digest", "<u8"), ("rid", "<i8"), ("lo", "<u4"), ("n", "u1"), ("state", "u1")])
+#: A window on its way to its shard. state: 0 one window, 1 one that stands for several equal ones, 2 one of those, which has what the first has.
+ENTRY = np.dtype([("h", "<u8"), ("digest", "<u8"), ("rid", "<i8"), ("lo", "<u4"), ("n", "u1"), ("state", "u1"), ("hot", "u1")])
 
 
 def fingerprints(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,6 +183,36 @@ def _intervals(h: np.ndarray, digest: np.ndarray, base: np.ndarray, at: np.ndarr
     return [pa.array(h[w]), pa.array(digest[w]), pa.array(at[start] - base[w]), pa.array(at[end] - base[w])]
 
 
+def merged(lists: list[np.ndarray]) -> np.ndarray:
+    """The strings of several sorted shards that two shards have, as far as their own shard doesn't know them as repeated.
+
+    Two lists at a time: each string of the shorter one is looked for in the longer by binary search; those found are
+    repeated in both, the others are put in at their places. So n strings of k shards take log k rounds.
+    """
+    out: list[np.ndarray] = []
+    # bytes that sort like the two hashes, one after the other; the last byte keeps numpy from cutting zeros off
+    todo = [(_sortable(x), x.copy()) for x in lists]
+    while len(todo) > 1:
+        todo.sort(key=lambda t: len(t[1]))
+        (few, x), (many, y) = todo[0], todo[1]
+        at = np.searchsorted(many, few)
+        same = at < len(many)
+        same[same] = many[at[same]] == few[same]
+        other = at[same]
+        out += [x[same][x["known"][same] == 0], y[other][y["known"][other] == 0]]
+        y["known"][other] = 1
+        fresh = ~same
+        todo[:2] = [(np.insert(many, at[fresh], few[fresh]), np.insert(y, at[fresh], x[fresh]))]
+    return np.concatenate([np.zeros(0, STRING), *out])
+
+
+def _sortable(e: np.ndarray) -> np.ndarray:
+    raw = np.full((len(e), 17), 1, np.uint8)
+    for i, c in enumerate(("key", "more")):
+        raw[:, 8 * i : 8 * i + 8] = np.ascontiguousarray(e[c]).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return raw.view("S17").ravel()
+
+
 _SECOND = np.random.Generator(np.random.PCG64(7)).permutation(256).astype(np.uint8)
 
 
@@ -188,24 +220,35 @@ def spans(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with one more column, whose name comes second: the removed byte ranges (start, end) of each row, null where there are none."""
     spark = docs.sparkSession
     small_batches(spark)
-    nb = buckets(spark)
-    ranges = max(1, nb // 8)
     key, name = free_name(docs, "_rid"), free_name(docs, "_spans")
-    rows = with_row_id(docs, key)
+    rows = keyed(docs, "documents", key)
+    nb = buckets(rows)
+    ranges = max(1, nb // 8)
     texts = rows.select(F.col(key).alias("_rid"), F.col("text").cast("string").alias("text"))
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in B.pieces(batch.column("text")):
+                h, digest, _, _, _ = fingerprints(data, at)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digest.view(np.int64))], ["h", "digest"])
+
+    often = bounded_sample(texts, SAMPLE_DOCS, "_rid").mapInArrow(hashes, "h long, digest long").distinct().groupBy("h").count().where(F.col("count") >= SAMPLE_TIMES).select("h").collect()
+    spread = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64)))
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flushed() -> pa.RecordBatch:
             e = np.concatenate(held)
             held.clear()
-            # equal windows are repeats all over; one of them goes on to its hash's shard, the others are spread by document
+            # one of several equal windows goes on to its shard, the others are spread by document
             pair = B.mix(e["h"] ^ (e["digest"] * np.uint64(0x9E3779B97F4A7C15)))
             _, first, back, times = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
             e["state"] = np.where(times[back] > 1, 2, 0)
             e["state"][first[times > 1]] = 1
-            b = (np.where(e["state"] == 2, B.mix(e["rid"].view(np.uint64) if e["rid"].flags.contiguous else np.ascontiguousarray(e["rid"]).view(np.uint64)), e["h"]) % np.uint64(nb)).astype(np.int32)
+            e["hot"] = np.isin(e["h"], spread.value)
+            rid = np.ascontiguousarray(e["rid"]).view(np.uint64)
+            b = (np.where(e["state"] == 2, B.mix(rid), np.where(e["hot"] == 1, e["digest"], e["h"])) % np.uint64(nb)).astype(np.int32)
             order = np.argsort(b, kind="stable")
             e, b = e[order], b[order]
             cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
@@ -217,7 +260,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, str]:
                 h, digest, doc, lo, n = fingerprints(data, at)
                 if len(h):
                     e = np.empty(len(h), ENTRY)
-                    e["h"], e["digest"], e["rid"], e["lo"], e["n"], e["state"] = h, digest, rid[i + doc], lo, n, 0
+                    e["h"], e["digest"], e["rid"], e["lo"], e["n"], e["state"], e["hot"] = h, digest, rid[i + doc], lo, n, 0, 0
                     held.append(e)
                 if sum(map(len, held)) >= FLUSH:
                     yield flushed()
@@ -226,10 +269,11 @@ def spans(docs: DataFrame) -> tuple[DataFrame, str]:
 
     def members(group: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(group.column("blob").to_pylist()), ENTRY)
-        decided, e = e[e["state"] == 2], e[e["state"] < 2]
-        own, back = np.unique(e["h"], return_inverse=True)
+        more, e = e[e["state"] == 2], e[e["state"] < 2]
+        _, back = np.unique(e["h"], return_inverse=True)
         n = np.bincount(back, weights=1 + e["state"]) if len(e) else np.zeros(0)
-        e = e[n[back] > 1]
+        # windows of a spread hash may have others elsewhere
+        e = e[(n[back] > 1) | (e["hot"] == 1)]
         e = e[np.lexsort((e["lo"], e["rid"], e["digest"], e["h"]))]
         new_h = np.ones(len(e), bool)
         new_h[1:] = e["h"][1:] != e["h"][:-1]
@@ -238,21 +282,18 @@ def spans(docs: DataFrame) -> tuple[DataFrame, str]:
         which, kind = np.cumsum(new_h) - 1, np.cumsum(rep) - 1
         variants = np.bincount(which[rep], minlength=which[-1] + 1 if len(which) else 0)[which] if len(e) else np.zeros(0, np.int64)
         number = np.bincount(kind, weights=1 + e["state"])[kind] if len(e) else np.zeros(0, np.int64)
-        alone, hot = variants == 1, variants > HOT
-        if len(decided):
-            e = np.concatenate([e, decided])
-            fill = lambda x, v: np.concatenate([x, np.full(len(decided), v, x.dtype)])
-            rep, number, alone, hot = fill(rep, False), fill(number, 2), fill(alone, True), fill(hot, False)
-        as_long = lambda x: pa.array(x.astype(np.int64))
-        return pa.table(
-            [pa.array(e["rid"].astype(np.int64)), pa.array(e["h"].view(np.int64) if e["h"].flags.contiguous else np.ascontiguousarray(e["h"]).view(np.int64)), pa.array(np.ascontiguousarray(e["digest"]).view(np.int64)), as_long(e["lo"]), as_long(e["n"]), pa.array(alone), pa.array(rep), as_long(np.minimum(number, 2)), pa.array(hot)],
-            ["_rid", "h", "digest", "lo", "n", "alone", "rep", "number", "hot"],
-        )
-
-    found = materialize(texts.mapInArrow(find, "b int, blob binary").groupBy("b").applyInArrow(members, "_rid long, h long, digest long, lo long, n long, alone boolean, rep boolean, number long, hot boolean"), "windows")
+        hot = (variants > HOT) | (e["hot"] == 1)
+        if len(more):
+            e = np.concatenate([e, more])
+            fill = lambda x, v: np.concatenate([x, np.full(len(more), v, x.dtype)])
+            rep, number, hot = fill(rep, False), fill(number, 2), fill(hot, False)
+        as_long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+        return pa.table([*(as_long(e[c]) for c in ("rid", "h", "digest", "lo", "n")), pa.array(rep), as_long(np.minimum(number, 2)), pa.array(hot)], ["_rid", "h", "digest", "lo", "n", "rep", "number", "hot"])
+
+    found = materialize(texts.mapInArrow(find, "b int, blob binary").groupBy("b").applyInArrow(members, "_rid long, h long, digest long, lo long, n long, rep boolean, number long, hot boolean"), "windows")
 
     # one of each kind of window is fetched from its document
-    wanted = found.where("rep and not alone").groupBy("_rid").agg(F.collect_list(F.struct("h", "digest", "lo", "n", "number", "hot")).alias("want"))
+    wanted = found.where("rep").groupBy("_rid").agg(F.collect_list(F.struct("h", "digest", "lo", "n", "number", "hot")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,25 +353,14 @@ def spans(docs: DataFrame) -> tuple[DataFrame, str]:
     sorted_shards = materialize(fetched.groupBy("shard", "hot").applyInArrow(sort_shard, schema), "suffixes")
 
     def merge(group: pa.Table) -> pa.Table:
-        """The sorted strings of several shards in one range of hashes: what a binary search finds in two shards, or
-        where one shard knows it as repeated, is repeated. Shards have marked what they know themselves."""
-        lists = [np.frombuffer(x, STRING) for x in group.column("strings").to_pylist()]
-        every = np.concatenate(lists)
-        order = np.lexsort((every["more"], every["key"]))
-        every = every[order]
-        fresh = np.ones(len(every), bool)
-        fresh[1:] = (every["key"][1:] != every["key"][:-1]) | (every["more"][1:] != every["more"][:-1])
-        code = np.cumsum(fresh)
-        low, high = np.searchsorted(code, code, "left"), np.searchsorted(code, code, "right")
-        hit = every[(high - low > 1) & (every["known"] == 0)]
+        hit = merged([np.frombuffer(x, STRING) for x in group.column("strings").to_pylist()])
         columns = [pa.array(np.ascontiguousarray(hit[c]).astype(np.int64)) for c in ("h", "digest", "a", "a")]
         return pa.table(columns, ["h", "digest", "a", "z"])
 
     across = sorted_shards.where("strings is not null").select("range", "strings").groupBy("range").applyInArrow(merge, "h long, digest long, a long, z long")
     runs = sorted_shards.where("strings is null").select("h", "digest", "a", "z").union(across)
-    other = found.where("not alone").select("_rid", "h", "digest", "lo").join(runs, ["h", "digest"]).select("_rid", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("z") + LENGTH).alias("end"))
-    whole = found.where("alone").select("_rid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("end"))
-    cut = whole.union(other).groupBy("_rid").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    ranges_of = found.select("_rid", "h", "digest", "lo").join(runs.hint("merge"), ["h", "digest"]).select("_rid", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("z") + LENGTH).alias("end"))
+    cut = ranges_of.groupBy("_rid").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     cut = cut.select(F.col("_rid").alias(key), F.col("_spans").alias(name))
     return rows.join(cut.hint("shuffle_hash"), key, "left").select(*docs.columns, name), name
 
@@ -356,8 +386,8 @@ def removal_digest(docs: DataFrame) -> DataFrame:
 
     A byte is removed if a string of LENGTH bytes that covers it also starts anywhere else, in
     the same document or another; strings are judged on the input. A null or empty text has no
-    bytes. Repeated rows are documents of their own, so their long strings repeat; a null doc_id is
-    kept. Columns besides doc_id and text play no part. An empty table gives an empty result.
+    bytes; a very long one is a piece of its own and treated as a whole. Repeated rows are documents of
+    their own, so their long strings repeat, and nothing is the first or the one to keep (no ties); a null doc_id is kept. Columns besides doc_id and text play no part. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
