@@ -34,6 +34,31 @@ def test_search_odd(spark):
     assert search.top_products(df.limit(0)).count() == 0
 
 
+def test_search_large_components(spark):
+    """Products beyond doubles and longs are ranked exactly; scores stop at the ends of a long."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 9)).tolist()) for i in range(50)] + [(60, [1e8, 2.0, 0.0]), (61, [1e8, 2.0, 1 / 64]), (62, [3e38, 1.0, -1.0]), (80, [-3e38, 1.0, 1.0]), (81, [3e38, 1.0, 2.0]), (82, [1e300, 0.0, 0.0]), (100, [0.0, 0.0, 0.0]), (101, [1.7e308, 1.0, 1.0])]
+    clipped = lambda n: max(-(1 << 63), min((1 << 63) - 1, n))
+    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if np.isfinite(64 * np.array(v)).all()]
+    want = []
+    for a, (qi, q) in enumerate(good):
+        if qi % 20 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(q, v)), vi) for b, (vi, v) in enumerate(good) if b != a)[:20]
+            want += [(qi, n + 1, vi, clipped(-s)) for n, (s, vi) in enumerate(scores)]
+    got = search.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_search_stops_at_far_annuli(spark, monkeypatch):
+    """Vectors in tight groups: most annuli can't hold a better product, and what is left out changes nothing."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(40, 8)) * 20
+    rows = [(i, (centre[i % 40] + rng.normal(size=8)).tolist()) for i in range(800)]
+    monkeypatch.setattr(search, "BLOCK", 64)
+    got = search.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5)
+    assert sorted(map(tuple, got.collect())) == force(rows, 5)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, 5), (1, 2), (2, 1), (2, 3), (200, 140), (7, 8)] + [(300, i) for i in range(301, 360)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
