@@ -3,8 +3,9 @@
 A shard is a block of bytes: a header (magic, bytes per id, end id, number of documents, SHA-256
 of the dictionary), an index entry for each document (doc_id, whether it is set, offset and
 length of its frame, number of ids) and the frames. One document is read by its index entry and
-its own frame. Shards are rows of a Parquet table with their doc_id range, so that a reader
-skips those without the wanted documents; the dictionary is a row of a second table.
+its own frame. A written corpus is a folder of three Parquet tables: shards, with their doc_id ranges; dictionary,
+one row with its bytes, their SHA-256 and the end id; and index, one row for each document with its shard and the place of its frame, in
+doc_id order, so that a reader skips row groups and shards without the wanted documents.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
 from . import tokens
-from .store import bounded_sample, materialize, small_batches, text_of
+from .store import bounded_runs, small_batches, temporary, text_of
 
 MAGIC = b"ATQS"
 HEAD = struct.Struct("<4sBxxxII32s")
@@ -32,18 +33,19 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("is_set", "u1"), ("offset", "<u8"), ("size
 #: A shard is closed when its frames reach this many bytes.
 SHARD_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
-#: The dictionary is trained on at most so many documents (chosen by a hash of doc_id) of at most so many characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8192
+#: The dictionary is trained on at most so many runs of so many characters (chosen by a hash of doc_id and place), long texts having as many more.
+SAMPLE_RUNS, SAMPLE_CHARS = 1500, 8192
 LEVEL = 3
 
 
 @dataclass
 class TokenShards:
-    """A written corpus: the shard table, the dictionary, and how to read it."""
+    """A written corpus: its folder, the shard table, the dictionary, and how to read it."""
 
     table: DataFrame
     dictionary: bytes
     end_id: int
+    folder: str
 
 
 def serialize(ids: np.ndarray, width: int) -> bytes:
@@ -52,7 +54,7 @@ def serialize(ids: np.ndarray, width: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A zstandard dictionary from serialized id arrays of a bounded sample; empty where there is too little text."""
-    few = bounded_sample(docs.where(F.length("text").between(1, SAMPLE_CHARS)), SAMPLE_DOCS, "doc_id").select("text").collect()
+    few = bounded_runs(docs, SAMPLE_RUNS, SAMPLE_CHARS, "doc_id").collect()
     coder = tokens.encoder(path)
     width = 2 if coder.vocabulary <= 1 << 16 else 4
     samples = []
@@ -95,11 +97,12 @@ def read_document(shard: bytes, dictionary: bytes, doc_id: int) -> list[np.ndarr
     return out
 
 
-def write(docs: DataFrame, path: str | None = None, end_id: int = 0) -> TokenShards:
-    """Encode docs and write them in ascending doc_id order (null first; equal ones by a hash of their text).
+def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 0) -> TokenShards:
+    """Encode docs and write them to folder in ascending doc_id order (null first; equal ones by a hash of their text).
 
-    A null text counts as empty: its document has the end id alone. Repeated rows are documents
-    of their own. Columns besides doc_id and text play no part. An empty table gives no shards.
+    folder must be new; where it isn't given, a folder beside the other intermediate tables is taken, which goes when Python ends. path is the tokenizer's.
+    A null or empty text has the end id alone; a very long one is one frame. Repeated rows are documents
+    of their own, next to each other; rows with equal doc_ids are ordered by their texts' hashes. Columns besides doc_id and text play no part. An empty table gives no shards.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -145,7 +148,61 @@ def write(docs: DataFrame, path: str | None = None, end_id: int = 0) -> TokenSha
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     table = ordered.mapInArrow(run, "part int, shard int, before long, n_tokens long, first_id long, last_id long, payload binary")
-    return TokenShards(materialize(table, "token-shards"), dictionary, end_id)
+    if folder is None:
+        folder = temporary(spark, "token-shards")
+    table.write.parquet(f"{folder}/shards")
+    one = spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest(), end_id)], "bytes binary, sha256 string, end_id long")
+    one.write.parquet(f"{folder}/dictionary")
+    written = reopen(spark, folder)
+    _index(written).write.parquet(f"{folder}/index")
+    return written
+
+
+def reopen(spark: SparkSession, folder: str) -> TokenShards:
+    """A corpus written before, by this session or another."""
+    d = spark.read.parquet(f"{folder}/dictionary").first()
+    dictionary = bytes(d["bytes"])
+    if hashlib.sha256(dictionary).hexdigest() != d["sha256"]:
+        raise ValueError(f"the dictionary in {folder} isn't the one that was written")
+    return TokenShards(spark.read.parquet(f"{folder}/shards"), dictionary, d["end_id"], folder)
+
+
+def _index(shards: TokenShards) -> DataFrame:
+    """doc_id, part, shard, n_tokens, offset (in the shard's bytes) and size of each document's frame."""
+    dictionary = shards.dictionary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, shard, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "payload"))):
+                index, _, base = opened(payload, dictionary)
+                n = len(index)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(index["doc_id"].astype(np.int64), pa.int64(), mask=index["is_set"] == 0), pa.array([part] * n, pa.int32()), pa.array([shard] * n, pa.int32()), *(pa.array(x.astype(np.int64)) for x in (index["n_tokens"], index["offset"] + np.uint64(base), index["size"]))],
+                    ["doc_id", "part", "shard", "n_tokens", "offset", "size"],
+                )
+
+    return shards.table.select("part", "shard", "payload").mapInArrow(run, "doc_id long, part int, shard int, n_tokens long, offset long, size long")
+
+
+def look_up(shards: TokenShards, doc_ids: DataFrame) -> DataFrame:
+    """doc_id, ids of the documents with the doc_ids of a table (column doc_id): each found by the index, its frame decompressed alone.
+
+    Null doc_ids find nothing; a doc_id asked for twice is answered once, one of several documents with each of them.
+    """
+    spark = shards.table.sparkSession
+    wanted = spark.read.parquet(f"{shards.folder}/index").join(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    by_shard = wanted.groupBy("part", "shard").agg(F.collect_list(F.struct("doc_id", "n_tokens", "offset", "size")).alias("want"))
+    dictionary = shards.dictionary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(zstandard.ZstdDecompressor, dictionary)
+        for batch in batches:
+            for payload, want in zip(batch.column("payload").to_pylist(), batch.column("want").to_pylist()):
+                width = opened(payload, dictionary)[1]
+                ids = [np.frombuffer(coder.decompress(payload[w["offset"] : w["offset"] + w["size"]], max_output_size=w["n_tokens"] * width), "<u2" if width == 2 else "<u4").astype(np.int64) for w in want]
+                yield pa.RecordBatch.from_arrays([pa.array([w["doc_id"] for w in want], pa.int64()), pa.array([x.tolist() for x in ids], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return shards.table.join(by_shard, ["part", "shard"]).select("payload", "want").mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def documents(shards: TokenShards) -> DataFrame:

@@ -33,12 +33,18 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def temporary(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, deleted when the Python process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/atlasq-{label}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/atlasq-{label}-{uuid.uuid4().hex}"
+    path = temporary(spark, label)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,6 +85,18 @@ def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     return df.where(F.xxhash64(*keys) < F.lit(cut)).limit(most)
 
 
+def bounded_runs(texts: DataFrame, most: int, chars: int, *keys: str) -> DataFrame:
+    """text: at most so many runs of so many characters of all texts, which are cut at equal distances, so that a long text has as many more.
+
+    Runs are chosen by a hash of keys and their place, alike on every run and spread over the whole table.
+    """
+    runs = texts.where("length(text) > 0").withColumn("_run", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length(text) - 1) div {chars} as int)"))))
+    n = texts.agg(F.sum(F.expr(f"(length(text) + {chars} - 1) div {chars}"))).first()[0] or 0
+    if n > most:
+        runs = runs.where(F.xxhash64(*keys, "_run") < F.lit(int(0.85 * most / n * (1 << 64)) - (1 << 63)))
+    return runs.select(F.substring(F.col("text"), F.col("_run") * chars + 1, F.lit(chars)).alias("text")).limit(most)
+
+
 #: Bytes of a table's files for each of its buckets.
 BUCKET_BYTES = 16 << 20
 
