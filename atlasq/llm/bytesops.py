@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 #: Bytes of text worked on at once; a longer document is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -17,12 +21,27 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _LANES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+_limited: list[bool] = []
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def one_thread() -> None:
+    """Keep numpy's matrix products in this task to one thread: tasks fill an executor's cores already, and more threads only wait for each other."""
+    if TaskContext.get() is None or _limited:
+        return
+    _limited.append(True)
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The multiplier's powers 0 .. n and those of its inverse, modulo 2**64."""
     if len(_powers[0]) <= n:

@@ -370,6 +370,7 @@ def _joined(sets: DataFrame, nb: int) -> DataFrame:
     """(sid, cluster) of small regions (sid, region, set): each region in one task, cluster being the smallest sid reached in it."""
 
     def run(group: pa.Table) -> pa.Table:
+        B.one_thread()
         sid, region, raw = (group.column(c).to_pylist() for c in ("sid", "region", "set"))
         content = [np.frombuffer(x, np.uint64) for x in raw]
         links = Union(len(sid))

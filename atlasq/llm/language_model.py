@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import bounded_sample, buckets, materialize, small_batches, text_of, with_row_id
+from .store import bounded_runs, buckets, materialize, small_batches, text_of, with_row_id
 
 FOLDS, HELD_OUT = 7, 2
 #: Words that are units of their own, and classes of the others.
 OWN, CLASSES = 128, 64
 UNITS = OWN + CLASSES
 CONTEXT, WIDTH = 3, 16
-#: The start model is trained on at most so many documents and characters; all documents follow.
-START_DOCS, START_CHARS = 400, 4000
+#: The start model is trained on at most so many runs of so many characters of the training texts; all documents follow.
+START_RUNS, START_CHARS = 400, 4000
 NOISE, BATCH, RATE = 48, 2048, 0.05
 #: Training tokens from which a word of a class has embeddings, most such words, noise words of its class a token.
 LEARNT, WORDS, CLASS_NOISE = 20, 32_768, 4
@@ -84,7 +84,8 @@ def _ascend(x: np.ndarray, seen: np.ndarray, at: np.ndarray, g: np.ndarray) -> N
     at, g = at[at < len(x) - 1], g[at < len(x) - 1]
     if not len(at):
         return
-    order = np.argsort(at, kind="stable")
+    # two bytes hold the places of WORDS rows, which numpy sorts by digits
+    order = np.argsort(at.astype(np.uint16) if len(x) <= 1 << 16 else at, kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(at[order]) > 0))
     g = np.add.reduceat(g[order], first, axis=0)
     at = at[order][first]
@@ -92,6 +93,16 @@ def _ascend(x: np.ndarray, seen: np.ndarray, at: np.ndarray, g: np.ndarray) -> N
     x[at] += RATE * g / np.sqrt(seen[at])
 
 
+def _sums(at: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
+    """The rows of g added up by their places."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out = np.zeros((rows, *g.shape[1:]), np.float32)
+    out[at[first]] = np.add.reduceat(g[order], first, axis=0)
+    return out
+
+
 class Model:
     """Context tables (CONTEXT, UNITS + 1, WIDTH; the last unit stands before a document), targets and biases.
 
@@ -132,26 +143,31 @@ class Model:
         for k in np.unique(unit[order]) - OWN:
             a, b = np.searchsorted(unit[order], [k + OWN, k + OWN + 1])
             low, high = classes.edges[k], classes.edges[k + 1]
-            step = max(64, (1 << 21) // max(1, high - low))
+            # scores of a step stay in a core's cache
+            step = max(64, (1 << 17) // max(1, high - low))
+            words, weight = np.ascontiguousarray(self.inner[low:high].T), classes.weight[low:high].astype(np.float32)
             for i in range(a, b, step):
                 t = order[i : min(b, i + step)]
                 r = self.predicted(context[:, t], before[:, t])
-                total = np.exp(np.clip(r @ self.inner[low:high].T, -30, 30)) @ classes.weight[low:high].astype(np.float32) + classes.rest[k]
+                score = r @ words
+                np.clip(score, -30, 30, out=score)
+                np.exp(score, out=score)
+                total = score @ weight + classes.rest[k]
                 out[t] = np.clip(np.einsum("ij,ij->i", r, self.inner[word[t]]), -30, 30) - np.log(total)
         return out
 
     def log_probabilities(self, unit: np.ndarray, context: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """Natural logarithms of the units' normalised probabilities."""
         out = np.empty(len(unit))
-        for i in range(0, len(unit), 8192):
-            u = unit[i : i + 8192]
-            score = self.predicted(context[:, i : i + 8192], None if before is None else before[:, i : i + 8192]) @ self.targets.T
+        for i in range(0, len(unit), 1024):
+            u = unit[i : i + 1024]
+            score = self.predicted(context[:, i : i + 1024], None if before is None else before[:, i : i + 1024]) @ self.targets.T
             score += self.bias
             own = score[np.arange(len(u)), u]
             top = score.max(1)
             score -= top[:, None]
             np.exp(score, out=score)
-            out[i : i + 8192] = own - top - np.log(score.sum(1))
+            out[i : i + 1024] = own - top - np.log(score.sum(1))
         return out
 
 
@@ -188,17 +204,10 @@ class Trainer:
             _ascend(m.inner, self.seen_words[1], np.concatenate([word[inside], other.ravel()]), (g / n).astype(np.float32))
         for i in range(CONTEXT):
             _ascend(m.near[i], self.seen_words[0][i], before[i], (back / n).astype(np.float32))
-        hot = np.zeros((UNITS, n), np.float32)
-        hot[unit, np.arange(n)] = real
-        targets, bias = hot @ r, hot.sum(1)
+        targets, bias = _sums(unit, real[:, None] * r, UNITS), np.bincount(unit, weights=real, minlength=UNITS).astype(np.float32)
         np.add.at(targets, drawn, -(fake.T @ r))
         np.add.at(bias, drawn, -fake.sum(0))
-        tables = np.empty_like(m.tables)
-        spot = np.zeros((UNITS + 1, n), np.float32)
-        for i in range(CONTEXT):
-            spot[context[i], np.arange(n)] = 1
-            tables[i] = spot @ back
-            spot[context[i], np.arange(n)] = 0
+        tables = np.stack([_sums(context[i], back, UNITS + 1) for i in range(CONTEXT)])
         for x, g, seen in zip((m.tables, m.targets, m.bias), (tables, targets, bias), self.seen):
             g /= n
             seen += g * g
@@ -258,7 +267,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     nb = buckets(docs)
     rows = with_row_id(text_of(docs)).withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False)))
-    train = rows.where("not held_out").select("_rid", "text")
+    train = rows.where("not held_out").select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -314,7 +323,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         return np.where(own >= 0, own, OWN + s.astype(np.int64)), np.where(at >= 0, c[at], -1) if len(keys) else np.full(len(h), -1), own >= 0, np.where(at >= 0, word[at], n_learnt) if len(keys) else np.full(len(h), n_learnt)
 
     start = Model.start(share, n_learnt)
-    few = bounded_sample(train.where(F.length("text").between(1, START_CHARS)), START_DOCS, "_rid").select("text").collect()
+    few = bounded_runs(train, START_RUNS, START_CHARS, "doc_id").collect()
     if few:
         trainer = Trainer(start, share, 1, classes)
         for _ in range(4):
@@ -325,6 +334,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     first = spark.sparkContext.broadcast(start.flat())
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.one_thread()
         trainer = Trainer(Model.of(first.value), share, 2, classes)
         for batch in batches:
             for _, _, data, at in B.pieces(batch.column("text")):
@@ -354,6 +364,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_rid", "doc_id", "held_out", "n_tokens", "known", "logs", "own_logs", "lm", "b", "blob"]
+        B.one_thread()
         m = Model.of(model.value)
         waiting: list[np.ndarray] = []
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bytesops as B
 from .store import materialize, small_batches, with_row_id
 
 #: The notice of the GNU licences: what it is, the licence's first name, its version.
@@ -212,6 +213,7 @@ def detected(docs: DataFrame, file: Column | None = None) -> DataFrame:
         df[r["i"]] = r["n"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.one_thread()
         templates = Templates(df)
         for batch in batches:
             best = [templates.best(x.split(" "), w) for w, x in zip(batch.column("whole").to_pylist(), batch.column("part").to_pylist())]

@@ -152,6 +152,7 @@ def top_products(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: i
     edges = np.stack([np.quantile(own[near == j], np.arange(1, RINGS) / RINGS) if (near == j).any() else np.zeros(RINGS - 1) for j in range(len(pivots))])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.one_thread()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -184,6 +185,7 @@ def top_products(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: i
     def wave(first: int, last: int):
         def run(queries: pa.Table) -> pa.Table:
             """From the queries of a chunk and their floors to the blocks of the annuli first .. last of each one's order that may hold better ones."""
+            B.one_thread()
             q = matrix(queries.column("comps").to_pylist(), dim)
             q_ids = np.stack([queries.column("q").to_numpy(), queries.column("vec_id").to_numpy()], 1).astype("<i8")
             floor = queries.column("floor").to_numpy()
@@ -206,6 +208,7 @@ def top_products(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: i
         return run
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.one_thread()
         for batch in batches:
             for row in batch.to_pylist():
                 ids, q_ids = np.frombuffer(row["ids"], "<i8").reshape(-1, 2), np.frombuffer(row["q_ids"], "<i8").reshape(-1, 2)
