@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from atlasq.llm import bytesops, jaccard, language_model, licenses, mixing, packing, resampling, rules, shards, suffixes, tokens
+from atlasq.llm import bytesops, jaccard, language_model, licenses, mixing, packing, resampling, rules, shards, store, suffixes, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -64,6 +64,22 @@ def test_repeats_odd_input(odd, none):
     assert cut.columns == odd.columns and {r.doc_id for r in cut.collect()} == {3, 4, None, 8, 9} - {3} - {8, 9} | {r.doc_id for r in cut.where("doc_id in (8, 9)").collect()}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 1), st.integers(0, 1)), max_size=12), max_size=6))
+def test_shards_are_merged(shards_):
+    """What two sorted shards have is found for all of them that don't know it; what one shard has is not."""
+    lists = []
+    for k, entries in enumerate(shards_):
+        keys = sorted({(key % 8 << 61 | key, more) for key, more, _ in entries})
+        x = np.zeros(len(keys), suffixes.STRING)
+        for i, (key, more) in enumerate(keys):
+            x[i] = (key, more, (key + k) % 2, k, 0, i)
+        lists.append(x)
+    every = [(int(x["key"]), int(x["more"])) for own in lists for x in own]
+    want = sorted((int(x["h"]), int(x["a"])) for own in lists for x in own if every.count((int(x["key"]), int(x["more"]))) > 1 and not x["known"])
+    assert sorted((int(x["h"]), int(x["a"])) for x in suffixes.merged(lists)) == want
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(min_size=0, max_size=60).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=6))
 def test_suffix_array_and_prefixes(parts):
@@ -117,6 +133,79 @@ def test_rules_hold_labelled_documents(spark):
     assert wrong <= 0.02 * got.count()
 
 
+def test_posteriors_by_force(documents):
+    """Expectation-maximisation over documents one by one, from votes worked out again."""
+    rows = rules.judged(documents).collect()
+
+    def vote(bad, good):
+        return 1 if bad else 2 if good else 0
+
+    def votes(r):
+        w, c, n, d, t, lines = r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_lines
+        return [
+            vote(n * 100 > w * 10, n * 100 <= w * 2), vote(r.n_symbol_words * 100 > w * 20, r.n_symbol_words * 100 <= w * 5), vote(n * 100 > c * 5, n * 100 <= c),
+            vote(c > w * 14 or c * 2 < w * 5, c * 2 >= w * 6 and c <= w * 11), vote(d * 100 > lines * 50, d * 100 <= lines * 10 and lines >= 3), vote(t * 100 > w * 45, t * 100 <= w * 10),
+            vote(r.n_upper * 100 > r.n_letters * 50, r.n_upper * 100 <= r.n_letters * 20), vote(r.n_shouts * 100 > w * 15, r.n_shouts * 100 <= w * 2), vote(r.n_stops * 120 < w, r.n_stops * 40 >= w and r.n_stops * 2 <= w), vote(r.n_distinct * 100 < w * 10, r.n_distinct * 100 >= w * 35),
+        ]
+
+    v = [votes(r) for r in rows]
+    share, good, bad = 0.8, [0.97] * 10, [0.3] * 10
+
+    def p_good(own):
+        a, b = math.log(share), math.log(1 - share)
+        for x, g, z in zip(own, good, bad):
+            a += math.log(g) if x == 2 else math.log(1 - g) if x == 1 else 0
+            b += math.log(1 - z) if x == 2 else math.log(z) if x == 1 else 0
+        return 1 / (1 + math.exp(min(50, max(-50, b - a))))
+
+    for _ in range(200):
+        p = [p_good(own) for own in v]
+        n = sum(p)
+        told = lambda k, kind, w: sum(q for q, own in zip(w, v) if own[k] in kind)
+        q = [1 - x for x in p]
+        new_good = [min(0.9995, max(0.6, (told(k, (2,), p) + 0.97 * 2) / (told(k, (1, 2), p) + 2))) for k in range(10)]
+        new_bad = [min(0.9995, max(0.05, (told(k, (1,), q) + 0.3 * 2) / (told(k, (1, 2), q) + 2))) for k in range(10)]
+        new = (n + 8) / (len(v) + 10)
+        step = max(abs(new - share), *(abs(x - y) for x, y in zip(new_good + new_bad, good + bad)))
+        share, good, bad = new, new_good, new_bad
+        if step < 1e-9:
+            break
+    for r, own in zip(rows, v):
+        assert r.posterior == pytest.approx(p_good(own), abs=1e-6)
+        assert r.kept == (not r.base_failed and r.posterior >= 0.5)
+
+
+# --- row keys
+
+
+@pytest.mark.parametrize("name", ["removal_digest", "without_repeats", "component_ids", "one_of_each", "keep_good", "licenses", "resample", "scores"])
+def test_rows_stay_the_same_when_cores_change(spark, documents, monkeypatch, name):
+    """Another number of cores between two jobs cuts scans otherwise; no job may rely on another one's row numbers."""
+    run = {
+        "removal_digest": suffixes.removal_digest, "without_repeats": suffixes.without_repeats, "component_ids": jaccard.component_ids, "one_of_each": jaccard.one_of_each, "keep_good": rules.keep_good,
+        "licenses": lambda d: licenses.licenses(d.select("doc_id", F.concat_ws("/", "source", "doc_id").alias("path"), "text")),
+        "resample": lambda d: resampling.resample(d, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")),
+        "scores": lambda d: language_model.score_documents(d).select("doc_id", "n_tokens", "n_known", F.round("base_score", 6)),
+    }[name]
+    rows = lambda df: sorted(map(str, df.collect()))
+    key = "spark.sql.leafNodeDefaultParallelism"
+    want = rows(run(documents))
+    plain, calls = store.temporary, []
+
+    def changing(session, label):
+        calls.append(label)
+        session.conf.set(key, 2 + 5 * (len(calls) % 2))
+        return plain(session, label)
+
+    monkeypatch.setattr(store, "temporary", changing)
+    spark.conf.set(key, 3)
+    try:
+        assert documents.rdd.getNumPartitions() > 1
+        assert rows(run(documents)) == want and calls
+    finally:
+        spark.conf.unset(key)
+
+
 # --- tokens, shards, packing
 
 
@@ -153,6 +242,8 @@ def test_shards_round_trip(documents, plain, tokenizer, odd, none):
     for r in shards.documents(written).orderBy("doc_id").collect():
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids[r.doc_id]), zlib.crc32(np.array(ids[r.doc_id], "<u4").tobytes()))
         start += r.n_tokens
+    found = {r.doc_id: r.ids for r in shards.look_up(written, documents.select("doc_id").where("doc_id in (7, 8, 150)")).collect()}
+    assert found == {d: ids[d] for d in (7, 8, 150)}
     row = written.table.where("first_id <= 7 and last_id >= 7").first()
     assert shards.read_document(bytes(row.payload), written.dictionary, 7)[0].tolist() == ids[7]
     with pytest.raises(ValueError):
@@ -162,6 +253,27 @@ def test_shards_round_trip(documents, plain, tokenizer, odd, none):
     assert len(rows) == 11 and sorted(r.n_tokens for r in rows)[:3] == [1, 1, 1] and max(r.start + r.n_tokens for r in rows) == sum(r.n_tokens for r in rows)
 
 
+def test_written_shards_are_reopened(spark, make, tokenizer, tmp_path):
+    """A corpus in a folder of its own is read by another session; a long text takes part in the dictionary's sample."""
+    texts = ["a b c", "", None, "word " * 9000, "é" * 20]
+    ids = [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    folder = f"file://{tmp_path}/corpus"
+    shards.write(make([*texts, "a b c"], [10, 11, 12, 13, 14, 10]), folder)
+    other = spark.newSession()
+    again = shards.reopen(other, folder)
+    asked = other.createDataFrame([(10,), (13,), (12,), (99,), (None,)], "doc_id long")
+    assert sorted((r.doc_id, r.ids) for r in shards.look_up(again, asked).collect()) == sorted([(10, ids[0]), (10, ids[0]), (12, ids[2]), (13, ids[3])])
+    assert [r.n_tokens for r in shards.documents(again).orderBy("doc_id").collect()] == [len(ids[i]) for i in (0, 0, 1, 2, 3, 4)]
+    index = other.read.parquet(f"{folder}/index")
+    assert index.count() == 6 and {"doc_id", "part", "shard", "offset", "size"} <= set(index.columns)
+
+
+def test_runs_cover_long_texts(make):
+    runs = [r.text for r in store.bounded_runs(make(["abcdefg", "", None, "xy"]), 10, 3, "doc_id").collect()]
+    assert sorted(runs) == ["abc", "def", "g", "xy"]
+    assert 0 < store.bounded_runs(make(["z" * 30_000]), 50, 3, "doc_id").count() <= 50
+
+
 def check_pieces(rows, ids):
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -299,6 +411,67 @@ def test_region_join(seed, n, edits):
     assert [links.find(i) for i in range(len(sets))] == [c for _, _, c in want]
 
 
+def pairs_within(spark, texts, monkeypatch):
+    """The components of texts, and how many sets were sent to be compared."""
+    sent = []
+    plain = store.materialize
+
+    def counting(df, label):
+        out = plain(df, label)
+        if label == "region-sets":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counting)
+    rows = jaccard.component_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows), sum(sent)
+
+
+def test_form_letters_are_not_compared(spark, monkeypatch):
+    """Texts that share 70 in 100 of their shingles: the place of the first shared one tells that none can be linked."""
+    rng = np.random.default_rng(2)
+    texts = []
+    for k in range(300):
+        w = [f"t{i}" for i in range(380)]
+        for p in rng.choice(380, 20, replace=False):
+            w[p] = f"o{k}x{p}"
+        texts.append(" ".join(w))
+    got, sent = pairs_within(spark, texts, monkeypatch)
+    assert sent < 30 and got == components_by_force(texts, list(range(300)))
+
+
+def test_large_regions_are_cut(spark, monkeypatch):
+    """Families that hang together by some shared passages only: their region is cut along cells, round by round."""
+    monkeypatch.setattr(jaccard, "REGION", 12)
+    monkeypatch.setattr(jaccard, "PER_PIVOT", 6)
+    cut = []
+    plain = store.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, label: (cut.append(label), plain(df, label))[1])
+    shared = " ".join(f"s{i}" for i in range(90))
+    texts = [f"{shared} {t}" for seed in range(8) for t in family(9, 24, seed, 4)] + family(40, 120, 50, 8)
+    rows = jaccard.component_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == components_by_force(texts, list(range(len(texts))))
+    assert any(x.startswith("placed") for x in cut)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9), st.integers(1, 12), st.integers(0, 30)), max_size=25))
+def test_ties_connect_all_partners(rows):
+    own = {}
+    e = np.zeros(len(rows), jaccard.ENTRY)
+    for i, (h, sid, n, most) in enumerate(rows):
+        n = own.setdefault(sid, n)
+        e[i] = (h, bytes([sid + 1]) * 12, n, most)
+    links = jaccard.Union(256)
+    for a, b in zip(*jaccard.ties(e)):
+        links.join(a[0], b[0])
+    for x in e:
+        for y in e:
+            n, m = int(x["n"]), int(y["n"])
+            if x["h"] == y["h"] and m <= x["most"] and n <= y["most"] and 100 * min(n, m) >= jaccard.PERCENT * max(n, m):
+                assert links.find(bytes(x["sid"])[0]) == links.find(bytes(y["sid"])[0])
+
+
 def test_jaccard_odd(odd, none):
     rows = jaccard.component_ids(odd).collect()
     by = collections.defaultdict(list)
@@ -378,6 +551,42 @@ def test_resampling(spark, odd, none):
     assert sum(r.kept for r in resampling.resample(docs, labels, 0.25).collect()) == 250
 
 
+def test_log_ratios_by_force(spark, documents):
+    """Ratios of counts over all texts; a draw depends on the rows, not on their layout."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    texts = {r.doc_id: r.text for r in documents.collect()}
+
+    def buckets(text):
+        data, at = bytesops.text_bytes(pa.array([text or ""]))
+        return resampling.features(data, at)[0].tolist()
+
+    own = {d: buckets(t) for d, t in texts.items()}
+    for d in list(texts)[:20]:
+        w = WORD.findall((texts[d] or "").translate(LOW))
+        assert len(own[d]) == len(w) + max(0, len(w) - 1)
+        assert all(own[d][i] == own[d][w.index(x)] for i, x in enumerate(w))
+    raw, target = collections.Counter(), collections.Counter()
+    for d, b in own.items():
+        raw.update(b)
+        if d in good:
+            target.update(b)
+    size = resampling.FEATURES
+    n, m = sum(raw.values()) + size, sum(target.values()) + size
+    rows = {r.doc_id: r for r in resampling.resample(documents, labels).collect()}
+    for d, b in own.items():
+        want = sum(math.log((target[x] + 1) / m) - math.log((raw[x] + 1) / n) for x in b)
+        assert rows[d].log_ratio == pytest.approx(want, abs=1e-6) and rows[d].n_features == len(b)
+    again = {r.doc_id: r for r in resampling.resample(documents.repartition(5, "text"), labels).collect()}
+    assert again == rows
+
+
+def test_equal_rows_draw_apart(make, spark):
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = resampling.resample(make(["same text"] * 40 + [None] * 3, [None] * 20 + [5] * 20 + [None] * 3).repartition(3), labels, 0.5).collect()
+    assert len({r.sample_key for r in rows}) == len(rows) == 43
+
+
 def test_kth_largest(spark):
     values = [5, -3, 7, 7, 0, -(1 << 62), 1 << 62]
     df = spark.createDataFrame([(v,) for v in values], "v long")
@@ -397,6 +606,45 @@ def test_licences(spark, none):
     assert licenses.licenses(none.withColumn("path", F.lit("a/b"))).count() == 0
 
 
+def test_cosines_by_force(spark):
+    """Each part's best window against all forms, with term frequencies times idf as dictionaries."""
+    templates = licenses.Templates(np.zeros(len(licenses.vocabulary()) + 1))
+    words = licenses.vocabulary()
+    idf = collections.defaultdict(lambda: templates.idf[-1], zip(words, templates.idf))
+
+    def vector(own):
+        return {t: n * idf[t] for t, n in collections.Counter(own).items()}
+
+    def cosine(a, b):
+        length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+        return sum(x * b.get(t, 0) for t, x in a.items()) / length(a) / length(b)
+
+    for text in ["see below. Released under the MIT License, as is usual", licenses.TEMPLATES["BSD"][2].replace(",", "\n#"), "Permission is hereby granted free of charge to any person", licenses.TEMPLATES["Apache-2.0"][1] + " and more words follow here"]:
+        for whole, part in licenses.notices(text, True):
+            own, found = part.split(" "), []
+            for name, form in templates.forms:
+                size = len(own) if whole else min(len(form), len(own))
+                needs = [g for g in licenses.DECIDING if g & set(form) and not any((name, t) in licenses.NO_NEED for t in g)]
+                for i in range(len(own) - size + 1):
+                    w = own[i : i + size]
+                    around = set(own[max(0, i - licenses.NEAR) : i + size + licenses.NEAR]) if not whole else set(own)
+                    if all(g & set(w) for g in needs) and not licenses.BARRED.get(name, set()) & set(w) and not licenses.BARRED_NEAR.get(name, set()) & around:
+                        found.append((-round(cosine(vector(w), vector(form)), 5), name))
+            least = min(found, default=(0.0, None))
+            got = templates.best(own, whole)
+            assert got[0] == pytest.approx(-least[0], abs=2e-5) and (got[1] == least[1] or not least[0])
+
+
+def test_licence_ties_and_odd_input(spark, odd, none):
+    """Equally similar files of one folder: the first by name; long texts, clashing columns and repeated rows."""
+    text = "This work is licensed under the GNU General Public License, version {}."
+    rows = [(1, "a/LICENSE", text.format(3)), (2, "a/LICENSE", text.format(2)), (3, "a/b/c.txt", "x"), (4, "a/long.txt", "word " * 60_000 + "\n" + text.format(3) + "\n" + "word " * 60_000)]
+    got = {r.doc_id: (r.own_license, r.license) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got[3] == (None, "GPL-2.0") and got[4] == ("GPL-3.0", "GPL-3.0")
+    rows = licenses.licenses(odd.withColumns({"path": F.lit("p/q.txt"), "_part": F.lit(1), "folder": F.lit(2), "license": F.lit(3)})).collect()
+    assert len(rows) == 11 and not any(r.license for r in rows)
+
+
 def test_licences_inside_longer_texts(spark):
     """Notices in one line with other text, across line breaks, and told apart by version and name."""
     wrapped = "/*\n * This {} is free\n * software; you can redistribute it and/or\n * modify it under the terms of the GNU {}General\n * Public License as published by the Free Software\n * Foundation; either version {} of the\n * License, or (at your option) any later version.\n */\nint main;"
