@@ -10,6 +10,8 @@ from typing import Any
 
 import numpy as np
 
+#: What decoders raise for what they can't read.
+UNREADABLE = (ValueError, KeyError, IndexError, TypeError, OverflowError, struct.error)
 KINDS = ("Unknown", "Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection")
 
 
@@ -307,6 +309,50 @@ def from_wkt(text: str) -> Geometry:
     return out
 
 
+_PLAIN = re.compile(r"\s*(POINT|LINESTRING|POLYGON)\s*(\([-+0-9.eE ,()]*\))\s*")
+
+
+def plain_wkt(text: str) -> bytes | None:
+    """WKB of a point, line or polygon in its usual spelling; none for any other text, which from_wkt() may read."""
+    m = _PLAIN.fullmatch(text)
+    if not m:
+        return None
+    body = m[2][1:-1].strip()
+    try:
+        if m[1] == "POINT":
+            x, y = body.split()
+            return struct.pack("<BIdd", 1, 1, float(x), float(y))
+        if m[1] == "POLYGON":
+            if not (body.startswith("(") and body.endswith(")")):
+                return None
+            rings = body[1:-1].split("),(")
+        else:
+            rings = [body]
+        out = [struct.pack("<BI", 1, 2) if m[1] == "LINESTRING" else struct.pack("<BII", 1, 3, len(rings))]
+        for ring in rings:
+            pairs = [p.split() for p in ring.split(",")]
+            xy = np.array([float(v) for p in pairs for v in p], "<f8")
+            if any(len(p) != 2 for p in pairs):
+                return None
+            out += [struct.pack("<I", len(pairs)), xy.tobytes()]
+        return b"".join(out)
+    except ValueError:
+        return None
+
+
+def plain_number(x: float) -> int | float:
+    return int(x) if x == int(x) and abs(x) < 1e15 else float(x)
+
+
+def point_text(raw: bytes, form: str, shown=None) -> str | None:
+    """A point's two numbers, shown as in WKT or by another rule, put into form without building a geometry; none for any other WKB."""
+    shown = shown or _shown
+    if len(raw) != 21 or raw[:5] != b"\1\1\0\0\0":
+        return None
+    x, y = struct.unpack_from("<dd", raw, 5)
+    return form.format(shown(x), shown(y)) if x - x == 0 and y - y == 0 else None
+
+
 def _shown(x: float) -> str:
     return f"{x:.16g}" if x != int(x) or abs(x) >= 1e16 else str(int(x))
 
@@ -344,8 +390,7 @@ def from_geojson(x: str | dict) -> Geometry:
 
 
 def geojson_dict(g: Geometry) -> dict:
-    plain = lambda x: int(x) if x == int(x) and abs(x) < 1e15 else float(x)
-    run = lambda a: [[plain(x), plain(y)] for x, y in a.tolist()]
+    run = lambda a: [[plain_number(x), plain_number(y)] for x, y in a.tolist()]
     if g.kind == "GeometryCollection":
         return {"type": g.kind, "geometries": [geojson_dict(x) for x in g.parts]}
     if g.kind == "Point":

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import batches as B
 from . import codecs as C
 from . import shapes as S
 
@@ -23,13 +26,10 @@ def _struct(fields: str) -> T.StructType:
 
 
 def _scalar(kind: str, f):
-    """A pandas UDF that gives null for null and for what can't be read."""
+    """A pandas UDF by rows, null for null and where f gives none."""
 
     def safe(*args):
-        try:
-            return None if any(a is None or a is pd.NA for a in args) else f(*args)
-        except (ValueError, KeyError, IndexError, TypeError, OverflowError):
-            return None
+        return None if any(a is None or a is pd.NA for a in args) else f(*args)
 
     if kind.count(" ") == 0:
 
@@ -48,28 +48,78 @@ def _scalar(kind: str, f):
 
 
 def _wkb(f):
-    return lambda raw, *a: f(C.from_wkb(bytes(raw)), *a)
+    """f of a WKB column's geometries; those that can't be read are null."""
+
+    def run(raw, *a):
+        g = B.readable(C.from_wkb, bytes(raw))
+        return None if g is None else f(g, *a)
+
+    return run
+
+
+def _read(decode):
+    """WKB of what decode reads; null where it can't."""
+
+    def run(x):
+        g = B.readable(decode, bytes(x) if isinstance(x, (bytes, bytearray)) else x)
+        return None if g is None else C.to_wkb(g)
+
+    return run
+
+
+_ARROW = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def _batch(kind: str, together, alone):
+    """An Arrow UDF over whole batches: together(batch) gives arrays for the rows that are decoded together, alone(geometry) the others' values.
+
+    A column named as a struct's fields is null where the fields are not-a-number.
+    """
+    fields = [x.split() for x in kind.split(",")] if " " in kind else None
+
+    @F.arrow_udf(_struct(kind) if fields else _TYPES[kind])
+    def run(geom: pa.Array) -> pa.Array:
+        b = B.Batch(geom)
+        told, more = together(b), b.row_function(alone)
+        known = b.kind > 0
+        known[list(more)] = True
+        if not fields:
+            values = told if isinstance(told, list) else told.tolist()
+            for i, v in more.items():
+                values[i] = v
+            return pa.array([v if k else None for v, k in zip(values, known.tolist())], _ARROW[kind])
+        columns = [told[n] for n, _ in fields]
+        missing = ~known | np.isnan(columns[0])
+        for i, v in more.items():
+            missing[i] = v is None
+            for c, x in zip(columns, v or ()):
+                c[i] = x
+        return pa.StructArray.from_arrays([pa.array(c, _ARROW[t], mask=missing) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
+    return run
 
 
-from_wkt = _scalar("binary", lambda t: C.to_wkb(C.from_wkt(t)))
-from_geojson = _scalar("binary", lambda t: C.to_wkb(C.from_geojson(t)))
-from_twkb = _scalar("binary", lambda b: C.to_wkb(C.from_twkb(bytes(b))))
-to_wkt = _scalar("string", _wkb(C.to_wkt))
-to_geojson = _scalar("string", _wkb(C.to_geojson))
+_wkt = _read(C.from_wkt)
+from_wkt = _scalar("binary", lambda t: C.plain_wkt(t) or _wkt(t))
+from_geojson = _scalar("binary", _read(C.from_geojson))
+from_twkb = _scalar("binary", _read(C.from_twkb))
+_wkt_of, _json_of = _wkb(C.to_wkt), _wkb(C.to_geojson)
+to_wkt = _scalar("string", lambda raw: C.point_text(raw, "POINT({} {})") or _wkt_of(raw))
+to_geojson = _scalar("string", lambda raw: C.point_text(raw, '{{"type":"Point","coordinates":[{},{}]}}', C.plain_number) or _json_of(raw))
 to_svg_path = _scalar("string", _wkb(C.to_svg_path))
 normalized_wkb = _scalar("binary", _wkb(C.to_wkb))
 big_endian_wkb = _scalar("binary", _wkb(lambda g: C.to_wkb(g, ">")))
-envelope = _scalar(ENVELOPE, _wkb(S.envelope))
-centroid = _scalar(XY, _wkb(S.centroid))
+envelope = _batch(ENVELOPE, B.envelope, S.envelope)
+centroid = _batch(XY, B.centroid, S.centroid)
 interior = _scalar(XY, _wkb(S.interior))
 polylabel = _scalar(XY, _wkb(S.polylabel))
 middle_point = _scalar(XY, _wkb(S.middle_point))
-path_length = _scalar("double", _wkb(S.path_length))
+path_length = _batch("double", B.path_length, S.path_length)
 closest_point = _scalar("x double, y double, distance double", _wkb(S.closest_point))
-is_valid = _scalar("boolean", _wkb(lambda g: S.invalid_reason(g) is None))
-invalid_reason = _scalar("string", _wkb(S.invalid_reason))
-is_simple = _scalar("boolean", _wkb(S.is_simple))
-is_empty = _scalar("boolean", _wkb(lambda g: g.empty))
+is_valid = _batch("boolean", lambda b: [r is None for r in B.invalid_reason(b)], lambda g: S.invalid_reason(g) is None)
+invalid_reason = _batch("string", B.invalid_reason, S.invalid_reason)
+is_simple = _batch("boolean", B.is_simple, S.is_simple)
+is_empty = _batch("boolean", lambda b: b.empty, lambda g: g.empty)
 without_empty = _scalar("binary", _wkb(lambda g: C.to_wkb(S.without_empty(g))))
 correct = _scalar("binary", _wkb(lambda g: C.to_wkb(S.corrected(g))))
 simplify = _scalar("binary", _wkb(lambda g, how, tol: C.to_wkb(S.simplified(g, how, tol))))

@@ -146,44 +146,54 @@ def closest_point(g: Geometry, x: float, y: float) -> tuple[float, float, float]
     return best
 
 
-def ring_distance(rings: list[np.ndarray], x: float, y: float) -> float:
-    """To the border, negative outside."""
-    d = min(segment_distances(r, np.roll(r, -1, axis=0), x, y)[0].min() for r in rings if len(r))
-    return float(d if in_rings(rings, x, y) else -d)
+def ring_distances(rings: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of points to a polygon's border, negative outside."""
+    a = np.concatenate([r for r in rings if len(r)])
+    b = np.concatenate([np.roll(r, -1, axis=0) for r in rings if len(r)])
+    d = b - a
+    n = (d * d).sum(1)
+    wx, wy = x[:, None] - a[:, 0], y[:, None] - a[:, 1]
+    t = np.where(n > 0, np.clip((wx * d[:, 0] + wy * d[:, 1]) / np.where(n > 0, n, 1), 0, 1), 0)
+    near = np.sqrt(((wx - t * d[:, 0]) ** 2 + (wy - t * d[:, 1]) ** 2).min(1))
+    passes = (a[:, 1] > y[:, None]) != (b[:, 1] > y[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        passes &= x[:, None] < d[:, 0] * wy / d[:, 1] + a[:, 0]
+    return np.where(passes.sum(1) % 2 == 1, near, -near)
+
 
+def _deepest(rings: list[np.ndarray], precision: float, fitness, start: tuple[float, float] | None) -> tuple[float, float]:
+    """The point with the highest fitness(x, y, distance to the border), to within precision, by halving cells best first.
 
-def _deepest(rings: list[np.ndarray], precision: float, fitness) -> tuple[float, float] | None:
+    A cell's promise is the fitness of its centre, were it farther from the border by as much as half the cell's diagonal.
+    """
     ring = rings[0]
     low, high = ring.min(0), ring.max(0)
     size = high - low
-    cell = float(min(size))
-    if cell <= 0:
+    side = float(min(size))
+    if side <= 0:
         return tuple(low.tolist())
-    h = cell / 2
-    queue: list = []
-
-    def add(x: float, y: float, h: float) -> tuple[float, float, float]:
-        d = ring_distance(rings, x, y)
-        f, most = fitness(x, y, d), fitness(x, y, d, h * math.sqrt(2))
-        heapq.heappush(queue, (-most, x, y, h, f))
-        return f, x, y
-
-    best = max((add(low[0] + h + i * cell, low[1] + h + j * cell, h) for i in range(math.ceil(size[0] / cell)) for j in range(math.ceil(size[1] / cell))), key=lambda t: t[0])
-    centre = ring_centroid(ring)
-    if centre[2]:
-        best = max(best, add(centre[0], centre[1], 0.0), key=lambda t: t[0])
+    queue: list[tuple[float, int, float, float, float, float]] = []
+    best, place, number = -math.inf, tuple(((low + high) / 2).tolist()), 0
+
+    def add(xs: np.ndarray, ys: np.ndarray, h: float) -> None:
+        nonlocal number
+        for x, y, d in zip(xs.tolist(), ys.tolist(), ring_distances(rings, xs, ys).tolist()):
+            heapq.heappush(queue, (-fitness(x, y, d + h * math.sqrt(2)), number, x, y, h, fitness(x, y, d)))
+            number += 1
+
+    grid = np.stack(np.meshgrid(*[low[k] + side / 2 + side * np.arange(math.ceil(size[k] / side)) for k in (0, 1)], indexing="ij"), -1).reshape(-1, 2)
+    add(grid[:, 0], grid[:, 1], side / 2)
+    if start is not None:
+        place = start
+        best = fitness(*start, float(ring_distances(rings, np.array([start[0]]), np.array([start[1]]))[0]))
+    corners = np.array([(-1, -1), (1, -1), (-1, 1), (1, 1)])
     while queue:
-        most, x, y, h, f = heapq.heappop(queue)
-        best = max(best, (f, x, y), key=lambda t: t[0])
-        if -most - best[0] <= precision or h <= 0:
-            if h > 0 or not queue:
-                break
-            continue
-        h /= 2
-        for dx in (-h, h):
-            for dy in (-h, h):
-                add(x + dx, y + dy, h)
-    return best[1], best[2]
+        promise, _, x, y, h, f = heapq.heappop(queue)
+        if f > best:
+            best, place = f, (x, y)
+        if -promise - best > precision:
+            add(x + corners[:, 0] * h / 2, y + corners[:, 1] * h / 2, h / 2)
+    return place
 
 
 def polylabel(g: Geometry, share: float = 0.01) -> tuple[float, float] | None:
@@ -191,21 +201,16 @@ def polylabel(g: Geometry, share: float = 0.01) -> tuple[float, float] | None:
     if g.kind != "Polygon" or g.empty or len(g.parts[0]) < 3:
         return None
     side = float((g.parts[0].max(0) - g.parts[0].min(0)).max())
-    return _deepest(g.parts, side * share, lambda x, y, d, more=0.0: d + more)
+    return _deepest(g.parts, side * share, lambda x, y, d: d, centroid(g))
 
 
 def interior(g: Geometry, scale: float = 1.0) -> tuple[float, float] | None:
-    """A point well inside a polygon, nearer to its centroid than polylabel()'s."""
+    """A point well inside a polygon: its distance to the border counts less the farther it is from the centroid."""
     if g.kind != "Polygon" or g.empty or len(g.parts[0]) < 3:
         return None
     side = float((g.parts[0].max(0) - g.parts[0].min(0)).max())
     cx, cy = centroid(g)
-
-    def fitness(x: float, y: float, d: float, more: float = 0.0) -> float:
-        d += more
-        return d * max(0.0, 1 - max(0.0, math.hypot(x - cx, y - cy) - more) / side) if d > 0 else d
-
-    return _deepest(g.parts, side * 0.01 * scale, fitness)
+    return _deepest(g.parts, side * 0.01 * scale, lambda x, y, d: d if d <= 0 else d * (1 - math.hypot(x - cx, y - cy) / side), (cx, cy))
 
 
 def _crosses(p: np.ndarray, q: np.ndarray, closed: bool) -> bool:

@@ -6,6 +6,12 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A column's name, and whether it ascends; nulls are last either way.
+Key = tuple[str, bool]
+#: Ranges of an order at most, rows drawn for each, and branches before a row's range is looked up in a table.
+MOST, SAMPLE, FAN = 4096, 16, 64
 
 _SORT = re.compile(r"\s*([A-Za-z0-9_-]+)(?:\s+(ASC|DESC))?\s*$", re.IGNORECASE)
 
@@ -18,30 +24,78 @@ def parse_sort(text: str) -> tuple[str, bool]:
 
 
 def sort_order(text: str, tie: str = "id") -> list[Column]:
-    name, up = parse_sort(text)
-    c = F.col(f"`{name}`")
-    return [c.asc_nulls_last() if up else c.desc_nulls_last(), F.col(tie).asc()]
+    return _columns(sort_keys(text, tie))
+
+
+def sort_keys(text: str, tie: str = "id") -> list[Key]:
+    return [parse_sort(text), (tie, True)]
+
+
+def _columns(keys: list[Key]) -> list[Column]:
+    return [F.col(f"`{name}`").asc_nulls_last() if up else F.col(f"`{name}`").desc_nulls_last() for name, up in keys]
 
 
 def sort_by(df: DataFrame, text: str, tie: str = "id", number: str | None = None) -> DataFrame:
     """Rows in the order of an attribute, nulls last, equal ones by id: a total order. number adds each row's place.
 
-    Places come from a range partitioning: rows are counted by partition, and a row's place is what the
-    partitions before its own hold and its rank in it. No task has all rows.
+    Places come from ranges of the order: rows are counted by range, and a row's place is what the
+    ranges before its own hold and its rank in it. No task has all rows.
     """
-    order = sort_order(text, tie)
     if number is None:
-        return df.orderBy(*order)
-    return numbered(df, order, number)
+        return df.orderBy(*sort_order(text, tie))
+    return numbered(df, sort_keys(text, tie), number)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+def _before(keys: list[Key], border: list[Column]) -> Column:
+    """Whether a row comes before a border in the order of keys, nulls last."""
+    out = F.lit(False)
+    for (name, up), b in reversed(list(zip(keys, border))):
+        c = F.col(f"`{name}`")
+        less = F.when(b.isNull(), c.isNotNull()).otherwise(F.coalesce((c < b) if up else (c > b), F.lit(False)))
+        out = less | (c.eqNullSafe(b) & out)
+    return out
+
+
+def ranged(df: DataFrame, keys: list[Key], part: str = "_part") -> DataFrame:
+    """df with the number of the range of the order that a row lies in: as many ranges as shuffle partitions, MOST at most.
+
+    The borders are drawn from the table once and are then part of the plan, so that every use of the
+    result deals rows alike, whatever columns it keeps. A range partitioning draws its own at each use.
+    """
+    n = min(MOST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = [f"k{i}" for i in range(len(keys))]
+    # one row for each of SAMPLE hash values a range: spread over all rows, combined before the shuffle
+    own = df.select(*[F.col(f"`{name}`").alias(k) for (name, _), k in zip(keys, names)])
+    drawn = own.groupBy(F.pmod(F.xxhash64(*names), F.lit(SAMPLE * n)).alias("slot")).agg(F.min(F.struct(*names)).alias("b")).select("b.*")
+    few = drawn.orderBy(*_columns([(k, up) for k, (_, up) in zip(names, keys)])).collect()
+    borders = list(dict.fromkeys(few[len(few) * i // n] for i in range(1, n))) if few else []
+    step = -(-len(borders) // FAN) if borders else 1
+    tops = borders[step - 1 :: step]
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        types = [drawn.schema[k].dataType for k in names]
+        return F.when(_before(keys, [F.lit(v).cast(t) for v, t in zip(tops[mid], types)]), tree(low, mid)).otherwise(tree(mid + 1, high))
+
+    if step == 1:
+        return df.withColumn(part, tree(0, len(tops)))
+    # one row for each of at most FAN + 1 groups of borders
+    groups = [(i, borders[i * step : (i + 1) * step - 1]) for i in range(len(tops) + 1)]
+    table = df.sparkSession.createDataFrame(groups, T.StructType([T.StructField("_group", T.IntegerType()), T.StructField("_borders", T.ArrayType(drawn.schema))]))
+    grouped = df.withColumn("_of", tree(0, len(tops))).join(F.broadcast(table), F.col("_of") == F.col("_group"))
+    inner = F.size(F.filter("_borders", lambda b: ~_before(keys, [b[k] for k in names])))
+    return grouped.withColumn(part, F.col("_of") * step + inner).drop("_of", "_group", "_borders")
+
+
+def numbered(df: DataFrame, keys: list[Key], name: str) -> DataFrame:
+    """df with each row's place in the order of keys, from 1."""
+    parted = ranged(df, keys)
     counts = parted.groupBy("_part").count()
-    # as many rows as partitions
+    # as many rows as ranges
     before = counts.select(F.col("_part").alias("_p"), (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    ranked = parted.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    ranked = parted.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*_columns(keys))))
     return ranked.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_part", "_p", "_before", "_rank")
 
 
@@ -51,13 +105,14 @@ def group_runs(df: DataFrame, key: str, order: str, run: str = "run_id") -> Data
     The order is cut into ranges; each range finds its own starts from the row before, only the first
     row of a range looks at the last row of an earlier one, and the starts are counted by range.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(n, F.col(order)).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(order)
+    parted = ranged(df, [(order, True)])
+    by = F.col(f"`{order}`").asc_nulls_last()
+    w = Window.partitionBy("_part").orderBy(by)
     k = F.col(f"`{key}`")
     marked = parted.withColumn("_new", F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise((~k.eqNullSafe(F.lag(k).over(w))).cast("int")))
-    ends = marked.groupBy("_part").agg(F.min_by(F.struct(k.alias("k")), order).alias("first"), F.max_by(F.struct(k.alias("k")), order).alias("last"), F.sum("_new").alias("inner"))
-    # as many rows as partitions
+    place = F.struct(F.col(f"`{order}`").isNull(), F.col(f"`{order}`"))
+    ends = marked.groupBy("_part").agg(F.min_by(F.struct(k.alias("k")), place).alias("first"), F.max_by(F.struct(k.alias("k")), place).alias("last"), F.sum("_new").alias("inner"))
+    # as many rows as ranges
     seq = Window.orderBy("_part")
     ends = ends.withColumn("fresh", F.when(F.lag("last").over(seq).isNull(), 1).otherwise((~F.col("first.k").eqNullSafe(F.lag("last").over(seq)["k"])).cast("int")))
     base = ends.select(F.col("_part").alias("_p"), (F.sum(F.col("inner") + F.col("fresh")).over(seq) - F.col("inner")).alias("_base"))

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.projection import View, project_point
+from ..functions.projection import View, project
 
 MODES = ("inherit", "linear", "discrete", "exact", "linear-rgba", "linear-bgra")
 #: numpy types of the pixel kinds.
@@ -366,24 +365,39 @@ def scale_array(a: np.ndarray, width: int, height: int, kind: str = "bilinear")
     return out
 
 
+#: The nine weights of each filter, row by row.
 FILTERS = {
-    "blur": np.full((3, 3), 1 / 9), "emboss": np.array([[-2, -1, 0], [-1, 1, 1], [0, 1, 2]], float), "sharpen": np.array([[0, -1, 0], [-1, 5, -1], [0, -1, 0]], float), "edge-detect": np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]], float),
-    "x-gradient": np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], float), "y-gradient": np.array([[-1, -2, -1], [0, 0, 0], [1, 2, 1]], float),
+    "blur": (0.1111,) * 9,
+    "emboss": (-2, -1, 0, -1, 1, 1, 0, 1, 2),
+    "sharpen": (0, -1, 0, -1, 5, -1, 0, -1, 0),
+    "edge-detect": (0, 1, 0, 1, -4, 1, 0, 1, 0),
 }
 
 
 def convolve(a: np.ndarray, kind: str) -> np.ndarray:
-    """A 3 by 3 filter of a tile; the border repeats its pixels."""
-    if kind == "sobel":
-        x, y = (convolve(a.astype(np.float64), k) for k in ("x-gradient", "y-gradient"))
-        out = np.hypot(x, y)
+    """A 3 by 3 filter of a tile in single precision; bytes are cut to 0 .. 255, dropping what is behind the point.
+
+    Beyond the first and last column the border repeats its pixels, beyond the first and last row it mirrors the inner row.
+    Gradients are half the difference of both sides around 128 and repeat the border's pixels on all sides.
+    """
+    rest = [(0, 0)] * (a.ndim - 2)
+    if kind in ("x-gradient", "y-gradient"):
+        axis = 1 if kind == "x-gradient" else 0
+        p = np.pad(a.astype(np.float32), [(1, 1) if k == axis else (0, 0) for k in range(a.ndim)], mode="edge")
+        n = a.shape[axis]
+        out = 128 + np.trunc((np.take(p, np.arange(n), axis) - np.take(p, np.arange(2, n + 2), axis)) / 2)
     else:
-        k = FILTERS[kind]
-        p = np.pad(a.astype(np.float64), ((1, 1), (1, 1), *([(0, 0)] * (a.ndim - 2))), mode="edge")
-        out = sum(k[i, j] * p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3))
+        p = np.pad(a.astype(np.float32), [(0, 0), (1, 1), *rest], mode="edge")
+        p = np.pad(p, [(1, 1), (0, 0), *rest], mode="reflect" if a.shape[0] > 1 else "edge")
+        near = [p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3)]
+        if kind == "sobel":
+            x, y = (near[2] + 2 * near[5] + near[8]) - (near[0] + 2 * near[3] + near[6]), (near[0] + 2 * near[1] + near[2]) - (near[6] + 2 * near[7] + near[8])
+            out = np.sqrt(x.astype(np.float64) ** 2 + y.astype(np.float64) ** 2).astype(np.float32)
+        else:
+            out = sum(np.float32(w) * v for w, v in zip(FILTERS[kind], near))
     if a.dtype.kind in "ui":
         limits = np.iinfo(a.dtype)
-        out = np.clip(np.floor(out + 0.5), limits.min, limits.max).astype(a.dtype)
+        out = np.trunc(np.clip(out, limits.min, limits.max)).astype(a.dtype)
     return out
 
 
@@ -399,29 +413,40 @@ def stack_blur(a: np.ndarray, rx: int, ry: int) -> np.ndarray:
 
 
 def convolve_pixels(df: DataFrame, kind: str, value: str = "value") -> DataFrame:
-    """A 3 by 3 filter of a pixel table by spreading each pixel to its neighbours and summing; pixels outside count as nothing."""
-    k = FILTERS[kind]
-    moves = F.array(*[F.struct(F.lit(1 - j).alias("dx"), F.lit(1 - i).alias("dy"), F.lit(float(k[i, j])).alias("w")) for i in range(3) for j in range(3) if k[i, j]])
-    spread = df.select("x", "y", F.col(value).alias("_v"), F.explode(moves).alias("_m"))
-    summed = spread.groupBy((F.col("x") + F.col("_m.dx")).alias("x"), (F.col("y") + F.col("_m.dy")).alias("y")).agg(F.sum(F.col("_v") * F.col("_m.w")).alias("_f"))
-    return df.join(summed, ["x", "y"], "left").withColumn(value, F.coalesce("_f", F.lit(0.0))).drop("_f")
+    """The same of a pixel table (x, y, value), for bytes: rows look at their left and right, then at the rows above and below.
+
+    Each pass deals pixels to tasks by row, or by column, so nothing is multiplied. A missing neighbour counts as beyond the border.
+    """
+    v = F.col(value).cast("float")
+    row = Window.partitionBy("y").orderBy("x")
+    at = lambda by, w, step, what: F.when((F.lag if step < 0 else F.lead)(by, 1).over(w) == F.col(by) + step, (F.lag if step < 0 else F.lead)(what, 1).over(w))
+    df = df.withColumn("_v", v)
+    wide = df.withColumn("_r", F.array(F.coalesce(at("x", row, -1, "_v"), "_v"), F.col("_v"), F.coalesce(at("x", row, 1, "_v"), "_v")))
+    column = Window.partitionBy("x").orderBy("y")
+    wide = wide.withColumns({"_up": at("y", column, -1, "_r"), "_down": at("y", column, 1, "_r")})
+    one = lambda c: F.lit(float(c)).cast("float")
+    if kind in ("x-gradient", "y-gradient"):
+        a, b = (F.col("_r")[0], F.col("_r")[2]) if kind == "x-gradient" else (F.coalesce("_up", "_r")[1], F.coalesce("_down", "_r")[1])
+        d = (a - b) / 2
+        out = F.lit(128.0) + F.when(d < 0, F.ceil(d)).otherwise(F.floor(d))
+    else:
+        up, down = F.coalesce("_up", "_down", "_r"), F.coalesce("_down", "_up", "_r")
+        near = [r[i] for r in (up, F.col("_r"), down) for i in range(3)]
+        if kind == "sobel":
+            x, y = (near[2] + one(2) * near[5] + near[8]) - (near[0] + one(2) * near[3] + near[6]), (near[0] + one(2) * near[1] + near[2]) - (near[6] + one(2) * near[7] + near[8])
+            out = F.sqrt(x.cast("double") * x + y.cast("double") * y).cast("float")
+        else:
+            out = reduce(lambda s, t: s + t, [one(w) * p for w, p in zip(FILTERS[kind], near)])
+    cut = F.floor(F.greatest(F.least(out, one(255)), one(0))).cast("int")
+    return wide.withColumn(value, cut).drop("_v", "_r", "_up", "_down")
 
 
 def warp(df: DataFrame, source: View, source_srs: str, target: View, target_srs: str, value: str = "value") -> DataFrame:
     """Pixels of a raster in another plane: every target pixel's centre is projected back and takes the nearest source pixel."""
-    spark = df.sparkSession
-
-    def back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for y in frame["id"]:
-                for x in range(target.width):
-                    wx, wy = target.backward(x + 0.5, y + 0.5)
-                    sx, sy = source.forward(*project_point(wx, wy, target_srs, source_srs))
-                    rows.append((x, y, int(np.floor(sx)), int(np.floor(sy))))
-            yield pd.DataFrame(rows, columns=["x", "y", "sx", "sy"])
-
-    grid = spark.range(target.height).mapInPandas(back, "x int, y int, sx int, sy int").where(f"sx between 0 and {source.width - 1} and sy between 0 and {source.height - 1}")
+    grid = df.sparkSession.range(target.width * target.height).select((F.col("id") % target.width).cast("int").alias("x"), F.floor(F.col("id") / target.width).cast("int").alias("y"))
+    wx, wy = target.backward(F.col("x") + 0.5, F.col("y") + 0.5)
+    sx, sy = source.forward(*project(wx, wy, target_srs, source_srs))
+    grid = grid.withColumns({"sx": F.floor(sx).cast("int"), "sy": F.floor(sy).cast("int")}).where(f"sx between 0 and {source.width - 1} and sy between 0 and {source.height - 1}")
     pixels = df.select(F.col("x").alias("sx"), F.col("y").alias("sy"), value)
     return grid.join(pixels, ["sx", "sy"]).select("x", "y", value)
 

@@ -261,6 +261,23 @@ def sort_by_attribute(spark, sf):
     return ordering.sort_by(table(spark, sf, "orders"), "o_totalprice DESC", tie="o_orderkey", number="feature_no").select("o_orderkey", "feature_no")
 
 
+@query("SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS feature_no FROM orders")
+def sort_keeps_columns(spark, sf):
+    """Places beside all other columns."""
+    return ordering.sort_by(table(spark, sf, "orders"), "o_totalprice DESC", tie="o_orderkey", number="feature_no")
+
+
+@query(f"SELECT * EXCLUDE (new, run_id), run_id::BIGINT AS run_id FROM {_RUNS}")
+def group_runs_keep_columns(spark, sf):
+    return ordering.group_runs(table(spark, sf, "orders"), "o_orderstatus", "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS id FROM orders")
+def sequential_ids(spark, sf):
+    df = ordering.numbered(table(spark, sf, "orders"), [("o_custkey", False), ("o_orderkey", True)], "id")
+    return df.select("o_orderkey", "o_custkey", "o_totalprice", "id")
+
+
 @query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 50")
 def row_limit(spark, sf):
     return ordering.first_rows(table(spark, sf, "customer"), 50, "c_custkey").select("c_custkey", "c_name")
@@ -283,15 +300,9 @@ def join_points_in_boxes(spark, sf):
     return hits.join_points(customers(spark, sf).select("id", "x", "y"), b, 6.0).select("id", "part")
 
 
-@query(f"SELECT a.id AS a, b.id AS b FROM {_P} a JOIN {_P} b ON a.id < b.id AND a.minx <= b.maxx AND a.maxx >= b.minx AND a.miny <= b.maxy AND a.maxy >= b.miny WHERE a.p_brand = 'Brand#11' AND b.p_brand = 'Brand#22'")
-def join_boxes(spark, sf):
-    side = lambda brand, p: parts(spark, sf).where(F.col("p_brand") == brand).select(F.col("id").alias(p[0]), *[F.col(c).alias(f"{p}{c}") for c in ("minx", "miny", "maxx", "maxy")])
-    return hits.join_boxes(side("Brand#11", "a_"), side("Brand#22", "b_"), 6.0, "inner", "a_", "b_").where("a < b").select("a", "b")
-
-
 @query(f"SELECT a.id AS a, b.id AS b FROM {_P} a JOIN {_P} b ON a.id < b.id AND a.minx <= b.maxx AND a.maxx >= b.minx AND a.miny <= b.maxy AND a.maxy >= b.miny")
-def join_boxes_all(spark, sf):
-    """The whole part table with itself; join_boxes keeps its SQL, which has two brands only."""
+def join_boxes(spark, sf):
+    """The whole part table with itself."""
     side = lambda p: parts(spark, sf).select(F.col("id").alias(p[0]), *[F.col(c).alias(f"{p}{c}") for c in ("minx", "miny", "maxx", "maxy")])
     return hits.join_boxes(side("a_"), side("b_"), 6.0, "inner", "a_", "b_").where("a < b").select("a", "b")
 
@@ -412,6 +423,102 @@ def simplify_lines(spark, sf):
     return df.select("id", geometry.to_wkt(geometry.simplify(geometry.from_wkt(text), F.lit("douglas-peucker"), F.lit(0.5))).alias("wkt"))
 
 
+_TRI = "(SELECT *, c_custkey % 7 + 1 AS ax, c_custkey % 5 AS ay, c_custkey % 3 AS bx, c_custkey % 4 + 2 AS by2 FROM " + _C + ")"
+
+
+def _wkt(name: str, *points: tuple[str, str]) -> F.Column:
+    """WKT of points given as SQL numbers."""
+    at = [F.concat_ws(" ", F.expr(f"cast({x} as string)"), F.expr(f"cast({y} as string)")) for x, y in points]
+    head, tail = ("((", "))") if name == "POLYGON" else ("(", ")")
+    return F.concat(F.lit(name + head), F.concat_ws(",", *at), F.lit(tail))
+
+
+def triangles(spark: SparkSession, sf: str) -> DataFrame:
+    """Triangles whose shape and direction change from row to row; some are flat."""
+    df = customers(spark, sf).withColumns({"ax": F.expr("c_custkey % 7 + 1"), "ay": F.expr("c_custkey % 5"), "bx": F.expr("c_custkey % 3"), "by2": F.expr("c_custkey % 4 + 2")})
+    return df.withColumn("geom", geometry.from_wkt(_wkt("POLYGON", ("x", "y"), ("x + ax", "y + ay"), ("x + bx", "y + by2"), ("x", "y"))))
+
+
+@query(f"""SELECT id, (x + least(0, ax, bx))::DOUBLE AS minx, (y + greatest(0, ay, by2))::DOUBLE AS maxy, ax * by2 - ay * bx < 0 AS valid,
+    round(CASE WHEN ax * by2 = ay * bx THEN NULL ELSE x + (ax + bx) / 3e0 END, 6) AS cx, round(CASE WHEN ax * by2 = ay * bx THEN NULL ELSE y + (ay + by2) / 3e0 END, 6) AS cy,
+    round(sqrt(ax * ax + ay * ay) + sqrt((bx - ax) * (bx - ax) + (by2 - ay) * (by2 - ay)) + sqrt(bx * bx + by2 * by2), 6) AS length FROM {_TRI}""")
+def triangle_functions(spark, sf):
+    df = triangles(spark, sf)
+    e, c = geometry.envelope("geom"), geometry.centroid("geom")
+    flat = F.expr("ax * by2 = ay * bx")
+    centre = lambda n: F.round(F.when(~flat, c[n]), 6)
+    return df.select("id", e["minx"].alias("minx"), e["maxy"].alias("maxy"), geometry.is_valid("geom").alias("valid"), centre("x").alias("cx"), centre("y").alias("cy"), F.round(geometry.path_length("geom"), 6).alias("length"))
+
+
+@query(f"SELECT id, ax * by2 <> ay * bx AS valid FROM {_TRI}")
+def corrected_triangles(spark, sf):
+    """Rings turned the right way: only flat ones stay invalid."""
+    return triangles(spark, sf).select("id", geometry.is_valid(geometry.correct("geom")).alias("valid"))
+
+
+@query("SELECT o_orderkey, q >= r AS valid, q <> r AS simple, CASE WHEN q < r THEN 'a ring crosses itself' END AS reason FROM (SELECT o_orderkey, o_orderkey % 5 AS q, o_custkey % 7 AS r FROM orders)")
+def crossing_rings(spark, sf):
+    """Quadrilaterals whose last side crosses their second one, or ends in a repeated point, as the keys have it."""
+    df = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderkey % 5 as q", "o_custkey % 7 as r")
+    df = df.withColumn("geom", geometry.from_wkt(_wkt("POLYGON", ("0", "0"), ("0", "4"), ("4", "q"), ("4", "r"), ("0", "0"))))
+    return df.select("o_orderkey", geometry.is_valid("geom").alias("valid"), geometry.is_simple("geom").alias("simple"), geometry.invalid_reason("geom").alias("reason"))
+
+
+@query("SELECT o_orderkey, q > 0 AND 5 * r + 9 > 6 * q AS simple FROM (SELECT o_orderkey, o_orderkey % 5 AS q, o_custkey % 7 + 1 AS r FROM orders)")
+def crossing_lines(spark, sf):
+    """Lines of three segments, the last of which crosses the first one or passes it by; some begin with a repeated point."""
+    df = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderkey % 5 as q", "o_custkey % 7 + 1 as r")
+    df = df.withColumn("geom", geometry.from_wkt(_wkt("LINESTRING", ("0", "0"), ("q", "0"), ("9", "5"), ("r", "-1"))))
+    return df.select("o_orderkey", geometry.is_simple("geom").alias("simple"))
+
+
+def bent_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that go a right and then b up."""
+    df = customers(spark, sf).withColumns({"a": F.expr("c_custkey % 9 + 1"), "b": F.expr("c_custkey % 6 + 1")})
+    return df.withColumn("geom", geometry.from_wkt(_wkt("LINESTRING", ("x", "y"), ("x + a", "y"), ("x + a", "y + b"))))
+
+
+_BENT = "(SELECT *, c_custkey % 9 + 1 AS a, c_custkey % 6 + 1 AS b FROM " + _C + ")"
+
+
+@query(f"""SELECT id, (a + b)::DOUBLE AS length, x + least((a + b) / 2e0, a) AS mx, y + greatest((a + b) / 2e0 - a, 0) AS my, x + least(1.5e0, a) AS px, y + greatest(1.5e0 - a, 0) AS py,
+    round((a * (x + a / 2e0) + b * (x + a)) / (a + b), 6) AS cx, 1 AS moves, 2 AS draws FROM {_BENT}""")
+def line_functions(spark, sf):
+    df = bent_lines(spark, sf)
+    m, p, c, v = geometry.middle_point("geom"), geometry.point_at_length("geom", F.lit(1.5)), geometry.centroid("geom"), geometry.vertices("geom")
+    of = lambda k: F.size(F.filter(v, lambda x: x["cmd"] == k))
+    return df.select("id", geometry.path_length("geom").alias("length"), m["x"].alias("mx"), m["y"].alias("my"), p["x"].alias("px"), p["y"].alias("py"), F.round(c["x"], 6).alias("cx"), of(1).alias("moves"), of(2).alias("draws"))
+
+
+@query(f"SELECT id, (2 * x + 3)::DOUBLE AS minx, (2 * (x + a) + 3)::DOUBLE AS maxx, (0 - y - b)::DOUBLE AS miny, (0 - y)::DOUBLE AS maxy FROM {_BENT}")
+def affine_lines(spark, sf):
+    moved = geometry.affine("geom", *map(F.lit, (2.0, 0.0, 0.0, -1.0, 3.0, 0.0)))
+    e = geometry.envelope(moved)
+    return bent_lines(spark, sf).select("id", *[e[c].alias(c) for c in ("minx", "maxx", "miny", "maxy")])
+
+
+@query(f"SELECT id, round(mx, 4) + 0 AS mx, round(my, 4) + 0 AS my FROM (SELECT *, {_MERC} FROM {_C})")
+def reprojected_wkb(spark, sf):
+    df = customers(spark, sf)
+    c = geometry.centroid(geometry.reproject("epsg:4326", "epsg:3857")(geometry.from_wkt(_int_wkt(df))))
+    return df.select("id", (F.round(c["x"], 4) + 0).alias("mx"), (F.round(c["y"], 4) + 0).alias("my"))
+
+
+@query(f"SELECT id, 'M' || x::INTEGER || ' ' || y::INTEGER || 'L' || (x + a)::INTEGER || ' ' || y::INTEGER || 'L' || (x + a)::INTEGER || ' ' || (y + b)::INTEGER AS path, 'LINESTRING(' || x::INTEGER || ' ' || y::INTEGER || ',' || (x + a)::INTEGER || ' ' || y::INTEGER || ',' || (x + a)::INTEGER || ' ' || (y + b)::INTEGER || ')' AS wkt, 2 AS kind FROM {_BENT}")
+def line_codecs(spark, sf):
+    """SVG paths, and lines through WKB of both byte orders and GeoJSON."""
+    df = bent_lines(spark, sf)
+    through = geometry.from_geojson(geometry.to_geojson(geometry.big_endian_wkb("geom")))
+    return df.select("id", geometry.to_svg_path("geom").alias("path"), geometry.to_wkt(through).alias("wkt"), geometry.wkb_kind(geometry.big_endian_wkb("geom")).alias("kind"))
+
+
+@query(f"SELECT id, least(sqrt(pow(greatest(x, -x - a, 0), 2) + y * y), sqrt(pow(x + a, 2) + pow(greatest(y, -y - b, 0), 2))) < 20 AS near, round(least(sqrt(pow(greatest(x, -x - a, 0), 2) + y * y), sqrt(pow(x + a, 2) + pow(greatest(y, -y - b, 0), 2))), 6) AS distance FROM {_BENT}")
+def line_hits(spark, sf):
+    """Lines nearer than 20 to the origin, and how near."""
+    at = F.lit(0.0)
+    return bent_lines(spark, sf).select("id", geometry.hit("geom", at, at, F.lit(20.0)).alias("near"), F.round(geometry.closest_point("geom", at, at)["distance"], 6).alias("distance"))
+
+
 # --- labels, groups, grids ---------------------------------------------------------------
 
 
@@ -496,9 +603,54 @@ def raster_multiply(spark, sf):
     return raster.composite(rgba(spark, sf, 1), rgba(spark, sf), "multiply").select("x", "y", "r", "a")
 
 
-@query(f"SELECT p.x, p.y, round(coalesce(sum(q.value), 0) / 9e0, 6) AS value FROM {_PX} p JOIN {_PX} q ON abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 GROUP BY 1, 2")
+def _near_sql(mirror: bool = True) -> str:
+    """Pixels with their eight neighbours p0 .. p8, row by row, as the filters see them at the borders."""
+    row = "OVER (PARTITION BY y ORDER BY x)"
+    column = "OVER (PARTITION BY x ORDER BY y)"
+    wide = f"(SELECT x, y, coalesce(lag(v) {row}, v) AS l, v AS c, coalesce(lead(v) {row}, v) AS r FROM (SELECT x, y, value::FLOAT AS v FROM {_PX}))"
+    up = lambda n: f"coalesce(lag({n}) {column}, {'lead(' + n + ') ' + column + ', ' if mirror else ''}{n})"
+    down = lambda n: f"coalesce(lead({n}) {column}, {'lag(' + n + ') ' + column + ', ' if mirror else ''}{n})"
+    return f"(SELECT x, y, {', '.join(f'{up(n)} AS p{i}, {n} AS p{i + 3}, {down(n)} AS p{i + 6}' for i, n in enumerate('lcr'))} FROM {wide})"
+
+
+def _filter_sql(kind: str) -> str:
+    total = " + ".join(f"{w}::FLOAT * p{i}" for i, w in enumerate(raster.FILTERS[kind]))
+    return f"SELECT x, y, floor(greatest(least({total}, 255::FLOAT), 0::FLOAT))::INTEGER AS value FROM {_near_sql()}"
+
+
+@query(_filter_sql("blur"))
 def raster_blur(spark, sf):
-    return raster.convolve_pixels(pixels(spark, sf), "blur").select("x", "y", F.round("value", 6).alias("value"))
+    return raster.convolve_pixels(pixels(spark, sf), "blur").select("x", "y", "value")
+
+
+@query(_filter_sql("sharpen"))
+def raster_sharpen(spark, sf):
+    return raster.convolve_pixels(pixels(spark, sf), "sharpen").select("x", "y", "value")
+
+
+@query(_filter_sql("emboss"))
+def raster_emboss(spark, sf):
+    return raster.convolve_pixels(pixels(spark, sf), "emboss").select("x", "y", "value")
+
+
+@query(_filter_sql("edge-detect"))
+def raster_edges(spark, sf):
+    return raster.convolve_pixels(pixels(spark, sf), "edge-detect").select("x", "y", "value")
+
+
+@query(f"SELECT x, y, floor(least(sqrt(pow(((p2 + 2 * p5 + p8) - (p0 + 2 * p3 + p6))::DOUBLE, 2) + pow(((p0 + 2 * p1 + p2) - (p6 + 2 * p7 + p8))::DOUBLE, 2)), 255))::INTEGER AS value FROM {_near_sql()}")
+def raster_sobel(spark, sf):
+    return raster.convolve_pixels(pixels(spark, sf), "sobel").select("x", "y", "value")
+
+
+@query(f"SELECT x, y, (128 + trunc((p3 - p5) / 2))::INTEGER AS value FROM {_near_sql(False)}")
+def raster_x_gradient(spark, sf):
+    return raster.convolve_pixels(pixels(spark, sf), "x-gradient").select("x", "y", "value")
+
+
+@query(f"SELECT x, y, (128 + trunc((p1 - p7) / 2))::INTEGER AS value FROM {_near_sql(False)}")
+def raster_y_gradient(spark, sf):
+    return raster.convolve_pixels(pixels(spark, sf), "y-gradient").select("x", "y", "value")
 
 
 @query(f"SELECT x, y, a - r AS r, floor(r * 0.3e0 + g * 0.59e0 + b * 0.11e0 + 0.5e0)::INTEGER AS luma FROM {_rgba_sql()}")
@@ -540,7 +692,8 @@ def raster_view(spark, sf):
     return grid.view_part(df, 8, 4, 8, 4).withColumnsRenamed({"px": "x", "py": "y"})
 
 
-@query()
+@query(f"""SELECT t.x, t.y, p.value FROM (SELECT x, y, floor((degrees(wx / 6378137e0) + 180) * 64 / 360)::INTEGER AS sx, floor((90 - degrees(2 * atan(exp(wy / 6378137e0)) - pi() / 2)) * 64 / 180)::INTEGER AS sy FROM (
+    SELECT i % 64 AS x, i // 64 AS y, -2e7 + (i % 64 + 0.5e0) * 4e7 / 64 AS wx, 2e7 - (i // 64 + 0.5e0) * 4e7 / 64 AS wy FROM (SELECT unnest(range(4096))::INTEGER AS i))) t JOIN {_PX} p ON p.x = t.sx AND p.y = t.sy""")
 def raster_warp(spark, sf):
     """Longitudes and latitudes to the mercator plane, nearest pixels."""
     source = projection.View(64, 64, Extent(-180.0, -90.0, 180.0, 90.0))

@@ -6,12 +6,13 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expression as X
 from ..functions.boxes import Box, Extent
 from ..functions.projection import LONLAT, View, known, project_extent, project_point, scale_denominator
+from ..operators import ordering
 from ..operators.ordering import group_runs, sort_by
 from .spec import Layer, MapSpec, Rule, SpatialQuery, Style, needed_columns
 
@@ -185,5 +186,5 @@ def query_map_point(spec: MapSpec, tables: Mapping[str, SpatialTable], layer_no:
 
 
 def numbered(df: DataFrame, order: str, name: str = "id") -> DataFrame:
-    """Sequential ids from 1 in file order; one sort of the whole table, as the order is total."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(order)).cast("long"))
+    """Sequential ids from 1 in file order, counted by ranges of it."""
+    return ordering.numbered(df, [(order, True)], name)

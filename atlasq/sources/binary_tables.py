@@ -489,7 +489,7 @@ def ascii_grid(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
             head[parts[0].lower()] = float(parts[1])
     from ..operators.ordering import numbered
 
-    rows = numbered(lines.where(F.regexp_like("value", F.lit(r"^\s*[-0-9.]"))), [F.col("_n").asc()], "_row")
+    rows = numbered(lines.where(F.regexp_like("value", F.lit(r"^\s*[-0-9.]"))), [("_n", True)], "_row")
     cells = rows.select((F.col("_row") - 1).cast("int").alias("y"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("x", "v"))
     value = F.col("v").try_cast("double")
     return head, cells.select("x", "y", F.when(value != head.get("nodata_value", float("nan")), value).alias("value"))

@@ -183,7 +183,7 @@ def read(spark: SparkSession, path: str | None = None, inline: str | None = None
     rows = rows.where(good)
     first = rows.orderBy("_n").first()
     kinds = {n: cell_kind(first[c]) if first else "string" for n, c in index.items()}
-    out = numbered(rows, [F.col("_n").asc()], "id")
+    out = numbered(rows, [("_n", True)], "id")
     skip = {at.wkt, at.geojson}
     attributes = [(F.trim(c).try_cast(kinds[n]) if kinds[n] != "string" else F.col(c)).alias(n) for n, c in index.items() if n not in skip]
     if at.wkt or at.geojson:

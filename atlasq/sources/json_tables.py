@@ -49,7 +49,7 @@ def _finish(rows: DataFrame, sample: int, strict_ids: bool = True) -> SpatialTab
             else:
                 kinds.setdefault(k, T.StringType())
     e = G.envelope("geom")
-    out = numbered(rows, [F.col("_n").asc()], "id").withColumn("_e", e)
+    out = numbered(rows, [("_n", True)], "id").withColumn("_e", e)
     columns = []
     for k in sorted(kinds):
         raw = F.col("props")[k]
