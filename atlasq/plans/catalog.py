@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, expression, geometry, projection, values
 from ..functions.boxes import Box, Extent
 from ..operators import aggregates, grid, hits, labels, ordering, raster
-from . import processor, spec, tokens
+from ..sources import binary_tables, delimited, json_tables, registry, scratch
+from . import fixtures, processor, spec, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -708,46 +710,135 @@ def raster_color_blind(spark, sf):
 
 # --- sources ---------------------------------------------------------------
 
-_CSV = "lon,lat,name,n,share,ok\n1,2,one,5,0.5,true\n3,4,two,x,1e3,false\n\n5,6,bad\n7.5,8,three,7,2.25,true\n"
+_N = "(SELECT n_nationkey AS k, n_name AS name, ((n_nationkey * 37) % 360 - 180)::DOUBLE AS x, ((n_nationkey * 17) % 170 - 85)::DOUBLE AS y, row_number() OVER (ORDER BY n_nationkey) AS id FROM nation)"
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 1e0, 2e0, 'one', 5::BIGINT, 0.5e0, TRUE), (2, 3e0, 4e0, 'two', NULL, 1000e0, FALSE), (3, 7.5e0, 8e0, 'three', 7, 2.25e0, TRUE)) AS t(id, x, y, name, n, share, ok)")
+def places(spark: SparkSession, sf: str) -> list[fixtures.Row]:
+    """All of nation (25 rows at any scale), for files that hold a whole small table."""
+    return [(r["n_nationkey"], r["n_name"], float(r["n_nationkey"] * 37 % 360 - 180), float(r["n_nationkey"] * 17 % 170 - 85)) for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]
+
+
+def _stored(spark: SparkSession, name: str, data: bytes) -> str:
+    return scratch.put(spark, f"{scratch.folder(spark)}/{name}", data)
+
+
+@query(f"SELECT id, x, y, name, k::BIGINT AS key FROM {_N}")
 def source_csv(spark, sf):
-    from ..sources import registry
+    return registry.create(spark, {"type": "csv", "inline": fixtures.csv_text(places(spark, sf))}).df.select("id", "x", "y", "name", "key")
 
-    return registry.create(spark, {"type": "csv", "inline": _CSV}).df.select("id", "x", "y", "name", "n", "share", "ok")
 
+@query(f"SELECT id, x, y, name, k::BIGINT AS key FROM {_N}")
+def source_csv_sniffed(spark, sf):
+    """Bars as separators, found by themselves."""
+    path = _stored(spark, "places.txt", fixtures.csv_text(places(spark, sf), "|").encode())
+    return registry.create(spark, {"type": "csv", "file": path}).df.select("id", "x", "y", "name", "key")
 
-_JSON = '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"a":"x","b":[1,2],"c":3},"geometry":{"type":"Point","coordinates":[1,2]}},{"type":"Feature","properties":{"a":null,"c":4},"geometry":{"type":"LineString","coordinates":[[0,0],[10,5]]}}]}'
 
+@query(f"SELECT row_number() OVER (ORDER BY c_custkey) AS id, x, y, c_name AS name, c_custkey AS key FROM {_C}")
+def source_csv_files(spark, sf):
+    """All customers from many files, numbered in the order of files and lines."""
+    df = customers(spark, sf)
+    folder = scratch.folder(spark)
+    df.orderBy("c_custkey").select(F.concat_ws(";", "x", "y", "c_name", "c_custkey").alias("value")).write.text(folder)
+    return registry.create(spark, {"type": "csv", "file": folder, "headers": "lon;lat;name;key", "separator": ";"}).df.select("id", "x", "y", "name", "key")
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'x', '[1,2]', 3::BIGINT, 1e0, 2e0, 1::INTEGER), (2, NULL, NULL, 4, 10e0, 5e0, 2)) AS t(id, a, b, c, maxx, maxy, geom_type)")
-def source_geojson(spark, sf):
-    from ..sources import registry
 
-    return registry.create(spark, {"type": "geojson", "inline": _JSON}).df.select("id", "a", "b", "c", "maxx", "maxy", "geom_type")
+@query(f"SELECT id, name, k::BIGINT AS key, x AS minx, y AS miny, x + 1 AS maxx, y + 2 AS maxy, 2 AS geom_type FROM {_N}")
+def source_geojson(spark, sf):
+    return registry.create(spark, {"type": "geojson", "inline": fixtures.geojson_text(places(spark, sf))}).df.select("id", "name", "key", "minx", "miny", "maxx", "maxy", "geom_type")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'POLYGON((10 10,12 10,12 12,10 10))')) AS t(id, wkt)")
+@query(f"SELECT id, name, 'LINESTRING(' || x::INTEGER || ' ' || y::INTEGER || ',' || (x + 1)::INTEGER || ' ' || (y + 1)::INTEGER || ',' || (x + 3)::INTEGER || ' ' || (y + 1)::INTEGER || ')' AS wkt FROM {_N}")
 def source_topojson(spark, sf):
-    from ..sources import registry
+    return registry.create(spark, {"type": "topojson", "inline": fixtures.topojson_text(places(spark, sf))}).df.select("id", "name", geometry.to_wkt("geom").alias("wkt"))
+
+
+@query(f"SELECT id, name, k::BIGINT AS key, x, y FROM {_N}")
+def source_geobuf(spark, sf):
+    path = _stored(spark, "places.pbf", fixtures.geobuf_bytes(places(spark, sf)))
+    return registry.create(spark, {"type": "geobuf", "file": path}).df.select("id", "name", "key", F.col("minx").alias("x"), F.col("maxy").alias("y"))
+
+
+@query(f"SELECT id, name AS NAME, k::BIGINT AS KEY, k / 8e0 AS SHARE, k % 2 = 0 AS EVEN, x, y, 1 AS geom_type FROM {_N}")
+def source_shape(spark, sf):
+    folder, rows = scratch.folder(spark), places(spark, sf)
+    scratch.put(spark, f"{folder}/places.shp", fixtures.shape_bytes(rows))
+    scratch.put(spark, f"{folder}/places.dbf", fixtures.dbf_bytes(rows))
+    return registry.create(spark, {"type": "shape", "file": f"{folder}/places.shp"}).df.select("id", "NAME", "KEY", F.round("SHARE", 3).alias("SHARE"), "EVEN", F.col("minx").alias("x"), F.col("maxy").alias("y"), "geom_type")
+
+
+@query(f"SELECT id, name, k / 4e0 AS share, x, y FROM {_N}")
+def source_sqlite(spark, sf):
+    path = _stored(spark, "places.sqlite", fixtures.sqlite_bytes(places(spark, sf)))
+    return registry.create(spark, {"type": "sqlite", "file": path, "table": "places", "key_field": "id"}).df.select("id", "name", "share", F.col("minx").alias("x"), F.col("maxy").alias("y"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY id) AS id, name FROM (SELECT * FROM {_N} ORDER BY id LIMIT 7 OFFSET 3)")
+def source_sqlite_subquery(spark, sf):
+    """A subquery with a limit and an offset, as the source has them."""
+    path = _stored(spark, "places.sqlite", fixtures.sqlite_bytes(places(spark, sf)))
+    return registry.create(spark, {"type": "sqlite", "file": path, "table": "(SELECT * FROM places ORDER BY id)", "key_field": "id", "row_limit": "7", "row_offset": "3"}).df.select("id", "name")
+
+
+_TILE = f"SELECT k::BIGINT AS id, 'places' AS layer, '\"' || name || '\"' AS name, round(x * {projection.CIRCUMFERENCE!r}::DOUBLE / 4096 - {projection.CIRCUMFERENCE!r}::DOUBLE / 2, 3) AS x, round({projection.CIRCUMFERENCE!r}::DOUBLE / 2 - y * {projection.CIRCUMFERENCE!r}::DOUBLE / 4096, 3) AS y FROM {_N}"
 
-    text = '{"type":"Topology","transform":{"scale":[2,2],"translate":[10,10]},"arcs":[[[0,0],[1,0],[0,1]],[[1,1],[-1,-1]]],"objects":{"o":{"type":"Polygon","arcs":[[0,1]]}}}'
-    return registry.create(spark, {"type": "topojson", "inline": text}).df.select("id", geometry.to_wkt("geom").alias("wkt"))
+
+def _tile_rows(df: DataFrame) -> DataFrame:
+    e = geometry.envelope("geom")
+    return df.select("id", "layer", F.col("props")["name"].alias("name"), F.round(e["minx"], 3).alias("x"), F.round(e["miny"], 3).alias("y"))
+
+
+@query(_TILE)
+def source_mbtiles(spark, sf):
+    return _tile_rows(binary_tables.tiles(spark, _stored(spark, "places.mbtiles", fixtures.mbtiles_bytes(places(spark, sf))), 0, (0, 0, 0, 0)))
+
+
+@query(_TILE)
+def source_pmtiles(spark, sf):
+    return _tile_rows(binary_tables.tiles(spark, _stored(spark, "places.pmtiles", fixtures.pmtiles_bytes(places(spark, sf))), 0, (0, 0, 0, 0)))
+
+
+@query("SELECT 1::BIGINT AS id, (n_nationkey % 5)::INTEGER AS x, (n_nationkey // 5)::INTEGER AS y, CASE WHEN n_nationkey <> 7 THEN n_nationkey::DOUBLE END AS value FROM nation")
+def source_raster_blob(spark, sf):
+    a = np.array([k for k, *_ in places(spark, sf)]).reshape(5, 5)
+    return binary_tables.raster_pixels(spark.createDataFrame([(1, bytearray(fixtures.raster_blob(a, 7)))], "id long, raster binary"))
+
+
+@query("SELECT (n_nationkey % 5)::INTEGER AS x, (n_nationkey // 5)::INTEGER AS y, CASE WHEN n_nationkey <> 7 THEN n_nationkey * 1.5e0 END AS value FROM nation")
+def source_ascii_grid(spark, sf):
+    keys = [k for k, *_ in places(spark, sf)]
+    lines = [" ".join(str(k * 1.5) if k != 7 else "-9" for k in keys[i : i + 5]) for i in range(0, 25, 5)]
+    text = "\n".join(["ncols 5", "nrows 5", "xllcorner 0", "yllcorner 0", "cellsize 10", "NODATA_value -9", *lines]) + "\n"
+    return binary_tables.ascii_grid(spark, _stored(spark, "grid.asc", text.encode()))[1]
+
+
+@query(f"SELECT k::BIGINT AS id, name, x AS minx, x + 2 AS maxx, 2 AS geom_type FROM {_N}")
+def source_memory(spark, sf):
+    rows = [(k, f"LINESTRING({x} {y},{x + 2} {y})", {"name": n}) for k, n, x, y in places(spark, sf)]
+    return registry.memory(spark, rows, "name string").df.select("id", "name", "minx", "maxx", "geom_type")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000")
+def source_parquet(spark, sf):
+    t = registry.create(spark, {"type": "parquet", "file": f"{sf.rstrip('/')}/orders.parquet"})
+    return expression.where(t.df, "[o_totalprice] > 1000").select("o_orderkey", "o_totalprice")
+
+
+@query(f"SELECT id, x AS minx, y AS miny, x + a AS maxx, y + b AS maxy FROM {_BENT}")
+def geojson_line_boxes(spark, sf):
+    """Boxes of features given as JSON lines, without building geometry."""
+    lines = json_tables.to_geojson_lines(processor.SpatialTable(bent_lines(spark, sf)), [])
+    return json_tables.bounding_boxes(lines).select(F.get_json_object("value", "$.id").cast("bigint").alias("id"), "minx", "miny", "maxx", "maxy")
 
 
 @query("SELECT c_custkey AS id, cell, CASE cell WHEN '007' THEN 'string' WHEN '5' THEN 'bigint' WHEN '0.25' THEN 'double' WHEN 'true' THEN 'boolean' ELSE 'string' END AS kind FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '007' WHEN 1 THEN '5' WHEN 2 THEN '0.25' WHEN 3 THEN 'true' ELSE '' END AS cell FROM customer)")
 def csv_cell_kinds(spark, sf):
-    from ..sources import delimited
-
     df = table(spark, sf, "customer").withColumn("cell", F.expr("CASE c_custkey % 5 WHEN 0 THEN '007' WHEN 1 THEN '5' WHEN 2 THEN '0.25' WHEN 3 THEN 'true' ELSE '' END"))
     return df.select(F.col("c_custkey").alias("id"), "cell", delimited.typed(F.col("cell"))["kind"].alias("kind"))
 
 
 @query(f"SELECT id, '{{\"type\":\"Feature\",\"id\":' || id || ',\"geometry\":{{\"type\":\"Point\",\"coordinates\":[' || x::INTEGER || ',' || y::INTEGER || ']}},\"properties\":{{\"c_mktsegment\":\"' || c_mktsegment || '\"}}}}' AS value FROM {_C}")
 def sink_geojson(spark, sf):
-    from ..sources import json_tables
-
     df = customers(spark, sf)
     df = df.withColumn("geom", geometry.from_wkt(_int_wkt(df)))
     return json_tables.to_geojson_lines(processor.SpatialTable(df), ["c_mktsegment"]).select(F.get_json_object("value", "$.id").cast("bigint").alias("id"), "value")

@@ -148,8 +148,8 @@ def _closed(a: np.ndarray) -> np.ndarray:
     return np.concatenate([a, a[:1]]) if len(a) and (a[0] != a[-1]).any() else a
 
 
-def geobuf(spark: SparkSession, path: str, num_features_to_query: int = 5) -> SpatialTable:
-    return _finish(_as_rows(files(spark, path), geobuf_features), num_features_to_query)
+def geobuf(spark: SparkSession, path: str) -> SpatialTable:
+    return _finish(_as_rows(files(spark, path), geobuf_features))
 
 
 # --- shapefiles -------------------------------------------------------------
@@ -243,7 +243,7 @@ def shapefile(spark: SparkSession, stem: str, encoding: str = "utf-8", row_limit
     rows = shp.join(dbf, "stem").withColumn("_n", F.monotonically_increasing_id()).mapInPandas(run, _ROWS)
     if row_limit > 0:
         rows = rows.orderBy("_n").limit(row_limit)
-    return _finish(rows, 1)
+    return _finish(rows)
 
 
 # --- SQLite -------------------------------------------------------------
@@ -278,7 +278,7 @@ def sqlite(spark: SparkSession, path: str, table: str, geometry_field: str = "ge
         con.close()
         return out
 
-    return _finish(_as_rows(files(spark, path), decode), 50)
+    return _finish(_as_rows(files(spark, path), decode))
 
 
 # --- vector tiles -------------------------------------------------------------

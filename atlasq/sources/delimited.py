@@ -136,12 +136,13 @@ def read(spark: SparkSession, path: str | None = None, inline: str | None = None
         raise ValueError("give a path or an inline text")
     if inline is not None:
         rows = [x for x in re.split(r"\r\n|\n|\r", inline)]
-        lines = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "_n long, value string")
+        lines = spark.createDataFrame([("", i, x) for i, x in enumerate(rows)], "_file string, _n long, value string")
         head = inline[:SAMPLE]
     else:
         reader = spark.read.option("encoding", o.encoding)
-        lines = reader.text(path).withColumn("_n", F.monotonically_increasing_id())
-        head = "\n".join(r["value"] for r in lines.orderBy("_n").limit(50).collect())
+        # scans take large files first, so the order of files is that of their names
+        lines = reader.text(path).withColumns({"_file": F.input_file_name(), "_n": F.monotonically_increasing_id()})
+        head = "\n".join(r["value"] for r in lines.orderBy("_file", "_n").limit(50).collect())
     guess = sniff(head)
     sep, quote = o.separator or guess.separator, o.quote or guess.quote
     filled = lines.where(F.length(F.regexp_replace("value", r"""[",' ]""", "")) > 0)
@@ -149,11 +150,11 @@ def read(spark: SparkSession, path: str | None = None, inline: str | None = None
     if o.headers:
         names = _split(o.headers, sep, quote)
     else:
-        head_row = filled.orderBy("_n").first()
+        head_row = filled.orderBy("_file", "_n").first()
         if head_row is None:
             raise ValueError("there is no header")
         names = _split(head_row["value"], sep, quote)
-        filled = filled.where(F.col("_n") > head_row["_n"])
+        filled = filled.where((F.col("_file") > head_row["_file"]) | (F.col("_file") == head_row["_file"]) & (F.col("_n") > head_row["_n"]))
     clean: list[str] = []
     for i, n in enumerate(x.strip() for x in names):
         if not n and o.strict:
@@ -163,11 +164,11 @@ def read(spark: SparkSession, path: str | None = None, inline: str | None = None
     if not (at.wkt or at.geojson or (at.x and at.y)):
         raise ValueError(f"no geometry among the columns {clean}")
     if o.row_limit:
-        allowed = lines.orderBy("_n").limit(o.row_limit).select("_n")
-        filled = filled.join(F.broadcast(allowed), "_n", "left_semi")
+        allowed = lines.orderBy("_file", "_n").limit(o.row_limit).select("_file", "_n")
+        filled = filled.join(allowed, ["_file", "_n"], "left_semi")
     schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(clean))), T.StructField("_bad", T.StringType())])
     parsed = filled.withColumn("_r", F.from_csv("value", schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), {"sep": sep, "quote": quote, "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE", "emptyValue": "", "nullValue": "\u0000", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}))
-    rows = parsed.select("_n", *[F.coalesce(F.col(f"_r.c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(clean))], (F.col("_r._bad").isNotNull()).alias("_bad"))
+    rows = parsed.select("_file", "_n", *[F.coalesce(F.col(f"_r.c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(clean))], (F.col("_r._bad").isNotNull()).alias("_bad"))
     index = {n: f"c{i}" for i, n in enumerate(clean)}
     if at.wkt or at.geojson:
         rows = rows.withColumn("geom", G.from_wkt(index[at.wkt]) if at.wkt else G.from_geojson(index[at.geojson]))
@@ -181,9 +182,9 @@ def read(spark: SparkSession, path: str | None = None, inline: str | None = None
         if bad:
             raise ValueError(f"line {bad[0]['_n'] + 1} can't be read")
     rows = rows.where(good)
-    first = rows.orderBy("_n").first()
+    first = rows.orderBy("_file", "_n").first()
     kinds = {n: cell_kind(first[c]) if first else "string" for n, c in index.items()}
-    out = numbered(rows, [("_n", True)], "id")
+    out = numbered(rows, [("_file", True), ("_n", True)], "id")
     skip = {at.wkt, at.geojson}
     attributes = [(F.trim(c).try_cast(kinds[n]) if kinds[n] != "string" else F.col(c)).alias(n) for n, c in index.items() if n not in skip]
     if at.wkt or at.geojson:

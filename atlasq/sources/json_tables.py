@@ -15,6 +15,7 @@ from ..functions import codecs as C
 from ..functions import geometry as G
 from ..operators.ordering import numbered
 from ..plans.processor import SpatialTable
+from . import scratch
 
 
 def _texts(spark: SparkSession, path: str | None, inline: str | None) -> DataFrame:
@@ -35,19 +36,23 @@ def _kind(x: object) -> T.DataType:
     return T.LongType() if isinstance(x, int) else T.DoubleType() if isinstance(x, float) else T.StringType()
 
 
-def _finish(rows: DataFrame, sample: int, strict_ids: bool = True) -> SpatialTable:
-    """From _n, geom, props (map of JSON texts) to a table; columns and types come from the first rows, in name order."""
-    kinds: dict[str, T.DataType] = {}
-    for r in rows.orderBy("_n").limit(sample).select("props").collect():
-        for k, v in (r["props"] or {}).items():
-            if v is not None:
-                try:
-                    x = json.loads(v)
-                except ValueError:
-                    x = v
-                kinds.setdefault(k, _kind(x))
-            else:
-                kinds.setdefault(k, T.StringType())
+def _value(text: str) -> object:
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
+def _finish(rows: DataFrame) -> SpatialTable:
+    """From _n, geom, props (map of JSON texts) to a table, decoded once.
+
+    Columns are all properties of any feature, in name order; a column's type is that of its first value in file order.
+    """
+    rows = scratch.written(rows)
+    each = rows.select("_n", F.explode("props").alias("k", "v"))
+    # as many rows as properties
+    told = each.groupBy("k").agg(F.min_by("v", F.when(F.col("v") != "null", F.col("_n"))).alias("v")).collect()
+    kinds = {r["k"]: T.StringType() if r["v"] is None else _kind(_value(r["v"])) for r in told}
     e = G.envelope("geom")
     out = numbered(rows, [("_n", True)], "id").withColumn("_e", e)
     columns = []
@@ -58,7 +63,7 @@ def _finish(rows: DataFrame, sample: int, strict_ids: bool = True) -> SpatialTab
     return SpatialTable(out.select("id", "geom", *[F.col(f"_e.{c}").alias(c) for c in ("minx", "miny", "maxx", "maxy")], G.simple_kind(G.wkb_kind(F.col("geom"))).alias("geom_type"), *columns))
 
 
-def geojson(spark: SparkSession, path: str | None = None, inline: str | None = None, num_features_to_query: int = 5) -> SpatialTable:
+def geojson(spark: SparkSession, path: str | None = None, inline: str | None = None) -> SpatialTable:
     """A FeatureCollection, a Feature or a bare geometry; ids from 1 in file order. Nested values stay JSON text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,7 +83,7 @@ def geojson(spark: SparkSession, path: str | None = None, inline: str | None = N
 
     texts = _texts(spark, path, inline).withColumn("_n", F.monotonically_increasing_id())
     rows = texts.mapInPandas(run, "_n long, geom binary, props map<string,string>").where("geom is not null")
-    return _finish(rows, num_features_to_query)
+    return _finish(rows)
 
 
 def bounding_boxes(features: DataFrame, column: str = "value") -> DataFrame:
@@ -142,7 +147,7 @@ def topo_features(d: dict) -> list[tuple[C.Geometry, dict]]:
     return out
 
 
-def topojson(spark: SparkSession, path: str | None = None, inline: str | None = None, num_features_to_query: int = 5) -> SpatialTable:
+def topojson(spark: SparkSession, path: str | None = None, inline: str | None = None) -> SpatialTable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for n, text in zip(frame["_n"], frame["value"]):
@@ -151,4 +156,4 @@ def topojson(spark: SparkSession, path: str | None = None, inline: str | None =
                     yield pd.DataFrame(rows, columns=["_n", "geom", "props"])
 
     texts = _texts(spark, path, inline).withColumn("_n", F.monotonically_increasing_id())
-    return _finish(texts.mapInPandas(run, "_n long, geom binary, props map<string,string>"), num_features_to_query)
+    return _finish(texts.mapInPandas(run, "_n long, geom binary, props map<string,string>"))

@@ -64,7 +64,7 @@ def _delimited(spark, p):
 
 
 register("csv", _delimited)
-register("geojson", lambda s, p: json_tables.geojson(s, _file(p), p.get("inline"), int(p.get("num_features_to_query", 5))))
+register("geojson", lambda s, p: json_tables.geojson(s, _file(p), p.get("inline")))
 register("topojson", lambda s, p: json_tables.topojson(s, _file(p), p.get("inline")))
 register("geobuf", lambda s, p: binary_tables.geobuf(s, _file(p)))
 register("shape", lambda s, p: binary_tables.shapefile(s, _file(p).removesuffix(".shp"), p.get("encoding", "utf-8"), int(p.get("row_limit", 0))))
