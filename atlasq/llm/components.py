@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
 
 
-def connected_components(edges: DataFrame, label: str = "cc", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Components of undirected links (a, b): a table (node, component), component being the smallest node reached.
 
     Every round gives each node the smallest label among itself and its neighbours, follows
@@ -19,7 +21,7 @@ def connected_components(edges: DataFrame, label: str = "cc", rounds: int = 60)
     both = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     links = materialize(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-links")
     labels = materialize(links.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), f"{label}-0")
-    for i in range(1, rounds):
+    for i in itertools.count(1):
         # labels of labels: a component's label is itself a node
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("higher"))
         hop = labels.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"))
@@ -34,4 +36,3 @@ def connected_components(edges: DataFrame, label: str = "cc", rounds: int = 60)
         labels = nxt
         if not moved:
             return labels
-    raise RuntimeError("the components did not settle")

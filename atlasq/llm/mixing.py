@@ -60,7 +60,8 @@ def thresholds(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     rounds = floor(target / source_size) takes of every row; what is left of the target is a budget.
     Words are summed by source and hash bucket; the running sums tell the bucket in which the budget
     ends, and only that bucket's rows are summed again by the next bits, until all bits are used.
-    The rows below the threshold then hold at most the budget, and the next hash value would exceed it.
+    The rows below the threshold then hold at most the budget, and the next hash value would exceed it; its rows are taken
+    too if the mix then ends nearer to the budget. So a source misses its target by half the words of one hash value at most.
     """
     todo = aims.where("source_size > 0").select("source", "source_size", "target", F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(CAP)).cast("long").alias("rounds"))
     state = todo.select("source", "rounds", (F.col("target") - F.col("rounds") * F.col("source_size")).alias("budget"), F.lit(0).cast("long").alias("low"))
@@ -73,9 +74,10 @@ def thresholds(sizes: DataFrame, aims: DataFrame) -> DataFrame:
         run = Window.partitionBy("source").orderBy("bucket")
         joined = histogram.join(state.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
         summed = joined.withColumn("upto", F.sum("words").over(run))
-        over = summed.where("upto > budget").groupBy("source").agg(F.min(F.struct("bucket", (F.col("budget") - F.col("upto") + F.col("words")).alias("budget"), "rounds")).alias("x"))
+        over = summed.where("upto > budget").groupBy("source").agg(F.min(F.struct("bucket", (F.col("budget") - F.col("upto") + F.col("words")).alias("budget"), "rounds", "words")).alias("x"))
         # a budget that no bucket exceeds takes every row: its source's threshold is past the last hash
-        new = over.select("source", F.col("x.rounds").alias("rounds"), F.col("x.budget").alias("budget"), (F.col("x.bucket") * F.lit(width)).alias("low"))
+        last = (F.col("x.words") < 2 * F.col("x.budget")).cast("long") if done == HASH_BITS else F.lit(0)
+        new = over.select("source", F.col("x.rounds").alias("rounds"), F.col("x.budget").alias("budget"), (F.col("x.bucket") * F.lit(width) + last).alias("low"))
         kept = state.join(new.select(F.col("source").alias("again")), F.col("source").eqNullSafe(F.col("again")), "left_anti").where(f"low = {1 << HASH_BITS}" if done > FIRST_BITS else "true")
         full = kept.select("source", "rounds", "budget", F.lit(1 << HASH_BITS).alias("low")) if done == FIRST_BITS else kept
         state = materialize(new.unionByName(full), f"mix-state{done}")
@@ -91,7 +93,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id share a hash, so they are taken together or not at all; a null
     doc_id is a value like any other and a null source is a source of its own, the last one.
-    Empty and null texts have size 0 and 0 words taken. An empty table gives an empty result.
+    Empty and null texts have size 0 and 0 words taken; very long ones count whole, so one that is larger than twice
+    what is left of a budget is left out. An empty table gives an empty result.
     Whole rows are taken: never more than CAP times.
     """
     sizes = materialize(sized(docs), "mix")
@@ -129,7 +132,8 @@ t AS (SELECT source, source_size, CASE WHEN stops THEN source_size::DOUBLE * 2e0
     ELSE (SELECT min({'a': source_size::DOUBLE / weight, 'level': level}) FROM f WHERE NOT stops).level * weight END AS target FROM f),
 p AS (SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(floor(t.target / t.source_size), 2)::BIGINT ELSE 0 END AS rounds
     FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM p)
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(size) OVER (PARTITION BY source, h) AS words,
+    target - rounds * source_size AS budget FROM p)
 SELECT doc_id, size, source_size, target,
-    size * least(rounds + CASE WHEN upto <= target - rounds * source_size THEN 1 ELSE 0 END, 2)::BIGINT AS taken FROM c
+    size * least(rounds + CASE WHEN upto <= budget OR upto - words <= budget AND words < 2 * (budget - (upto - words)) THEN 1 ELSE 0 END, 2)::BIGINT AS taken FROM c
 """
