@@ -1,10 +1,10 @@
 """Scores of documents under a log-bilinear model trained by noise-contrastive estimation, and under word counts.
 
-The model predicts units: the most frequent words one by one, all others in classes by their last
-letters. A token's probability is that of its unit given the words before it (log-bilinear, over
+The model predicts units: the most frequent words one by one, all others in classes. A word with LEARNT training tokens
+is in a class by its last letters and so that classes have equally many such words; a rarer one is in that of its last letters. A token's probability is that of its unit given the words before it (log-bilinear, over
 all units) times that of the word in its class given the words before it: counts plus one, with one place
 for unseen words, times the exponential of a log-bilinear score, over their sum in the class. So
-probabilities add up to 1 over all words. Each word of a class with LEARNT training tokens has a target
+probabilities add up to 1 over all words. Each learnt word of a class has a target
 and context embeddings of its own, so the model grows with the vocabulary; rarer ones have score 0. Counts cover all training documents. Training passes over
 all of them: each task continues from one start model with its own documents, and the models'
 parameters are averaged by the numbers of their tokens.
@@ -24,7 +24,7 @@ from .store import bounded_runs, buckets, materialize, small_batches, text_of, w
 
 FOLDS, HELD_OUT = 7, 2
 #: Words that are units of their own, and classes of the others.
-OWN, CLASSES = 128, 64
+OWN, CLASSES = 128, 192
 UNITS = OWN + CLASSES
 CONTEXT, WIDTH = 3, 16
 #: The start model is trained on at most so many runs of so many characters of the training texts; all documents follow.
@@ -32,6 +32,8 @@ START_RUNS, START_CHARS = 400, 4000
 NOISE, BATCH, RATE = 48, 2048, 0.05
 #: Training tokens from which a word of a class has embeddings, most such words, noise words of its class a token.
 LEARNT, WORDS, CLASS_NOISE = 20, 32_768, 4
+#: Places from which the search for a drawn word begins in each class.
+SLOTS = 1024
 #: Parameters are averaged in chunks of this many.
 CHUNK = 1 << 16
 #: Counts of this many words at most go to every task; those of the others are joined.
@@ -71,36 +73,60 @@ class Classes:
         self.heap = np.append(0.0, np.cumsum(weight, dtype=np.float64))
         self.rest = total - (self.heap[edges[1:]] - self.heap[edges[:-1]])
         self.total = total
+        parts = self.heap[edges[:-1]][:, None] + np.arange(SLOTS) / SLOTS * total[:, None]
+        found = np.searchsorted(self.heap, parts, side="right") - 1
+        self.slots = np.minimum(np.maximum(found, edges[:-1][:, None]), edges[1:][:, None]).ravel()
 
     def draw(self, k: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """CLASS_NOISE words of each class in k by weight; the number of learnt words for any other word."""
-        x = rng.random((len(k), CLASS_NOISE)) * self.total[k][:, None]
-        found = np.searchsorted(self.heap, self.heap[self.edges[k]][:, None] + x, side="right") - 1
-        return np.where(found < self.edges[k + 1][:, None], found, len(self.weight))
+        low, high = self.edges[k][:, None], self.edges[k + 1][:, None]
+        # most of the search is done beforehand: where each SLOTS-th part of a class's weight begins
+        x = rng.random((len(k), CLASS_NOISE))
+        at = self.heap.take(low) + x * self.total.take(k)[:, None]
+        found = self.slots.take((x * SLOTS).astype(np.int64) + k[:, None] * SLOTS)
+        moving = np.flatnonzero((found < high) & (self.heap.take(found + 1, mode="clip") <= at))
+        found, at, high = found.ravel(), at.ravel(), np.broadcast_to(high, found.shape).ravel()
+        while len(moving):
+            found[moving] += 1
+            f = found[moving]
+            moving = moving[(f < high[moving]) & (self.heap.take(f + 1, mode="clip") <= at[moving])]
+        return np.where(found < high, found, len(self.weight)).reshape(len(k), CLASS_NOISE)
 
 
 def _ascend(x: np.ndarray, seen: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
     """An AdaGrad step on the rows at of x but the last one; g may have several rows for one."""
-    at, g = at[at < len(x) - 1], g[at < len(x) - 1]
-    if not len(at):
-        return
     # two bytes hold the places of WORDS rows, which numpy sorts by digits
     order = np.argsort(at.astype(np.uint16) if len(x) <= 1 << 16 else at, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(at[order]) > 0))
-    g = np.add.reduceat(g[order], first, axis=0)
-    at = at[order][first]
-    seen[at] += g * g
-    x[at] += RATE * g / np.sqrt(seen[at])
+    at = at[order]
+    n = int(np.searchsorted(at, len(x) - 1))
+    if not n:
+        return
+    at = at[:n]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    g = np.add.reduceat(g.take(order[:n], axis=0), first, axis=0)
+    at = at[first]
+    sum_of_squares = seen.take(at, axis=0)
+    sum_of_squares += g * g
+    seen[at] = sum_of_squares
+    np.sqrt(sum_of_squares, out=sum_of_squares)
+    g *= np.float32(RATE)
+    g /= sum_of_squares
+    x[at] += g
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place."""
+    np.negative(x, out=x)
+    np.minimum(x, np.float32(60), out=x)
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
 
 
 def _sums(at: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
     """The rows of g added up by their places."""
-    order = np.argsort(at.astype(np.uint16), kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    out = np.zeros((rows, *g.shape[1:]), np.float32)
-    out[at[first]] = np.add.reduceat(g[order], first, axis=0)
-    return out
+    columns = np.ascontiguousarray(g.T)
+    return np.stack([np.bincount(at, weights=c, minlength=rows) for c in columns], axis=1).astype(np.float32)
 
 
 class Model:
@@ -132,10 +158,14 @@ class Model:
         return Model(tables.reshape(CONTEXT, UNITS + 1, WIDTH).copy(), targets.reshape(UNITS, WIDTH).copy(), bias.copy(), near.reshape(CONTEXT, rows, WIDTH).copy(), inner.reshape(rows, WIDTH).copy())
 
     def predicted(self, context: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
-        r = sum(self.tables[i][context[i]] for i in range(CONTEXT))
-        return r if before is None else r + sum(self.near[i][before[i]] for i in range(CONTEXT))
-
-    def log_in_class(self, unit: np.ndarray, context: np.ndarray, word: np.ndarray, before: np.ndarray, classes: Classes) -> np.ndarray:
+        r = self.tables[0].take(context[0], axis=0)
+        for i in range(1, CONTEXT):
+            r += self.tables[i].take(context[i], axis=0)
+        for i in range(CONTEXT if before is not None else 0):
+            r += self.near[i].take(before[i], axis=0)
+        return r
+
+    def log_in_class(self, unit: np.ndarray, r: np.ndarray, word: np.ndarray, classes: Classes) -> np.ndarray:
         """For tokens of classes the natural logarithm of their words' probabilities in the class over counts plus one; 0 for others."""
         out = np.zeros(len(unit))
         order = np.argsort(unit, kind="stable")
@@ -144,30 +174,34 @@ class Model:
             a, b = np.searchsorted(unit[order], [k + OWN, k + OWN + 1])
             low, high = classes.edges[k], classes.edges[k + 1]
             # scores of a step stay in a core's cache
-            step = max(64, (1 << 17) // max(1, high - low))
+            step = max(64, (1 << 16) // max(1, high - low))
             words, weight = np.ascontiguousarray(self.inner[low:high].T), classes.weight[low:high].astype(np.float32)
             for i in range(a, b, step):
                 t = order[i : min(b, i + step)]
-                r = self.predicted(context[:, t], before[:, t])
-                score = r @ words
-                np.clip(score, -30, 30, out=score)
+                own = r.take(t, axis=0)
+                score = own @ words
+                if score.max(initial=0) > 30:
+                    np.minimum(score, np.float32(30), out=score)
                 np.exp(score, out=score)
                 total = score @ weight + classes.rest[k]
-                out[t] = np.clip(np.einsum("ij,ij->i", r, self.inner[word[t]]), -30, 30) - np.log(total)
+                out[t] = np.minimum(np.einsum("ij,ij->i", own, self.inner.take(word[t], axis=0)), 30) - np.log(total)
         return out
 
-    def log_probabilities(self, unit: np.ndarray, context: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    def log_probabilities(self, unit: np.ndarray, predicted: np.ndarray) -> np.ndarray:
         """Natural logarithms of the units' normalised probabilities."""
         out = np.empty(len(unit))
-        for i in range(0, len(unit), 1024):
-            u = unit[i : i + 1024]
-            score = self.predicted(context[:, i : i + 1024], None if before is None else before[:, i : i + 1024]) @ self.targets.T
-            score += self.bias
+        weights = np.ascontiguousarray(np.concatenate([self.targets, self.bias[:, None]], axis=1).T)
+        ones = np.ones(UNITS, np.float32)
+        for i in range(0, len(unit), 256):
+            u = unit[i : i + 256]
+            r = np.ones((len(u), WIDTH + 1), np.float32)
+            r[:, :-1] = predicted[i : i + 256]
+            score = r @ weights
+            if score.max() > 60:
+                np.minimum(score, np.float32(60), out=score)
             own = score[np.arange(len(u)), u]
-            top = score.max(1)
-            score -= top[:, None]
             np.exp(score, out=score)
-            out[i : i + 1024] = own - top - np.log(score.sum(1))
+            out[i : i + 256] = own - np.log(score @ ones)
         return out
 
 
@@ -186,30 +220,39 @@ class Trainer:
         m, n = self.m, len(unit)
         drawn = np.minimum(np.searchsorted(self.heap, self.rng.random(NOISE) * self.heap[-1]), UNITS - 1)
         r = m.predicted(context, before)
-        q, z = m.targets[unit], m.targets[drawn]
-        real = 1 / (1 + np.exp(self.noise[unit] - m.bias[unit] - np.einsum("ij,ij->i", r, q)))
-        fake = 1 / (1 + np.exp(np.clip(self.noise[drawn] - m.bias[drawn] - r @ z.T, -60, 60)))
-        real = (1 - real).astype(np.float32)
-        back = real[:, None] * q - fake @ z
+        q, z = m.targets.take(unit, axis=0), m.targets[drawn]
+        # a real token's chance of being taken for noise, a noise word's of being taken for real
+        real = _logistic((self.noise - m.bias).take(unit) - np.einsum("ij,ij->i", r, q))
+        fake = _logistic(r @ z.T - (self.noise - m.bias)[drawn])
+        real /= np.float32(n)
+        fake /= np.float32(n)
+        back = real[:, None] * q
+        back -= fake @ z
         # within classes the noise has the counts' shares, so a score's ratio to it is the log-bilinear part
         inside = np.flatnonzero(unit >= OWN)
         if len(inside) and len(m.inner) > 1:
-            other = self.classes.draw(unit[inside] - OWN, self.rng)
-            mine, base = r[inside], np.float32(np.log(CLASS_NOISE))
-            w, v = m.inner[word[inside]], m.inner[other]
-            up = 1 - 1 / (1 + np.exp(np.clip(base - np.einsum("ij,ij->i", mine, w), -60, 60)))
-            down = 1 / (1 + np.exp(np.clip(base - np.einsum("ij,ikj->ik", mine, v), -60, 60)))
-            back[inside] += up[:, None] * w - np.einsum("ik,ikj->ij", down, v)
-            g = np.concatenate([up[:, None] * mine, (-down[:, :, None] * mine[:, None, :]).reshape(-1, WIDTH)])
-            _ascend(m.inner, self.seen_words[1], np.concatenate([word[inside], other.ravel()]), (g / n).astype(np.float32))
+            own = word.take(inside)
+            other = self.classes.draw(unit.take(inside) - OWN, self.rng)
+            mine, base = r.take(inside, axis=0), np.float32(np.log(CLASS_NOISE))
+            w, v = m.inner.take(own, axis=0), m.inner.take(other, axis=0)
+            up = _logistic(base - np.einsum("ij,ij->i", mine, w))
+            down = _logistic(np.einsum("ij,ikj->ik", mine, v) - base)
+            up /= np.float32(n)
+            down /= np.float32(n)
+            w *= up[:, None]
+            w -= np.einsum("ik,ikj->ij", down, v)
+            back[inside] += w
+            g = np.empty((len(inside) * (1 + CLASS_NOISE), WIDTH), np.float32)
+            np.multiply(up[:, None], mine, out=g[: len(inside)])
+            np.multiply(-down[:, :, None], mine[:, None, :], out=g[len(inside) :].reshape(-1, CLASS_NOISE, WIDTH))
+            _ascend(m.inner, self.seen_words[1], np.concatenate([own, other.ravel()]), g)
         for i in range(CONTEXT):
-            _ascend(m.near[i], self.seen_words[0][i], before[i], (back / n).astype(np.float32))
+            _ascend(m.near[i], self.seen_words[0][i], before[i], back)
         targets, bias = _sums(unit, real[:, None] * r, UNITS), np.bincount(unit, weights=real, minlength=UNITS).astype(np.float32)
         np.add.at(targets, drawn, -(fake.T @ r))
         np.add.at(bias, drawn, -fake.sum(0))
         tables = np.stack([_sums(context[i], back, UNITS + 1) for i in range(CONTEXT)])
         for x, g, seen in zip((m.tables, m.targets, m.bias), (tables, targets, bias), self.seen):
-            g /= n
             seen += g * g
             x += RATE * g / np.sqrt(seen)
         self.tokens += n
@@ -287,7 +330,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             b, blobs = _by_bucket(_sum_counts(held), nb)
             yield pa.RecordBatch.from_arrays([pa.array(b), B.binary_array(blobs)], ["b", "blob"])
 
-    quota = 2 * FREQUENT // nb + 64
+    quota = 2 * FREQUENT // nb + 8
 
     def total(group: pa.Table) -> pa.Table:
         e = _sum_counts([np.frombuffer(x, COUNT) for x in group.column("blob").to_pylist()])
@@ -301,18 +344,21 @@ def score_documents(docs: DataFrame) -> DataFrame:
     top = np.concatenate([np.frombuffer(bytes(r["top"]), COUNT) for r in told]) if told else np.zeros(0, COUNT)
     top = top[np.lexsort((top["h"], -top["c"]))][:FREQUENT]
     own = top[:OWN]
-    class_tokens = np.array([r["class_tokens"] for r in told], np.int64).reshape(-1, CLASSES).sum(0) - np.bincount(own["s"], weights=own["c"], minlength=CLASSES).astype(np.int64)
-    class_words = np.array([r["class_words"] for r in told], np.int64).reshape(-1, CLASSES).sum(0) - np.bincount(own["s"], minlength=CLASSES)
-    share = np.concatenate([own["c"], np.zeros(OWN - len(own), np.int64), class_tokens]).astype(np.float64) + 0.5
-    share /= share.sum()
     rest = top[OWN:]
     rest = rest[rest["c"] >= LEARNT][:WORDS]
+    # learnt words in the order of their classes by letters, cut into equally many a class; all others stay in theirs
     rest = rest[np.lexsort((rest["h"], rest["s"]))]
     n_learnt = len(rest)
-    classes = Classes(np.searchsorted(rest["s"], np.arange(CLASSES + 1)), rest["c"] + 1.0, class_tokens + class_words + 1.0)
+    dealt = np.arange(n_learnt) * CLASSES // max(n_learnt, 1)
+    by_letters = lambda e, w=None: np.bincount(e["s"], weights=w, minlength=CLASSES).astype(np.int64)
+    class_tokens = np.array([r["class_tokens"] for r in told], np.int64).reshape(-1, CLASSES).sum(0) - by_letters(own, own["c"]) - by_letters(rest, rest["c"]) + np.bincount(dealt, weights=rest["c"], minlength=CLASSES).astype(np.int64)
+    class_words = np.array([r["class_words"] for r in told], np.int64).reshape(-1, CLASSES).sum(0) - by_letters(own) - by_letters(rest) + np.bincount(dealt, minlength=CLASSES)
+    share = np.concatenate([own["c"], np.zeros(OWN - len(own), np.int64), class_tokens]).astype(np.float64) + 0.5
+    share /= share.sum()
+    classes = Classes(np.searchsorted(dealt, np.arange(CLASSES + 1)), rest["c"] + 1.0, class_tokens + class_words + 1.0)
     learnt = {int(h): i for i, h in enumerate(rest["h"])}
     top = top[np.argsort(top["h"])]
-    number = {int(h): i for i, h in enumerate(own["h"])}
+    number = {int(h): i for i, h in enumerate(own["h"])} | {int(h): OWN + int(k) for h, k in zip(rest["h"], dealt)}
     unit_of_top = np.array([number.get(int(h), -1) for h in top["h"]], np.int16)
     shared = spark.sparkContext.broadcast((top["h"].copy(), top["c"].copy(), unit_of_top, np.array([learnt.get(int(h), n_learnt) for h in top["h"]], np.int64)))
 
@@ -320,7 +366,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         keys, c, unit, word = shared.value
         at = _lookup(keys, h)
         own = np.where(at >= 0, unit[at], -1) if len(keys) else np.full(len(h), -1)
-        return np.where(own >= 0, own, OWN + s.astype(np.int64)), np.where(at >= 0, c[at], -1) if len(keys) else np.full(len(h), -1), own >= 0, np.where(at >= 0, word[at], n_learnt) if len(keys) else np.full(len(h), n_learnt)
+        return np.where(own >= 0, own, OWN + s.astype(np.int64)), np.where(at >= 0, c[at], -1) if len(keys) else np.full(len(h), -1), (own >= 0) & (own < OWN), np.where(at >= 0, word[at], n_learnt) if len(keys) else np.full(len(h), n_learnt)
 
     start = Model.start(share, n_learnt)
     few = bounded_runs(train, START_RUNS, START_CHARS, "doc_id").collect()
@@ -383,7 +429,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 of = np.repeat(np.arange(j - i), n)
                 log = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0.0)
                 context, before = contexts(unit, offset), contexts(word, offset, n_learnt)
-                lm = (m.log_probabilities(unit, context, before) + m.log_in_class(unit, context, word, before, classes)) / np.log(10)
+                r = m.predicted(context, before)
+                lm = (m.log_probabilities(unit, r) + m.log_in_class(unit, r, word, classes)) / np.log(10)
                 sums = [np.bincount(of, weights=w, minlength=j - i) for w in (log, np.where(own, log, 0.0), lm)]
                 known = np.bincount(of[c > 0], minlength=j - i)
                 unknown = c < 0

@@ -517,11 +517,37 @@ def test_model_is_normalised():
     m = language_model.Model.start(share / share.sum())
     context = rng.integers(0, language_model.UNITS, (language_model.CONTEXT, 1))
     every = np.arange(language_model.UNITS)
-    p = np.exp(m.log_probabilities(every, np.repeat(context, len(every), 1)))
+    p = np.exp(m.log_probabilities(every, m.predicted(np.repeat(context, len(every), 1))))
     assert p.sum() == pytest.approx(1, abs=1e-5)
     assert (language_model.Model.of(m.flat()).tables == m.tables).all()
 
 
+def test_words_of_all_classes_add_up_to_one():
+    """Units times words in class, over every learnt word and the rest of each class, by plain sums."""
+    rng = np.random.default_rng(1)
+    units, classes, words = language_model.UNITS, language_model.CLASSES, 400
+    share = rng.random(units)
+    m = language_model.Model.start(share / share.sum(), words)
+    m.inner[:-1] = rng.normal(0, 1, (words, language_model.WIDTH))
+    edges = np.arange(classes + 1) * words // classes
+    own = language_model.Classes(edges, rng.integers(2, 50, words).astype(float), np.bincount(np.searchsorted(edges, np.arange(words), "right") - 1, minlength=classes) * 60.0 + 5)
+    context, before = rng.integers(0, units, (language_model.CONTEXT, 1)), rng.integers(0, words, (language_model.CONTEXT, 1))
+    r = m.predicted(context, before)
+    by_hand = sum(m.tables[i][context[i, 0]] + m.near[i][before[i, 0]] for i in range(language_model.CONTEXT))
+    assert r[0] == pytest.approx(by_hand)
+    p_unit = np.exp(m.bias + m.targets @ by_hand)
+    p_unit /= p_unit.sum()
+    total = p_unit[: language_model.OWN].sum()
+    for k in range(classes):
+        mine = np.arange(edges[k], edges[k + 1])
+        weight = own.weight[mine] * np.exp(m.inner[mine] @ by_hand)
+        sums = weight.sum() + own.rest[k]
+        got = m.log_probabilities(np.full(len(mine), language_model.OWN + k), np.repeat(r, len(mine), 0)) + m.log_in_class(np.full(len(mine), language_model.OWN + k), np.repeat(r, len(mine), 0), mine, own) + np.log(own.weight[mine])
+        assert got == pytest.approx(np.log(p_unit[language_model.OWN + k] * weight / sums), abs=1e-4)
+        total += np.exp(got).sum() + p_unit[language_model.OWN + k] * own.rest[k] / sums
+    assert total == pytest.approx(1, abs=1e-4)
+
+
 def test_rare_words_are_joined(spark, make, monkeypatch):
     texts = [f"alpha beta gamma{i % 7} delta{i}" for i in range(60)]
     want = {r.doc_id: (r.n_known, round(r.base_score, 9)) for r in language_model.score_documents(make(texts)).collect()}
