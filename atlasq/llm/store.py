@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +38,51 @@ def temporary(spark: SparkSession, label: str) -> str:
     """A new folder in the shared one, deleted when the Python process ends."""
     path = f"{shared_dir(spark).rstrip('/')}/atlasq-{label}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
+    if _stages["open"]:
+        _stages["folders"].append(path)
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_stages: dict = {"open": False, "folders": []}
+
+
+def _read_by(df: DataFrame) -> str | None:
+    """The folders that df's plan reads, in one text; none if the plan has leaves of unknown kinds."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation":
+            found.append(leaf.relation().location().rootPaths().toString())
+        elif kind != "LocalRelation":
+            return None
+    return " ".join(found)
+
+
+def stage(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) as a stage of a pipeline, whose intermediate tables go when the next stage begins on a written copy of its result.
+
+    Tables that docs still reads stay, and so does everything if that can't be told.
+    """
+    used = _read_by(docs)
+    if used is not None:
+        for path in _stages["folders"]:
+            if path.rsplit("/", 1)[1] not in used:
+                _delete(docs.sparkSession, path)
+        _stages["folders"] = [p for p in _stages["folders"] if p.rsplit("/", 1)[1] in used]
+    _stages["open"] = True
+    try:
+        return work(docs)
+    finally:
+        _stages["open"] = False
+
+
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = temporary(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,7 +101,7 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
 
 def keyed(df: DataFrame, label: str, name: str = "_rid") -> DataFrame:
     """df with numbered rows, written once. What is joined by the number in later jobs reads this copy, not df again."""
-    return materialize(with_row_id(df, name), label)
+    return materialize(with_row_id(df, name), label, "zstd")
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from atlasq.llm import jaccard, mixing, packing, rules, suffixes
-from atlasq.llm.store import materialize
+from atlasq.llm.store import materialize, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return rules.keep_good(docs)
+    return stage(docs, rules.keep_good)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return jaccard.one_of_each(docs)
+    return stage(docs, jaccard.one_of_each)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long strings that occur more than once are cut out of the texts."""
-    return suffixes.without_repeats(docs)
+    return stage(docs, suffixes.without_repeats)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken as often as their source's target tells."""
-    return mixing.mixed_rows(docs)
+    return stage(docs, mixing.mixed_rows)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in their sequences."""
-    return packing.pack_documents(docs)
+    return stage(docs, packing.pack_documents)
 
 
 STAGES = [
@@ -47,6 +47,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+    for k, (_, work) in enumerate(STAGES):
+        docs = materialize(work(spark, docs, sf_dir), f"stage{k}")
     return docs

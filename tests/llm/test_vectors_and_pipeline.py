@@ -82,6 +82,39 @@ def test_pipeline_stages(spark, documents, sf):
     assert P.run(spark, sf).count() == pieces.count()
 
 
+def test_stages_leave_no_tables_behind(spark, documents, sf, tmp_path):
+    """A stage's intermediate tables go when the next one begins on a written copy, not while its result is still read."""
+    import corpus_pipeline as P
+    from atlasq.llm import store
+
+    there = lambda: [p for p in store._stages["folders"] if os.path.exists(p.removeprefix("file://"))]
+    first = P.STAGES[0][1](spark, documents, sf)
+    rows = sorted(r.doc_id for r in first.collect())
+    assert there()
+    lazily = P.STAGES[1][1](spark, first, sf)
+    assert sorted(r.doc_id for r in first.collect()) == rows
+    first.write.parquet(f"file://{tmp_path}/first")
+    written = P.STAGES[1][1](spark, spark.read.parquet(f"file://{tmp_path}/first"), sf)
+    mine = set(there())
+    again = sorted(r.doc_id for r in written.collect())
+    written.write.parquet(f"file://{tmp_path}/second")
+    P.STAGES[2][1](spark, spark.read.parquet(f"file://{tmp_path}/second"), sf)
+    assert mine and not mine & set(there()) and len(again) < len(rows) and lazily.columns == documents.columns
+
+
+def test_pipeline_with_odd_rows(spark, odd):
+    """Nulls, repeated rows, clashing columns and long texts pass through every stage; columns stay."""
+    import corpus_pipeline as P
+
+    docs = odd
+    for _, work in P.STAGES[:-1]:
+        docs = work(spark, docs, "")
+        assert docs.columns == odd.columns
+    kept = [r.doc_id for r in docs.collect()]
+    pieces = P.STAGES[-1][1](spark, docs, "").collect()
+    assert set(kept) <= {5, 6} and {r.doc_id for r in pieces} == set(kept)
+
+
 def test_pipeline_takes_nothing(spark, none):
     import corpus_pipeline as P
 
