@@ -66,7 +66,7 @@ def ranged(df: DataFrame, keys: list[Key], part: str = "_part") -> DataFrame:
     names = [f"k{i}" for i in range(len(keys))]
     # one row for each of SAMPLE hash values a range: spread over all rows, combined before the shuffle
     own = df.select(*[F.col(f"`{name}`").alias(k) for (name, _), k in zip(keys, names)])
-    drawn = own.groupBy(F.pmod(F.xxhash64(*names), F.lit(SAMPLE * n)).alias("slot")).agg(F.min(F.struct(*names)).alias("b")).select("b.*")
+    drawn = own.groupBy(F.pmod(F.xxhash64(*names), F.lit(SAMPLE * n)).alias("slot")).agg(F.min_by(F.struct(*names), F.xxhash64(F.lit(1), *names)).alias("b")).select("b.*")
     few = drawn.orderBy(*_columns([(k, up) for k, (_, up) in zip(names, keys)])).collect()
     borders = list(dict.fromkeys(few[len(few) * i // n] for i in range(1, n))) if few else []
     step = -(-len(borders) // FAN) if borders else 1

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import boxes, expression, geometry, projection, values
 from ..functions.boxes import Box, Extent
 from ..operators import aggregates, grid, hits, labels, ordering, raster
-from ..sources import binary_tables, delimited, json_tables, registry, scratch
-from . import fixtures, processor, spec, tokens
+from ..sources import binary_tables, delimited, images, json_tables, registry, scratch
+from . import fixtures, processor, properties, spec, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -607,11 +607,13 @@ def raster_multiply(spark, sf):
 
 def _near_sql(mirror: bool = True) -> str:
     """Pixels with their eight neighbours p0 .. p8, row by row, as the filters see them at the borders."""
-    row = "OVER (PARTITION BY y ORDER BY x)"
-    column = "OVER (PARTITION BY x ORDER BY y)"
-    wide = f"(SELECT x, y, coalesce(lag(v) {row}, v) AS l, v AS c, coalesce(lead(v) {row}, v) AS r FROM (SELECT x, y, value::FLOAT AS v FROM {_PX}))"
-    up = lambda n: f"coalesce(lag({n}) {column}, {'lead(' + n + ') ' + column + ', ' if mirror else ''}{n})"
-    down = lambda n: f"coalesce(lead({n}) {column}, {'lag(' + n + ') ' + column + ', ' if mirror else ''}{n})"
+    def near(f: str, by: str, across: str, n: str) -> str:
+        window = f"OVER (PARTITION BY {across} ORDER BY {by})"
+        return f"CASE WHEN {f}({by}) {window} = {by} {'-' if f == 'lag' else '+'} 1 THEN {f}({n}) {window} END"
+
+    wide = f"(SELECT x, y, coalesce({near('lag', 'x', 'y', 'v')}, v) AS l, v AS c, coalesce({near('lead', 'x', 'y', 'v')}, v) AS r FROM (SELECT x, y, value::FLOAT AS v FROM {_PX}))"
+    side = lambda n, *fs: "coalesce(" + ", ".join([*(near(f, "y", "x", n) for f in (fs if mirror else fs[:1])), n]) + ")"
+    up, down = (lambda n: side(n, "lag", "lead")), (lambda n: side(n, "lead", "lag"))
     return f"(SELECT x, y, {', '.join(f'{up(n)} AS p{i}, {n} AS p{i + 3}, {down(n)} AS p{i + 6}' for i, n in enumerate('lcr'))} FROM {wide})"
 
 
@@ -824,6 +826,35 @@ def source_parquet(spark, sf):
     return expression.where(t.df, "[o_totalprice] > 1000").select("o_orderkey", "o_totalprice")
 
 
+_FULL = f"(SELECT g.x, g.y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(a, 0) AS a FROM (SELECT (i % 64)::INTEGER AS x, (i // 64)::INTEGER AS y FROM (SELECT unnest(range(4096)) AS i)) g LEFT JOIN {_rgba_sql()} p ON p.x = g.x AND p.y = g.y)"
+
+
+@query(f"SELECT x, y, r, g, b, a FROM {_FULL}")
+def raster_png(spark, sf):
+    """Pixels written as PNG tiles of 16 by 16 and read back from them; where there is none, the tiles are clear."""
+    return images.pixels(images.to_png(rgba(spark, sf), 16))
+
+
+@query(f"SELECT x - 8 AS x, y - 4 AS y, r, g, b, a FROM {_FULL} WHERE x BETWEEN 8 AND 23 AND y BETWEEN 4 AND 35")
+def raster_png_window(spark, sf):
+    """A part of one image that holds all pixels."""
+    part = images.pixels(images.to_png(rgba(spark, sf), 64).select("content"), window=(8, 4, 16, 32))
+    return part.select((F.col("x") - 8).alias("x"), (F.col("y") - 4).alias("y"), *"rgba")
+
+
+@query("""SELECT c_custkey, c_custkey % 7 * 0.5e0 AS width, 1e0 AS height, c_acctbal > 0 AS allow_overlap, FALSE AS clip, 1e0 AS opacity, CASE WHEN c_custkey % 3 = 0 THEN 'each' WHEN c_custkey % 3 = 1 THEN 'whole' ELSE 'each' END AS multi_policy,
+    255 AS fill_r, 136 AS fill_g, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 17 * (c_custkey % 3 + 7) END AS stroke_r, 'icons/' || c_mktsegment || '.svg' AS file, 1 + c_custkey % 7 * 0.5e0 AS a, 10e0 AS e FROM customer""")
+def symbolizer_properties(spark, sf):
+    """Constants, expressions and defaults of a symbolizer's properties, row by row."""
+    df = table(spark, sf, "customer").withColumns({
+        "w": F.expr("c_custkey % 7 * 0.5e0"), "how": F.expr("case c_custkey % 3 when 0 then 'each' when 1 then 'whole' else 'nonsense' end"), "ink": F.expr("case c_custkey % 3 when 0 then 'black' else concat('#', c_custkey % 3 + 7, '00') end"),
+    })
+    s = spec.Symbolizer("markers", {"width": "[w]", "height": 1, "allow-overlap": "[c_acctbal] > 0", "multi-policy": "[how]", "fill": "#f80", "stroke": "[ink]", "file": "icons/[c_mktsegment].svg", "transform": "translate(10, 0) scale(1 + [w], 1)"})
+    keys = ["width", "height", "allow-overlap", "clip", "opacity", "multi-policy", "fill", "stroke", "file", "transform"]
+    out = properties.with_properties(df, s, keys)
+    return out.select("c_custkey", "width", "height", "allow_overlap", "clip", "opacity", "multi_policy", F.col("fill.r").alias("fill_r"), F.col("fill.g").alias("fill_g"), F.col("stroke.r").alias("stroke_r"), "file", F.col("transform.a").alias("a"), F.col("transform.e").alias("e"))
+
+
 @query(f"SELECT id, x AS minx, y AS miny, x + a AS maxx, y + b AS maxy FROM {_BENT}")
 def geojson_line_boxes(spark, sf):
     """Boxes of features given as JSON lines, without building geometry."""

@@ -144,6 +144,19 @@ def test_colours_and_kernels():
     assert len(raster.octree_palette([(i, 0, 0, 255) for i in range(100)], 8)) == 8
 
 
+def test_symbolizer_properties(spark):
+    from atlasq.plans import properties
+
+    df = spark.createDataFrame([("#0f08", 3.5, True, "red"), ("nothing", None, None, None)], "c string, w double, b boolean, n string")
+    s = spec.Symbolizer("line", {"stroke": "[c]", "stroke-width": "[w] * 2", "clip": "[b]", "fill": "[n]", "stroke-dasharray": "4, 2, 1", "opacity": "0.5"})
+    a, b = properties.with_properties(df, s, ["stroke", "stroke-width", "clip", "fill", "stroke-dasharray", "opacity", "stroke-linecap", "transform"]).collect()
+    assert tuple(a.stroke) == (0, 255, 0, 136) and a.stroke_width == 7.0 and a.clip and tuple(a.fill) == (255, 0, 0, 255)
+    assert tuple(b.stroke) == (0, 0, 0, 255) and b.clip is False and tuple(b.fill) == (128, 128, 128, 255)
+    assert [tuple(x) for x in a.stroke_dasharray] == [(4, 2), (1, 4), (2, 1)] and a.opacity == 0.5 and a.stroke_linecap == "butt" and tuple(a.transform) == (1, 0, 0, 1, 0, 0)
+    with pytest.raises(ValueError):
+        properties.dashes("4,-1")
+
+
 def test_every_blend_mode(spark):
     a = spark.createDataFrame([(0, 0, 200, 100, 50, 128)], "x int, y int, r int, g int, b int, a int")
     b = spark.createDataFrame([(0, 0, 10, 250, 90, 255), (1, 0, 1, 2, 3, 255)], "x int, y int, r int, g int, b int, a int")

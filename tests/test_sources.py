@@ -152,6 +152,60 @@ def test_rasters(spark, tmp_path):
     assert B.pixel_at(px, head, 15, 15).first().value == 2.0 and B.pixel_at(px, head, 15, 5).count() == 0
 
 
+def test_png(spark, tmp_path):
+    """Our own files, and ones of every row filter and colour type, written out by hand."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from atlasq.sources import images as I
+
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 256, (13, 9, 4)).astype(np.uint8)
+    assert (I.decode(I.encode(a)) == a).all()
+
+    def png(width, height, depth, colour, rows, more=b""):
+        head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 0)
+        return I.SIGNATURE + I._chunk(b"IHDR", head) + more + I._chunk(b"IDAT", zlib.compress(b"".join(rows))) + I._chunk(b"IEND", b"")
+
+    rows, above = [], np.zeros((9, 4), int)
+    for y in range(13):
+        own, kind = a[y].astype(int), y % 5
+        left = np.concatenate([np.zeros((1, 4), int), own[:-1]])
+        corner = np.concatenate([np.zeros((1, 4), int), above[:-1]])
+        paeth = np.array([[min((abs(int(l) + int(u) - int(c) - v), k, v) for k, v in enumerate((int(l), int(u), int(c))))[2] for l, u, c in zip(*t)] for t in zip(left, above, corner)])
+        guess = [0, left, above, (left + above) // 2, paeth][kind]
+        rows.append(bytes([kind]) + ((own - guess) & 255).astype(np.uint8).tobytes())
+        above = own
+    assert (I.decode(png(9, 13, 8, 6, rows)) == a).all()
+    assert I.decode(png(3, 1, 8, 0, [b"\0\x05\x06\xff"]))[0].tolist() == [[5, 5, 5, 255], [6, 6, 6, 255], [255, 255, 255, 255]]
+    assert I.decode(png(3, 1, 1, 0, [b"\0\xa0"]))[0, :, 0].tolist() == [255, 0, 255]
+    assert I.decode(png(2, 1, 16, 2, [b"\0" + bytes([1, 9, 2, 9, 3, 9, 4, 9, 5, 9, 6, 9])]))[0].tolist() == [[1, 2, 3, 255], [4, 5, 6, 255]]
+    palette = I._chunk(b"PLTE", bytes([1, 2, 3, 4, 5, 6])) + I._chunk(b"tRNS", bytes([7]))
+    assert I.decode(png(2, 1, 4, 3, [b"\0\x01"], palette))[0].tolist() == [[1, 2, 3, 7], [4, 5, 6, 255]]
+    with pytest.raises(ValueError):
+        I.decode(b"GIF89a")
+    (tmp_path / "a.png").write_bytes(I.encode(a))
+    view, px = I.read(spark, str(tmp_path / "a.png"), Extent(0.0, 0.0, 90.0, 130.0))
+    assert (view.width, view.height) == (9, 13) and view.forward(45.0, 65.0) == (4.5, 6.5)
+    assert px.count() == 117 and px.where((F.col("x") == 8) & (F.col("y") == 12)).first()[2:] == tuple(int(v) for v in a[12, 8])
+
+
+def test_properties_of_all_features_are_kept(spark):
+    """A property that only the last feature has is a column; types come from the first value."""
+    features = [{"type": "Feature", "properties": {"n": None if i < 8 else i, **({"late": True} if i == 19 else {})}, "geometry": {"type": "Point", "coordinates": [i, i]}} for i in range(20)]
+    t = J.geojson(spark, inline=json.dumps({"type": "FeatureCollection", "features": features})).df
+    assert dict(t.dtypes)["n"] == "bigint" and dict(t.dtypes)["late"] == "boolean"
+    assert [(r.id, r.n, r.late) for r in t.where("id in (8, 9, 20)").orderBy("id").collect()] == [(8, None, None), (9, 8, None), (20, 19, True)]
+
+
+def test_many_csv_files_are_numbered_by_name(spark, tmp_path):
+    for name, lines in (("b.csv", ["3,3,c"]), ("a.csv", ["1,1,a", "2,2,b"]), ("c.csv", [f"{i},{i},x{i}" for i in range(4, 60)])):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    t = D.read(spark, path=str(tmp_path), options=D.Options(headers="x,y,name"))
+    assert [(r.id, int(r.x)) for r in t.df.orderBy("id").collect()] == [(i, i) for i in range(1, 60)]
+
+
 def test_memory_and_registry(spark):
     t = R.memory(spark, [(1, "POINT(1 2)", {}), (2, "LINESTRING(-10 0,0 20)", {})], "")
     assert tuple(t.extent().first()) == (-10.0, 0.0, 1.0, 20.0) and t.at_point(1, 2, 0.1).count() == 1 and t.at_point(0, 2, 1).count() == 2
