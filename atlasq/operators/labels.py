@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..plans.spec import Rule
+from ..sources import scratch
+from .ordering import numbered
 
 
 class Detector:
@@ -53,7 +55,7 @@ def place_labels(df: DataFrame, by: str, order: list[str], extent: tuple[float,
     """df with a column placed: boxes (minx .. maxy) are accepted in order unless they meet accepted ones of their group.
 
     by names the group, a map or a tile: labels of different groups never meet, so groups run side by
-    side, and a group holds what a tile can show. Alternatives: rows that share a column candidate_of
+    side, and all candidates of a group are in one task; see place_labels_everywhere() for more than that. Alternatives: rows that share a column candidate_of
     are tried in order until one is placed.
     """
     has_alternatives = "candidate_of" in df.columns
@@ -79,6 +81,37 @@ def place_labels(df: DataFrame, by: str, order: list[str], extent: tuple[float,
     return df.groupBy(by).applyInPandas(run, schema)
 
 
+def place_labels_everywhere(df: DataFrame, order: list[tuple[str, bool]], reach: float, margin: float = 0.0, repeat: float = 0.0, text: str | None = None) -> DataFrame:
+    """df with a column placed, as place_labels() over one group of all rows gives it, without any task seeing all of them.
+
+    order is a total one (columns, ascending or not). Boxes are dealt to cells of the size reach. In each round a box is placed if it is the first undecided one of
+    every cell it touches, as all that could bar it is decided; then those that meet a box just placed
+    fall out. A cell places one box a round, so a round compares each undecided box with at most one for each of its cells.
+    """
+    pad = max(margin, repeat) / 2
+    key = "_place"
+    far = lambda a, b, d: (F.col(f"{a}minx") <= F.col(f"{b}maxx") + d) & (F.col(f"{a}maxx") >= F.col(f"{b}minx") - d) & (F.col(f"{a}miny") <= F.col(f"{b}maxy") + d) & (F.col(f"{a}maxy") >= F.col(f"{b}miny") - d)
+    span = lambda low, high: F.sequence(F.floor((F.col(low) - pad) / reach), F.floor((F.col(high) + pad) / reach))
+    ranked = scratch.written(numbered(df, order, key))
+    boxes = ranked.select(key, "minx", "miny", "maxx", "maxy", (F.col(text) if text else F.lit(None).cast("string")).alias("_text"))
+    open_boxes, placed = boxes, None
+    while open_boxes.limit(1).count():
+        cells = open_boxes.withColumn("_i", F.explode(span("minx", "maxx"))).withColumn("_j", F.explode(span("miny", "maxy")))
+        first = cells.groupBy("_i", "_j").agg(F.min(key).alias("_first"))
+        won = cells.join(first, ["_i", "_j"]).groupBy(key).agg(F.min((F.col("_first") == F.col(key)).cast("int")).alias("_won")).where("_won = 1").select(key)
+        new = scratch.written(open_boxes.join(won, key))
+        new_cells = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns]).withColumn("_i", F.explode(F.sequence(F.floor((F.col("n_minx") - pad) / reach), F.floor((F.col("n_maxx") + pad) / reach)))).withColumn("_j", F.explode(F.sequence(F.floor((F.col("n_miny") - pad) / reach), F.floor((F.col("n_maxy") + pad) / reach))))
+        meets = far("", "n_", margin)
+        if text and repeat > margin:
+            meets = meets | (F.col("_text") == F.col("n__text")) & far("", "n_", repeat)
+        barred = cells.join(new_cells, ["_i", "_j"]).where(meets).select(key).distinct()
+        placed = new.select(key) if placed is None else placed.union(new.select(key))
+        open_boxes = scratch.written(open_boxes.join(barred, key, "left_anti").join(new.select(key), key, "left_anti"))
+    if placed is None:
+        return ranked.drop(key).withColumn("placed", F.lit(False))
+    return ranked.join(placed.withColumn("placed", F.lit(True)), key, "left").drop(key).withColumn("placed", F.coalesce("placed", F.lit(False)))
+
+
 def markers(df: DataFrame, placement: str, spacing: float = 100.0) -> DataFrame:
     """A row for each marker position on geom: x, y, angle."""
     at = F.explode(G.marker_positions("geom", F.lit(placement), F.lit(float(spacing))))

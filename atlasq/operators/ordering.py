@@ -89,14 +89,22 @@ def ranged(df: DataFrame, keys: list[Key], part: str = "_part") -> DataFrame:
     return grouped.withColumn(part, F.col("_of") * step + inner).drop("_of", "_group", "_borders")
 
 
+def _free(df: DataFrame, name: str, *taken: str) -> str:
+    """A column name that df and taken don't have."""
+    while name.lower() in {c.lower() for c in (*df.columns, *taken)}:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, keys: list[Key], name: str) -> DataFrame:
     """df with each row's place in the order of keys, from 1."""
-    parted = ranged(df, keys)
-    counts = parted.groupBy("_part").count()
+    part, p, before, rank = (_free(df, n, name) for n in ("_part", "_p", "_before", "_rank"))
+    parted = ranged(df, keys, part)
+    counts = parted.groupBy(part).count()
     # as many rows as ranges
-    before = counts.select(F.col("_part").alias("_p"), (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    ranked = parted.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*_columns(keys))))
-    return ranked.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, (F.col("_before") + F.col("_rank")).cast("long")).drop("_part", "_p", "_before", "_rank")
+    ahead = counts.select(F.col(part).alias(p), (F.sum("count").over(Window.orderBy(part)) - F.col("count")).alias(before))
+    ranked = parted.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(*_columns(keys))))
+    return ranked.join(F.broadcast(ahead), F.col(part) == F.col(p)).withColumn(name, (F.col(before) + F.col(rank)).cast("long")).drop(part, p, before, rank)
 
 
 def group_runs(df: DataFrame, key: str, order: str, run: str = "run_id") -> DataFrame:

@@ -553,6 +553,14 @@ def label_collision(spark, sf):
     return labels.place_labels(df, "tile", ["rank", "id"], (-180.0, -90.0, 180.0, 90.0), 0.5, 4.0, "c_mktsegment").select("id", "tile", "placed")
 
 
+@query()
+def label_collision_everywhere(spark, sf):
+    """The same over one map, tile borders or not; tests compare with boxes placed one by one."""
+    b = Box.around(F.col("x"), F.col("y"), 2.0)
+    df = customers(spark, sf).select("id", "c_mktsegment", (-F.col("c_acctbal")).alias("rank"), *[c.alias(n) for c, n in zip(b.parts(), ("minx", "miny", "maxx", "maxy"))])
+    return labels.place_labels_everywhere(df, [("rank", True), ("id", True)], 9.0, 0.5, 4.0, "c_mktsegment").select("id", "placed")
+
+
 @query(f"SELECT id, x + 5e0 AS x, y AS y, 0e0 AS angle FROM {_C}")
 def marker_placement(spark, sf):
     df = customers(spark, sf)

@@ -144,6 +144,23 @@ def test_colours_and_kernels():
     assert len(raster.octree_palette([(i, 0, 0, 255) for i in range(100)], 8)) == 8
 
 
+def test_labels_everywhere_are_those_placed_one_by_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [(i, float(v), float(x), float(y), float(x + w), float(y + 1), t) for i, (v, x, y, w, t) in enumerate(zip(rng.integers(0, 40, 250), rng.uniform(-30, 30, 250), rng.uniform(-30, 30, 250), rng.uniform(1, 5, 250), map(str, rng.integers(0, 9, 250))))]
+    df = spark.createDataFrame(rows, "id int, v double, minx double, miny double, maxx double, maxy double, t string")
+    got = {r.id: r.placed for r in labels.place_labels_everywhere(df, [("v", False), ("id", True)], 6.0, 0.3, 7.0, "t").collect()}
+    found = labels.Detector((-99.0, -99.0, 99.0, 99.0))
+    want = {}
+    for i, v, *box, t in sorted(rows, key=lambda r: (-r[1], r[0])):
+        want[i] = found.free(tuple(box), 0.3, t, 7.0)
+        if want[i]:
+            found.place(tuple(box), t)
+    assert got == want and 0 < sum(want.values()) < 250
+    assert labels.place_labels_everywhere(df.limit(0), [("id", True)], 6.0).count() == 0
+
+
 def test_symbolizer_properties(spark):
     from atlasq.plans import properties
 
