@@ -40,6 +40,11 @@ TEMPLATES = {
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ),
+    "ISC": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Mozilla Public License Version 2.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution 4.0 International Public License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
@@ -47,8 +52,8 @@ TEMPLATES = {
 }
 #: Terms that decide: of each group that a form has, a window must have one too. Versions are such terms.
 DECIDING = [
-    {"mit"}, {"bsd"}, {"apache"}, {"mozilla"}, {"gnu", "gpl"}, {"lesser"}, {"library"}, {"affero"}, {"cc"}, {"by"}, {"by-nc"}, {"by-sa"},
-    {"attribution"}, {"attribution-noncommercial"}, {"attribution-sharealike"}, {"2", "2.0"}, {"2.1"}, {"3", "3.0"}, {"4.0"}, {"redistribution", "redistributions"}, {"permission"},
+    {"mit"}, {"isc"}, {"bsd"}, {"apache"}, {"mozilla"}, {"gnu", "gpl"}, {"lesser"}, {"library"}, {"affero"}, {"cc"}, {"by"}, {"by-nc"}, {"by-sa"},
+    {"attribution"}, {"attribution-noncommercial"}, {"attribution-sharealike"}, {"2", "2.0"}, {"2.1"}, {"3", "3.0"}, {"4.0"}, {"redistribution", "redistributions"}, {"permission"}, {"fee"}, {"charge"},
 ]
 #: "library" decides only where it is part of the licence's name.
 NO_NEED = {("LGPL-3.0", "library"), ("LGPL-2.1", "library")}
@@ -57,7 +62,7 @@ BARRED = {"GPL-3.0": {"lesser", "affero"}, "GPL-2.0": {"lesser", "affero"}, "GPL
 BARRED_NEAR = {"GPL": {"1", "1.0", "2", "2.0", "2.1", "3", "3.0"}}
 NEAR = 12
 #: A place is looked at if it has one of these, also across line breaks and comment signs.
-MARKS = re.compile(r"licen[cs]e|permission\W+is\W+hereby|redistribution\W+and\W+use|free\W+software|public\W+license|creative\W+commons|gpl", re.IGNORECASE)
+MARKS = re.compile(r"licen[cs]e|permission\W+is\W+hereby|permission\W+to\W+use|redistribution\W+and\W+use|free\W+software|public\W+license|creative\W+commons|gpl", re.IGNORECASE)
 LEAST = 0.7
 #: Window starts compared at once.
 STARTS = 1024

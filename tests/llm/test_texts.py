@@ -685,6 +685,9 @@ def test_licences_inside_longer_texts(spark):
         ("Copyright 2020 Foo Bar. Released under the MIT License.", "MIT"), (other + "Released under the MIT License. " + other, "MIT"),
         (wrapped.format("program", "", "3"), "GPL-3.0"), (wrapped.format("program", "", "2"), "GPL-2.0"), (wrapped.format("library", "Lesser ", "2.1"), "LGPL-2.1"), (wrapped.format("library", "Lesser ", "3"), "LGPL-3.0"), (wrapped.format("program", "Affero ", "3"), "AGPL-3.0"),
         (other + "This work is licensed under the GNU General\nPublic License, version 2. " + other, "GPL-2.0"), ("It is under the GNU General Public License. " + other, "GPL"), ("MIT License\n\nCopyright (c) 2020 Foo\n\n" + licenses.TEMPLATES["MIT"][2], "MIT"), (licenses.TEMPLATES["MIT"][2].replace(" ", "\n# "), "MIT"),
+        ("ISC License\n\nCopyright (c) 2020 Foo\n\n" + licenses.TEMPLATES["ISC"][2].replace(" the ", " the\n"), "ISC"), ("/*\n * Permission to use, copy, modify, and/or\n * distribute this software for any purpose with or\n * without fee is hereby granted, provided that the\n * above copyright notice and this permission notice\n * appear in all copies.\n */\nint x;", "ISC"),
+        ("Copyright (c) 2020, Foo\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n", "BSD"),
+        ("# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\nimport os", "Apache-2.0"),
         ("Released under the Foo License.", None), (other + "my driving licence was lost", None), ("Licensed under CC BY-NC-SA 4.0.", None), (other * 200 + "Licensed under CC BY-SA 4.0. " + other * 200, "CC-BY-SA-4.0"),
     ]
     docs = spark.createDataFrame([(i, f"d{i}/a.txt", t) for i, (t, _) in enumerate(cases)], "doc_id long, path string, text string")
