@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs as C
+from ..functions.boxes import Extent
 from ..functions.projection import CIRCUMFERENCE
 from ..plans.processor import SpatialTable
 from .json_tables import _finish, place
@@ -257,14 +258,23 @@ def _geometry(raw: object, form: str) -> C.Geometry | None:
     return C.from_twkb(raw) if form == "twkb" else C.from_wkb(raw)
 
 
-def sqlite(spark: SparkSession, path: str, table: str, geometry_field: str = "geometry", key_field: str | None = None, wkb_format: str = "auto", row_limit: int = 0, row_offset: int = 0, fields: str = "*") -> SpatialTable:
-    """A table or a subquery of a SQLite file; the file's bytes are opened where they are read."""
-    sql = f"SELECT {fields} FROM {table}" + (f" LIMIT {row_limit}" if row_limit > 0 else " LIMIT -1" if row_offset else "") + (f" OFFSET {row_offset}" if row_offset else "")
+def sqlite(spark: SparkSession, path: str, table: str, geometry_field: str = "geometry", key_field: str | None = None, wkb_format: str = "auto", row_limit: int = 0, row_offset: int = 0, fields: str = "*", box: Extent | None = None) -> SpatialTable:
+    """A table or a subquery of a SQLite file; the file's bytes are opened where they are read.
+
+    Where a box is given and the table has an index of boxes (an R-tree named idx_table_geometry), only rows whose
+    boxes meet it are decoded; ids then count these rows.
+    """
+    index = f"idx_{table}_{geometry_field}"
+    near = ""
+    if box is not None:
+        near = f" WHERE {key_field or 'rowid'} IN (SELECT pkid FROM {index} WHERE xmax >= {box.minx!r} AND xmin <= {box.maxx!r} AND ymax >= {box.miny!r} AND ymin <= {box.maxy!r})"
+    tail = (f" LIMIT {row_limit}" if row_limit > 0 else " LIMIT -1" if row_offset else "") + (f" OFFSET {row_offset}" if row_offset else "")
 
     def decode(raw: bytes) -> list[tuple[C.Geometry | None, dict]]:
         con = sqlite3.connect(":memory:")
         con.deserialize(raw)
-        cursor = con.execute(sql)
+        indexed = near and con.execute("SELECT count(*) FROM sqlite_master WHERE name = ?", (index,)).fetchone()[0]
+        cursor = con.execute(f"SELECT {fields} FROM {table}" + (near if indexed else "") + tail)
         names = [c[0] for c in cursor.description]
         if geometry_field not in names:
             raise ValueError(f"no column {geometry_field}; there are {names}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,6 +114,57 @@ def postgis_sql(table: str, q: SpatialQuery, geometry_field: str = "geom", key_f
     return f"SELECT {','.join(columns)} FROM {text}{where}" + (f" LIMIT {row_limit}" if row_limit > 0 else "")
 
 
+@dataclass(frozen=True)
+class Overview:
+    """A coarser copy of a raster table: where it is, and its pixels' size in the plane."""
+
+    schema: str
+    table: str
+    column: str
+    scale: float
+
+
+def raster_table_sql(
+    table: str, q: SpatialQuery, raster_field: str = "rast", schema: str = "public", key_field: str | None = None, srid: int = 4326, band: int = 0, prescale: bool = False, clip: bool = False, overviews: Iterable[Overview] = (), row_limit: int = 0,
+) -> str:
+    """The SQL that a table of raster tiles is read by: the coarsest copy that is still finer than a pixel, and tiles clipped
+    to the box, resized to the pixels and cut to one band at the server. Its binary column is read by binary_tables.raster_pixels()."""
+    quoted = lambda n: '"' + n.replace('"', '""') + '"'
+    px = min(1 / q.resolution[0], 1 / q.resolution[1])
+    column, text = raster_field, table
+    copies = sorted(overviews, key=lambda o: o.scale)
+    if copies:
+        # without one that is fine enough the finest copy is taken
+        best = max((o for o in copies if o.scale < px), key=lambda o: o.scale, default=copies[0])
+        name = tokens.table_from_sql(table)
+        bare = name.rsplit(".", 1)[-1].strip('"')
+        for old, new in ((bare, best.table), (schema, best.schema), (raster_field, best.column)):
+            text = text.replace(old, new) if old else text
+        column = best.column
+    e, own = q.extent, quoted(column)
+    env = f"ST_SetSRID('BOX3D({tokens.shown(e.minx)} {tokens.shown(e.miny)},{tokens.shown(e.maxx)} {tokens.shown(e.maxy)})'::box3d, {srid})"
+    value = own
+    if clip:
+        value = f"ST_Clip({value}, ST_Expand({env}, greatest(abs(ST_ScaleX({own})), abs(ST_ScaleY({own})))))"
+    if prescale:
+        share = lambda axis: f"least(1.0, abs(ST_Scale{axis}({own}))::float8/{tokens.shown(px)})"
+        value = f"ST_Resize({value}, {share('X')}, {share('Y')})"
+    if band:
+        value = f"ST_Band({value}, {band})"
+    names = [n for n in [key_field, *(q.names or ())] if n]
+    where = "" if "!bbox!" in text else f" WHERE {own} && {env}"
+    columns = ",".join([f"ST_AsBinary({value}) AS geom", *map(quoted, dict.fromkeys(names))])
+    return f"SELECT {columns} FROM {tokens.fill(text.replace('!bbox!', env), q)}{where}" + (f" LIMIT {row_limit}" if row_limit > 0 else "")
+
+
+def raster_table(spark: SparkSession, url: str, table: str, q: SpatialQuery, band: int = 1, properties: Mapping[str, str] | None = None, **more) -> DataFrame:
+    """Pixels of the tiles that raster_table_sql() reads through JDBC (the driver's jar must be there)."""
+    df = spark.read.format("jdbc").options(url=url, query=raster_table_sql(table, q, **more), **(properties or {})).load()
+    key = more.get("key_field")
+    rows = df.select((F.col(key) if key else F.monotonically_increasing_id()).alias("id"), F.col("geom").alias("raster"))
+    return binary_tables.raster_pixels(rows, band=band)
+
+
 def postgis(spark: SparkSession, url: str, table: str, q: SpatialQuery, fetch_size: int = 10_000, properties: Mapping[str, str] | None = None, **more) -> DataFrame:
     """The rows of postgis_sql() through JDBC (the driver's jar must be there), with boxes."""
     df = spark.read.format("jdbc").options(url=url, query=postgis_sql(table, q, **more), fetchsize=str(fetch_size), **(properties or {})).load()

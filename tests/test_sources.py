@@ -142,6 +142,35 @@ def test_sqlite_and_tiles(spark, tmp_path):
     assert sorted(B.tile_of_id(i) for i in range(1, 5)) == [(1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)] and B.tile_of_id(1) == (1, 0, 0)
 
 
+def test_sqlite_box_uses_the_index(spark, tmp_path):
+    path = str(tmp_path / "r.sqlite")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE p (id INTEGER PRIMARY KEY, name TEXT, geometry BLOB)")
+    con.execute("CREATE VIRTUAL TABLE idx_p_geometry USING rtree(pkid, xmin, xmax, ymin, ymax)")
+    for i in range(20):
+        con.execute("INSERT INTO p VALUES (?,?,?)", (i, f"n{i}", C.to_wkb(C.from_wkt(f"POINT({i} {i})"))))
+        con.execute("INSERT INTO idx_p_geometry VALUES (?,?,?,?,?)", (i, i, i, i, i))
+    con.execute("CREATE TABLE bare AS SELECT * FROM p")
+    con.commit()
+    con.close()
+    box = Extent(3.0, 3.0, 5.5, 9.0)
+    assert sorted(r.name for r in B.sqlite(spark, path, "p", key_field="id", box=box).df.collect()) == ["n3", "n4", "n5"]
+    assert B.sqlite(spark, path, "bare", key_field="id", box=box).df.count() == 20
+
+
+def test_raster_table_sql():
+    q = spec.SpatialQuery(Extent(0, 0, 10, 10), (0.5, 0.25), 1000.0, ("a", "id"))
+    plain = R.raster_table_sql("tiles", q)
+    assert plain.startswith('SELECT ST_AsBinary("rast") AS geom,"a","id" FROM tiles WHERE "rast" && ST_SetSRID(')
+    full = R.raster_table_sql("tiles", q, key_field="id", band=2, prescale=True, clip=True, row_limit=7)
+    assert full.startswith('SELECT ST_AsBinary(ST_Band(ST_Resize(ST_Clip("rast", ST_Expand(') and full.count('"id"') == 1 and full.endswith(" LIMIT 7")
+    assert 'least(1.0, abs(ST_ScaleX("rast"))::float8/2' in full
+    # a pixel is 2 wide: of copies with pixels of 1, 1.5 and 4 the second is the coarsest that is finer
+    copies = [R.Overview("o", "t4", "r4", 4.0), R.Overview("o", "t1", "r1", 1.0), R.Overview("o", "t15", "r15", 1.5)]
+    assert ' FROM o.t15 WHERE "r15" && ' in R.raster_table_sql("public.tiles", q, overviews=copies)
+    assert ' FROM o.t4 ' in R.raster_table_sql("public.tiles", q, overviews=copies[:1])
+
+
 def test_rasters(spark, tmp_path):
     band = bytes([4 | 64, 255]) + bytes([1, 2, 255, 4])
     raw = b"\x01" + struct.pack("<HH6diHH", 0, 1, 1, -1, 0, 0, 0, 0, 4326, 2, 2) + band
