@@ -179,7 +179,7 @@ def test_posteriors_by_force(documents):
 
 
 @pytest.mark.parametrize("name", ["removal_digest", "without_repeats", "component_ids", "one_of_each", "keep_good", "licenses", "resample", "scores"])
-def test_rows_stay_the_same_when_cores_change(spark, documents, monkeypatch, name):
+def test_rows_stay_the_same_when_cores_change(spark, documents, monkeypatch, tmp_path, name):
     """Another number of cores between two jobs cuts scans otherwise; no job may rely on another one's row numbers."""
     run = {
         "removal_digest": suffixes.removal_digest, "without_repeats": suffixes.without_repeats, "component_ids": jaccard.component_ids, "one_of_each": jaccard.one_of_each, "keep_good": rules.keep_good,
@@ -187,23 +187,30 @@ def test_rows_stay_the_same_when_cores_change(spark, documents, monkeypatch, nam
         "resample": lambda d: resampling.resample(d, spark.read.parquet("/root/testdata/sf0.001/labels.parquet")),
         "scores": lambda d: language_model.score_documents(d).select("doc_id", "n_tokens", "n_known", F.round("base_score", 6)),
     }[name]
+    documents.repartition(7).write.parquet(f"file://{tmp_path}/documents")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents")
     rows = lambda df: sorted(map(str, df.collect()))
-    key = "spark.sql.leafNodeDefaultParallelism"
-    want = rows(run(documents))
+    cores, cost = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes"
+    want = rows(run(docs))
     plain, calls = store.temporary, []
 
     def changing(session, label):
         calls.append(label)
-        session.conf.set(key, 2 + 5 * (len(calls) % 2))
+        session.conf.set(cores, 2 + 5 * (len(calls) % 2))
         return plain(session, label)
 
-    monkeypatch.setattr(store, "temporary", changing)
-    spark.conf.set(key, 3)
+    spark.conf.set(cost, 1)
     try:
-        assert documents.rdd.getNumPartitions() > 1
-        assert rows(run(documents)) == want and calls
+        numbers = []
+        for n in (2, 7):
+            spark.conf.set(cores, n)
+            numbers.append({r.doc_id: r._rid for r in store.with_row_id(docs).select("doc_id", "_rid").collect()})
+        assert numbers[0] != numbers[1]
+        monkeypatch.setattr(store, "temporary", changing)
+        assert rows(run(docs)) == want and calls
     finally:
-        spark.conf.unset(key)
+        spark.conf.unset(cores)
+        spark.conf.unset(cost)
 
 
 # --- tokens, shards, packing
