@@ -473,7 +473,8 @@ def test_ties_connect_all_partners(rows):
     own = {}
     e = np.zeros(len(rows), jaccard.ENTRY)
     for i, (h, sid, n, most) in enumerate(rows):
-        n = own.setdefault(sid, n)
+        # a set's size and a shingle's place in it are the same wherever the set is found
+        n, most = own.setdefault(sid, n), own.setdefault((h, sid), most)
         e[i] = (h, bytes([sid + 1]) * 12, n, most)
     links = jaccard.Union(256)
     for a, b in zip(*jaccard.ties(e)):
