@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language_model, licenses, mixing, packing, resampling, rules, search, shards, suffixes
+from . import jaccard, language_model, licenses, mixing, packing, resampling, rules, search, shards, suffixes, target_draw
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_draw.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_importance_resampling": op2_importance_resampling,
@@ -69,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack_sequences": op8_pack_sequences,
     "op9_score_texts": op9_score_texts,
     "op10_top_products": op10_top_products,
+    "op11_target_resampling": op11_target_resampling,
 }
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op10_top_products": search.SQL}
+ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op10_top_products": search.SQL, "op11_target_resampling": target_draw.SQL}
