@@ -6,10 +6,11 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atlasq.llm import target_draw
+from atlasq.llm import target_draw, url_filter
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -60,3 +61,123 @@ def test_draw_odd_input(odd, none, spark):
     assert target_draw.draw(none, target).count() == 0
     everything = target_draw.draw(odd, target.limit(0), least_words=0, percent=100).collect()
     assert sorted(r["rank"] for r in everything) == list(range(1, 12))
+
+
+# --- URL filters
+
+
+def url_parts(url):
+    m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+    return (m[1].translate(LOW), m[2]) if m else ("", "")
+
+
+def url_rule(url, rules):
+    own, path = url_parts(url)
+    fits = [(len(r), r, v) for r, v in rules if (own == r.split("/")[0] or own.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def url_features(url):
+    url, (own, path) = url or "", url_parts(url)
+    counts = collections.Counter(url).values()
+    query = re.match(r"[^?#]*\?([^#]*)", url)
+    lex = [len(url), sum(x != "" for x in path.split("/")), sum(c in "0123456789" for c in url) / max(1, len(url)), sum(c * math.log2(len(url) / c) for c in counts) / max(1, len(url)), sum(x != "" for x in query[1].split("&")) if query else 0]
+    ext = re.search(r"\.([0-9A-Za-z]{1,8})/?$", path)
+    labels = own.split(".")
+    return lex, [zlib.crc32(x.encode()) % url_filter.SUFFIX_BUCKETS for x in (labels[-1], ".".join(labels[-2:]), own, ext[1] if ext else "")]
+
+
+def forest_by_force(urls, rules):
+    """Scores of urls: the same trees, grown over plain lists."""
+    told = sorted({u for u in urls if u is not None and url_rule(u, rules)[0]}, key=str.encode)
+    y = [int(url_rule(u, rules)[1] == "block") for u in told]
+    prior = (sum(y) + 1) / (len(y) + 2)
+    seen = collections.Counter()
+    for u, b in zip(told, y):
+        for k, x in enumerate(url_features(u)[1]):
+            for own in (None, zlib.crc32(u.encode()) % url_filter.FOLDS):
+                seen[k, x, own, "n"] += 1
+                seen[k, x, own, "b"] += b
+
+    def row(u, fold):
+        lex, buckets = url_features(u)
+        out = list(map(float, lex))
+        for k, x in enumerate(buckets):
+            n, b = ((seen[k, x, None, c] - (seen[k, x, fold, c] if fold is not None else 0)) for c in "nb")
+            out.append((b + 4 * prior) / (n + 4))
+        return out
+
+    base = math.log(prior / (1 - prior))
+    x = np.array([row(u, zlib.crc32(u.encode()) % url_filter.FOLDS) for u in told])
+    every = np.array([row(u, None) for u in urls])
+    margin, out = np.full(len(told), base), np.full(len(urls), base)
+    if not 0 < sum(y) < len(y):
+        return 1 / (1 + np.exp(-out))
+    edges = [sorted({float(np.quantile(x[:, f], i / url_filter.BINS)) for i in range(1, url_filter.BINS)}) for f in range(x.shape[1])]
+
+    def grow(rows, level):
+        """A function of feature rows."""
+        gs, hs = g[rows].sum(), h[rows].sum()
+        best, cut = 1e-9, None
+        for f in range(x.shape[1]) if level < url_filter.DEPTH else ():
+            for e in edges[f]:
+                left = rows[x[rows, f] <= e]
+                if min(len(left), len(rows) - len(left)) < url_filter.LEAST_ROWS:
+                    continue
+                gl, hl = g[left].sum(), h[left].sum()
+                gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+                if gain > best + 1e-12:
+                    best, cut = gain, (f, e)
+        if cut is None:
+            value = url_filter.RATE * gs / (hs + 1)
+            return lambda m: np.full(len(m), value)
+        f, e = cut
+        low, high = grow(rows[x[rows, f] <= e], level + 1), grow(rows[x[rows, f] > e], level + 1)
+        return lambda m: np.where(m[:, f] <= e, low(m), high(m))
+
+    for _ in range(url_filter.TREES):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = np.array(y) - p, p * (1 - p)
+        tree = grow(np.arange(len(told)), 0)
+        margin, out = margin + tree(x), out + tree(every)
+    return 1 / (1 + np.exp(-out))
+
+
+def test_url_filter(spark, sf, monkeypatch):
+    monkeypatch.setattr(url_filter, "TREES", 4)
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    urls = [(r.page_id, r.url) for r in pages.collect()]
+    urls += [(None, urls[0][1]), (7, urls[7][1]), (9000, None), (9001, ""), (9002, "no host"), (9003, "HTTP://WWW.A.NET"), (9004, "x://Example.NET/en/1?a&b=&&c#d?e"), (9005, "x://net/"), (9006, "x://notnet/en/"), (9007, "x://a.org/fr/" + "z9" * 30_000), (9008, "a://b://c.net/x"), (9009, "x://a.example.com/DE/")]
+    odd = spark.createDataFrame(urls, "page_id long, url string").withColumns({"host": F.lit("clash"), "rule": F.lit(1), "fold": F.lit(2), "kind": F.lit(""), "score": F.lit(0)})
+    found = sorted((tuple(r) for r in url_filter.judge(odd).collect()), key=str)
+    scores = forest_by_force([u for _, u in urls], url_filter.RULES)
+    want = []
+    for (page_id, url), score in zip(urls, scores):
+        rule, verdict = url_rule(url, url_filter.RULES)
+        want.append((page_id, *url_parts(url), rule, verdict or ("block" if score > 0.5 else "allow"), score))
+    want.sort(key=str)
+    assert [r[:5] for r in found] == [r[:5] for r in want]
+    assert np.allclose([r[5] for r in found], [r[5] for r in want])
+
+
+def test_url_filter_learns(spark):
+    """On URLs held out from the rules, blocked ones being long, deep and full of digits, the trees find most."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1200):
+        bad = bool(rng.integers(2))
+        domain = ("bad.net" if bad else "good.org") if i < 800 else "other.com"
+        word = "".join(rng.choice(list("0123456789xyz" if bad else "abcdefgh"), 25 if bad else 9))
+        rows.append((i, f"http://h{i % 50}.{domain}/{'a/b/' if bad else ''}{word}" + ("?q=1&r=2" if bad else ""), bad))
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    judged = url_filter.judge(pages, (("net/", "block"), ("org/", "allow")))
+    held = judged.where("rule is null").join(pages.select("page_id", "bad"), "page_id")
+    assert held.count() == 400 and held.where((F.col("verdict") == "block") == F.col("bad")).count() >= 380
+
+
+def test_url_filter_without_labels(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/"), (2, None), (2, None)], "page_id long, url string")
+    assert sorted(map(tuple, url_filter.judge(pages).collect()), key=str) == [(1, "a.com", "/", None, "allow", 0.5), (2, "", "", None, "allow", 0.5), (2, "", "", None, "allow", 0.5)]
+    assert url_filter.judge(pages.limit(0)).count() == 0
+    one_kind = spark.createDataFrame([(1, "http://a.net/"), (2, "http://b.com/")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge(one_kind).orderBy("page_id").collect()] == ["block", "block"]
