@@ -102,9 +102,9 @@ def pieces(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in each document, and the index of the first word of each document (one more at the end)."""
-    inside = ~SPACE[data]
+    inside = ~outside[data]
     first = inside.copy()
     if len(data):
         first[1:] &= ~inside[:-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language_model, licenses, mixing, packing, resampling, rules, search, shards, suffixes, target_draw, url_filter
+from . import divergence, jaccard, language_model, licenses, mixing, packing, resampling, rules, search, shards, suffixes, target_draw, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_importance_resampling": op2_importance_resampling,
@@ -79,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_top_products": op10_top_products,
     "op11_target_resampling": op11_target_resampling,
     "op12_url_filter": op12_url_filter,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op10_top_products": search.SQL, "op11_target_resampling": target_draw.SQL}
+ORACLES: dict[str, str] = {"op5_mix_sources": mixing.SQL, "op10_top_products": search.SQL, "op11_target_resampling": target_draw.SQL, "op13_source_divergence": divergence.SQL}

@@ -7,10 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from atlasq.llm import target_draw, url_filter
+from atlasq.llm import divergence, target_draw, tries, url_filter
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -181,3 +184,97 @@ def test_url_filter_without_labels(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
     one_kind = spark.createDataFrame([(1, "http://a.net/"), (2, "http://b.com/")], "page_id long, url string")
     assert [r.verdict for r in url_filter.judge(one_kind).orderBy("page_id").collect()] == ["block", "block"]
+
+
+# --- source divergence
+
+
+def audit_by_force(rows, least=3, top=200):
+    """rows of (lang, source, text)."""
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    rows = [(a or "", b or "", term.findall((t or "").translate(LOW))) for a, b, t in rows]
+    docs = collections.Counter((a, w) for a, _, ws in rows for w in set(ws))
+    count = collections.Counter((a, b, w) for a, b, ws in rows for w in ws if docs[a, w] >= least)
+    out = []
+    for lang in {a for a, _, _ in rows}:
+        kept = [w for (a, w), n in docs.items() if a == lang and n >= least]
+        sources = {b for a, b, _ in rows if a == lang}
+        n = {b: sum(count[lang, b, w] for w in kept) for b in sources}
+        share = lambda c, total: 1 + 1000000000 * (c + 1) // (total + len(kept))
+        p = {(b, w): share(count[lang, b, w], n[b]) for b in sources for w in kept}
+        q = {w: share(sum(count[lang, b, w] for b in sources), sum(n.values())) for w in kept}
+        for a in sources:
+            pairs = [(-sum((p[a, w] - p[b, w]) ** 2 // p[b, w] for w in kept), b.encode()) for b in sources if b != a]
+            terms = [(-((p[a, w] - q[w]) ** 2 // q[w]), w.encode()) for w in kept if count[lang, a, w] and p[a, w] > q[w]]
+            for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
+                out += [(lang, a, part, item.decode(), -v, k + 1) for k, (v, item) in enumerate(found)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block, top", [(2048, 200), (3, 5)])
+def test_audit(documents, block, top):
+    rows = [(r.lang, r.source, r.text) for r in documents.select("lang", "source", "text").collect()]
+    assert sorted(map(tuple, divergence.audit(documents, top=top, block=block).collect())) == audit_by_force(rows, top=top)
+
+
+def test_audit_odd_input(odd, none, spark):
+    texts = ["", None, "Übung ÜBUNG a1b", "x" * 300_000, "x" * 300_000 + "y", "tie tie ab ba", "ab ba", "12 !!"]
+    rows = [("l" if k % 3 else None, ["s", "", None, "ß", "s/t"][k % 5], t) for k, t in enumerate(texts * 4)] + [("alone", "only", "one"), ("none", "a", ""), ("none", "b", "z")]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").withColumns({"part": F.lit(1), "value": F.lit("v"), "range": F.lit(0), "n": F.lit(3)})
+    assert sorted(map(tuple, divergence.audit(docs).collect())) == audit_by_force(rows)
+    rows = [(r.lang, r.source, r.text) for r in odd.select("lang", "source", "text").collect()]
+    assert sorted(map(tuple, divergence.audit(odd, least_docs=1).collect())) == audit_by_force(rows, 1)
+    assert divergence.audit(none).count() == 0
+
+
+TERMS = st.dictionaries(st.binary(min_size=1, max_size=5) | st.just(b"a" * 60) | st.just(b"a" * 60 + b"b"), st.dictionaries(st.sampled_from(["s", "t", ""]), st.integers(1, 9), min_size=1), max_size=8)
+
+
+def trie_of(terms):
+    sources = ["", "s", "t"]
+    entries = [(k, sources.index(s), c) for k, (w, own) in enumerate(terms.items()) for s, c in own.items()]
+    size = [len(own) for own in terms.values()]
+    return tries.Trie(pa.array(list(terms), pa.large_binary()), np.array(size, np.int64), np.cumsum([0, *size]), np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], np.int64), sources)
+
+
+def leaves_of(trie):
+    return {w: {trie.sources[s]: c for s, c in zip(trie.source[a:b].tolist(), trie.count[a:b].tolist())} for w, a, b in zip(trie.terms.to_pylist(), trie.at[:-1].tolist(), trie.at[1:].tolist())}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(TERMS, min_size=1, max_size=4), st.lists(st.binary(max_size=3), max_size=3))
+def test_tries(some, borders):
+    whole = tries.merge([trie_of(t) for t in some])
+    want: dict = {}
+    for t in some:
+        for w, own in t.items():
+            for s, c in own.items():
+                want.setdefault(w, collections.Counter())[s] += c
+    assert leaves_of(whole) == want and list(leaves_of(whole)) == sorted(want)
+    assert whole.docs.tolist() == [sum(len(t[w]) for t in some if w in t) for w in sorted(want)]
+    back = [tries.from_row(r) for r in whole.rows("en")]
+    assert {w: c for t in back for w, c in leaves_of(t).items()} == want
+    parts = list(whole.cut(sorted(borders)))
+    assert [w for _, t in parts for w in leaves_of(t)] == sorted(want)
+    assert all(sum(b <= w for b in sorted(borders)) == k for k, t in parts for w in leaves_of(t))
+    assert leaves_of(whole.kept(whole.docs > 1)) == {w: c for w, c in want.items() if sum(len(t[w]) for t in some if w in t) > 1}
+
+
+def test_tries_handed_on_in_parts(monkeypatch):
+    """A task that holds many entries hands its tries on before its end; nothing is lost or counted twice."""
+    texts = [f"w{'abcdefghij'[i % 10]}{'klmnop'[i % 6]} same {'q' * (i % 50)}" for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 400), pa.array([f"s{i % 7}" for i in range(400)]), pa.array(texts)], ["lang", "source", "text"])
+    want = None
+    for most in (2_000_000, 50):
+        monkeypatch.setattr(divergence, "MOST_ENTRIES", most)
+        found = [tries.from_row(r) for b in divergence.counted(iter([batch.slice(0, 150), batch.slice(150)])) for r in b.to_pylist()]
+        whole = leaves_of(tries.merge(found))
+        want = want or whole
+        assert whole == want and len(found) == (1 if most > 50 else 2)
+
+
+def test_shares_are_exact():
+    rng = np.random.default_rng(3)
+    total = rng.integers(1, 9 * 10**15, 500)
+    count = np.minimum(rng.integers(0, 9 * 10**15, 500), total - 1)
+    assert divergence.share(count, total).tolist() == [1 + 10**9 * (c + 1) // t for c, t in zip(count.tolist(), total.tolist())]
