@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,56 +30,60 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder; one that is gone already, or whose session has ended, is left to its owner."""
+    if spark.sparkContext._jsc is None:
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be gone at exit; the folder is then left to its owner
+        _delete(spark, path)
+    except (Py4JError, OSError):  # the JVM may be gone at exit
         pass
 
 
 def temporary(spark: SparkSession, label: str) -> str:
     """A new folder in the shared one, deleted when the Python process ends."""
     path = f"{shared_dir(spark).rstrip('/')}/atlasq-{label}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    if _stages["open"]:
-        _stages["folders"].append(path)
+    atexit.register(_at_exit, spark, path)
     return path
 
 
-_stages: dict = {"open": False, "folders": []}
+#: Half seconds that release() waits for Python's dropped objects at most; what isn't dropped then goes the next time.
+RELEASE_WAITS = 10
+#: Written tables by folder, with a weak reference to the file index that all plans over the table share.
+_readers: dict[str, JavaObject] = {}
 
 
-def _read_by(df: DataFrame) -> str | None:
-    """The folders that df's plan reads, in one text; none if the plan has leaves of unknown kinds."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    found = []
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        kind = leaf.getClass().getSimpleName()
-        if kind == "LogicalRelation":
-            found.append(leaf.relation().location().rootPaths().toString())
-        elif kind != "LocalRelation":
-            return None
-    return " ".join(found)
+def release(spark: SparkSession) -> list[str]:
+    """Delete the written tables that no plan reads any more; returns their folders.
 
+    A plan holds the file index of each table it reads, and a DataFrame, or one derived from it, holds its plan;
+    the index is only collected when all of them are gone. So a lazy result keeps its tables, however many
+    results are alive at once, and an RDD taken from a DataFrame needs that DataFrame to be kept.
+    """
+    jvm = spark.sparkContext._jvm
+    gc.collect()
+    # what Python drops is released in the JVM by a thread that looks about once a second, in order; so this object goes last
+    last = jvm.java.lang.ref.WeakReference(jvm.java.lang.Object())
+    for _ in range(RELEASE_WAITS):
+        time.sleep(0.5)
+        jvm.System.gc()
+        if last.get() is None:
+            break
+    gone = [path for path, index in _readers.items() if index.get() is None]
+    for path in gone:
+        del _readers[path]
+        _delete(spark, path)
+    return gone
 
-def stage(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """work(docs) as a stage of a pipeline, whose intermediate tables go when the next stage begins on a written copy of its result.
 
-    Tables that docs still reads stay, and so does everything if that can't be told.
-    """
-    used = _read_by(docs)
-    if used is not None:
-        for path in _stages["folders"]:
-            if path.rsplit("/", 1)[1] not in used:
-                _delete(docs.sparkSession, path)
-        _stages["folders"] = [p for p in _stages["folders"] if p.rsplit("/", 1)[1] in used]
-    _stages["open"] = True
-    try:
-        return work(docs)
-    finally:
-        _stages["open"] = False
+def stage(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs) as a stage of a pipeline: tables of results that nothing reads any more, such as those of stages before it, go first."""
+    release(docs.sparkSession)
+    return work(docs)
 
 
 def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
@@ -83,7 +91,10 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     spark = df.sparkSession
     path = temporary(spark, label)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    index = written._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation().location()
+    _readers[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(index)
+    return written
 
 
 def small_batches(spark: SparkSession) -> None:

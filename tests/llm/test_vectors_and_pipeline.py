@@ -82,24 +82,52 @@ def test_pipeline_stages(spark, documents, sf):
     assert P.run(spark, sf).count() == pieces.count()
 
 
+def _written():
+    from atlasq.llm import store
+
+    return {p for p in store._readers if os.path.exists(p.removeprefix("file://"))}
+
+
 def test_stages_leave_no_tables_behind(spark, documents, sf, tmp_path):
-    """A stage's intermediate tables go when the next one begins on a written copy, not while its result is still read."""
+    """Tables of a result go once nothing reads them any more, not while it, or what is derived from it, is still there."""
     import corpus_pipeline as P
     from atlasq.llm import store
 
-    there = lambda: [p for p in store._stages["folders"] if os.path.exists(p.removeprefix("file://"))]
+    store.release(spark)
+    before = _written()
     first = P.STAGES[0][1](spark, documents, sf)
+    mine = _written() - before
+    derived = first.where("doc_id >= 0").select("doc_id")
     rows = sorted(r.doc_id for r in first.collect())
-    assert there()
-    lazily = P.STAGES[1][1](spark, first, sf)
-    assert sorted(r.doc_id for r in first.collect()) == rows
     first.write.parquet(f"file://{tmp_path}/first")
-    written = P.STAGES[1][1](spark, spark.read.parquet(f"file://{tmp_path}/first"), sf)
-    mine = set(there())
-    again = sorted(r.doc_id for r in written.collect())
-    written.write.parquet(f"file://{tmp_path}/second")
-    P.STAGES[2][1](spark, spark.read.parquet(f"file://{tmp_path}/second"), sf)
-    assert mine and not mine & set(there()) and len(again) < len(rows) and lazily.columns == documents.columns
+    del first
+    assert mine and not mine & set(store.release(spark)) and sorted(r.doc_id for r in derived.collect()) == rows
+    del derived
+    second = P.STAGES[1][1](spark, spark.read.parquet(f"file://{tmp_path}/first"), sf)
+    assert not mine & _written() and 0 < second.count() < len(rows)
+
+
+def test_two_stages_alive_at_once(spark, documents, sf):
+    import corpus_pipeline as P
+
+    halves = [documents.where(f"doc_id % 2 = {k}") for k in range(2)]
+    alone = [sorted(r.doc_id for r in P.STAGES[0][1](spark, h, sf).collect()) for h in halves]
+    one, other = (P.STAGES[0][1](spark, h, sf) for h in halves)
+    later = P.STAGES[1][1](spark, one, sf)
+    assert sorted(r.doc_id for r in one.collect()) == alone[0] and sorted(r.doc_id for r in other.collect()) == alone[1]
+    assert {r.doc_id for r in later.collect()} < set(alone[0])
+
+
+def test_two_pipelines_alive_at_once(spark, documents, tmp_path):
+    import corpus_pipeline as P
+
+    found = []
+    for k in range(2):
+        documents.where(f"doc_id % 2 = {k}").write.parquet(f"file://{tmp_path}/{k}/documents.parquet")
+        found.append(P.run(spark, f"file://{tmp_path}/{k}"))
+    for k in range(2):
+        ids = {r.doc_id for r in found[k].collect()}
+        assert ids and all(i % 2 == k for i in ids)
 
 
 def test_pipeline_with_odd_rows(spark, odd):
@@ -126,7 +154,7 @@ def test_pipeline_takes_nothing(spark, none):
 
 def test_registered():
     numbers = {int(n[2:].split("_")[0]) for n in queries.QUERIES}
-    assert numbers == set(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert numbers == set(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
     assert os.path.exists("/root/testdata/sf0.001")
 
 
@@ -135,7 +163,7 @@ def test_oracles(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "pages"):
         con.sql(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     want, got = con.sql(queries.ORACLES[name]).df(), queries.QUERIES[name](spark, sf).toPandas()
     rows = lambda d: sorted(map(tuple, d[sorted(d.columns)].map(str).values))
