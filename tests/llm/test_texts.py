@@ -358,6 +358,43 @@ def test_mixing(spark, make, documents, odd, none):
     assert [(r["size"], r.target, r.taken) for r in alone] == [(0, 0.0, 0)] * 2
 
 
+def test_mixing_rows_without_ids(make):
+    """Rows that share a doc_id, or have none, are taken one by one, even if their texts are equal too."""
+    for ids in ([None] * 40, [7] * 40, None):
+        for texts in (["w " * 100] * 40, [f"w{i} " * 100 for i in range(40)]):
+            docs = make(texts, ids, ["a"] * 30 + ["b"] * 10)
+            rows = mixing.mix(docs).collect()
+            for name in "ab":
+                own = [r for r in rows if r.source == name]
+                assert abs(sum(r.taken for r in own) - own[0].target) <= 50
+            taken = collections.Counter((r.doc_id, r.source) for r in rows for _ in range(r.takes))
+            assert collections.Counter((r.doc_id, r.source) for r in mixing.mixed_rows(docs).collect()) == taken
+            again = mixing.mix(docs.repartition(7)).collect()
+            assert sorted((r.source, r.h, r.takes) for r in again) == sorted((r.source, r.h, r.takes) for r in rows)
+
+
+def test_mixing_many_sources(make):
+    """Sources as many as documents: places and levels without a window over all of them."""
+    docs = make([f"w{i} " * (i % 60 + 1) for i in range(600)], sources=[f"host{i:03d}" for i in range(600)])
+    out = mixing.mix(docs)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    places = {f"host{i:03d}": i for i in range(600)}
+    target, left, open_ = {}, 1.5 * sum(r["size"] for r in rows), set(places)
+    size = {r.source: r["size"] for r in rows}
+    while True:
+        share = {n: left * (5, 2, 1)[places[n] % 3] / sum((5, 2, 1)[places[x] % 3] for x in open_) for n in open_}
+        over = {n for n in open_ if share[n] > 2 * size[n]}
+        if not over:
+            break
+        for n in over:
+            target[n] = 2 * size[n]
+            left -= target[n]
+        open_ -= over
+    target |= share
+    assert all(r.target == pytest.approx(target[r.source]) for r in rows)
+
+
 def test_mixing_against_sql(spark, sf):
     import duckdb
 
