@@ -15,8 +15,8 @@ RADIUS = 6378137.0
 CIRCUMFERENCE = RADIUS * 2 * math.pi
 MAX_LATITUDE = 85.0511287798065923778
 LONLAT, MERCATOR = "epsg:4326", "epsg:3857"
-#: Scale denominators of zoom levels 0 to 22.
-SCALES = (559082264.028, 279541132.014, 139770566.007, 69885283.0036, 34942641.5018, 17471320.7509, 8735660.37545, 4367830.18772, 2183915.09386, 1091957.54693, 545978.773466, 272989.386733, 136494.693366, 68247.3466832, 34123.6733416, 17061.8366708, 8530.9183354, 4265.4591677, 2132.72958385, 1066.36479193, 533.182395963, 266.591197981, 133.295598991)
+#: Scale denominators above which zoom levels 0, 1, 2, ... are taken.
+SCALES = (279541132.014, 139770566.007, 69885283.0036, 34942641.5018, 17471320.7509, 8735660.37545, 4367830.18772, 2183915.09386, 1091957.54693, 545978.773466, 272989.386733, 136494.693366, 68247.3466832, 34123.6733416, 17061.8366708, 8530.9183354, 4265.4591677, 2132.72958385, 1066.36479192, 533.182395962, 266.59119798, 133.29559899, 66.6477994952)
 BOUNDARY_POINTS = 20
 
 
@@ -153,7 +153,7 @@ def panned(view: View, px: float, py: float) -> View:
 
 def zoom_of_scale(denominator: float, most: int) -> int:
     """The first level whose scale lies below the denominator, most at the highest; the lowest level isn't a bound."""
-    for zoom, scale in enumerate(SCALES):
+    for zoom, scale in enumerate(SCALES[:22]):
         if denominator > math.ceil(scale):
             return min(zoom, most)
     return most

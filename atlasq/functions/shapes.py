@@ -243,15 +243,176 @@ def _crosses(p: np.ndarray, q: np.ndarray, closed: bool) -> bool:
     return False
 
 
+#: Pairs of segments looked at together, and the share of a shape's size within which places are one.
+PAIRS, SAME = 200_000, 1e-12
+
+
+def _near_pairs(a: np.ndarray, b: np.ndarray, owner: np.ndarray):
+    """Pairs of segments of different owners whose boxes meet, in blocks: segments are swept in the order of their left ends."""
+    left, right = np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0])
+    low, high = np.minimum(a[:, 1], b[:, 1]), np.maximum(a[:, 1], b[:, 1])
+    order = np.argsort(left, kind="stable")
+    ends = np.searchsorted(left[order], right[order], side="right")
+    width = ends - np.arange(len(order)) - 1
+    done = 0
+    run = np.cumsum(width)
+    while done < len(order):
+        stop = max(done + 1, int(np.searchsorted(run, (run[done - 1] if done else 0) + PAIRS, side="right")))
+        i = np.repeat(np.arange(done, stop), width[done:stop])
+        if len(i):
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(width[done:stop]) - width[done:stop], width[done:stop])
+            i, j = order[i], order[j]
+            keep = (owner[i] != owner[j]) & (low[i] <= high[j]) & (low[j] <= high[i])
+            if keep.any():
+                yield i[keep], j[keep]
+        done = stop
+
+
+def _beside(p: np.ndarray, ring: np.ndarray, near: float) -> np.ndarray:
+    """1 for points inside a ring, 0 on it, -1 outside."""
+    out = np.empty(len(p), int)
+    step = max(1, PAIRS // max(1, len(ring)))
+    for at in range(0, len(p), step):
+        d = ring_distances([ring], p[at : at + step, 0], p[at : at + step, 1])
+        out[at : at + step] = np.where(np.abs(d) <= near, 0, np.sign(d))
+    return out
+
+
+class Arrangement:
+    """How the rings of an area lie to each other: where they meet, and on which side of another each piece of a ring is."""
+
+    def __init__(self, rings: list[np.ndarray]) -> None:
+        self.rings = rings
+        every = np.concatenate(rings)
+        self.near = SAME * max(1e-300, float((every.max(0) - every.min(0)).max()))
+        self.a = np.concatenate([r[:-1] for r in rings])
+        self.b = np.concatenate([r[1:] for r in rings])
+        self.owner = np.repeat(np.arange(len(rings)), [len(r) - 1 for r in rings])
+        self.overlap = False
+        cuts: dict[int, list[float]] = {}
+        self.touches: dict[tuple[int, int], list[tuple[float, float]]] = {}
+        for i, j in _near_pairs(self.a, self.b, self.owner):
+            d1, d2, w = self.b[i] - self.a[i], self.b[j] - self.a[j], self.a[j] - self.a[i]
+            den = d1[:, 0] * d2[:, 1] - d1[:, 1] * d2[:, 0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t, u = (w[:, 0] * d2[:, 1] - w[:, 1] * d2[:, 0]) / den, (w[:, 0] * d1[:, 1] - w[:, 1] * d1[:, 0]) / den
+            for k in np.flatnonzero((den != 0) & (t >= -SAME) & (t <= 1 + SAME) & (u >= -SAME) & (u <= 1 + SAME)).tolist():
+                self._meet(cuts, i[k], j[k], float(t[k]), float(u[k]))
+            line = np.flatnonzero((den == 0) & (w[:, 0] * d1[:, 1] - w[:, 1] * d1[:, 0] == 0))
+            for k in line.tolist():
+                n = float((d1[k] ** 2).sum())
+                e, f = sorted((float((w[k] * d1[k]).sum()) / n, float(((w[k] + d2[k]) * d1[k]).sum()) / n)) if n else (2.0, 2.0)
+                e, f = max(e, 0.0), min(f, 1.0)
+                if f - e > SAME:
+                    self.overlap = True
+                elif f >= e:
+                    n2 = float((d2[k] ** 2).sum())
+                    self._meet(cuts, i[k], j[k], e, float(((e * d1[k] - w[k]) * d2[k]).sum()) / n2 if n2 else 0.0)
+        self.cuts = cuts
+
+    def _meet(self, cuts: dict, i: int, j: int, t: float, u: float) -> None:
+        cuts.setdefault(int(i), []).append(t)
+        cuts.setdefault(int(j), []).append(u)
+        p = self.a[i] + t * (self.b[i] - self.a[i])
+        pair = tuple(sorted((int(self.owner[i]), int(self.owner[j]))))
+        known = self.touches.setdefault(pair, [])
+        if not any(abs(x - p[0]) <= self.near * 4 and abs(y - p[1]) <= self.near * 4 for x, y in known):
+            known.append((float(p[0]), float(p[1])))
+
+    def sides(self, one: int, other: int) -> set[int]:
+        """On which sides of another ring pieces of a ring lie (1 inside, 0 on it, -1 outside). Without a meeting its first point tells."""
+        if tuple(sorted((one, other))) not in self.touches:
+            return set(_beside(self.rings[one][:1], self.rings[other], self.near).tolist())
+        mids = []
+        for k in np.flatnonzero(self.owner == one).tolist():
+            ts = sorted({0.0, 1.0, *(min(max(t, 0.0), 1.0) for t in self.cuts.get(k, ()))})
+            mids += [self.a[k] + (s + t) / 2 * (self.b[k] - self.a[k]) for s, t in zip(ts, ts[1:]) if t - s > 4 * SAME]
+        return set(_beside(np.array(mids), self.rings[other], self.near).tolist())
+
+    def parted(self, own: list[int]) -> bool:
+        """Whether touching rings enclose a part of the area: their touches form a cycle."""
+        up: dict = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        edges = set()
+        for (i, j), places in self.touches.items():
+            if i in own and j in own:
+                for x, y in places:
+                    at = (round(x / (self.near * 16)), round(y / (self.near * 16)))
+                    edges |= {(i, at), (j, at)}
+        for ring, at in sorted(edges):
+            a, b = top(ring), top(at)
+            if a == b:
+                return True
+            up[a] = b
+        return False
+
+
+def _area_fault(polygons: list[list[np.ndarray]]) -> str | None:
+    """What is wrong between the rings of polygons, each of which is in order by itself."""
+    rings = [r for p in polygons for r in p]
+    if len(rings) < 2:
+        return None
+    found = Arrangement(rings)
+    if found.overlap:
+        return "two rings share a piece"
+    first = 0
+    for p in polygons:
+        own = list(range(first, first + len(p)))
+        for k in own[1:]:
+            sides = found.sides(k, first)
+            if sides == {-1}:
+                return "a hole lies outside its ring"
+            if sides != {1}:
+                return "a hole crosses its ring"
+        for n, k in enumerate(own[1:]):
+            for m in own[1 + n + 1 :]:
+                one, other = found.sides(k, m), found.sides(m, k)
+                if one == {1} or other == {1}:
+                    return "a hole lies inside another"
+                if one != {-1} or other != {-1}:
+                    return "two holes cross"
+        if found.parted(own):
+            return "holes cut the inside in two"
+        first += len(p)
+    starts = np.cumsum([0, *(len(p) for p in polygons)]).tolist()
+    for i, p in enumerate(polygons):
+        for j in range(i + 1, len(polygons)):
+            a, b = starts[i], starts[j]
+            if not _apart(found, a, b, starts[j], starts[j + 1]) or not _apart(found, b, a, starts[i], starts[i + 1]):
+                return "two parts overlap"
+    return None
+
+
+def _apart(found: Arrangement, shell: int, other: int, start: int, end: int) -> bool:
+    """Whether a part's outer ring keeps out of the inside of another part, whose rings are start .. end - 1."""
+    sides = found.sides(shell, other)
+    if sides == {-1}:
+        return True
+    return sides == {1} and any(found.sides(shell, hole) == {1} for hole in range(start + 1, end))
+
+
 def invalid_reason(g: Geometry) -> str | None:
-    """Why a geometry isn't valid; none if it is. An empty one and points are valid."""
+    """Why a geometry isn't valid; none if it is. An empty one and points are valid.
+
+    Rings are tested by themselves, then, by a sweep over the segments of all rings, against each other: holes lie inside their
+    ring, none in another, and they don't cut the inside in two; parts may touch in points, and lie in others' holes.
+    """
     for a in g.arrays:
         if len(a) and not np.isfinite(a).all():
             return "a coordinate isn't finite"
+    if g.kind == "GeometryCollection":
+        return next((r for r in map(invalid_reason, g.parts) if r), None)
+    polygons = []
     for s in g.singles():
         if s.kind == "LineString" and len(s.parts) and len(np.unique(s.parts, axis=0)) < 2:
             return "a line has fewer than two different points"
         if s.kind == "Polygon":
+            own_rings = []
             for k, ring in enumerate(s.parts):
                 if len(ring) < 4:
                     return "a ring has fewer than four points"
@@ -264,9 +425,10 @@ def invalid_reason(g: Geometry) -> str | None:
                     return "a ring crosses itself"
                 if (signed_area(ring) > 0) == (k == 0):
                     return "a ring has the wrong direction"
-                if k and not in_ring(s.parts[0], *ring[0]) and segment_distances(s.parts[0][:-1], s.parts[0][1:], *ring[0])[0].min() > 0:
-                    return "a hole lies outside its ring"
-    return None
+                own_rings.append(own)
+            if own_rings:
+                polygons.append(own_rings)
+    return _area_fault(polygons)
 
 
 def is_simple(g: Geometry) -> bool:
@@ -380,34 +542,30 @@ def visvalingam(a: np.ndarray, tolerance: float) -> np.ndarray:
     return a[[i for i in range(n) if not gone[i]]]
 
 
-def sleeve(a: np.ndarray, tolerance: float) -> np.ndarray:
-    """A point stays when no strip of half the tolerance's width from the last kept one would hold all points up to the next."""
+def _in_strip(p: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float) -> bool:
+    """Whether all points lie in the rectangle around the way from a to b, tolerance to either side (by the crossings of a level ray, so that its borders count once)."""
+    angle = math.atan2(b[1] - a[1], b[0] - a[0])
+    side = np.array([tolerance * math.sin(angle), -tolerance * math.cos(angle)])
+    corner = np.array([a + side, a - side, b - side, b + side])
+    inside = np.zeros(len(p), bool)
+    for u, v in zip(corner, np.roll(corner, -1, axis=0)):
+        cross = (v[1] <= p[:, 1]) != (u[1] <= p[:, 1])
+        if cross.any():
+            inside ^= cross & (p[:, 0] < (u[0] - v[0]) * (p[:, 1] - v[1]) / (u[1] - v[1]) + v[0])
+    return bool(inside.all())
+
+
+def sleeve(a: np.ndarray, tolerance: float, ring: bool = False) -> np.ndarray:
+    """A point stays when the points since the last kept one don't all lie within the tolerance of the way to the next. A ring keeps the point before its end."""
     if len(a) < 3:
         return a
+    n = len(a) - (ring and bool((a[0] == a[-1]).all()))
     out, start = [0], 0
-    low, high = -math.inf, math.inf
-    base = 0.0
-    for i in range(1, len(a)):
-        d = a[i] - a[start]
-        r = math.hypot(*d)
-        if r == 0:
-            continue
-        angle = math.atan2(d[1], d[0])
-        if math.isinf(low):
-            base = angle
-        rel = (angle - base + math.pi) % (2 * math.pi) - math.pi
-        half = math.asin(min(1.0, tolerance / 2 / r)) if r > tolerance / 2 else math.pi
-        if rel < low or rel > high:
+    for i in range(2, n):
+        if not _in_strip(a[start + 1 : i], a[start], a[i], tolerance):
             start = i - 1
             out.append(start)
-            d = a[i] - a[start]
-            r = math.hypot(*d)
-            base, rel = math.atan2(d[1], d[0]), 0.0
-            half = math.asin(min(1.0, tolerance / 2 / r)) if r > tolerance / 2 else math.pi
-            low, high = -half, half
-            continue
-        low, high = max(low, rel - half), min(high, rel + half)
-    return a[sorted({*out, len(a) - 1})]
+    return a[sorted({*out, n - 1, len(a) - 1})]
 
 
 SIMPLIFIERS = {"radial-distance": radial_distance, "douglas-peucker": douglas_peucker, "visvalingam-whyatt": visvalingam, "zhao-saalfeld": sleeve}
@@ -416,7 +574,13 @@ SIMPLIFIERS = {"radial-distance": radial_distance, "douglas-peucker": douglas_pe
 def simplified(g: Geometry, algorithm: str, tolerance: float) -> Geometry:
     if algorithm not in SIMPLIFIERS:
         raise ValueError(f"no algorithm {algorithm}")
-    return g if g.kind in ("Point", "MultiPoint") or tolerance <= 0 else g.mapped(lambda a: SIMPLIFIERS[algorithm](a, tolerance))
+    if g.kind == "GeometryCollection":
+        return Geometry(g.kind, [simplified(p, algorithm, tolerance) for p in g.parts])
+    if g.kind in ("Point", "MultiPoint") or tolerance <= 0:
+        return g
+    if algorithm == "zhao-saalfeld":
+        return g.mapped(lambda a: sleeve(a, tolerance, g.kind in ("Polygon", "MultiPolygon")))
+    return g.mapped(lambda a: SIMPLIFIERS[algorithm](a, tolerance))
 
 
 # --- converters ---------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.boxes import Box
+from .ordering import free_names
 
 #: Sides up to this many bytes (by Catalyst's own estimate) may be broadcast by join_boxes().
 BROADCAST_BYTES = 32 << 20
@@ -45,32 +46,36 @@ def join_boxes(left: DataFrame, right: DataFrame, size: float, how: str = "inner
     if how in ("left_semi", "left_anti"):
         if estimated_bytes(right) <= BROADCAST_BYTES:
             return left.join(F.broadcast(right), a.intersects(b), how)
-        keyed = left.withColumn("_row", F.monotonically_increasing_id())
-        found = join_boxes(keyed, right, size, "inner", left_prefix, right_prefix).select("_row").distinct()
-        return keyed.join(found, "_row", how).drop("_row")
-    lc = left.withColumn("_cell", F.explode(cells(a, size)))
-    rc = right.withColumn("_rcell", F.explode(cells(b, size)))
+        (row,) = free_names("_row", left, right)
+        keyed = left.withColumn(row, F.monotonically_increasing_id())
+        found = join_boxes(keyed, right, size, "inner", left_prefix, right_prefix).select(row).distinct()
+        return keyed.join(found, row, how).drop(row)
+    cell, rcell = free_names("_cell _rcell", left, right)
+    lc = left.withColumn(cell, F.explode(cells(a, size)))
+    rc = right.withColumn(rcell, F.explode(cells(b, size)))
     first = lambda u, v: F.floor(F.greatest(u, v) / size).cast("long")
-    pairs = lc.join(rc, (F.col("_cell.cx") == F.col("_rcell.cx")) & (F.col("_cell.cy") == F.col("_rcell.cy")))
-    once = (F.col("_cell.cx") == first(a.minx, b.minx)) & (F.col("_cell.cy") == first(a.miny, b.miny))
-    return pairs.where(a.intersects(b) & once).drop("_cell", "_rcell")
+    pairs = lc.join(rc, (F.col(f"{cell}.cx") == F.col(f"{rcell}.cx")) & (F.col(f"{cell}.cy") == F.col(f"{rcell}.cy")))
+    once = (F.col(f"{cell}.cx") == first(a.minx, b.minx)) & (F.col(f"{cell}.cy") == first(a.miny, b.miny))
+    return pairs.where(a.intersects(b) & once).drop(cell, rcell)
 
 
 def join_points(points: DataFrame, boxes: DataFrame, size: float, x: str = "x", y: str = "y", prefix: str = "") -> DataFrame:
     """Points and the boxes that hold them. A point lies in one cell, so only boxes are multiplied."""
     b = Box.columns(prefix)
-    keyed = points.withColumns({"_cx": F.floor(F.col(x) / size).cast("long"), "_cy": F.floor(F.col(y) / size).cast("long")})
-    dealt = boxes.withColumn("_cell", F.explode(cells(b, size)))
-    return keyed.join(dealt, (F.col("_cx") == F.col("_cell.cx")) & (F.col("_cy") == F.col("_cell.cy"))).where(b.contains(F.col(x), F.col(y))).drop("_cx", "_cy", "_cell")
+    cx, cy, cell = free_names("_cx _cy _cell", points, boxes)
+    keyed = points.withColumns({cx: F.floor(F.col(x) / size).cast("long"), cy: F.floor(F.col(y) / size).cast("long")})
+    dealt = boxes.withColumn(cell, F.explode(cells(b, size)))
+    return keyed.join(dealt, (F.col(cx) == F.col(f"{cell}.cx")) & (F.col(cy) == F.col(f"{cell}.cy"))).where(b.contains(F.col(x), F.col(y))).drop(cx, cy, cell)
 
 
 def join_near(points: DataFrame, others: DataFrame, distance: float, x: str = "x", y: str = "y", ox: str = "ox", oy: str = "oy") -> DataFrame:
     """Pairs of points within a distance: each of the others is dealt to the cells its circle's box meets."""
     box = Box.around(F.col(ox), F.col(oy), distance)
-    dealt = others.withColumn("_cell", F.explode(cells(box, distance)))
-    keyed = points.withColumns({"_cx": F.floor(F.col(x) / distance).cast("long"), "_cy": F.floor(F.col(y) / distance).cast("long")})
+    cx, cy, cell = free_names("_cx _cy _cell", points, others)
+    dealt = others.withColumn(cell, F.explode(cells(box, distance)))
+    keyed = points.withColumns({cx: F.floor(F.col(x) / distance).cast("long"), cy: F.floor(F.col(y) / distance).cast("long")})
     d = F.sqrt(F.pow(F.col(x) - F.col(ox), 2) + F.pow(F.col(y) - F.col(oy), 2))
-    return keyed.join(dealt, (F.col("_cx") == F.col("_cell.cx")) & (F.col("_cy") == F.col("_cell.cy"))).withColumn("distance", d).where(F.col("distance") <= distance).drop("_cx", "_cy", "_cell")
+    return keyed.join(dealt, (F.col(cx) == F.col(f"{cell}.cx")) & (F.col(cy) == F.col(f"{cell}.cy"))).where(d <= distance).withColumn("distance", d).drop(cx, cy, cell)
 
 
 def morton(box: Box, extent_width: float = 360.0, bits: int = 16) -> Column:
@@ -89,7 +94,8 @@ def write_clustered(df: DataFrame, path: str, partitions: int | None = None, ext
     """Write a spatial table so that row groups hold near boxes: range partitions and rows in Z-order."""
     key = morton(Box.columns(), extent_width)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.withColumn("_z", key).repartitionByRange(n, "_z").sortWithinPartitions("_z").drop("_z").write.parquet(path)
+    (z,) = free_names("_z", df)
+    df.withColumn(z, key).repartitionByRange(n, z).sortWithinPartitions(z).drop(z).write.parquet(path)
 
 
 def cell_size(width: float, rows: int, per_cell: int = 64) -> float:

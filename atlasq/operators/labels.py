@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import geometry as G
 from ..plans.spec import Rule
 from ..sources import scratch
-from .ordering import numbered
+from .ordering import free_names, numbered
 
 
 class Detector:
@@ -81,35 +84,98 @@ def place_labels(df: DataFrame, by: str, order: list[str], extent: tuple[float,
     return df.groupBy(by).applyInPandas(run, schema)
 
 
+#: What a round finds for a box: barred by a placed one, waiting for an earlier one, free in a tile, or placed at once as no other tile has it.
+BARRED, WAITING, FREE, PLACED = range(4)
+#: Sides of the first round's tiles in reaches, growth from round to round, and undecided boxes up to which a tile grows.
+TILE, GROWTH, MOST_IN_TILE = 16, 4, 1_000_000
+
+
+def _tiles(boxes: DataFrame, size: float, pad: float) -> DataFrame:
+    """boxes with the tiles (i, j) that they touch, and whether it is only one."""
+    span = lambda low, high: F.sequence(F.floor((F.col(low) - pad) / size), F.floor((F.col(high) + pad) / size))
+    both = boxes.withColumns({"i": span("minx", "maxx"), "j": span("miny", "maxy")})
+    return both.withColumn("alone", (F.size("i") == 1) & (F.size("j") == 1)).withColumn("i", F.explode("i")).withColumn("j", F.explode("j"))
+
+
+def _solver(reach: float, margin: float, repeat: float):
+    """Boxes sorted by tile and place: each is compared with the placed and the waiting ones before it; barred ones are dropped at once."""
+    pad = max(margin, repeat) / 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, cells = None, {}
+        for batch in batches:
+            keys, states = [], []
+            for k, x0, y0, x1, y1, t, fixed, alone, i, j in zip(*(batch.column(c).to_pylist() for c in ("k", "minx", "miny", "maxx", "maxy", "t", "fixed", "alone", "i", "j"))):
+                if (i, j) != tile:
+                    tile, cells = (i, j), {}
+                spots = [(cx, cy) for cx in range(math.floor((x0 - pad) / reach), math.floor((x1 + pad) / reach) + 1) for cy in range(math.floor((y0 - pad) / reach), math.floor((y1 + pad) / reach) + 1)]
+                state = PLACED if alone else FREE
+                for spot in spots if not fixed else ():
+                    for u0, v0, u1, v1, other, sure in cells.get(spot, ()):
+                        d = repeat if repeat > margin and t is not None and t == other else margin
+                        if x0 <= u1 + d and x1 >= u0 - d and y0 <= v1 + d and y1 >= v0 - d:
+                            state = BARRED if sure else min(state, WAITING)
+                            if sure:
+                                break
+                    if state == BARRED:
+                        break
+                if not fixed:
+                    keys.append(k)
+                    states.append(state)
+                if state != BARRED:
+                    for spot in spots:
+                        cells.setdefault(spot, []).append((x0, y0, x1, y1, t, fixed or state == PLACED))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(states, pa.int32())], ["k", "state"])
+
+    return run
+
+
+def _first_of_cells(boxes: DataFrame, reach: float, margin: float, repeat: float) -> tuple[DataFrame, DataFrame]:
+    """Boxes that are the first of every cell they touch, and those left when what these bar is gone. Sums over cells only, so crowded places thin out without a task seeing them whole."""
+    pad = max(margin, repeat) / 2
+    cells = _tiles(boxes, reach, pad)
+    first = cells.groupBy("i", "j").agg(F.min("k").alias("first"))
+    won = cells.join(first, ["i", "j"]).groupBy("k").agg(F.min((F.col("first") == F.col("k")).cast("int")).alias("won")).where("won = 1").select("k")
+    new = scratch.written(boxes.join(won, "k"))
+    meets = lambda d: (F.col("minx") <= F.col("n_maxx") + d) & (F.col("maxx") >= F.col("n_minx") - d) & (F.col("miny") <= F.col("n_maxy") + d) & (F.col("maxy") >= F.col("n_miny") - d)
+    near = _tiles(new, reach, pad).select("i", "j", *(F.col(c).alias(f"n_{c}") for c in ("k", "minx", "miny", "maxx", "maxy", "t")))
+    bars = meets(margin) if repeat <= margin else meets(margin) | (F.col("t") == F.col("n_t")) & meets(repeat)
+    barred = cells.join(near, ["i", "j"]).where(bars).select("k").distinct()
+    return new.select("k"), scratch.written(boxes.join(barred, "k", "left_anti").join(won, "k", "left_anti"))
+
+
 def place_labels_everywhere(df: DataFrame, order: list[tuple[str, bool]], reach: float, margin: float = 0.0, repeat: float = 0.0, text: str | None = None) -> DataFrame:
     """df with a column placed, as place_labels() over one group of all rows gives it, without any task seeing all of them.
 
-    order is a total one (columns, ascending or not). Boxes are dealt to cells of the size reach. In each round a box is placed if it is the first undecided one of
-    every cell it touches, as all that could bar it is decided; then those that meet a box just placed
-    fall out. A cell places one box a round, so a round compares each undecided box with at most one for each of its cells.
+    order is a total one (columns, ascending or not); reach is about the size of a box. First, boxes that come
+    first in all their cells are placed and what they bar goes. Then, in rounds, each tile takes its undecided
+    boxes in order: one that meets a placed box is barred, one that meets an earlier undecided one waits, one
+    that lies in this tile alone is placed, and one that all its tiles find free is placed after the round. Only chains
+    of boxes over borders of tiles are left for the next round, whose tiles are GROWTH times as wide, up to MOST_IN_TILE
+    undecided boxes: a chain of n boxes is settled in about log(n) rounds, beyond that limit in n / MOST_IN_TILE more.
+    A tile's task holds the placed and the waiting boxes of the tile.
     """
-    pad = max(margin, repeat) / 2
-    key = "_place"
-    far = lambda a, b, d: (F.col(f"{a}minx") <= F.col(f"{b}maxx") + d) & (F.col(f"{a}maxx") >= F.col(f"{b}minx") - d) & (F.col(f"{a}miny") <= F.col(f"{b}maxy") + d) & (F.col(f"{a}maxy") >= F.col(f"{b}miny") - d)
-    span = lambda low, high: F.sequence(F.floor((F.col(low) - pad) / reach), F.floor((F.col(high) + pad) / reach))
+    (key,) = free_names("_place", df, "placed")
     ranked = scratch.written(numbered(df, order, key))
-    boxes = ranked.select(key, "minx", "miny", "maxx", "maxy", (F.col(text) if text else F.lit(None).cast("string")).alias("_text"))
-    open_boxes, placed = boxes, None
+    boxes = ranked.select(F.col(key).alias("k"), *(F.col(c).cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")), (F.col(text).cast("string") if text else F.lit(None).cast("string")).alias("t"), F.lit(False).alias("fixed"))
+    won, open_boxes = _first_of_cells(boxes, reach, margin, repeat)
+    placed, size, pad = [won], TILE * reach, max(margin, repeat) / 2
+    fixed = None
     while open_boxes.limit(1).count():
-        cells = open_boxes.withColumn("_i", F.explode(span("minx", "maxx"))).withColumn("_j", F.explode(span("miny", "maxy")))
-        first = cells.groupBy("_i", "_j").agg(F.min(key).alias("_first"))
-        won = cells.join(first, ["_i", "_j"]).groupBy(key).agg(F.min((F.col("_first") == F.col(key)).cast("int")).alias("_won")).where("_won = 1").select(key)
-        new = scratch.written(open_boxes.join(won, key))
-        new_cells = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns]).withColumn("_i", F.explode(F.sequence(F.floor((F.col("n_minx") - pad) / reach), F.floor((F.col("n_maxx") + pad) / reach)))).withColumn("_j", F.explode(F.sequence(F.floor((F.col("n_miny") - pad) / reach), F.floor((F.col("n_maxy") + pad) / reach))))
-        meets = far("", "n_", margin)
-        if text and repeat > margin:
-            meets = meets | (F.col("_text") == F.col("n__text")) & far("", "n_", repeat)
-        barred = cells.join(new_cells, ["_i", "_j"]).where(meets).select(key).distinct()
-        placed = new.select(key) if placed is None else placed.union(new.select(key))
-        open_boxes = scratch.written(open_boxes.join(barred, key, "left_anti").join(new.select(key), key, "left_anti"))
-    if placed is None:
-        return ranked.drop(key).withColumn("placed", F.lit(False))
-    return ranked.join(placed.withColumn("placed", F.lit(True)), key, "left").drop(key).withColumn("placed", F.coalesce("placed", F.lit(False)))
+        if fixed is not None:
+            most = _tiles(open_boxes, size * GROWTH, pad).groupBy("i", "j").count().agg(F.max("count")).first()[0]
+            size = size * GROWTH if most <= MOST_IN_TILE else size
+        dealt = _tiles(open_boxes if fixed is None else open_boxes.unionByName(fixed), size, pad)
+        told = dealt.repartition("i", "j").sortWithinPartitions("i", "j", "k").mapInArrow(_solver(reach, margin, repeat), "k long, state int")
+        states = scratch.written(told.groupBy("k").agg(F.min("state").alias("state")))
+        new = states.where(F.col("state") >= FREE).select("k")
+        placed.append(new)
+        # boxes of one tile alone have barred what they meet already
+        fixed = scratch.written(open_boxes.join(states.where(F.col("state") == FREE).select("k"), "k").withColumn("fixed", F.lit(True)))
+        open_boxes = scratch.written(open_boxes.join(states.where(F.col("state") == WAITING).select("k"), "k"))
+    every = reduce(DataFrame.unionByName, placed)
+    return ranked.join(every.select(F.col("k").alias(key), F.lit(True).alias("placed")), key, "left").drop(key).withColumn("placed", F.coalesce("placed", F.lit(False)))
 
 
 def markers(df: DataFrame, placement: str, spacing: float = 100.0) -> DataFrame:

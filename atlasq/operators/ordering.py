@@ -83,26 +83,32 @@ def ranged(df: DataFrame, keys: list[Key], part: str = "_part") -> DataFrame:
         return df.withColumn(part, tree(0, len(tops)))
     # one row for each of at most FAN + 1 groups of borders
     groups = [(i, borders[i * step : (i + 1) * step - 1]) for i in range(len(tops) + 1)]
-    table = df.sparkSession.createDataFrame(groups, T.StructType([T.StructField("_group", T.IntegerType()), T.StructField("_borders", T.ArrayType(drawn.schema))]))
-    grouped = df.withColumn("_of", tree(0, len(tops))).join(F.broadcast(table), F.col("_of") == F.col("_group"))
-    inner = F.size(F.filter("_borders", lambda b: ~_before(keys, [b[k] for k in names])))
-    return grouped.withColumn(part, F.col("_of") * step + inner).drop("_of", "_group", "_borders")
-
-
-def _free(df: DataFrame, name: str, *taken: str) -> str:
-    """A column name that df and taken don't have."""
-    while name.lower() in {c.lower() for c in (*df.columns, *taken)}:
-        name += "_"
-    return name
+    of, group, own_borders = free_names("_of _group _borders", df, part)
+    table = df.sparkSession.createDataFrame(groups, T.StructType([T.StructField(group, T.IntegerType()), T.StructField(own_borders, T.ArrayType(drawn.schema))]))
+    grouped = df.withColumn(of, tree(0, len(tops))).join(F.broadcast(table), F.col(of) == F.col(group))
+    inner = F.size(F.filter(own_borders, lambda b: ~_before(keys, [b[k] for k in names])))
+    return grouped.withColumn(part, F.col(of) * step + inner).drop(of, group, own_borders)
+
+
+def free_names(names: str, *given: DataFrame | str) -> list[str]:
+    """The names (parted by blanks), each lengthened until none of the given tables' columns, and no given name, is called so."""
+    taken = {c.lower() for g in given for c in ([g] if isinstance(g, str) else g.columns)}
+    out = []
+    for name in names.split():
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def numbered(df: DataFrame, keys: list[Key], name: str) -> DataFrame:
     """df with each row's place in the order of keys, from 1."""
-    part, p, before, rank = (_free(df, n, name) for n in ("_part", "_p", "_before", "_rank"))
+    part, p, before, rank = free_names("_part _p _before _rank", df, name)
     parted = ranged(df, keys, part)
-    counts = parted.groupBy(part).count()
+    counts = parted.groupBy(F.col(part).alias(p)).count()
     # as many rows as ranges
-    ahead = counts.select(F.col(part).alias(p), (F.sum("count").over(Window.orderBy(part)) - F.col("count")).alias(before))
+    ahead = counts.select(p, (F.sum("count").over(Window.orderBy(p)) - F.col("count")).alias(before))
     ranked = parted.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(*_columns(keys))))
     return ranked.join(F.broadcast(ahead), F.col(part) == F.col(p)).withColumn(name, (F.col(before) + F.col(rank)).cast("long")).drop(part, p, before, rank)
 
@@ -113,19 +119,20 @@ def group_runs(df: DataFrame, key: str, order: str, run: str = "run_id") -> Data
     The order is cut into ranges; each range finds its own starts from the row before, only the first
     row of a range looks at the last row of an earlier one, and the starts are counted by range.
     """
-    parted = ranged(df, [(order, True)])
+    part, new, within, p, base = free_names("_part _new _inside _p _base", df, run)
+    parted = ranged(df, [(order, True)], part)
     by = F.col(f"`{order}`").asc_nulls_last()
-    w = Window.partitionBy("_part").orderBy(by)
+    w = Window.partitionBy(part).orderBy(by)
     k = F.col(f"`{key}`")
-    marked = parted.withColumn("_new", F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise((~k.eqNullSafe(F.lag(k).over(w))).cast("int")))
+    marked = parted.withColumn(new, F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise((~k.eqNullSafe(F.lag(k).over(w))).cast("int")))
     place = F.struct(F.col(f"`{order}`").isNull(), F.col(f"`{order}`"))
-    ends = marked.groupBy("_part").agg(F.min_by(F.struct(k.alias("k")), place).alias("first"), F.max_by(F.struct(k.alias("k")), place).alias("last"), F.sum("_new").alias("inner"))
+    ends = marked.groupBy(F.col(part).alias(p)).agg(F.min_by(F.struct(k.alias("k")), place).alias("first"), F.max_by(F.struct(k.alias("k")), place).alias("last"), F.sum(new).alias("inner"))
     # as many rows as ranges
-    seq = Window.orderBy("_part")
+    seq = Window.orderBy(p)
     ends = ends.withColumn("fresh", F.when(F.lag("last").over(seq).isNull(), 1).otherwise((~F.col("first.k").eqNullSafe(F.lag("last").over(seq)["k"])).cast("int")))
-    base = ends.select(F.col("_part").alias("_p"), (F.sum(F.col("inner") + F.col("fresh")).over(seq) - F.col("inner")).alias("_base"))
-    inside = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_inside", inside).join(F.broadcast(base), F.col("_part") == F.col("_p")).withColumn(run, (F.col("_base") + F.col("_inside")).cast("long")).drop("_part", "_new", "_inside", "_p", "_base")
+    starts = ends.select(p, (F.sum(F.col("inner") + F.col("fresh")).over(seq) - F.col("inner")).alias(base))
+    inside = F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn(within, inside).join(F.broadcast(starts), F.col(part) == F.col(p)).withColumn(run, (F.col(base) + F.col(within)).cast("long")).drop(part, new, within, p, base)
 
 
 def runs(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.projection import View, project
+from .ordering import free_names
 
 MODES = ("inherit", "linear", "discrete", "exact", "linear-rgba", "linear-bgra")
 #: numpy types of the pixel kinds.
@@ -163,13 +164,19 @@ def color_to_alpha_exact(df: DataFrame, color: tuple[int, int, int]) -> DataFram
     return df.withColumn("a", F.when(same, 0).otherwise(F.col("a")))
 
 
-def gray(df: DataFrame) -> DataFrame:
-    luma = F.round(F.col("r") * 0.3 + F.col("g") * 0.59 + F.col("b") * 0.11).cast("int")
-    return df.withColumns({c: luma for c in "rgb"})
+def _ready(df: DataFrame, premultiplied: bool) -> DataFrame:
+    return df if premultiplied else premultiply(df)
 
 
-def invert(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.col("a") - F.col(c) for c in "rgb"})
+def gray(df: DataFrame, premultiplied: bool = False) -> DataFrame:
+    """Luminance in whole numbers of premultiplied pixels; straight ones are premultiplied first. The result is premultiplied."""
+    luma = F.shiftright(4915 * F.col("r") + 9667 * F.col("g") + 1802 * F.col("b") + 8192, 14).cast("int")
+    return _ready(df, premultiplied).withColumns({c: luma for c in "rgb"})
+
+
+def invert(df: DataFrame, premultiplied: bool = False) -> DataFrame:
+    """Alpha less each channel of premultiplied pixels; straight ones are premultiplied first. The result is premultiplied."""
+    return _ready(df, premultiplied).withColumns({c: F.col("a") - F.col(c) for c in "rgb"})
 
 
 def color_to_alpha(df: DataFrame, color: tuple[int, int, int]) -> DataFrame:
@@ -215,16 +222,47 @@ def scale_hsla(df: DataFrame, h: tuple[float, float] = (0, 1), s: tuple[float, f
     return df.withColumns({**dict(zip("rgb", hsl_to_rgb(*y))), "a": alpha})
 
 
-#: Matrices of colour blindness, over linear light.
-BLINDNESS = {"protanope": ((0.0, 2.02344, -2.52581), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)), "deuteranope": ((1.0, 0.0, 0.0), (0.494207, 0.0, 1.24827), (0.0, 0.0, 1.0)), "tritanope": ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (-0.395913, 0.801109, 0.0))}
-_TO_CONES = ((17.8824, 43.5161, 4.11935), (3.45565, 27.1554, 3.86714), (0.0299566, 0.184309, 1.46709))
+#: A kind's confusion point, and slope and intercept of the line on which its colours are told apart, in chromaticities.
+CONFUSION = {"protanope": (0.7465, 0.2535, 1.273463, -0.073894), "deuteranope": (1.4, -0.4, 0.968437, 0.003331), "tritanope": (0.1748, 0.0, 0.062921, 0.292119)}
+#: From linear channels to X, Y, Z and back, the neutral chromaticity, gamma, and the smallest difference that counts.
+_TO_XYZ = ((0.412424, 0.357579, 0.180464), (0.212656, 0.715158, 0.0721856), (0.0193324, 0.119193, 0.950444))
+_FROM_XYZ = ((3.24071, -1.53726, -0.498571), (-0.969258, 1.87599, 0.0415557), (0.0556352, -0.203996, 1.05707))
+_NEUTRAL, GAMMA, EPSILON = (0.312713, 0.329016, 0.358271), 2.2, 2.220446049250313e-16
 
 
-def color_blind(df: DataFrame, kind: str) -> DataFrame:
-    """Colours as seen without one kind of cones: to cone responses, the missing one replaced, and back."""
-    m = np.linalg.inv(np.array(_TO_CONES)) @ np.array(BLINDNESS[kind]) @ np.array(_TO_CONES)
-    rgb = [F.col(c).cast("double") for c in "rgb"]
-    return df.withColumns({c: F.least(F.greatest(F.floor(sum(x * float(w) for x, w in zip(rgb, row)) + 0.5), F.lit(0)), F.lit(255)).cast("int") for c, row in zip("rgb", m)})
+def color_blind(df: DataFrame, kind: str, premultiplied: bool = False) -> DataFrame:
+    """Colours as seen without one kind of cones; the result is premultiplied.
+
+    A colour moves along the line through its chromaticity and the kind's confusion point to where that
+    meets the kind's own line, at the same luminance; what falls out of the channels' range then goes towards
+    neutral grey. Pixels without alpha are black. Those whose line has no slope, or the own line's, keep their straight channels, as do black ones.
+    """
+    px, py, own_slope, own_cut = CONFUSION[kind]
+    before = demultiply(df) if premultiplied else df.withColumns({c: F.when(F.col("a") == 0, 0).otherwise(F.col(c)) for c in "rgb"})
+    d = lambda v: F.lit(float(v))
+    linear = [F.pow(F.col(c).cast("double"), d(GAMMA)) for c in "rgb"]
+    x, y, z = (linear[0] * d(m[0]) + linear[1] * d(m[1]) + linear[2] * d(m[2]) for m in _TO_XYZ)
+    tx, ty, lum, run, slope, mx, my, gx, gz, step, keep = free_names("_tx _ty _lum _run _slope _mx _my _gx _gz _step _keep", before)
+    out = before.withColumns({tx: F.try_divide(x, x + y + z), ty: F.try_divide(y, x + y + z), lum: y})
+    out = out.withColumn(run, F.col(tx) - d(px))
+    out = out.withColumn(slope, F.when(F.abs(F.col(run)) >= EPSILON, (F.col(ty) - d(py)) / F.col(run)))
+    moved = F.coalesce(F.abs(F.col(slope) - d(own_slope)) >= EPSILON, F.lit(False))
+    cut = F.col(ty) - F.col(tx) * F.col(slope)
+    sx = F.try_divide(d(own_cut) - cut, F.col(slope) - d(own_slope))
+    out = out.withColumn(mx, sx).withColumn(my, F.col(slope) * F.col(mx) + cut)
+    nx, nz = F.try_divide(F.col(mx) * F.col(lum), F.col(my)), F.try_divide((d(1) - (F.col(mx) + F.col(my))) * F.col(lum), F.col(my))
+    out = out.withColumns({keep: ~moved, gx: nx, gz: nz})
+    off_x, off_z = d(_NEUTRAL[0]) * F.col(lum) / d(_NEUTRAL[1]) - F.col(gx), d(_NEUTRAL[2]) * F.col(lum) / d(_NEUTRAL[1]) - F.col(gz)
+    plain = [F.col(gx) * d(m[0]) + F.col(lum) * d(m[1]) + F.col(gz) * d(m[2]) for m in _FROM_XYZ]
+    off = [off_x * d(m[0]) + off_z * d(m[2]) for m in _FROM_XYZ]
+    fits = [F.try_divide(F.when(v < 0, d(0)).otherwise(d(1)) - v, o) for v, o in zip(plain, off)]
+    out = out.withColumn(step, F.greatest(*(F.when((f > 1) | (f < 0) | f.isNull(), d(0)).otherwise(f) for f in fits)))
+    final = {}
+    for c, v, o in zip("rgb", plain, off):
+        value = v + F.col(step) * o
+        byte = F.least(F.when(value > 0, F.pow(value, d(1 / GAMMA))).otherwise(d(0)), d(255)).cast("int")
+        final[c] = F.when(F.col(keep) | F.col(c).isNull(), F.col(c)).otherwise(F.shiftright(F.coalesce(byte, F.lit(0)) * F.col("a") + 255, 8)).cast("int")
+    return out.select(*(final[c].alias(c) if c in final else F.col(f"`{c}`") for c in before.columns))
 
 
 def cast_pixels(df: DataFrame, kind: str, value: str = "value") -> DataFrame:

@@ -425,6 +425,14 @@ def simplify_lines(spark, sf):
     return df.select("id", geometry.to_wkt(geometry.simplify(geometry.from_wkt(text), F.lit("douglas-peucker"), F.lit(0.5))).alias("wkt"))
 
 
+@query(f"""SELECT id, 'LINESTRING(0 0,' || CASE WHEN m BETWEEN -3 AND 2 THEN '' ELSE '10 ' || m || ',' END || '20 0)' AS wkt FROM (SELECT id, c_custkey % 9 - 4 AS m FROM {_C})""")
+def simplify_by_strips(spark, sf):
+    """A middle point within the tolerance, 3, of the way to the last one goes (the strip's lower border belongs to it, its upper one doesn't)."""
+    df = customers(spark, sf).withColumn("m", F.expr("cast(c_custkey % 9 - 4 as string)"))
+    text = F.concat(F.lit("LINESTRING(0 0,10 "), "m", F.lit(",20 0)"))
+    return df.select("id", geometry.to_wkt(geometry.simplify(geometry.from_wkt(text), F.lit("zhao-saalfeld"), F.lit(3.0))).alias("wkt"))
+
+
 _TRI = "(SELECT *, c_custkey % 7 + 1 AS ax, c_custkey % 5 AS ay, c_custkey % 3 AS bx, c_custkey % 4 + 2 AS by2 FROM " + _C + ")"
 
 
@@ -466,6 +474,32 @@ def crossing_rings(spark, sf):
     return df.select("o_orderkey", geometry.is_valid("geom").alias("valid"), geometry.is_simple("geom").alias("simple"), geometry.invalid_reason("geom").alias("reason"))
 
 
+def _square(x: str, y: str, side: int, outer: bool = True) -> F.Column:
+    """The text of a square ring, clockwise if it is an outer one."""
+    across, up = [(f"{x} + {side}", y)], [(x, f"{y} + {side}")]
+    middle = [(f"{x} + {side}", f"{y} + {side}")]
+    way = [(x, y), *((up + middle + across) if outer else (across + middle + up)), (x, y)]
+    at = [F.concat_ws(" ", F.expr(f"cast({a} as string)"), F.expr(f"cast({b} as string)")) for a, b in way]
+    return F.concat(F.lit("("), F.concat_ws(",", *at), F.lit(")"))
+
+
+@query("""SELECT o_orderkey, p > 0 AND p < 7 AND q > 0 AND q < 7 AS valid FROM (SELECT o_orderkey, o_orderkey % 17 - 5 AS p, o_custkey % 16 - 5 AS q FROM orders)""")
+def holes_in_rings(spark, sf):
+    """A square with a square hole that lies inside, outside, across, or shares a piece of its border, as the keys have it."""
+    df = table(spark, sf, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 17 - 5 as int) as p", "cast(o_custkey % 16 - 5 as int) as q")
+    text = F.concat(F.lit("POLYGON("), _square("0", "0", 10), F.lit(","), _square("p", "q", 3, False), F.lit(")"))
+    return df.select("o_orderkey", geometry.is_valid(geometry.from_wkt(text)).alias("valid"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN p = 4 AND q = 4 THEN 'two rings share a piece' WHEN abs(p - 4) < 4 AND abs(q - 4) < 4 AND (p = 4 OR q = 4) THEN 'two rings share a piece' WHEN abs(p - 4) = 4 AND abs(q - 4) < 4 OR abs(q - 4) = 4 AND abs(p - 4) < 4 THEN 'two rings share a piece'
+    WHEN abs(p - 4) < 4 AND abs(q - 4) < 4 THEN 'two parts overlap' END AS reason FROM (SELECT o_orderkey, o_orderkey % 11 AS p, o_custkey % 13 AS q FROM orders)""")
+def parts_of_areas(spark, sf):
+    """Two squares of a multipolygon: apart, touching in a corner (valid), sharing a piece of their borders or overlapping."""
+    df = table(spark, sf, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 11 as int) as p", "cast(o_custkey % 13 as int) as q")
+    text = F.concat(F.lit("MULTIPOLYGON(("), _square("4", "4", 4), F.lit("),("), _square("p", "q", 4), F.lit("))"))
+    return df.select("o_orderkey", geometry.invalid_reason(geometry.from_wkt(text)).alias("reason"))
+
+
 @query("SELECT o_orderkey, q > 0 AND 5 * r + 9 > 6 * q AS simple FROM (SELECT o_orderkey, o_orderkey % 5 AS q, o_custkey % 7 + 1 AS r FROM orders)")
 def crossing_lines(spark, sf):
     """Lines of three segments, the last of which crosses the first one or passes it by; some begin with a repeated point."""
@@ -665,8 +699,12 @@ def raster_y_gradient(spark, sf):
     return raster.convolve_pixels(pixels(spark, sf), "y-gradient").select("x", "y", "value")
 
 
-@query(f"SELECT x, y, a - r AS r, floor(r * 0.3e0 + g * 0.59e0 + b * 0.11e0 + 0.5e0)::INTEGER AS luma FROM {_rgba_sql()}")
+_PRE = f"(SELECT x, y, a, {', '.join(f'(({c} * a + 127) // 255)::INTEGER AS {c}' for c in 'rgb')} FROM {_rgba_sql()})"
+
+
+@query(f"SELECT x, y, a - r AS r, ((4915 * r + 9667 * g + 1802 * b + 8192) >> 14)::INTEGER AS luma FROM {_PRE}")
 def raster_invert_gray(spark, sf):
+    """Pixels with channels above their alpha too: filters premultiply first."""
     df = rgba(spark, sf)
     luma = raster.gray(df).select("x", "y", F.col("r").alias("luma"))
     return raster.invert(df).select("x", "y", "r").join(luma, ["x", "y"])
@@ -713,9 +751,31 @@ def raster_warp(spark, sf):
     return raster.warp(pixels(spark, sf), source, projection.LONLAT, target, projection.MERCATOR)
 
 
-@query()
+def _blind_sql(kind: str) -> str:
+    px, py, slope, cut = (f"{v!r}::DOUBLE" for v in raster.CONFUSION[kind])
+    back = {c: [f"{v!r}::DOUBLE" for v in m] for c, m in zip("rgb", raster._FROM_XYZ)}
+    to = [" + ".join(f"l{c} * {v!r}::DOUBLE" for c, v in zip("rgb", m)) for m in raster._TO_XYZ]
+    nx, ny, nz = (f"{v!r}::DOUBLE" for v in raster._NEUTRAL)
+    plain = ", ".join(f"gx * {m[0]} + lum * {m[1]} + gz * {m[2]} AS v{c}, ({nx} * lum / {ny} - gx) * {m[0]} + ({nz} * lum / {ny} - gz) * {m[2]} AS off_{c}" for c, m in back.items())
+    fit = ", ".join(f"CASE WHEN off_{c} = 0 THEN NULL ELSE (CASE WHEN v{c} < 0 THEN 0e0 ELSE 1e0 END - v{c}) / off_{c} END AS f{c}" for c in "rgb")
+    step = ", ".join(f"CASE WHEN f{c} BETWEEN 0 AND 1 THEN f{c} ELSE 0e0 END" for c in "rgb")
+    out = ", ".join(f"CASE WHEN moved THEN ((coalesce(floor(least(CASE WHEN v{c} + step * off_{c} > 0 THEN pow(v{c} + step * off_{c}, 1e0 / 2.2e0) ELSE 0e0 END, 255e0))::INTEGER, 0) * a + 255) >> 8)::INTEGER ELSE {c} END AS {c}" for c in "rgb")
+    return f"""(SELECT x, y, {out} FROM (SELECT *, greatest({step}) AS step FROM (SELECT *, {fit} FROM (SELECT *, {plain} FROM (
+        SELECT *, mx * lum / my AS gx, (1e0 - (mx + my)) * lum / my AS gz, abs(slope - {slope}) >= 2.220446049250313e-16 IS TRUE AS moved FROM (SELECT *, slope * mx + cut AS my FROM (
+        SELECT *, ({cut} - cut) / (slope - {slope}) AS mx FROM (SELECT *, ty - tx * slope AS cut FROM (SELECT *, CASE WHEN abs(tx - {px}) >= 2.220446049250313e-16 THEN (ty - {py}) / (tx - {px}) END AS slope FROM (
+        SELECT *, CASE WHEN cx + lum + cz > 0 THEN cx / (cx + lum + cz) END AS tx, CASE WHEN cx + lum + cz > 0 THEN lum / (cx + lum + cz) END AS ty FROM (SELECT *, {to[0]} AS cx, {to[1]} AS lum, {to[2]} AS cz FROM (
+        SELECT *, pow(r::DOUBLE, 2.2e0) AS lr, pow(g::DOUBLE, 2.2e0) AS lg, pow(b::DOUBLE, 2.2e0) AS lb FROM (SELECT x, y, a, {", ".join(f"CASE WHEN a = 0 THEN 0 ELSE {c} END AS {c}" for c in "rgb")} FROM {_rgba_sql()})))))))))))))"""
+
+
+@query(f"SELECT x, y, r, g, b FROM {_blind_sql('deuteranope')}")
 def raster_color_blind(spark, sf):
-    return raster.color_blind(raster.scale_hsla(rgba(spark, sf), s=(0.0, 0.5)), "deuteranope").select("x", "y", "r", "g", "b")
+    return raster.color_blind(rgba(spark, sf), "deuteranope").select("x", "y", "r", "g", "b")
+
+
+@query(f"SELECT 'protanope' AS kind, * FROM {_blind_sql('protanope')} UNION ALL SELECT 'tritanope', * FROM {_blind_sql('tritanope')}")
+def raster_color_blind_kinds(spark, sf):
+    one, other = (raster.color_blind(rgba(spark, sf), k).select(F.lit(k).alias("kind"), "x", "y", "r", "g", "b") for k in ("protanope", "tritanope"))
+    return one.unionByName(other)
 
 
 # --- sources ---------------------------------------------------------------

@@ -138,3 +138,58 @@ def test_columns(spark):
     assert (rows[0].w, rows[0].k, rows[0].b, rows[0].x, rows[0].n) == ("POLYGON((0 0,0 2,2 2,2 0,0 0))", 3, 3, 1.0, 5) and rows[1].w is None and rows[2].w is None
     back = df.limit(1).select(G.to_wkt(G.reproject("epsg:3857", "epsg:4326")(G.reproject("epsg:4326", "epsg:3857")("geom"))).alias("w")).first().w
     assert S.centroid(C.from_wkt(back)) == pytest.approx((1, 1))
+
+
+def _square_ring(x, y, side):
+    return f"({x} {y},{x} {y + side},{x + side} {y + side},{x + side} {y},{x} {y})"
+
+
+def _reason(*polygons):
+    """polygons as lists of ring texts; rings are turned the right way first."""
+    return S.invalid_reason(S.corrected(C.from_wkt("MULTIPOLYGON(" + ",".join("(" + ",".join(p) + ")" for p in polygons) + ")")))
+
+
+def test_validity_between_rings():
+    q = _square_ring
+    assert _reason([q(0, 0, 10), q(2, 2, 3), q(6, 6, 2)]) is None
+    assert _reason([q(0, 0, 10), q(8, 2, 4)]) == "a hole crosses its ring" and _reason([q(0, 0, 10), q(20, 2, 4)]) == "a hole lies outside its ring"
+    assert _reason([q(0, 0, 10), q(1, 1, 8), q(3, 3, 2)]) == "a hole lies inside another" and _reason([q(0, 0, 10), q(1, 1, 4), q(3, 3, 4)]) == "two holes cross"
+    assert _reason([q(0, 0, 10), q(0, 2, 4)]) == "two rings share a piece" and _reason([q(0, 0, 10), q(2, 2, 2), q(4, 4, 2)]) is None
+    assert _reason([q(0, 0, 10), "(0 5,2 4,2 6,0 5)"]) is None and _reason([q(0, 0, 10), "(0 5,5 4,10 5,5 6,0 5)"]) == "holes cut the inside in two"
+    assert _reason([q(0, 0, 9)], [q(5, 5, 9)]) == "two parts overlap" and _reason([q(0, 0, 9)], [q(3, 3, 2)]) == "two parts overlap"
+    assert _reason([q(0, 0, 9)], [q(9, 9, 9)]) is None and _reason([q(0, 0, 9), q(1, 1, 7)], [q(2, 2, 2)]) is None
+    assert _reason([q(0, 0, 9)], [q(9, 0, 9)]) == "two rings share a piece" and _reason([q(0, 0, 9), q(1, 1, 7)], [q(2, 2, 2)], [q(3, 3, 2)]) == "two parts overlap"
+    around = "(" + ",".join(f"{50 + 40 * math.cos(t / 200 * math.pi):.6f} {50 + 40 * math.sin(t / 200 * math.pi):.6f}" for t in range(400))
+    assert _reason([around + "," + around[1:].split(",")[0] + ")", *(q(30 + 4 * i, 40, 2) for i in range(8))]) is None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.integers(1, 5)), min_size=2, max_size=4))
+def test_validity_of_squares(squares):
+    """Squares as parts of one area: any two share no border piece and no inside."""
+    lap = lambda a, b, m, n: min(a + m, b + n) - max(a, b)
+
+    def fine(s, t):
+        x, y = lap(s[0], t[0], s[2], t[2]), lap(s[1], t[1], s[2], t[2])
+        return x < 0 or y < 0 or x == y == 0
+
+    want = all(fine(s, t) for i, s in enumerate(squares) for t in squares[i + 1 :])
+    assert (_reason(*[[_square_ring(*s)] for s in squares]) is None) == want
+
+
+def test_strips():
+    """A line keeps a point when those since the last kept one don't all fit into the strip of twice the tolerance to the next."""
+    rng = np.random.default_rng(7)
+    for _ in range(100):
+        a = np.cumsum(rng.normal(size=(25, 2)) * (1, 0.4) + (0.6, 0), axis=0)
+        kept = [0]
+        for i in range(2, len(a)):
+            d = a[i] - a[kept[-1]]
+            n = np.hypot(*d)
+            w = a[kept[-1] + 1 : i] - a[kept[-1]]
+            along, across = w @ d / n, (w[:, 0] * d[1] - w[:, 1] * d[0]) / n
+            if not ((along > 0) & (along < n) & (abs(across) < 0.9)).all():
+                kept.append(i - 1)
+        assert (S.sleeve(a, 0.9) == a[[*kept, len(a) - 1]]).all()
+    ring = np.array([(0, 0), (0, 9), (5, 9), (9, 9), (9, 0), (4, 0), (0, 0)], float)
+    assert S.sleeve(ring, 0.5, True).tolist() == [[0, 0], [0, 9], [9, 9], [9, 0], [4, 0], [0, 0]]

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def test_projection():
     assert projection.fixed_aspect(v, "ADJUST_CANVAS_HEIGHT").height == 200
     assert projection.zoomed(grown, 0.5).extent == Extent(0, 2.5, 10, 7.5) and projection.panned(grown, 0, 0).extent.center == (-5, 10)
     assert projection.tile_range(Extent(-1, -1, 1, 1), 1) == (0, 1, 0, 1)
-    assert projection.zoom_of_scale(6e8, 22) == 0 and projection.zoom_of_scale(3e8, 22) == 1 and projection.zoom_of_scale(1.0, 14) == 14
+    assert projection.zoom_of_scale(6e8, 22) == 0 and projection.zoom_of_scale(3e8, 22) == 0 and projection.zoom_of_scale(1.5e8, 22) == 1 and projection.zoom_of_scale(1000.0, 22) == 19 and projection.zoom_of_scale(1.0, 14) == 14 and projection.zoom_of_scale(100.0, 22) == 22
     with pytest.raises(NotImplementedError):
         projection.known("epsg:2056")
     assert projection.scale_denominator(1.0, False) == pytest.approx(1 / 0.00028)
@@ -221,3 +222,73 @@ def test_whole_part_table_is_joined(spark):
     a, b = np.nonzero((i[:, None] < i) & (x[:, None] <= z) & (z[:, None] >= x) & (y[:, None] <= w) & (w[:, None] >= y))
     got = [(r.a, r.b) for r in catalog.QUERIES["join_boxes"](spark, sf).collect()]
     assert len(got) == len(a) > 0 and set(got) == set(zip(i[a].tolist(), i[b].tolist()))
+
+
+def test_callers_columns_stay(spark):
+    """Every operator keeps callers' columns that are called as its own inner ones, with their values."""
+    from atlasq.operators import hits, labels, ordering
+
+    own = "_part _p _new _inside _base _before _rank _of _group _borders".split()
+    rows = [(i, i // 3, f"v{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, g long, v string").withColumns({c: F.lit(c) for c in own})
+    for out in (ordering.group_runs(df, "g", "k"), ordering.numbered(df, [("k", True)], "place")):
+        found = out.orderBy("k").collect()
+        assert set(df.columns) < set(out.columns) and all(r[c] == c for r in found for c in own) and [r.v for r in found] == [v for _, _, v in rows]
+    assert [r.run_id for r in ordering.group_runs(df, "g", "k").orderBy("k").collect()] == [i // 3 + 1 for i in range(40)]
+    boxes = spark.createDataFrame([(i, float(i), 0.0, i + 1.5, 1.0) for i in range(9)], "i long, minx double, miny double, maxx double, maxy double")
+    names = "_cell _rcell _row _cx _cy _z _place _i _j _first _won _text".split()
+    marked = boxes.withColumns({c: F.concat(F.lit(c), F.col("i")) for c in names})
+    left, right = (marked.select(*(F.col(c).alias(f"{p}{c}") if c in boxes.columns else c for c in (marked.columns if p == "l_" else boxes.columns))) for p in ("l_", "r_"))
+    pairs = hits.join_boxes(left, right, 2.0)
+    assert {c for c in names} < set(pairs.columns) and sorted((r.l_i, r.r_i) for r in pairs.collect()) == [(i, j) for i in range(9) for j in range(9) if abs(i - j) <= 1]
+    assert hits.join_boxes(left, right, 2.0, "left_semi").columns == left.columns
+    points = spark.createDataFrame([(0.5, 0.5)], "x double, y double").withColumns({c: F.lit(c) for c in names})
+    assert [r.i for r in hits.join_points(points, boxes, 2.0).collect()] == [0] and set(names) < set(hits.join_points(points, boxes, 2.0).columns)
+    others = spark.createDataFrame([(1.0, 0.5)], "ox double, oy double")
+    assert set(names) < set(hits.join_near(points, others, 1.0).columns) and hits.join_near(points, others, 1.0).count() == 1
+    placed = labels.place_labels_everywhere(marked, [("i", True)], 2.0)
+    assert placed.columns == [*marked.columns, "placed"] and sorted(r.i for r in placed.where("placed").collect()) == [0, 2, 4, 6, 8] and all(r[c] == f"{c}{r.i}" for r in placed.collect() for c in names)
+
+
+def test_colour_filters_premultiply(spark):
+    from atlasq.operators import raster
+
+    df = spark.createDataFrame([(200, 100, 0, 100), (10, 20, 30, 255), (7, 7, 7, 0)], "r int, g int, b int, a int")
+    half = [(78, 39, 0, 100), (10, 20, 30, 255), (0, 0, 0, 0)]
+    assert [tuple(r) for r in raster.invert(df).collect()] == [(a - r, a - g, a - b, a) for r, g, b, a in half]
+    assert [r.g for r in raster.gray(df).collect()] == [(4915 * r + 9667 * g + 1802 * b + 8192) >> 14 for r, g, b, _ in half]
+    assert [tuple(r) for r in raster.invert(raster.premultiply(df), True).collect()] == [tuple(r) for r in raster.invert(df).collect()]
+    seen = [tuple(r) for r in raster.color_blind(df, "protanope").collect()]
+    assert seen[2] == (0, 0, 0, 0) and all(c <= 100 for c in seen[0]) and seen[0][0] != 200
+
+
+@pytest.mark.parametrize("n, rounds", [(60, 3), (900, 4)])
+def test_chain_of_labels(spark, monkeypatch, n, rounds):
+    """A street of labels, each meeting the next: every second one is placed, in a few rounds."""
+    from atlasq.operators import labels
+
+    writes, plain = [], labels.scratch.written
+    monkeypatch.setattr(labels.scratch, "written", lambda df: writes.append(1) or plain(df))
+    chain = spark.range(n).selectExpr("id", "id * 1.0D as minx", "0.0D as miny", "id + 1.5D as maxx", "1.0D as maxy")
+    placed = labels.place_labels_everywhere(chain, [("id", True)], 2.0).where("placed").collect()
+    assert sorted(r.id for r in placed) == list(range(0, n, 2))
+    # one for the order, two for the crowded places, three a round
+    assert len(writes) <= 3 + 3 * rounds
+
+
+def test_labels_everywhere_by_force(spark):
+    from atlasq.operators import labels
+
+    rng = np.random.default_rng(11)
+    rows = [(i, float(x), float(y), float(x + w), float(y + h), "abc"[i % 3] if i % 7 else None) for i, (x, y, w, h) in enumerate(zip(*(rng.uniform(0, 60, 700), rng.uniform(0, 60, 700), rng.uniform(0.1, 5, 700), rng.uniform(0.1, 2, 700))))]
+    rows += [(700 + i, 5.0, 5.0, 6.0, 6.0, "a") for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, minx double, miny double, maxx double, maxy double, t string")
+    for margin, repeat in ((0.0, 0.0), (0.3, 4.0)):
+        done, want = [], set()
+        for i, x0, y0, x1, y1, t in rows:
+            gap = lambda o, d: x0 <= o[3] + d and x1 >= o[1] - d and y0 <= o[4] + d and y1 >= o[2] - d
+            if not any(gap(o, repeat if repeat > margin and t is not None and t == o[5] else margin) for o in done):
+                done.append((i, x0, y0, x1, y1, t))
+                want.add(i)
+        found = labels.place_labels_everywhere(df, [("i", True)], 1.0, margin, repeat, "t")
+        assert {r.i for r in found.where("placed").collect()} == want and found.count() == len(rows)
