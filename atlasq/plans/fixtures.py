@@ -65,11 +65,23 @@ def shape_bytes(rows: list[Row]) -> bytes:
     return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<ii8d", 1000, 1, *[0.0] * 8) + body
 
 
+def line_files(rows: list[Row]) -> tuple[bytes, bytes, bytes]:
+    """.shp, .shx and .dbf of lines from (x, y) to (x + 1, y + 2)."""
+    body, places, at = [], [], 100
+    for i, (_, _, x, y) in enumerate(rows):
+        record = struct.pack("<i4d3i4d", 3, x, y, x + 1, y + 2, 1, 2, 0, x, y, x + 1, y + 2)
+        body.append(struct.pack(">ii", i + 1, len(record) // 2) + record)
+        places.append(struct.pack(">ii", at // 2, len(record) // 2))
+        at += 8 + len(record)
+    head = lambda n: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, n // 2) + struct.pack("<ii8d", 1000, 3, *[0.0] * 8)
+    return head(at) + b"".join(body), head(100 + 8 * len(rows)) + b"".join(places), dbf_bytes(rows)
+
+
 def dbf_bytes(rows: list[Row]) -> bytes:
-    columns = [("KEY", "N", 6, 0), ("NAME", "C", 30, 0), ("SHARE", "N", 10, 3), ("EVEN", "L", 1, 0)]
+    columns = [("KEY", "N", 12, 0), ("NAME", "C", 30, 0), ("SHARE", "N", 10, 3), ("EVEN", "L", 1, 0)]
     head = b"".join(n.encode().ljust(11, b"\0") + t.encode() + b"\0" * 4 + bytes([w, d]) + b"\0" * 14 for n, t, w, d in columns)
-    cells = [b" " + str(k).encode().rjust(6) + n.encode().ljust(30) + f"{k / 8:.3f}".encode().rjust(10) + (b"T" if k % 2 == 0 else b"F") for k, n, _, _ in rows]
-    return struct.pack("<BBBBIHH20x", 3, 1, 1, 1, len(rows), 32 + len(head) + 1, 48) + head + b"\r" + b"".join(cells)
+    cells = [b" " + str(k).encode().rjust(12) + n.encode().ljust(30) + f"{k / 8:.3f}".encode().rjust(10) + (b"T" if k % 2 == 0 else b"F") for k, n, _, _ in rows]
+    return struct.pack("<BBBBIHH20x", 3, 1, 1, 1, len(rows), 32 + len(head) + 1, 54) + head + b"\r" + b"".join(cells)
 
 
 def _database(statements: list[tuple[str, list[tuple]]]) -> bytes:
@@ -107,6 +119,42 @@ def pmtiles_bytes(rows: list[Row]) -> bytes:
     return head.ljust(97, b"\0") + b"\x01\x02\x01" + b"\0" * 27 + directory + tile
 
 
+def directory_bytes(entries: list[tuple[int, int, int, int]]) -> bytes:
+    """A packed directory of (tile number, run, offset, size)."""
+    ids = [e[0] for e in entries]
+    steps = [b - a for a, b in zip([0, *ids], ids)]
+    return gzip.compress(b"".join(map(varint, [len(entries), *steps, *(e[1] for e in entries), *(e[3] for e in entries), *(e[2] + 1 for e in entries)])))
+
+
+def archive_bytes(tiles: dict[int, bytes], leaf: int = 4) -> bytes:
+    """A version 3 archive of tiles by number, with leaf directories of so many tiles each; equal neighbours are runs."""
+    entries: list[tuple[int, int, int, int]] = []
+    data = b""
+    for tile in sorted(tiles):
+        body = gzip.compress(tiles[tile], mtime=0)
+        if entries and entries[-1][0] + entries[-1][1] == tile and data[entries[-1][2] :] == body:
+            entries[-1] = (entries[-1][0], entries[-1][1] + 1, *entries[-1][2:])
+        else:
+            entries.append((tile, 1, len(data), len(body)))
+            data += body
+    leaves, root = b"", []
+    for i in range(0, len(entries), leaf):
+        own = directory_bytes(entries[i : i + leaf])
+        root.append((entries[i][0], 0, len(leaves), len(own)))
+        leaves += own
+    top = directory_bytes(root)
+    at = 127 + len(top)
+    head = b"PMTiles\x03" + struct.pack("<8Q", 127, len(top), 0, 0, at, len(leaves), at + len(leaves), len(data))
+    return head.ljust(97, b"\0") + b"\x02\x02\x01" + bytes([0, 30]) + b"\0" * 25 + top + leaves + data
+
+
+def tile_of_points(name: str, points: list[tuple[int, str, int, int]]) -> bytes:
+    """A vector tile with a point (id, name, column and row in 4096 steps) for each row."""
+    features = [message(2, number(1, k) + message(2, varint(0) + varint(i)) + number(3, 1) + message(4, varint(9) + zigzag(px, py))) for i, (k, _, px, py) in enumerate(points)]
+    values = [message(4, message(1, n.encode())) for _, n, _, _ in points]
+    return message(3, message(1, name.encode()) + b"".join(features) + message(3, b"name") + b"".join(values) + number(5, 4096) + number(15, 2))
+
+
 def raster_blob(a: np.ndarray, nodata: int) -> bytes:
     """One band of bytes."""
     head = b"\x01" + struct.pack("<HH6diHH", 0, 1, 1.0, -1.0, 0.0, 0.0, 0.0, 0.0, 4326, a.shape[1], a.shape[0])

@@ -18,6 +18,7 @@ from ..functions.boxes import Extent
 from ..functions.projection import CIRCUMFERENCE
 from ..plans.processor import SpatialTable
 from .json_tables import _finish, place
+from .shape_records import cells, dbf_layout, shape_at
 
 _ROWS = "_n long, geom binary, props map<string,string>"
 
@@ -157,73 +158,21 @@ def geobuf(spark: SparkSession, path: str) -> SpatialTable:
 
 
 def shp_geometries(raw: bytes) -> list[C.Geometry | None]:
-    """Points, multipoints, lines and polygons, with or without Z and M; other kinds are refused."""
     if struct.unpack_from(">i", raw)[0] != 9994:
         raise ValueError("not a shapefile")
     out: list[C.Geometry | None] = []
     at = 100
     while at + 8 <= len(raw):
-        words = struct.unpack_from(">i", raw, at + 4)[0]
-        body = at + 8
-        kind = struct.unpack_from("<i", raw, body)[0]
-        plain = kind % 10
-        if kind == 0:
-            out.append(None)
-        elif kind == 31 or plain not in (1, 3, 5, 8):
-            raise ValueError(f"no shape kind {kind}")
-        elif plain == 1:
-            out.append(C.Geometry("Point", np.frombuffer(raw, "<f8", 2, body + 4).reshape(1, 2).copy()))
-        elif plain == 8:
-            n = struct.unpack_from("<i", raw, body + 36)[0]
-            out.append(C.Geometry("MultiPoint", np.frombuffer(raw, "<f8", 2 * n, body + 40).reshape(-1, 2).copy()))
-        else:
-            parts, n = struct.unpack_from("<ii", raw, body + 36)
-            starts = [*struct.unpack_from(f"<{parts}i", raw, body + 44), n]
-            xy = np.frombuffer(raw, "<f8", 2 * n, body + 44 + 4 * parts).reshape(-1, 2)
-            rings = [xy[a:b].copy() for a, b in zip(starts[:-1], starts[1:])]
-            if plain == 3:
-                out.append(C.Geometry("LineString", rings[0]) if parts == 1 else C.Geometry("MultiLineString", rings))
-            else:
-                from ..functions.shapes import is_clockwise
-
-                polygons: list[list] = []
-                for ring in rings:
-                    if not polygons or is_clockwise(ring):
-                        polygons.append([ring])
-                    else:
-                        polygons[-1].append(ring)
-                out.append(C.Geometry("Polygon", polygons[0]) if len(polygons) == 1 else C.Geometry("MultiPolygon", polygons))
-        at = body + 2 * words
+        out.append(shape_at(raw, at + 8))
+        at += 8 + 2 * struct.unpack_from(">i", raw, at + 4)[0]
     return out
 
 
 def dbf_records(raw: bytes, encoding: str = "utf-8") -> tuple[list[tuple[str, str, int]], list[dict]]:
-    """Fields (name, type, decimals) and records. Numbers that start with a star are absent; only 1, t, T, y, Y are true."""
-    count, head, size = struct.unpack_from("<IHH", raw, 4)
-    columns, at = [], 32
-    while raw[at] != 0x0D:
-        name = raw[at : at + 11].split(b"\0")[0].decode(encoding, "replace")
-        columns.append((name, chr(raw[at + 11]), raw[at + 16], raw[at + 17]))
-        at += 32
-    rows = []
-    for i in range(count):
-        at, row = head + i * size + 1, {}
-        for name, kind, width, decimals in columns:
-            cell = raw[at : at + width]
-            at += width
-            text = cell.decode(encoding, "replace").strip(" \0")
-            if kind in "CD":
-                row[name] = text
-            elif kind == "L":
-                row[name] = text[:1] in ("1", "t", "T", "y", "Y") and text != ""
-            elif kind in "NOF":
-                if text[:1] != "*":
-                    try:
-                        row[name] = float(text) if decimals > 0 else int(float(text))
-                    except ValueError:
-                        row[name] = None
-        rows.append(row)
-    return [(n, k, d) for n, k, _, d in columns], rows
+    """Fields (name, type, decimals) and records."""
+    layout = dbf_layout(raw, encoding)
+    rows = [cells(raw, layout.head + i * layout.size, layout, encoding) for i in range(layout.count)]
+    return [(c.name, c.letter, c.decimals) for c in layout.columns], rows
 
 
 def shapefile(spark: SparkSession, stem: str, encoding: str = "utf-8", row_limit: int = 0) -> SpatialTable:

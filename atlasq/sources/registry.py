@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.boxes import Extent
+from ..functions.projection import MERCATOR
 from ..plans import tokens
 from ..plans.processor import SpatialTable
 from ..plans.spec import MapSpec, SpatialQuery
-from . import binary_tables, delimited, json_tables
+from . import binary_tables, delimited, json_tables, ranged
 
 _SOURCES: dict[str, Callable[[SparkSession, Mapping[str, str]], SpatialTable]] = {}
 
@@ -69,7 +70,10 @@ register("geojson", lambda s, p: json_tables.geojson(s, _file(p), p.get("inline"
 register("topojson", lambda s, p: json_tables.topojson(s, _file(p), p.get("inline")))
 register("geobuf", lambda s, p: binary_tables.geobuf(s, _file(p)))
 register("shape", lambda s, p: binary_tables.shapefile(s, _file(p).removesuffix(".shp"), p.get("encoding", "utf-8"), int(p.get("row_limit", 0))))
+# shapefiles with their .shx, read by ranges and, with an .index, by box: a folder, a stem or a list
+register("shapes", lambda s, p: ranged.shapefiles(s, _file(p), p.get("encoding", "utf-8"), int(p.get("split_bytes", ranged.SPLIT_BYTES))))
 register("sqlite", lambda s, p: binary_tables.sqlite(s, _file(p), p["table"], p.get("geometry_field", "geometry"), p.get("key_field"), p.get("wkb_format", "auto"), int(p.get("row_limit", 0)), int(p.get("row_offset", 0)), p.get("fields", "*")))
+register("pmtiles", lambda s, p: SpatialTable(ranged.archive_table(s, _file(p), int(p["zoom"]), p.get("layer")), MERCATOR))
 register("parquet", lambda s, p: SpatialTable(s.read.parquet(_file(p))))
 register("view", lambda s, p: SpatialTable(s.table(p["table"])))
 
