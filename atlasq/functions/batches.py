@@ -231,6 +231,14 @@ def _by_size(b: Batch, paths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]
     return out
 
 
+def area(b: Batch) -> np.ndarray:
+    """Outer rings less holes of polygons, 0 for all else."""
+    twice, _, _ = ring_sums(b)
+    first = np.append(True, b.path_row[1:] != b.path_row[:-1])[: len(b.path_row)]
+    own = np.where(b.kind[b.path_row] == 3, np.abs(twice) / 2, 0.0)
+    return np.bincount(b.path_row, weights=np.where(first, own, -own), minlength=b.n)
+
+
 def invalid_reason(b: Batch) -> list[str | None]:
     """As shapes.invalid_reason() says; polygons with holes, long rings and those with repeated points go through it."""
     out: list[str | None] = [None] * b.n

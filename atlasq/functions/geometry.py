@@ -114,6 +114,7 @@ centroid = _batch(XY, B.centroid, S.centroid)
 interior = _scalar(XY, _wkb(S.interior))
 polylabel = _scalar(XY, _wkb(S.polylabel))
 middle_point = _scalar(XY, _wkb(S.middle_point))
+area = _batch("double", B.area, S.area)
 path_length = _batch("double", B.path_length, S.path_length)
 closest_point = _scalar("x double, y double, distance double", _wkb(S.closest_point))
 is_valid = _batch("boolean", lambda b: [r is None for r in B.invalid_reason(b)], lambda g: S.invalid_reason(g) is None)
@@ -125,6 +126,7 @@ correct = _scalar("binary", _wkb(lambda g: C.to_wkb(S.corrected(g))))
 simplify = _scalar("binary", _wkb(lambda g, how, tol: C.to_wkb(S.simplified(g, how, tol))))
 smooth = _scalar("binary", _wkb(lambda g, amount: C.to_wkb(g.mapped(lambda a: S.smoothed(a, amount)))))
 offset = _scalar("binary", _wkb(lambda g, by: C.to_wkb(g.mapped(lambda a: S.offset_line(a, by)))))
+outline = _scalar("binary", _wkb(lambda g, width, join, cap, limit: C.to_wkb(S.outline(g, width, join, cap, limit))))
 extend = _scalar("binary", _wkb(lambda g, by: C.to_wkb(g.mapped(lambda a: S.extended(a, by)))))
 clip = _scalar("binary", _wkb(lambda g, x0, y0, x1, y1: C.to_wkb(S.clipped(g, (x0, y0, x1, y1)))))
 affine = _scalar("binary", _wkb(lambda g, *m: C.to_wkb(S.converted(g, transform=m))))

@@ -26,6 +26,15 @@ def signed_area(ring: np.ndarray) -> float:
     return float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y) / 2)
 
 
+def area(g: Geometry) -> float:
+    """Of all polygons: outer rings less holes, whatever their directions."""
+    total = 0.0
+    for s in g.singles():
+        if s.kind == "Polygon":
+            total += sum(abs(signed_area(r)) * (1 if k == 0 else -1) for k, r in enumerate(s.parts))
+    return total
+
+
 def is_clockwise(ring: np.ndarray) -> bool:
     return signed_area(ring) < 0
 
@@ -637,6 +646,94 @@ def offset_line(a: np.ndarray, by: float, join_limit: float = 4.0) -> np.ndarray
     return np.array(out)
 
 
+def _arc(centre: np.ndarray, start: np.ndarray, end: np.ndarray, way: int, radius: float) -> list[np.ndarray]:
+    """Points of an arc from start to end around centre, way 1 counter-clockwise; ends included."""
+    a, b = (math.atan2(*(p - centre)[::-1]) for p in (start, end))
+    turn = (b - a) * way % (2 * math.pi)
+    steps = max(1, math.ceil(turn / (math.pi / 16)))
+    return [start, *(centre + radius * np.array([math.cos(a + way * turn * k / steps), math.sin(a + way * turn * k / steps)]) for k in range(1, steps)), end]
+
+
+def _side(a: np.ndarray, u: np.ndarray, by: float, join: str, limit: float, closed: bool) -> list[np.ndarray]:
+    """The parallel of a path at its left: corners meet on the inner side, and are joined on the outer one."""
+    normal = np.stack([-u[:, 1], u[:, 0]], 1) * by
+    n = len(u)
+    lengths = np.hypot(*np.diff(a, axis=0).T)
+    out: list[np.ndarray] = [] if closed else [a[0] + normal[0]]
+    for i in range(0 if closed else 1, n):
+        p, before, after = a[i], normal[i - 1], normal[i]
+        cross, dot = u[i - 1, 0] * u[i, 1] - u[i - 1, 1] * u[i, 0], float(u[i - 1] @ u[i])
+        meet = p + (before + after) / max(1 + dot, 1e-12)
+        if cross == 0 and dot > 0:
+            out.append(p + after)
+        elif cross > 0:
+            # the inner side of a left turn
+            reach = by * cross / max(1 + dot, 1e-12)
+            out += [meet] if reach <= min(lengths[i - 1], lengths[i]) else [p + before, p, p + after]
+        elif join == "round":
+            out += _arc(p, p + before, p + after, -1, by)
+        elif join == "bevel" or dot <= -1 + 1e-12:
+            out += [p + before, p + after]
+        else:
+            far = math.hypot(*(meet - p))
+            if far <= limit * by:
+                out.append(meet)
+            else:
+                # a mitre beyond the limit is cut off at it, across its axis
+                axis = (meet - p) / far
+                edge = limit * by
+                toward = lambda q: q + (meet - q) * max(0.0, min(1.0, (edge - float((q - p) @ axis)) / max(far - float((q - p) @ axis), 1e-12)))
+                out += [toward(p + before), toward(p + after)]
+    if not closed:
+        out.append(a[-1] + normal[-1])
+    return out
+
+
+def stroked(a: np.ndarray, width: float, join: str = "miter", cap: str = "butt", limit: float = 4.0, ring: bool = False) -> list[np.ndarray]:
+    """The outline of a line of a width as closed rings: one for an open path, an outer and an inner one for a ring.
+
+    join is miter, round or bevel, cap is butt, square or round; mitres longer than limit half widths are cut off. A line
+    without length is a dot: nothing with butt ends, a square or a disc otherwise.
+    """
+    if join not in ("miter", "miter-revert", "round", "bevel") or cap not in ("butt", "square", "round"):
+        raise ValueError(f"no join {join} or cap {cap}")
+    own = a[np.concatenate([[True], (np.diff(a, axis=0) != 0).any(1)])] if len(a) else a
+    by = width / 2
+    if not len(own) or by <= 0:
+        return []
+    if len(own) == 1:
+        if cap == "butt":
+            return []
+        c = own[0]
+        if cap == "square":
+            return [c + by * np.array([(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)], float)]
+        return [np.array(_arc(c, c + (by, 0), c - (by, 0), 1, by) + _arc(c, c - (by, 0), c + (by, 0), 1, by)[1:])]
+    shut = lambda r: np.array([*r, r[0]])
+    closed = ring and len(own) > 3 and bool((own[0] == own[-1]).all())
+    unit = lambda p: np.diff(p, axis=0) / np.hypot(*np.diff(p, axis=0).T)[:, None]
+    back = own[::-1]
+    u, v = unit(own), unit(back)
+    left, right = _side(own, u, by, join, limit, closed), _side(back, v, by, join, limit, closed)
+    if closed:
+        return [shut(left), shut(right)]
+    ends = []
+    for end, d, side in ((own[-1], u[-1], left), (own[0], v[-1], right)):
+        n = np.array([-d[1], d[0]]) * by
+        ends.append([end + n + d * by, end - n + d * by] if cap == "square" else _arc(end, end + n, end - n, -1, by)[1:-1] if cap == "round" else [])
+    return [shut([*left, *ends[0], *right, *ends[1]])]
+
+
+def outline(g: Geometry, width: float, join: str = "miter", cap: str = "butt", limit: float = 4.0) -> Geometry:
+    """The strokes of all lines, and of all rings, of a geometry, each a polygon; of a ring the wider outline is the outer one."""
+    polygons = []
+    for s in g.singles():
+        for a in s.arrays if s.kind != "Point" else ():
+            rings = sorted(stroked(a, width, join, cap, limit, s.kind == "Polygon"), key=lambda r: -abs(signed_area(r)))
+            if rings:
+                polygons.append(rings)
+    return corrected(Geometry("MultiPolygon", polygons))
+
+
 def extended(a: np.ndarray, by: float) -> np.ndarray:
     """Both ends moved outwards along their segments."""
     if len(a) < 2 or by == 0:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as G
+from ..functions import paths as P
 from ..plans.spec import Rule
 from ..sources import scratch
 from .ordering import free_names, numbered
@@ -184,6 +185,41 @@ def markers(df: DataFrame, placement: str, spacing: float = 100.0) -> DataFrame:
     return df.withColumn("_m", at).select(*df.columns, F.col("_m.x").alias("x"), F.col("_m.y").alias("y"), F.col("_m.angle").alias("angle"))
 
 
+def line_labels(df: DataFrame, width: float, height: float, spacing: float = 0.0, least_length: float = 0.0, shifts: tuple[float, ...] = (0.0,), most_turn: float = math.pi, geom: str = "geom") -> DataFrame:
+    """Candidates for labels along lines: a row for each place and shift, with path, place, shift, x, y, angle and the box of the turned text.
+
+    A path that is shorter than the text or least_length has none. Its length is parted evenly by as many
+    labels as spacing and text leave room for (at least one), each in the middle of its part; shifts move it along
+    in their order. The text lies on the way between its two ends, read from left to right; a way that turns by more
+    than most_turn at a point is left out. candidate_of numbers the places, so that place_labels() takes the first free shift.
+    """
+    paths, path = free_names("_paths _path", df, "path", "place", "shift", "x", "y", "angle", "minx", "miny", "maxx", "maxy", "candidate_of")
+    own = df.withColumn(paths, P.measured(geom))
+    own = own.select(*df.columns, F.posexplode(paths).alias("path", path))
+    p = F.col(path)
+    total = P.length(p)
+    own = own.where((total > 0.001) & (total >= width) & (total >= least_length))
+    n = F.greatest(F.floor(total / (spacing + width)) if spacing > 0 else F.lit(1), F.lit(1)).cast("int")
+    own = own.withColumn("place", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("shift", F.explode(F.array(*(F.lit(float(s)) for s in shifts))))
+    start = (F.col("place") + 0.5) * total / n + F.col("shift") - width / 2
+    (begin,) = free_names("_start", own)
+    own = own.withColumn(begin, start)
+    at = F.col(begin)
+    # the very end belongs to the path here
+    end = F.least(at + width, total * (1 - 1e-12))
+    own = own.where((at >= 0) & (at + width <= total * (1 + 1e-12)) & (P.sharpest_turn(p, at, end) <= most_turn))
+    a, b = free_names("_from _to", own)
+    own = own.withColumns({a: P.position(p, at), b: P.position(p, end)})
+    way = F.atan2(F.col(f"{b}.y") - F.col(f"{a}.y"), F.col(f"{b}.x") - F.col(f"{a}.x"))
+    upright = F.when(way > math.pi / 2, way - math.pi).when(way <= -math.pi / 2, way + math.pi).otherwise(way)
+    own = own.withColumns({"x": (F.col(f"{a}.x") + F.col(f"{b}.x")) / 2, "y": (F.col(f"{a}.y") + F.col(f"{b}.y")) / 2, "angle": upright})
+    half_x = F.abs(F.cos("angle")) * (width / 2) + F.abs(F.sin("angle")) * (height / 2)
+    half_y = F.abs(F.sin("angle")) * (width / 2) + F.abs(F.cos("angle")) * (height / 2)
+    box = {"minx": F.col("x") - half_x, "miny": F.col("y") - half_y, "maxx": F.col("x") + half_x, "maxy": F.col("y") + half_y, "candidate_of": F.concat_ws("/", "path", "place")}
+    made = ["path", "place", "shift", "x", "y", "angle", *box]
+    return own.withColumns(box).select(*(c for c in df.columns if c not in made), *made)
+
+
 def multi_policy(parts: DataFrame, policy: str, by: str = "id", area: str = "area") -> DataFrame:
     """Rows of parts: each keeps all, whole keeps one row per feature (the first), largest the one with the largest area."""
     if policy == "each":

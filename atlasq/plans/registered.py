@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_files  # noqa: F401  (its queries register themselves)
+from . import catalog_files, catalog_paths  # noqa: F401  (their queries register themselves)
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
