@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.projection import View, project
@@ -428,6 +430,70 @@ def scale_array(a: np.ndarray, width: int, height: int, kind: str = "bilinear")
     return out
 
 
+def _weight_rows(new: np.ndarray, size: int, new_size: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of new and old places with their weights, for some new places. A kernel's add up to one, a blur's are whole numbers, so that their sums are exact."""
+    if kind == "near":
+        return new, np.clip(np.floor((new + 0.5) * size / new_size).astype(np.int64), 0, size - 1), np.ones(len(new))
+    if kind.startswith("stack:"):
+        r = int(kind[6:])
+        offset = np.arange(-r, r + 1)
+        old = np.clip(new[:, None] + offset, 0, size - 1)
+        return np.repeat(new, len(offset)), old.ravel(), np.tile((r + 1 - np.abs(offset)).astype(float), len(new))
+    radius, f = KERNELS[kind]
+    stretch = max(1.0, size / new_size)
+    centre = (new + 0.5) * size / new_size - 0.5
+    wide = int(np.ceil(radius * stretch))
+    old = np.floor(centre).astype(np.int64)[:, None] + np.arange(-wide, wide + 2)
+    d = np.abs(old - centre[:, None]) / stretch
+    w = np.where((d < radius) & (old >= 0) & (old < size), f(np.minimum(d, radius)), 0.0)
+    w = w / np.where(w.sum(1) == 0, 1, w.sum(1))[:, None]
+    row, col = np.nonzero(w)
+    return new[row], old[row, col], w[row, col]
+
+
+def weight_table(spark: SparkSession, size: int, new_size: int, kind: str) -> DataFrame:
+    """new, old, weight: a row for each old place that counts for a new one. A side of any length is worked out in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = _weight_rows(batch.column("id").to_numpy(), size, new_size, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64())], ["new", "old", "weight"])
+
+    return spark.range(new_size).mapInArrow(run, "new int, old int, weight double")
+
+
+def _resampled(df: DataFrame, across: DataFrame, down: DataFrame, value: str, whole: bool) -> DataFrame:
+    """Two passes of sums over joined weights, along rows and then along columns. Missing pixels don't count: the rest's weights make up for them."""
+    told = df.where(F.col(value).isNotNull()).select("x", "y", F.col(value).cast("double").alias("v"), F.lit(1.0).alias("w"))
+    for axis, table in (("x", across), ("y", down)):
+        keep = "y" if axis == "x" else "x"
+        both = told.join(table.select(F.col("old").alias(axis), "new", "weight"), axis)
+        told = both.groupBy(F.col("new").alias(axis), keep).agg(F.sum(F.col("v") * F.col("weight")).alias("v"), F.sum(F.col("w") * F.col("weight")).alias("w"))
+    out = F.col("v") / F.col("w")
+    return told.where(F.abs("w") > 1e-9).select("x", "y", (F.floor(out + 0.5) if whole else out).alias(value))
+
+
+def scale_pixels(df: DataFrame, size: tuple[int, int], new_size: tuple[int, int], kind: str = "bilinear", value: str = "value", low: float | None = None, high: float | None = None) -> DataFrame:
+    """x, y and value of a raster in another size, by any kernel; with low and high values are whole numbers within them.
+
+    A pixel table stays a table: the old pixels of each row are joined with the sparse weights of the new
+    columns and summed, then the same down the columns, so no task holds the raster, or a row of it.
+    """
+    if kind != "near" and kind not in KERNELS:
+        raise ValueError(f"no kernel {kind!r}; there are near, {', '.join(sorted(KERNELS))}")
+    spark = df.sparkSession
+    out = _resampled(df, weight_table(spark, size[0], new_size[0], kind), weight_table(spark, size[1], new_size[1], kind), value, low is not None)
+    if low is None or high is None:
+        return out
+    return out.withColumn(value, F.least(F.greatest(F.col(value).cast("double"), F.lit(float(low))), F.lit(float(high))))
+
+
+def stack_blur_pixels(df: DataFrame, size: tuple[int, int], rx: int, ry: int, value: str = "value", whole: bool = True) -> DataFrame:
+    """The same of stack_blur(): weights that fall off evenly from the centre, the border's pixels repeated."""
+    spark = df.sparkSession
+    return _resampled(df, weight_table(spark, size[0], size[0], f"stack:{max(rx, 0)}"), weight_table(spark, size[1], size[1], f"stack:{max(ry, 0)}"), value, whole)
+
+
 #: The nine weights of each filter, row by row.
 FILTERS = {
     "blur": (0.1111,) * 9,

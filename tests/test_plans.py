@@ -292,3 +292,32 @@ def test_labels_everywhere_by_force(spark):
                 want.add(i)
         found = labels.place_labels_everywhere(df, [("i", True)], 1.0, margin, repeat, "t")
         assert {r.i for r in found.where("placed").collect()} == want and found.count() == len(rows)
+
+
+def test_scaling_pixel_tables(spark):
+    """Pixel tables scaled by every kernel equal whole tiles; blurs do too, and missing pixels leave the rest's means."""
+    from atlasq.operators import raster
+
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 256, (11, 17)).astype(np.float64)
+    df = spark.createDataFrame([(x, y, float(a[y, x])) for y in range(11) for x in range(17)], "x int, y int, value double")
+
+    def table(out, h, w):
+        b = np.full((h, w), np.nan)
+        for r in out.collect():
+            b[r.y, r.x] = r.value
+        return b
+
+    for kind in raster.KERNELS:
+        for w, h in ((7, 23), (40, 5)) if kind in ("kaiser", "bessel", "lanczos") else ((7, 23),):
+            assert np.allclose(table(raster.scale_pixels(df, (17, 11), (w, h), kind), h, w), raster.scale_array(a, w, h, kind)), kind
+    near = raster.scale_pixels(df, (17, 11), (34, 11), "near")
+    assert np.array_equal(table(near, 11, 34), np.repeat(a, 2, axis=1))
+    cut = table(raster.scale_pixels(df, (17, 11), (30, 30), "lanczos", low=0, high=255), 30, 30)
+    assert cut.min() >= 0 and cut.max() <= 255 and np.array_equal(cut, np.round(cut))
+    assert np.abs(table(raster.stack_blur_pixels(df, (17, 11), 3, 2), 11, 17) - raster.stack_blur(a, 3, 2)).max() <= 0.5
+    assert np.array_equal(table(raster.stack_blur_pixels(df, (17, 11), 0, 0), 11, 17), a)
+    flat = df.where("(x + y) % 3 > 0").withColumn("value", F.lit(7.0))
+    assert np.allclose(table(raster.scale_pixels(flat, (17, 11), (9, 9), "bilinear"), 9, 9), 7)
+    with pytest.raises(ValueError):
+        raster.scale_pixels(df, (17, 11), (9, 9), "odd")
