@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import projection
+from ..functions import geometry, projection
 from ..functions.boxes import Extent
-from ..sources import ranged, scratch
+from ..sources import binary_tables, ranged, registry, scratch
 from . import fixtures
-from .catalog import _C, _MERC, customers, query
+from .catalog import _C, _MERC, _PX, customers, pixels, query
 from .spec import SpatialQuery
 
 #: Level of the tiles that archives hold.
@@ -101,3 +102,67 @@ def source_tile_directory(spark, sf):
     number = ranged.tile_number(F.col("tx"), F.col("ty"), ZOOM)
     counted = _addressed(spark, sf).groupBy("tx", "ty").agg(F.count("*").alias("customers")).withColumn("tile_id", number)
     return counted.join(each, "tile_id").select(F.col("tx").alias("x"), F.col("ty").alias("y"), "customers", "entries")
+
+
+def _places(rows: pd.DataFrame) -> list[fixtures.Row]:
+    return [(int(k), str(n), float(x), float(y)) for k, n, x, y in zip(rows["c_custkey"], rows["c_name"], rows["x"], rows["y"])]
+
+
+def _files(spark: SparkSession, sf: str, ending: str, encode) -> str:
+    """A folder of files that four tasks write, each with its part of the customers."""
+
+    def write(rows: pd.DataFrame, stem: str) -> None:
+        ranged.Ranged(stem + ending).write(encode(_places(rows)))
+
+    return _written(customers(spark, sf).select("c_custkey", "c_name", "x", "y").repartition(4, "c_custkey"), write)
+
+
+@query(f"SELECT c_custkey::BIGINT AS key, c_name AS name, x AS minx, y AS miny, x + 1 AS maxx, y + 2 AS maxy, 2 AS geom_type FROM {_C}")
+def source_geojson_files(spark, sf):
+    folder = _files(spark, sf, ".geojson", lambda rows: fixtures.geojson_text(rows).encode())
+    return registry.create(spark, {"type": "geojson", "file": folder}).df.select("key", "name", "minx", "miny", "maxx", "maxy", "geom_type")
+
+
+@query(f"SELECT c_custkey::BIGINT AS key, c_name AS name, 'LINESTRING(' || x::INTEGER || ' ' || y::INTEGER || ',' || (x + 1)::INTEGER || ' ' || (y + 1)::INTEGER || ',' || (x + 3)::INTEGER || ' ' || (y + 1)::INTEGER || ')' AS wkt FROM {_C}")
+def source_topojson_files(spark, sf):
+    folder = _files(spark, sf, ".topojson", lambda rows: fixtures.topojson_text(rows).encode())
+    return registry.create(spark, {"type": "topojson", "file": folder}).df.select("key", "name", geometry.to_wkt("geom").alias("wkt"))
+
+
+@query(f"SELECT c_custkey::BIGINT AS key, c_name AS name, x, y FROM {_C}")
+def source_geobuf_files(spark, sf):
+    folder = _files(spark, sf, ".pbf", fixtures.geobuf_bytes)
+    return registry.create(spark, {"type": "geobuf", "file": folder}).df.select("key", "name", F.col("minx").alias("x"), F.col("maxy").alias("y"))
+
+
+@query(f"SELECT c_name AS name, c_custkey / 4e0 AS share, x, y FROM {_C}")
+def source_sqlite_files(spark, sf):
+    folder = _files(spark, sf, ".sqlite", fixtures.sqlite_bytes)
+    return registry.create(spark, {"type": "sqlite", "file": folder, "table": "places", "key_field": "id"}).df.select("name", "share", F.col("minx").alias("x"), F.col("maxy").alias("y"))
+
+
+@query(f"SELECT c_custkey::BIGINT AS id, c_name AS name, tx, ty FROM {_TILES} WHERE tx BETWEEN 2 AND 12 AND ty BETWEEN 0 AND 9")
+def source_mbtiles_files(spark, sf):
+    def write(rows: pd.DataFrame, stem: str) -> None:
+        own = {(int(x), int(y)): fixtures.tile_of_points("places", list(zip(g["c_custkey"].astype(int), g["c_name"], g["px"].astype(int), g["py"].astype(int)))) for (x, y), g in rows.groupby(["tx", "ty"])}
+        ranged.Ranged(f"{stem}.mbtiles").write(fixtures.mbtiles_of(ZOOM, own))
+
+    folder = _written(_addressed(spark, sf).repartition(4, "tx", "ty"), write)
+    found = binary_tables.tiles(spark, folder, ZOOM, (2, 12, 0, 9))
+    return found.select("id", F.get_json_object(F.concat(F.lit("{\"v\":"), F.col("props")["name"], F.lit("}")), "$.v").alias("name"), "tx", "ty")
+
+
+@query(f"SELECT (x // 8 + y // 8 * 8)::BIGINT AS id, (x % 8)::INTEGER AS x, (y % 8)::INTEGER AS y, CASE WHEN value <> 7 THEN value END AS value FROM {_PX}")
+def source_raster_blobs(spark, sf):
+    """A raster cut into 64 blobs of 8 by 8 pixels, one for each group of a table, and decoded in parallel. Values of 7 are missing, as are pixels that the table lacks."""
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        a = np.full((8, 8), 7)
+        a[frame["y"] % 8, frame["x"] % 8] = frame["value"]
+        return pd.DataFrame({"id": [int(frame["x"].iloc[0] // 8 + frame["y"].iloc[0] // 8 * 8)], "raster": [fixtures.raster_blob(a, 7)]})
+
+    px = pixels(spark, sf)
+    blobs = px.groupBy(F.floor(F.col("x") / 8), F.floor(F.col("y") / 8)).applyInPandas(pack, "id long, raster binary")
+    # the blobs are full squares: pixels that the table lacks are told apart by it
+    there = px.select((F.floor(F.col("x") / 8) + F.floor(F.col("y") / 8) * 8).cast("long").alias("id"), (F.col("x") % 8).alias("x"), (F.col("y") % 8).alias("y"))
+    return binary_tables.raster_pixels(blobs).join(there, ["id", "x", "y"])

@@ -119,6 +119,12 @@ def pmtiles_bytes(rows: list[Row]) -> bytes:
     return head.ljust(97, b"\0") + b"\x01\x02\x01" + b"\0" * 27 + directory + tile
 
 
+def mbtiles_of(zoom: int, tiles: dict[tuple[int, int], bytes]) -> bytes:
+    """An archive of a level's tiles by column and row (rows counted from the south in the file)."""
+    cells = [(zoom, x, (1 << zoom) - 1 - y, gzip.compress(b, mtime=0)) for (x, y), b in sorted(tiles.items())]
+    return _database([("CREATE TABLE tiles (zoom_level INTEGER, tile_column INTEGER, tile_row INTEGER, tile_data BLOB)", []), ("INSERT INTO tiles VALUES (?,?,?,?)", cells)])
+
+
 def directory_bytes(entries: list[tuple[int, int, int, int]]) -> bytes:
     """A packed directory of (tile number, run, offset, size)."""
     ids = [e[0] for e in entries]
