@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.projection import View, project
+from ..sources import scratch
 from .ordering import free_names
 
 MODES = ("inherit", "linear", "discrete", "exact", "linear-rgba", "linear-bgra")
@@ -590,18 +591,107 @@ def quantize(df: DataFrame, palette: list[tuple[int, int, int, int]]) -> DataFra
     return df.withColumn("palette_index", best["i"])
 
 
-def octree_palette(colors: list[tuple[int, int, int, int]], most: int) -> list[tuple[int, int, int, int]]:
-    """A palette of at most so many colours: the box of colours with the widest channel is halved until there are enough."""
-    boxes = [np.array(sorted(set(colors)))]
-    while len(boxes) < most:
-        k = max(range(len(boxes)), key=lambda i: int(np.ptp(boxes[i], axis=0).max()) if len(boxes[i]) > 1 else -1)
-        if len(boxes[k]) < 2:
+#: Fixed values of the colour tree: its levels, and the level from which a node may be merged before deeper ones.
+TREE_LEVELS, TREE_TOP = 6, 2
+
+
+def tree_code(r: Column, g: Column, b: Column) -> Column:
+    """The way of a colour down a tree of eight branches a level: the channels' bits from the highest on, three for each level."""
+    out = F.lit(0)
+    for level in range(TREE_LEVELS):
+        bit = lambda c: F.shiftright(c.cast("int"), 7 - level).bitwiseAND(F.lit(1))
+        out = out * 8 + bit(r) * 4 + bit(g) * 2 + bit(b)
+    return out.cast("int")
+
+
+def tree_nodes(df: DataFrame) -> DataFrame:
+    """level, code, n, r, g, b, cost of all nodes of the pixels' colour tree: sums are taken by prefix, level by level from the leaves up.
+
+    A node's cost is what its pixels would lose by one colour: its children's costs and, for each, its squared distance to the
+    node's mean times its pixels. There are at most 8 ** TREE_LEVELS leaves, however many pixels.
+    """
+    level = df.groupBy(tree_code(F.col("r"), F.col("g"), F.col("b")).alias("code")).agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in "rgb")).withColumn("cost", F.lit(0.0))
+    level = scratch.written(level)
+    out = level.withColumn("level", F.lit(TREE_LEVELS))
+    for k in range(TREE_LEVELS - 1, -1, -1):
+        up = level.withColumn("above", F.shiftright("code", 3))
+        sums = up.groupBy("above").agg(F.sum("n").alias("m"), *(F.sum(c).alias(f"m{c}") for c in "rgb"))
+        # a child's mean is cut to a whole number
+        away = sum((F.floor(F.col(c) / F.col("n")) - F.col(f"m{c}") / F.col("m")) * (F.floor(F.col(c) / F.col("n")) - F.col(f"m{c}") / F.col("m")) for c in "rgb")
+        cost = up.join(sums, "above").groupBy("above").agg(F.first("m").alias("n"), *(F.first(f"m{c}").alias(c) for c in "rgb"), F.sum(F.col("cost") + away * F.col("n")).alias("cost"))
+        # a level has a bounded number of rows and is read twice above
+        level = scratch.written(cost.withColumnRenamed("above", "code"))
+        out = out.unionByName(level.withColumn("level", F.lit(k)))
+    return out
+
+
+@dataclass(frozen=True)
+class ColorTree:
+    """A palette, and for each level the nodes (code to palette index) whose pixels take one colour."""
+
+    palette: tuple[tuple[int, int, int], ...]
+    ends: tuple[dict[int, int], ...]
+
+    def index(self, r: Column, g: Column, b: Column) -> Column:
+        """The palette index of a colour that the tree was made of; null for a way that the tree doesn't have."""
+        code = tree_code(r, g, b)
+        found = []
+        for level, own in enumerate(self.ends):
+            if own:
+                table = F.create_map(*(F.lit(v) for pair in sorted(own.items()) for v in pair))
+                found.append(F.try_element_at(table, F.shiftright(code, 3 * (TREE_LEVELS - level))))
+        return F.coalesce(*found) if found else F.lit(None).cast("int")
+
+
+def octree_palette(df: DataFrame, most: int = 256) -> ColorTree:
+    """A palette of at most so many colours for the pixels of a table (r, g, b).
+
+    The tree's sums come from the table by prefix; then nodes are merged, cheapest first on the deepest level that has any
+    left to merge, or one level or more above it where a node without grandchildren costs less. Merging takes place on
+    the driver, over nodes whose number has a bound that doesn't depend on the pixels.
+    """
+    nodes = {(r["level"], r["code"]): r for r in tree_nodes(df).collect()}
+    return merged_tree({k: (r["n"], r["r"], r["g"], r["b"], r["cost"]) for k, r in nodes.items()}, most)
+
+
+def merged_tree(nodes: dict[tuple[int, int], tuple], most: int) -> ColorTree:
+    """The merging of a tree's nodes ((level, code) to n, r, g, b, cost) down to so many colours."""
+    children: dict[tuple[int, int], list[tuple[int, int]]] = {k: [] for k in nodes}
+    for level, code in sorted(nodes):
+        if level:
+            children[level - 1, code >> 3].append((level, code))
+    open_nodes = [sorted(((nodes[k][4], k) for k in nodes if k[0] == level), reverse=True) for level in range(TREE_LEVELS)]
+    leaves = {k for k in nodes if k[0] == TREE_LEVELS}
+    deepest = TREE_LEVELS
+    while len(leaves) > max(most, 1):
+        while deepest and not open_nodes[deepest - 1]:
+            deepest -= 1
+        if not deepest:
             break
-        b = boxes.pop(k)
-        c = int(np.ptp(b, axis=0).argmax())
-        b = b[np.argsort(b[:, c], kind="stable")]
-        boxes += [b[: len(b) // 2], b[len(b) // 2 :]]
-    return sorted(tuple(int(round(v)) for v in b.mean(0)) for b in boxes)
+        pick = deepest - 1
+        best = int(open_nodes[pick][-1][0])
+        for level in range(deepest - 1, TREE_TOP - 1, -1):
+            if open_nodes[level]:
+                cost, node = open_nodes[level][-1]
+                if cost < best and not any(children[c] for c in children[node]):
+                    best, pick = int(cost), level
+        _, node = open_nodes[pick].pop()
+        leaves -= set(children[node])
+        leaves.add(node)
+        children[node] = []
+    palette, ends = [], [{} for _ in range(TREE_LEVELS + 1)]
+
+    def walk(node: tuple[int, int]) -> None:
+        if node in leaves:
+            n, *sums, _ = nodes[node]
+            ends[node[0]][node[1]] = len(palette)
+            palette.append(tuple(min(255, int(np.float32(s) / np.float32(n))) for s in sums))
+        for child in children[node]:
+            walk(child)
+
+    if (0, 0) in nodes:
+        walk((0, 0))
+    return ColorTree(tuple(palette), tuple(ends))
 
 
 def raster_layer(df: DataFrame, size: tuple[int, int], new_size: tuple[int, int], colorizer: Colorizer, nodata: float | None = None, value: str = "value") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import raster
-from .catalog import _PX, pixels, query
+from .catalog import _PX, _rgba_sql, pixels, query, rgba
 
 #: Kernels whose weights SQL can give: radius and weight of a distance d below it. The other two, kaiser and bessel, are tested against arrays.
 _SINC = "CASE WHEN {0} = 0 THEN 1 ELSE sin(pi() * {0}) / (pi() * {0}) END"
@@ -57,3 +57,22 @@ def raster_scale_kernels(spark, sf):
 def raster_stack_blur(spark, sf):
     """Radii of two columns and three rows."""
     return raster.stack_blur_pixels(pixels(spark, sf), (64, 64), 2, 3)
+
+
+_CODE = " + ".join(f"(((r >> {7 - k} & 1) * 4 + (g >> {7 - k} & 1) * 2 + (b >> {7 - k} & 1)) << {3 * (5 - k)})" for k in range(6))
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS level, ((c >> {3 * (6 - k)}))::INTEGER AS code, count(*) AS n, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b FROM (SELECT *, {_CODE} AS c FROM {_rgba_sql()}) GROUP BY 2" for k in range(7)))
+def raster_color_tree(spark, sf):
+    """The sums of a raster's colour tree by level and prefix."""
+    return raster.tree_nodes(rgba(spark, sf)).select("level", "code", "n", "r", "g", "b")
+
+
+@query()
+def raster_octree(spark, sf):
+    """A raster in 64 colours of its tree; merging has no SQL, a test compares with a tree built pixel by pixel."""
+    px = rgba(spark, sf)
+    tree = raster.octree_palette(px, 64)
+    colors = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip("rgb", p))) for p in tree.palette)) if tree.palette else F.lit(None).cast("array<struct<r:int,g:int,b:int>>")
+    out = px.select("x", "y", tree.index(F.col("r"), F.col("g"), F.col("b")).alias("palette_index"))
+    return out.select("x", "y", "palette_index", F.get(colors, "palette_index").alias("p")).select("x", "y", "palette_index", "p.r", "p.g", "p.b")

@@ -142,7 +142,6 @@ def test_colours_and_kernels():
     assert (raster.stack_blur(np.full((6, 6), 5, np.uint8), 2, 2) == 5).all()
     with pytest.raises(ValueError):
         raster.Colorizer((raster.Stop(2, (0, 0, 0, 0)), raster.Stop(1, (0, 0, 0, 0))))
-    assert len(raster.octree_palette([(i, 0, 0, 255) for i in range(100)], 8)) == 8
 
 
 def test_labels_everywhere_are_those_placed_one_by_one(spark):
@@ -321,3 +320,69 @@ def test_scaling_pixel_tables(spark):
     assert np.allclose(table(raster.scale_pixels(flat, (17, 11), (9, 9), "bilinear"), 9, 9), 7)
     with pytest.raises(ValueError):
         raster.scale_pixels(df, (17, 11), (9, 9), "odd")
+
+
+def octree_by_force(pixels, most):
+    """Palette of a tree of nodes that pixels are put into one by one; the cheapest mergeable node is searched anew each time."""
+
+    class Node:
+        def __init__(self, way):
+            self.way, self.n, self.sums, self.kids = way, 0, [0, 0, 0], {}
+
+        def cost(self):
+            mean = [s / self.n for s in self.sums]
+            return sum(k.cost() + sum((k.sums[c] // k.n - mean[c]) ** 2 for c in range(3)) * k.n for k in self.kids.values())
+
+    root = Node(())
+    every = [root]
+    for p in pixels:
+        at = root
+        for level in range(7):
+            at.n += 1
+            at.sums = [a + b for a, b in zip(at.sums, p)]
+            if level < 6:
+                step = sum((p[c] >> (7 - level) & 1) << (2 - c) for c in range(3))
+                if step not in at.kids:
+                    at.kids[step] = Node((*at.way, step))
+                    every.append(at.kids[step])
+                at = at.kids[step]
+    costs = {n.way: n.cost() for n in every}
+    todo = {n.way: n for n in every if len(n.way) < 6}
+    colors = sum(len(n.way) == 6 for n in every)
+    while colors > most:
+        level = max(len(w) for w in todo)
+        pick = min((costs[w], w) for w in todo if len(w) == level)
+        best = int(pick[0])
+        for above in range(level, 1, -1):
+            own = [(costs[w], w) for w in todo if len(w) == above]
+            if own and min(own)[0] < best and not any(k.kids for k in todo[min(own)[1]].kids.values()):
+                pick, best = min(own), int(min(own)[0])
+        node = todo.pop(pick[1])
+        colors -= len(node.kids) - 1
+        node.kids = {}
+    out = []
+
+    def walk(n):
+        if not n.kids:
+            out.append((n.way, tuple(int(np.float32(s) / np.float32(n.n)) for s in n.sums)))
+        for k in sorted(n.kids):
+            walk(n.kids[k])
+
+    walk(root)
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 5, 40, 256])
+def test_octree_palette(spark, most):
+    from atlasq.operators import raster
+
+    rng = np.random.default_rng(6)
+    pixels = [tuple(map(int, p)) for p in np.concatenate([rng.integers(0, 256, (150, 3)), rng.normal((200, 60, 30), 12, (150, 3)).clip(0, 255).astype(int), np.tile((9, 9, 9), (60, 1))])]
+    df = spark.createDataFrame(pixels, "r int, g int, b int")
+    want = octree_by_force(pixels, most)
+    tree = raster.octree_palette(df, most)
+    assert list(tree.palette) == [c for _, c in want] and len(tree.palette) <= most
+    for r in df.withColumn("i", tree.index(F.col("r"), F.col("g"), F.col("b"))).collect():
+        way = tuple(sum((v >> (7 - level) & 1) << (2 - c) for c, v in enumerate((r.r, r.g, r.b))) for level in range(6))
+        assert want[r.i][0] == way[: len(want[r.i][0])]
+    assert raster.octree_palette(df.limit(0), most).palette == ()
