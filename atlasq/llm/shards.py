@@ -30,6 +30,8 @@ from .store import bounded_runs, small_batches, temporary, text_of
 MAGIC = b"ATQS"
 HEAD = struct.Struct("<4sBxxxII32s")
 ENTRY = np.dtype([("doc_id", "<i8"), ("is_set", "u1"), ("offset", "<u8"), ("size", "<u4"), ("n_tokens", "<u8")])
+#: Bytes of the documents' files for each range of doc_ids that one task sorts and compresses.
+PART_BYTES = 128 << 20
 #: A shard is closed when its frames reach this many bytes.
 SHARD_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
@@ -97,6 +99,13 @@ def read_document(shard: bytes, dictionary: bytes, doc_id: int) -> list[np.ndarr
     return out
 
 
+def parts_of(docs: DataFrame) -> int:
+    """Ranges that a corpus is dealt to: one for PART_BYTES of its files where the plan knows them, at least as many as shuffle partitions."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, size // PART_BYTES if size < 1 << 60 else 0)
+
+
 def write(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 0) -> TokenShards:
     """Encode docs and write them to folder in ascending doc_id order (null first; equal ones by a hash of their text).
 
@@ -145,9 +154,10 @@ def write(docs: DataFrame, folder: str | None = None, path: str | None = None, e
         if entries:
             yield closed()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    table = ordered.mapInArrow(run, "part int, shard int, before long, n_tokens long, first_id long, last_id long, payload binary")
+    # equal doc_ids are dealt by their texts' hashes, and equal texts by their place in the scan, so no range is forced to grow
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("place").asc()]
+    ordered = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts_of(docs), *keys).sortWithinPartitions(*keys)
+    table = ordered.select("doc_id", "text").mapInArrow(run, "part int, shard int, before long, n_tokens long, first_id long, last_id long, payload binary")
     if folder is None:
         folder = temporary(spark, "token-shards")
     table.write.parquet(f"{folder}/shards")
