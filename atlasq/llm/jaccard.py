@@ -39,6 +39,8 @@ COPIES, SHARE = 3.0, 0.8
 #: Slots of the bitmaps of shared and of common shingles: 2**(32 - SLOT_SHIFT), 8 MB each whatever the input. An order is
 #: all that common shingles (found at least COMMON_TIMES times) decide: they come last, the COMMON most common ones by number.
 SLOT_SHIFT, COMMON_TIMES, COMMON = 6, 16, 20_000
+#: Tasks that join the bitmaps' slices, a row each, before they reach the driver.
+JOINERS = 16
 FLUSH = 250_000
 #: A shingle of a set's prefix, the set, its size, and the largest set that it can be linked with if this is the first shared one.
 ENTRY = np.dtype([("h", "<u8"), ("sid", "V12"), ("n", "<u4"), ("most", "<u4")])
@@ -265,8 +267,27 @@ def groups(rows: DataFrame, key: str = "_rid") -> DataFrame:
         often = np.sort(often[times[often] >= COMMON_TIMES])
         return pa.table([pa.array([base], pa.int64()), B.binary_array([np.packbits(bits).tobytes()]), B.binary_array([np.packbits(many).tobytes()]), B.binary_array([v[often].tobytes()]), B.binary_array([times[often].astype(np.int64).tobytes()])], ["base", "bits", "many", "common", "times"])
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of neighbouring buckets as one, with the most common shingles of all of them."""
+        found = [r for batch in batches for r in batch.to_pylist()]
+        if found:
+            base = min(r["base"] for r in found)
+            wide = (max(r["base"] + 8 * len(r["bits"]) for r in found) - base) >> 3
+            out = {c: np.zeros(wide, np.uint8) for c in ("bits", "many")}
+            for r in found:
+                at = (r["base"] - base) >> 3
+                for c, bitmap in out.items():
+                    own = np.frombuffer(r[c], np.uint8)
+                    bitmap[at : at + len(own)] |= own
+            v, n = np.frombuffer(b"".join(r["common"] for r in found), np.uint32), np.frombuffer(b"".join(r["times"] for r in found), np.int64)
+            most = np.lexsort((v, -n))[:COMMON]
+            yield pa.RecordBatch.from_arrays([pa.array([base], pa.int64()), *(B.binary_array([x.tobytes()]) for x in (out["bits"], out["many"], v[most], n[most]))], ["base", "bits", "many", "common", "times"])
+
     texts = rows.select("_rid", "text")
-    slices = texts.mapInArrow(seen, "b int, blob binary").groupBy("b").applyInArrow(marked, "base long, bits binary, many binary, common binary, times binary").collect()
+    schema = "base long, bits binary, many binary, common binary, times binary"
+    each = texts.mapInArrow(seen, "b int, blob binary").groupBy("b").applyInArrow(marked, schema)
+    # buckets grow with the input; what reaches the driver doesn't: neighbouring slices are joined by JOINERS tasks
+    slices = each.repartitionByRange(JOINERS, "base").mapInArrow(joined, schema).collect()
     bitmaps = {c: np.zeros((1 << 32 >> SLOT_SHIFT >> 3) + 16, np.uint8) for c in ("bits", "many")}
     for r in slices:
         at = r["base"] >> 3
@@ -520,7 +541,8 @@ def component_ids(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id connected by links, of similarity PERCENT or more. A null
     or empty text has an empty set: it is linked with nothing and its own component. Rows that share
     their set are linked. Rows with a null doc_id take part; a component of such rows alone has a null
-    id. Columns besides doc_id and text play no part. An empty table gives an empty result.
+    id. Very long texts count whole, all their shingles. Ties don't arise: links are a threshold and a component's id
+    is a minimum. Columns besides doc_id and text play no part. An empty table gives an empty result.
     """
     found = materialize(groups(keyed(text_of(docs), "documents")), "groups")
     # written first: a join of two exchanges splits a hot cluster, a join with an aggregate of the same stage can't

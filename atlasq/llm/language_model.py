@@ -303,7 +303,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     A null or empty text has the end token alone. A null doc_id counts as a training document.
-    Repeated rows are documents of their own. Columns besides doc_id and text play no part. An
+    Repeated rows are documents of their own. Very long texts are scored and learnt from whole; words of equal counts are
+    ordered by their hashes. Columns besides doc_id and text play no part. An
     empty table gives an empty result.
     """
     spark = docs.sparkSession

@@ -83,7 +83,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, wi
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the
     ids themselves if with_ids. A null text counts as empty, its document being the end id alone.
     Repeated rows are documents of their own; a null doc_id is kept. Columns besides doc_id and
-    text play no part. An empty table gives an empty result.
+    text play no part. An empty table gives an empty result. Very long texts are whole windows and a rest; pieces of
+    equal length are packed in the order in which they come.
 
     Each task packs its own documents, a bounded group of windows at a time, so nothing is shuffled
     and no group grows with the input; only the last window group of a task may be partly filled.

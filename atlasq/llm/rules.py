@@ -169,6 +169,7 @@ def judged(docs: DataFrame, key: str | None = None) -> DataFrame:
 
     Null and empty texts count as no words, so base_failed holds. Repeated rows are judged alike,
     each for itself; a null doc_id is kept as it is. Columns besides doc_id and text play no part.
+    Very long texts are measured whole; a posterior of exactly the threshold is kept, there are no other ties.
     An empty table gives an empty result. Only the numbers of documents by vote pattern (at most
     3 to the number of rules, whatever the input) reach the driver.
     """

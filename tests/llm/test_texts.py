@@ -318,6 +318,20 @@ def test_windows_hold_all(sizes):
     assert all(n <= packing.WINDOW for n in [s for _, s in packing.cuts(sum(sizes) or 1)]) and sum(s for _, s in packing.cuts(sum(sizes) or 1)) == (sum(sizes) or 1)
 
 
+def test_token_shards_of_rows_without_ids(spark, make, plain, documents, monkeypatch):
+    """Rows that share a doc_id, or have none, are dealt to several ranges too."""
+    texts = [t for _, t, _ in plain[:60]]
+    docs = make([*texts, *texts[:5] * 8], [None] * 60 + [3] * 40)
+    monkeypatch.setattr(shards, "PART_BYTES", 1)
+    assert shards.parts_of(documents) > 4
+    monkeypatch.setattr(shards, "parts_of", lambda df: 6)
+    found = shards.write(docs)
+    assert found.table.select("part").distinct().count() >= 4
+    rows = shards.documents(found).collect()
+    assert len(rows) == 100 and sorted(r.start for r in rows) == list(np.cumsum([0, *[r.n_tokens for r in sorted(rows, key=lambda r: r.start)]])[:-1])
+    assert {r.doc_id for r in rows if r.start <= max(x.start for x in rows if x.doc_id is None)} == {None}
+
+
 # --- mixing
 
 
