@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import crs
 from .boxes import Box, Extent
 
 #: Fixed values of the web-mercator plane.
@@ -21,13 +23,20 @@ BOUNDARY_POINTS = 20
 
 
 def known(srs: str) -> str:
-    """The code of one of the two planes that are built in; anything else is refused."""
+    """The code of one of the two planes that are built in, or the text of one that crs.plane() knows; anything else is refused."""
     low = srs.strip().lower().removeprefix("+init=")
     if low in (LONLAT, "+proj=longlat +ellps=wgs84 +datum=wgs84 +no_defs", "wgs84"):
         return LONLAT
     if low in (MERCATOR, "epsg:900913", "+proj=merc +a=6378137 +b=6378137 +lat_ts=0.0 +lon_0=0.0 +x_0=0.0 +y_0=0.0 +k=1.0 +units=m +nadgrids=@null +wktext +no_defs +over"):
         return MERCATOR
-    raise NotImplementedError(f"only {LONLAT} and {MERCATOR} are built in, not {srs!r}")
+    if _plane(srs) is not None:
+        return srs
+    raise NotImplementedError(f"only {LONLAT}, {MERCATOR}, transverse Mercator and conformal conic planes are built in, not {srs!r}")
+
+
+@functools.cache
+def _plane(srs: str) -> crs.Plane | None:
+    return crs.plane(srs)
 
 
 def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -43,29 +52,51 @@ def to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def project(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+    """A point from one plane to another, by longitude and latitude where neither has these."""
     a, b = known(source), known(target)
-    return (x, y) if a == b else to_mercator(x, y) if b == MERCATOR else to_lonlat(x, y)
+    if a == b:
+        return x, y
+    if a != LONLAT:
+        x, y = to_lonlat(x, y) if a == MERCATOR else _plane(a).backward(x, y)
+    return (x, y) if b == LONLAT else to_mercator(x, y) if b == MERCATOR else _plane(b).forward(x, y)
 
 
 def project_point(x: float, y: float, source: str, target: str) -> tuple[float, float]:
     a, b = known(source), known(target)
     if a == b:
         return x, y
+    if a == MERCATOR:
+        x, y = (min(max(v / RADIUS, -math.pi), math.pi) for v in (x, y))
+        x, y = math.degrees(x), math.degrees(2 * math.atan(math.exp(y)) - math.pi / 2)
+    elif a != LONLAT:
+        x, y = _plane(a).backward(x, y)
+    if b == LONLAT:
+        return x, y
     if b == MERCATOR:
         x, y = min(max(x, -180.0), 180.0), min(max(y, -MAX_LATITUDE), MAX_LATITUDE)
         return math.radians(x) * RADIUS, math.log(math.tan(math.radians(y + 90) / 2)) * RADIUS
-    x, y = (min(max(v / RADIUS, -math.pi), math.pi) for v in (x, y))
-    return math.degrees(x), math.degrees(2 * math.atan(math.exp(y)) - math.pi / 2)
+    return _plane(b).forward(x, y)
+
+
+def _by_corners(source: str, target: str) -> bool:
+    return {known(source), known(target)} <= {LONLAT, MERCATOR}
 
 
-def project_box(box: Box, source: str, target: str) -> Box:
-    """By corners."""
-    x0, y0 = project(box.minx, box.miny, source, target)
-    x1, y1 = project(box.maxx, box.maxy, source, target)
-    return Box.normalized(x0, y0, x1, y1)
+def project_box(box: Box, source: str, target: str, points: int = BOUNDARY_POINTS) -> Box:
+    """The built-in pair goes by corners; other planes bend sides, so points along them are projected, and the extremes taken."""
+    if _by_corners(source, target):
+        x0, y0 = project(box.minx, box.miny, source, target)
+        x1, y1 = project(box.maxx, box.maxy, source, target)
+        return Box.normalized(x0, y0, x1, y1)
+    unit = [(F.lit(p[0]), F.lit(p[1])) for p in boundary(Extent(0.0, 0.0, 1.0, 1.0), points)]
+    ring = [project(box.minx + (box.maxx - box.minx) * u, box.miny + (box.maxy - box.miny) * v, source, target) for u, v in unit]
+    xs, ys = zip(*ring)
+    return Box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
 
 
 def project_extent(e: Extent, source: str, target: str) -> Extent:
+    if not _by_corners(source, target):
+        return project_boundary(e, source, target, through=lambda x, y: project_point(x, y, source, target))
     return Extent.of(*project_point(e.minx, e.miny, source, target), *project_point(e.maxx, e.maxy, source, target))
 
 

@@ -193,3 +193,58 @@ def test_strips():
         assert (S.sleeve(a, 0.9) == a[[*kept, len(a) - 1]]).all()
     ring = np.array([(0, 0), (0, 9), (5, 9), (9, 9), (9, 0), (4, 0), (0, 0)], float)
     assert S.sleeve(ring, 0.5, True).tolist() == [[0, 0], [0, 9], [9, 9], [9, 0], [4, 0], [0, 0]]
+
+
+def _degrees(d, m=0.0, s=0.0):
+    return d + m / 60 + s / 3600
+
+
+#: Control points published by mapping authorities: plane, longitude, latitude, x, y, and the digits that are given.
+CONTROL = [
+    ("+proj=tmerc +lat_0=49 +lon_0=-2 +k=0.9996012717 +x_0=400000 +y_0=-100000 +ellps=airy", _degrees(1, 43, 4.5177), _degrees(52, 39, 27.2531), 651409.903, 313177.270, 1e-3),
+    ("+proj=lcc +lat_1=49.5 +lat_0=49.5 +lon_0=2.337229166666667 +k_0=0.999877341 +x_0=600000 +y_0=200000 +a=6378249.2 +b=6356515", math.degrees(0.145512099), math.degrees(0.872664626), 1029705.083, 272723.849, 1e-3),
+    ("+proj=lcc +lat_0=27.833333333333333 +lon_0=-99 +lat_1=28.383333333333333 +lat_2=30.283333333333333 +x_0=609601.2192024384 +ellps=clrk66 +units=us-ft", -96.0, 28.5, 2963503.91, 254759.80, 5e-3),
+    ("epsg:32638", 44.4, 33.3, 444140.54, 3684706.36, 1e-2),
+]
+
+
+@pytest.mark.parametrize("srs, lon, lat, x, y, digits", CONTROL)
+def test_control_points(spark, srs, lon, lat, x, y, digits):
+    from atlasq.functions import projection
+
+    assert projection.project_point(lon, lat, projection.LONLAT, srs) == pytest.approx((x, y), abs=digits)
+    assert projection.project_point(*projection.project_point(lon, lat, projection.LONLAT, srs), srs, projection.LONLAT) == pytest.approx((lon, lat), abs=1e-11)
+    df = spark.createDataFrame([(lon, lat)], "lon double, lat double")
+    px, py = projection.project(F.col("lon"), F.col("lat"), projection.LONLAT, srs)
+    qx, qy = projection.project(px, py, srs, projection.LONLAT)
+    row = df.select(px.alias("px"), py.alias("py"), qx.alias("qx"), qy.alias("qy")).first()
+    assert (row.px, row.py) == pytest.approx((x, y), abs=digits) and (row.qx, row.qy) == pytest.approx((lon, lat), abs=1e-11)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from(["epsg:32601", "epsg:32760", "epsg:25832", "epsg:2154", "epsg:3034", "+proj=lcc +lat_1=-20 +lat_2=-35 +lat_0=-28 +lon_0=130 +ellps=GRS80"]), st.floats(-3, 3), st.floats(-80, 84))
+def test_planes_there_and_back(srs, off, lat):
+    from atlasq.functions import crs
+
+    p = crs.plane(srs)
+    lon = (p.lon + off + 180) % 360 - 180
+    back = p.backward(*p.forward(lon, lat))
+    assert back[1] == pytest.approx(lat, abs=1e-9) and math.cos(math.radians(back[0] - lon)) == pytest.approx(1, abs=1e-15)
+    # scale along the meridian and the parallel is the same: both planes are conformal
+    h = 1e-4
+    x, y = p.forward(lon, lat)
+    along = math.dist(p.forward(lon, lat + h), (x, y)) / (p.a * (1 - p.e**2) / (1 - (p.e * math.sin(math.radians(lat))) ** 2) ** 1.5)
+    across = math.dist(p.forward(lon + h, lat), (x, y)) / (p.a * math.cos(math.radians(lat)) / math.sqrt(1 - (p.e * math.sin(math.radians(lat))) ** 2))
+    assert along == pytest.approx(across, rel=1e-4)
+
+
+def test_unknown_planes():
+    from atlasq.functions import projection
+    from atlasq.functions.boxes import Extent
+
+    for srs in ("epsg:9999", "+proj=aea +lat_1=1", "epsg:32661"):
+        with pytest.raises(NotImplementedError):
+            projection.known(srs)
+    box = projection.project_extent(Extent(0.0, 45.0, 6.0, 50.0), projection.LONLAT, "epsg:2154")
+    # the sides bend: the lowest point of the southern one lies on the central meridian
+    assert box.miny == pytest.approx(projection.project_point(3.0, 45.0, projection.LONLAT, "epsg:2154")[1], abs=500) and box.miny < projection.project_point(0.0, 45.0, projection.LONLAT, "epsg:2154")[1]
