@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, paths
 from ..operators import labels
-from .catalog import _BENT, bent_lines, query
+from . import formats
+from .catalog import _BENT, _C, bent_lines, customers, query
 
 #: Where a distance along a line that goes a right and then b up ends: columns px, py for a distance column d.
 _ON = "x + least({d}, a) AS {n}x, y + greatest({d} - a, 0) AS {n}y"
@@ -58,3 +59,25 @@ def labels_on_lines(spark, sf):
     """Places of labels two units long along bent lines, two units apart."""
     found = labels.line_labels(bent_lines(spark, sf).select("id", "geom"), 2.0, 0.5, 2.0)
     return found.select("id", "place", F.round("x", 9).alias("lx"), F.round("y", 9).alias("ly"), F.round("angle", 9).alias("angle"))
+
+
+TEXT = """<TextSymbolizer size="12" dx="0" fill="black">[c_name]<Format size="8" fill="[c_mktsegment]" text-transform="lowercase">' ' + [c_mktsegment]</Format>
+    <Placement size="9" dx="5"/><Placement dx="-5">[c_custkey]</Placement></TextSymbolizer>"""
+
+
+@query(f"SELECT id, i::INTEGER AS run, CASE i WHEN 0 THEN c_name ELSE ' ' || lower(c_mktsegment) END AS text, CASE i WHEN 0 THEN 12e0 ELSE 8e0 END AS size, CASE i WHEN 0 THEN 0 ELSE 128 END::INTEGER AS red FROM {_C}, (SELECT unnest([0, 1]) AS i)")
+def text_runs(spark, sf):
+    """A text in two formats; a fill that isn't a colour's name gives the default."""
+    df = customers(spark, sf)
+    own = formats.runs(df, formats.load(TEXT)[0])
+    return df.select("id", F.posexplode(own).alias("run", "r")).select("id", "run", "r.text", "r.size", F.col("r.fill.r").alias("red"))
+
+
+@query(f"""SELECT id, o::INTEGER AS option, CASE o WHEN 2 THEN c_custkey::VARCHAR ELSE c_name || ' ' || lower(c_mktsegment) END AS label, CASE o WHEN 0 THEN 12e0 ELSE 9e0 END AS size, CASE o WHEN 0 THEN 0e0 WHEN 1 THEN 5e0 ELSE -5e0 END AS dx FROM (
+    SELECT *, CASE WHEN length(c_name || ' ' || c_mktsegment) * 12 <= room THEN 0 WHEN length(c_name || ' ' || c_mktsegment) * 9 <= room THEN 1 ELSE 2 END AS o FROM (SELECT *, 240 + c_custkey % 100 AS room FROM {_C}))""")
+def text_placements(spark, sf):
+    """The first of three placements whose text fits into a row's room; each keeps what the one before has and it doesn't give."""
+    df = customers(spark, sf)
+    fits = lambda label, own: F.char_length(label) * own["size"] <= F.expr("240 + c_custkey % 100")
+    found = formats.chosen(df, [*formats.load(TEXT)], ("size", "dx"), lambda label, own: fits(label, own) | (label == F.col("c_custkey").cast("string")))
+    return found.select("id", "option", "label", "size", "dx")

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import raster
-from .catalog import _PX, _rgba_sql, pixels, query, rgba
+from ..operators import filters, raster
+from .catalog import _PRE, _PX, _rgba_sql, pixels, query, rgba
 
 #: Kernels whose weights SQL can give: radius and weight of a distance d below it. The other two, kaiser and bessel, are tested against arrays.
 _SINC = "CASE WHEN {0} = 0 THEN 1 ELSE sin(pi() * {0}) / (pi() * {0}) END"
@@ -76,3 +76,18 @@ def raster_octree(spark, sf):
     colors = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip("rgb", p))) for p in tree.palette)) if tree.palette else F.lit(None).cast("array<struct<r:int,g:int,b:int>>")
     out = px.select("x", "y", tree.index(F.col("r"), F.col("g"), F.col("b")).alias("palette_index"))
     return out.select("x", "y", "palette_index", F.get(colors, "palette_index").alias("p")).select("x", "y", "palette_index", "p.r", "p.g", "p.b")
+
+
+@query(f"""SELECT x, y, v AS r, w AS a FROM (SELECT x, y, ((4915 * (a - r) + 9667 * (a - g) + 1802 * (a - b) + 8192) >> 14)::INTEGER AS v, a::INTEGER AS w FROM {_PRE})""")
+def raster_filter_chain(spark, sf):
+    """Two filters of one text: inverted, then gray."""
+    return filters.apply(rgba(spark, sf), "invert() gray", (64, 64)).select("x", "y", "r", "a")
+
+
+_STOPS = "colorize-alpha(#ff0000, #00ff0080 50%, blue)"
+
+
+@query(f"""SELECT x, y, CASE WHEN a > 0 THEN (c[2] * ((c[5] * a + 255) >> 8) + 255) >> 8 ELSE r END::INTEGER AS r, CASE WHEN a > 0 THEN (c[3] * ((c[5] * a + 255) >> 8) + 255) >> 8 ELSE g END::INTEGER AS g, CASE WHEN a > 0 THEN (c[5] * a + 255) >> 8 ELSE 0 END::INTEGER AS a
+    FROM {_rgba_sql()} JOIN (SELECT unnest({[[k, *c] for k, c in enumerate(filters.ramp(filters.parse(_STOPS)[0].arguments))]}) AS c) ON c[1] = a""")
+def raster_colorize_alpha(spark, sf):
+    return filters.apply(rgba(spark, sf), _STOPS, (64, 64)).select("x", "y", "r", "g", "a")
