@@ -86,6 +86,7 @@ class Batch:
         self.kind, self.path_row, place, self.count = kind, row[order], place[order], count[order]
         self.path_at = np.cumsum(np.append(0, self.count))
         take = ragged(place, self.count * 16)
+        self.take = take
         self.xy = self.raw[take].view("<f8").reshape(-1, 2) if len(take) else np.zeros((0, 2))
         # an empty point is written as not-a-number
         self.none = np.zeros(n, bool)
@@ -125,6 +126,23 @@ class Batch:
         return out
 
 
+def moved(b: Batch, xy: np.ndarray, alone: Callable) -> pa.Array:
+    """The batch's geometries with other points, written into a copy of its bytes; alone gives the bytes of those that weren't decoded together."""
+    raw = b.raw.copy()
+    raw[b.take] = np.ascontiguousarray(xy, "<f8").view(np.uint8).ravel()
+    column = b.column
+    buffers = column.buffers()
+    out = pa.Array.from_buffers(column.type, len(column), [buffers[0], buffers[1], pa.py_buffer(raw)], column.null_count, column.offset)
+    unread = (b.kind == 0) & np.asarray(column.is_valid())
+    if not unread.any():
+        return out
+    more = b.row_function(alone)
+    values = out.to_pylist()
+    for i in np.flatnonzero(unread).tolist():
+        values[i] = more.get(i)
+    return pa.array(values, pa.binary())
+
+
 def readable(f: Callable, x: object) -> object:
     """f(x), or nothing where x can't be read."""
     try:

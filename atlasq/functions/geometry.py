@@ -129,7 +129,25 @@ offset = _scalar("binary", _wkb(lambda g, by: C.to_wkb(g.mapped(lambda a: S.offs
 outline = _scalar("binary", _wkb(lambda g, width, join, cap, limit: C.to_wkb(S.outline(g, width, join, cap, limit))))
 extend = _scalar("binary", _wkb(lambda g, by: C.to_wkb(g.mapped(lambda a: S.extended(a, by)))))
 clip = _scalar("binary", _wkb(lambda g, x0, y0, x1, y1: C.to_wkb(S.clipped(g, (x0, y0, x1, y1)))))
-affine = _scalar("binary", _wkb(lambda g, *m: C.to_wkb(S.converted(g, transform=m))))
+
+
+@F.arrow_udf(T.BinaryType())
+def affine(geom: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array, f: pa.Array) -> pa.Array:
+    """x, y to a x + c y + e, b x + d y + f, for all points of a batch at once; null where a number is."""
+    batch = B.Batch(geom)
+    m = np.stack([np.asarray(v.cast(pa.float64()).fill_null(np.nan)) for v in (a, b, c, d, e, f)])
+    own = m[:, batch.point_row]
+    with np.errstate(invalid="ignore"):
+        xy = np.stack([own[0] * batch.xy[:, 0] + own[2] * batch.xy[:, 1] + own[4], own[1] * batch.xy[:, 0] + own[3] * batch.xy[:, 1] + own[5]], 1)
+    numbers = [v.tolist() for v in m.T]
+    more = batch.row_function(lambda g, n: C.to_wkb(S.converted(g, transform=tuple(n))), numbers)
+    out = B.moved(batch, xy, lambda g: b"")
+    bad = np.isnan(m).any(0)
+    if not more and not bad.any():
+        return out
+    return pa.array([None if bad[i] else more.get(i) if i in more else v for i, v in enumerate(out.to_pylist())], pa.binary())
+
+
 hit = _scalar("boolean", _wkb(S.hit))
 point_at_length = _scalar("x double, y double, angle double", _wkb(lambda g, d: S.at_length(g.arrays[0], d)))
 grid_points = _scalar("binary", _wkb(lambda g, dx, dy, alternating: C.to_wkb(C.Geometry("MultiPoint", S.grid_points(g, dx, dy, alternating)))))
@@ -160,13 +178,28 @@ def vertices(geom: pd.Series) -> pd.Series:
 
 
 def reproject(source: str, target: str):
-    """A UDF of WKB between the two built-in planes."""
-    from .projection import project_point
-
-    def move(a):
-        return C.points([project_point(x, y, source, target) for x, y in a.tolist()])
+    """A UDF of WKB between two planes: the built-in pair for all points of a batch at once, others point by point."""
+    from .projection import LONLAT, MAX_LATITUDE, MERCATOR, RADIUS, known, project_point
+
+    one, other = known(source), known(target)
+
+    def together(xy: np.ndarray) -> np.ndarray:
+        if one == other:
+            return xy
+        if (one, other) == (LONLAT, MERCATOR):
+            lon, lat = np.clip(xy[:, 0], -180.0, 180.0), np.clip(xy[:, 1], -MAX_LATITUDE, MAX_LATITUDE)
+            return np.stack([np.radians(lon) * RADIUS, np.log(np.tan(np.radians(lat + 90) / 2)) * RADIUS], 1)
+        if (one, other) == (MERCATOR, LONLAT):
+            x, y = (np.clip(xy[:, k] / RADIUS, -np.pi, np.pi) for k in (0, 1))
+            return np.stack([np.degrees(x), np.degrees(2 * np.arctan(np.exp(y)) - np.pi / 2)], 1)
+        return np.array([project_point(x, y, source, target) for x, y in xy.tolist()]).reshape(-1, 2)
+
+    @F.arrow_udf(T.BinaryType())
+    def run(geom: pa.Array) -> pa.Array:
+        batch = B.Batch(geom)
+        return B.moved(batch, together(batch.xy), lambda g: C.to_wkb(g.mapped(lambda a: C.points(together(np.asarray(a, float).reshape(-1, 2)).tolist()))))
 
-    return _scalar("binary", _wkb(lambda g: C.to_wkb(g.mapped(move))))
+    return run
 
 
 # --- expressions ---------------------------------------------------------------

@@ -131,3 +131,28 @@ def test_line_labels(spark):
     placed = labels.place_labels(every, "m", ["rank"], (-100.0, -100.0, 100.0, 100.0)).where("placed").collect()
     # the first line has its places; the second one, too near for them, only the gap between, by a shift
     assert {(r.k, r.place) for r in placed if r.k == 1} == {(1, 0), (1, 1)} and [(r.place, r["shift"], round(r.x, 6)) for r in placed if r.k == 2] == [(0, 5.0, 10.0)]
+
+
+def test_maps_of_whole_batches(spark):
+    """Affine maps and reprojection of rows decoded together and of all others; nulls and what can't be read stay null."""
+    from atlasq.functions import projection
+
+    shapes = ["POINT(1 2)", "POINT EMPTY", "LINESTRING(0 0,10 20,-30 40)", "POLYGON((0 0,0 4,4 4,4 0,0 0),(1 1,2 1,2 2,1 1))", "MULTIPOINT(1 1,2 2)", "MULTIPOLYGON(((0 0,0 1,1 1,0 0)),((5 5,5 7,7 7,5 5)))", "GEOMETRYCOLLECTION(POINT(3 3),LINESTRING(0 0,1 1))", "LINESTRING EMPTY", None]
+    rows = [(i, bytearray(C.to_wkb(C.from_wkt(t))) if t else None, t) for i, t in enumerate(shapes)] + [(98, bytearray(b"no"), None), (99, bytearray(C.to_wkb(C.from_wkt("POINT(7 8)"), ">")), "POINT(7 8)")]
+    df = spark.createDataFrame(rows, "i int, g binary, t string").coalesce(1)
+    number = [F.lit(v) for v in (2.0, 1.0, 0.0, -1.0, 3.0, 0.0)]
+    found = {r.i: r for r in df.select("i", "t", G.affine("g", *number).alias("a"), G.reproject(projection.LONLAT, projection.MERCATOR)("g").alias("m")).collect()}
+    for i, r in found.items():
+        if r.t is None:
+            assert r.a is None and r.m is None
+            continue
+        g = C.from_wkt(r.t)
+        assert C.to_wkt(C.from_wkb(bytes(r.a))) == C.to_wkt(S.converted(g, transform=(2.0, 1.0, 0.0, -1.0, 3.0, 0.0)))
+        want = [projection.project_point(x, y, projection.LONLAT, projection.MERCATOR) for a in g.arrays for x, y in a.tolist() if x == x]
+        got = [tuple(p) for a in C.from_wkb(bytes(r.m)).arrays for p in a.tolist() if p[0] == p[0]]
+        assert got == [pytest.approx(w, abs=1e-6) for w in want]
+    back = df.where("i = 3").select(G.reproject(projection.MERCATOR, projection.LONLAT)(G.reproject(projection.LONLAT, projection.MERCATOR)("g")).alias("w")).first().w
+    assert np.allclose(np.concatenate(C.from_wkb(bytes(back)).arrays), np.concatenate(C.from_wkt(shapes[3]).arrays))
+    zone = df.where("i = 2").select(G.reproject(projection.LONLAT, "epsg:32631")("g").alias("w")).first().w
+    assert C.from_wkb(bytes(zone)).parts[0].tolist() == pytest.approx(projection.project_point(0, 0, projection.LONLAT, "epsg:32631"))
+    assert df.select(G.affine("g", F.lit(None).cast("double"), *number[1:]).alias("a")).where("a is not null").count() == 0
