@@ -578,7 +578,18 @@ def group_unpivot(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "sub_id", "v", "rule_name", "repeat_key")
 
 
-@query()
+def _greedy_sql(group: str, columns: str) -> str:
+    """Boxes of each group taken one after the other: a list of the placed ones is carried from row to row."""
+    far = lambda d: f"c.x0 <= p.x1 + {d} AND c.x1 >= p.x0 - {d} AND c.y0 <= p.y1 + {d} AND c.y1 >= p.y0 - {d}"
+    ok = f"len(list_filter(r.done, lambda p: ({far('0.5e0')}) OR (c.t = p.t AND {far('4e0')}))) = 0"
+    return f"""WITH RECURSIVE b AS (SELECT id, c_mktsegment AS t, x - 2 AS x0, y - 2 AS y0, x + 2 AS x1, y + 2 AS y1, c_acctbal, {group} AS tile FROM {_C}),
+        c AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY -c_acctbal, id) AS k FROM b),
+        r AS (SELECT DISTINCT tile, 0::BIGINT AS k, 0::BIGINT AS id, false AS ok, []::STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, t VARCHAR)[] AS done FROM c
+            UNION ALL SELECT r.tile, c.k, c.id, {ok}, CASE WHEN {ok} THEN list_append(r.done, {{'x0': c.x0, 'y0': c.y0, 'x1': c.x1, 'y1': c.y1, 't': c.t}}) ELSE r.done END FROM r JOIN c ON c.tile = r.tile AND c.k = r.k + 1)
+        SELECT {columns}, ok AS placed FROM r WHERE k > 0"""
+
+
+@query(_greedy_sql("floor(x / 30)::BIGINT || '/' || floor(y / 30)::BIGINT", "id, tile"))
 def label_collision(spark, sf):
     """Greedy placement of customers' labels by tile, the richest first."""
     df = customers(spark, sf).withColumn("tile", F.concat_ws("/", F.floor(F.col("x") / 30), F.floor(F.col("y") / 30)))
@@ -587,7 +598,7 @@ def label_collision(spark, sf):
     return labels.place_labels(df, "tile", ["rank", "id"], (-180.0, -90.0, 180.0, 90.0), 0.5, 4.0, "c_mktsegment").select("id", "tile", "placed")
 
 
-@query()
+@query(_greedy_sql("'all'", "id"))
 def label_collision_everywhere(spark, sf):
     """The same over one map, tile borders or not; tests compare with boxes placed one by one."""
     b = Box.around(F.col("x"), F.col("y"), 2.0)
