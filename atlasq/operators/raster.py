@@ -694,6 +694,89 @@ def merged_tree(nodes: dict[tuple[int, int], tuple], most: int) -> ColorTree:
     return ColorTree(tuple(palette), tuple(ends))
 
 
+#: Fixed values of the tree with alpha: alphas below and above which a colour counts as clear or opaque, and the share of a node's mean error below which it isn't unfolded.
+CLEAR, OPAQUE, UNFOLD = 5, 250, 15.0
+
+
+def _hex_code(level: int) -> Column:
+    """The way of a pixel down a tree of sixteen branches a level, alpha first."""
+    out = F.lit(0)
+    for k in range(level):
+        bit = lambda c: F.shiftright(F.col(c).cast("int"), 7 - k).bitwiseAND(F.lit(1))
+        out = out * 16 + bit("a") * 8 + bit("r") * 4 + bit("g") * 2 + bit("b")
+    return out.cast("int")
+
+
+def hextree_nodes(df: DataFrame, gamma: float = 2.0) -> list[DataFrame]:
+    """A written table for each level, the root's first: code, n, r, g, b, a (sums; channels by their gamma), cost, children.
+
+    A node's cost is a thousandth of its pixels, its children's costs, and each child's squared distance to
+    the node's mean times its alphas' share of full ones. Clear pixels don't take part.
+    """
+    curve = F.array(*(F.lit(255 * (i / 255) ** (1 / gamma)) for i in range(256)))
+    pixels = df.where(F.col("a") >= CLEAR).groupBy("r", "g", "b", "a").agg(F.count("*").alias("n"))
+    leaf = pixels.groupBy(_hex_code(TREE_LEVELS).alias("code")).agg(F.sum("n").alias("n"), *(F.sum(F.get(curve, F.col(c).cast("int")) * F.col("n")).alias(c) for c in "rgb"), F.sum(F.col("a").cast("double") * F.col("n")).alias("a"))
+    level = scratch.written(leaf.withColumns({"cost": F.col("n") / 1000.0, "children": F.lit(0).cast("long")}))
+    out = [level]
+    for _ in range(TREE_LEVELS):
+        up = level.withColumn("above", F.shiftright("code", 4))
+        sums = up.groupBy("above").agg(F.sum("n").alias("m"), *(F.sum(c).alias(f"m{c}") for c in RGBA))
+        away = sum(F.pow(F.col(c) / F.col("n") - F.col(f"m{c}") / F.col("m"), 2) for c in RGBA)
+        merged = up.join(sums, "above").groupBy("above").agg(F.first("m").alias("n"), *(F.first(f"m{c}").alias(c) for c in RGBA), (F.first("m") / 1000.0 + F.sum(F.col("cost") + away * F.col("a") / 255)).alias("cost"), F.count("*").alias("children"))
+        level = scratch.written(merged.withColumnRenamed("above", "code"))
+        out.insert(0, level)
+    return out
+
+
+def hextree_palette(df: DataFrame, most: int = 256, gamma: float = 2.0) -> list[tuple[int, int, int, int]]:
+    """A palette with alpha of at most so many colours: from one colour for all, the node with the highest cost is unfolded into its children while there is room.
+
+    Only nodes that are looked at reach the driver, children by children: at most 16 for each colour. A node is left
+    whose error is small for its pixels, or that has more children than there is room for; after 16 of these in a row the palette is
+    done. If any pixel is clear, one colour is clear black. Colours with alpha come first, then by their channels' sum.
+    """
+    levels = hextree_nodes(df, gamma)
+    holes = df.where(F.col("a") < CLEAR).limit(1).count()
+    room = most - (1 if holes else 0)
+    row = lambda level, r: (r["cost"], level, r["code"], r["n"], r["r"], r["g"], r["b"], r["a"], r["children"])
+    heap = [row(0, r) for r in levels[0].collect()]
+    done: list[tuple] = []
+    known: dict[tuple[int, int], list[tuple]] = {}
+    tries, colors = 0, len(heap)
+
+    def below(node: tuple) -> list[tuple]:
+        level = node[1]
+        if (level, node[2]) not in known:
+            # the children of all nodes of the level that may come next, in one job
+            asked = [h[2] for h in (node, *heap) if h[1] == level and (level, h[2]) not in known]
+            known.update({(level, c): [] for c in asked})
+            for r in levels[level + 1].where(F.shiftright("code", 4).isin(asked)).collect():
+                known[level, r["code"] >> 4].append(row(level + 1, r))
+        return known[level, node[2]]
+
+    while heap and colors < room and tries < 16:
+        node = max(heap, key=lambda h: (h[0], -h[1], -h[2]))
+        heap.remove(node)
+        cost, _, _, n, *_, children = node
+        if children + colors - 1 > room:
+            tries += 1
+            done.append(node)
+            continue
+        tries = 0
+        if children and (cost / n + 1) * np.log(float(n)) > UNFOLD:
+            own = below(node)
+            heap += own
+            colors += len(own) - 1
+        else:
+            done.append(node)
+    palette = [(0, 0, 0, 0)] if holes else []
+    for _, _, _, n, r, g, b, a, _ in heap + done:
+        alpha = int(np.float32(a) / np.float32(n))
+        channel = lambda v: int(255 * (v / n / 255) ** gamma + 0.5)
+        palette.append((channel(r), channel(g), channel(b), 255 if alpha > OPAQUE else 0 if alpha < CLEAR else alpha))
+    return sorted(palette, key=lambda p: (p[3] == 255, sum(p), p[3], p))
+
+
 def raster_layer(df: DataFrame, size: tuple[int, int], new_size: tuple[int, int], colorizer: Colorizer, nodata: float | None = None, value: str = "value") -> DataFrame:
     """Scale, colour, premultiply: the pixels that a raster layer composites."""
     return premultiply(nested_case(nearest_scale(df, *size, *new_size), colorizer, value, nodata))

@@ -91,3 +91,11 @@ _STOPS = "colorize-alpha(#ff0000, #00ff0080 50%, blue)"
     FROM {_rgba_sql()} JOIN (SELECT unnest({[[k, *c] for k, c in enumerate(filters.ramp(filters.parse(_STOPS)[0].arguments))]}) AS c) ON c[1] = a""")
 def raster_colorize_alpha(spark, sf):
     return filters.apply(rgba(spark, sf), _STOPS, (64, 64)).select("x", "y", "r", "g", "a")
+
+
+@query()
+def raster_hextree(spark, sf):
+    """A raster in 32 colours with alpha; a test compares the palette with a tree that holds its pixels."""
+    px = rgba(spark, sf)
+    palette = raster.hextree_palette(px, 32)
+    return raster.quantize(px, palette or [(0, 0, 0, 0)]).select("x", "y", "palette_index")

@@ -386,3 +386,52 @@ def test_octree_palette(spark, most):
         way = tuple(sum((v >> (7 - level) & 1) << (2 - c) for c, v in enumerate((r.r, r.g, r.b))) for level in range(6))
         assert want[r.i][0] == way[: len(want[r.i][0])]
     assert raster.octree_palette(df.limit(0), most).palette == ()
+
+
+def hextree_by_force(pixels, most, gamma=2.0):
+    """The same palette from a tree of nodes that hold their pixels."""
+    seen = [p for p in pixels if p[3] >= 5]
+    curve = [255 * (i / 255) ** (1 / gamma) for i in range(256)]
+    way = lambda p, level: tuple(sum((p[c] >> (7 - k) & 1) << s for c, s in ((3, 3), (0, 2), (1, 1), (2, 0))) for k in range(level))
+    own = {(): seen}
+    for level in range(1, 7):
+        for p in seen:
+            own.setdefault(way(p, level), []).append(p)
+    kids = {w: sorted({v for v in own if len(v) == len(w) + 1 and v[: len(w)] == w}) for w in own}
+    mean = lambda w: [sum(curve[p[c]] for p in own[w]) / len(own[w]) for c in range(3)] + [sum(p[3] for p in own[w]) / len(own[w])]
+    means = {w: mean(w) for w in own}
+    cost = {}
+    for w in sorted(own, key=len, reverse=True):
+        cost[w] = len(own[w]) / 1000 + sum(cost[k] + sum((x - y) ** 2 for x, y in zip(means[k], means[w])) * sum(p[3] for p in own[k]) / 255 for k in kids[w])
+    holes = len(seen) < len(pixels)
+    room, open_, out, tries, colors = most - holes, [()] if seen else [], [], 0, 1 if seen else 0
+    while open_ and colors < room and tries < 16:
+        w = max(open_, key=lambda v: cost[v])
+        open_.remove(w)
+        if len(kids[w]) + colors - 1 > room:
+            tries += 1
+            out.append(w)
+            continue
+        tries = 0
+        if kids[w] and (cost[w] / len(own[w]) + 1) * np.log(len(own[w])) > 15:
+            open_ += kids[w]
+            colors += len(kids[w]) - 1
+        else:
+            out.append(w)
+    palette = [(0, 0, 0, 0)] if holes else []
+    for w in open_ + out:
+        alpha = int(np.float32(sum(p[3] for p in own[w])) / np.float32(len(own[w])))
+        palette.append((*(int(255 * (m / 255) ** gamma + 0.5) for m in means[w][:3]), 255 if alpha > 250 else alpha))
+    return sorted(palette, key=lambda p: (p[3] == 255, sum(p), p[3], p))
+
+
+@pytest.mark.parametrize("most", [2, 16, 100])
+def test_hextree_palette(spark, most):
+    from atlasq.operators import raster
+
+    rng = np.random.default_rng(9)
+    pixels = [tuple(map(int, p)) for p in np.concatenate([rng.integers(0, 256, (120, 4)), np.column_stack([rng.normal((200, 60, 30), 12, (200, 3)).clip(0, 255).astype(int), np.full(200, 255)]), np.tile((9, 9, 9, 0), (5, 1))])]
+    df = spark.createDataFrame(pixels, "r int, g int, b int, a int")
+    found = raster.hextree_palette(df, most)
+    assert found == hextree_by_force(pixels, most) and len(found) <= most
+    assert raster.hextree_palette(df.limit(0), most) == [] and raster.hextree_palette(df.where("a = 0"), most) == [(0, 0, 0, 0)]
