@@ -81,9 +81,11 @@ def release(spark: SparkSession) -> list[str]:
 
 
 def stage(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """work(docs) as a stage of a pipeline: tables of results that nothing reads any more, such as those of stages before it, go first."""
+    """work(docs) as a stage of a pipeline. Tables that nothing reads any more go before it, as do, after it, those that its result doesn't read."""
     release(docs.sparkSession)
-    return work(docs)
+    out = work(docs)
+    release(docs.sparkSession)
+    return out
 
 
 def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
