@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from atlasq.functions import boxes, projection
 from atlasq.functions.boxes import Extent
 from atlasq.operators import hits, labels, ordering, raster
-from atlasq.plans import catalog, processor, spec
+from atlasq.plans import catalog, processor, registered, spec
 from atlasq.sources import registry
 
 XML = """<Map width="256" height="256" srs="epsg:4326" extent="-10,-10,10,10" aspect-mode="RESPECT">
@@ -193,7 +193,7 @@ def test_streaming(spark, sf, tmp_path):
     assert spark.table("tiles_by_hour").agg(F.sum("n")).first()[0] == events.where("value is not null").count()
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(registered.ORACLES))
 def test_against_sql(spark, sf, name):
     import os
 
