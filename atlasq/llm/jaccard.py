@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import connected_components
-from .store import buckets, free_name, keyed, materialize, small_batches, text_of
+from .store import buckets, free_name, keyed, materialize, release, small_batches, text_of
 
 WORDS, PERCENT = 5, 80
 #: The distance within which two documents are linked.
@@ -36,12 +36,13 @@ SPREAD_PIVOTS, PER_PIVOT, BLOCK, BLOCK_BYTES = 32, 250, 1024, 8 << 20
 #: A region is cut along its cells if they have no more than this many copies of its documents together, and the
 #: largest no more than this share of them; otherwise its blocks are compared.
 COPIES, SHARE = 3.0, 0.8
-#: Slots of the bitmaps of shared and of common shingles: 2**(32 - SLOT_SHIFT), 8 MB each whatever the input. An order is
-#: all that common shingles (found at least COMMON_TIMES times) decide: they come last, the COMMON most common ones by number.
-SLOT_SHIFT, COMMON_TIMES, COMMON = 6, 16, 20_000
-#: Tasks that join the bitmaps' slices, a row each, before they reach the driver.
+#: Shingles are counted by this many bits of their hashes; rows of a chunk, which are counted together: 2**CHUNK_SHIFT, and the
+#: characters of a text beyond which it is a chunk of its own.
+BITS, CHUNK_SHIFT, LONG = 38, 10, 1 << 17
+#: An order is all that common shingles (found at least COMMON_TIMES times) decide: they come last, the COMMON most common ones by number.
+COMMON_TIMES, COMMON = 16, 20_000
+#: Tasks that join the buckets' lists of common shingles before they reach the driver.
 JOINERS = 16
-FLUSH = 250_000
 #: A shingle of a set's prefix, the set, its size, and the largest set that it can be linked with if this is the first shared one.
 ENTRY = np.dtype([("h", "<u8"), ("sid", "V12"), ("n", "<u4"), ("most", "<u4")])
 
@@ -224,140 +225,181 @@ def ties(e: np.ndarray) -> tuple[list[bytes], list[bytes]]:
     return [x[:12] for x in raw], [x[12:] for x in raw]
 
 
+def pack_ascending(v: np.ndarray) -> bytes:
+    """Ascending numbers as their first one and the steps to the others, in as few bytes each as the largest step needs."""
+    if not len(v):
+        return b""
+    step = np.diff(v).astype("<u8")
+    width = next(w for w in range(3, 9) if not int(step.max(initial=0)) >> 8 * w)
+    return bytes([width]) + int(v[0]).to_bytes(8, "little") + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_ascending(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
+    step = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, raw[0])
+    v = np.zeros((len(step) + 1, 8), np.uint8)
+    v[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    v[1:, : raw[0]] = step
+    return np.cumsum(v.view("<u8").ravel(), dtype=np.uint64)
+
+
+class Piece:
+    """The sets of a run of rows: all shingles and their offsets by row, the sets' digests, which rows are the first of their
+    set and have shingles, and the hashes (BITS each) of those rows' shingles, ascending, each as often as it occurs, twice at most."""
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray) -> None:
+        found = [shingle_sets(data, at) for _, _, data, at in B.pieces(texts)]
+        self.h = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)])
+        self.n = np.concatenate([np.zeros(0, np.int64), *(np.diff(offset) for _, offset in found)])
+        self.at = np.append(0, np.cumsum(self.n))
+        self.ids = set_ids(self.h, self.at)
+        self.sid = np.frombuffer(b"".join(self.ids), "V12")
+        first = np.zeros(len(self.n), bool)
+        first[np.unique(self.sid, return_index=True)[1]] = True
+        self.chosen = first & (self.n > 0)
+        self.of = np.repeat(np.arange(len(self.n)), self.n)
+        inside = self.chosen[self.of]
+        self.h, self.of = self.h[inside], self.of[inside]
+        own, self.back, times = np.unique(self.h >> np.uint64(64 - BITS), return_inverse=True, return_counts=True)
+        times = np.minimum(times, 2)
+        self.sent, self.place = np.repeat(own, times), np.append(0, np.cumsum(times))[:-1]
+
+
 def groups(rows: DataFrame, key: str = "_rid") -> DataFrame:
     """_rid (rows' column key, which each scan of rows must give alike), doc_id, n_shingles, member (the digest of the row's set) and cluster (the smallest digest it is connected with)
     for each row; member and cluster are null for an empty set."""
     spark = rows.sparkSession
     small_batches(spark)
-    nb = buckets(rows)
-    rows = text_of(rows, F.col(key).alias("_rid"))
-
-    # which shingles occur in two sets: the others can link nothing. Hashes are told apart by 32 bits and kept in a
-    # bitmap of fixed size, so some are taken for shared that aren't, which costs time only
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flushed() -> pa.RecordBatch:
-            own, times = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            v = np.repeat(own, np.minimum(times, 2))
-            b = ((v.astype(np.uint64) * np.uint64(nb)) >> np.uint64(32)).astype(np.int32)
-            cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            return pa.RecordBatch.from_arrays([pa.array(b[cut]), B.binary_array([x.tobytes() for x in np.split(v, cut[1:])])], ["b", "blob"])
+    nb, shift = buckets(rows, 1), CHUNK_SHIFT
+    rid = F.col(key).cast("long")
+    long = F.coalesce(F.length(F.col("text").cast("string")) > LONG, F.lit(False))
+    texts = text_of(rows, rid.alias("_rid"), F.when(long, -1 - rid).otherwise(F.shiftright(rid, shift)).alias("chunk")).select("_rid", "doc_id", "chunk", "text")
+
+    # which shingles occur in two sets: the others can link nothing. A chunk's hashes are sent to their buckets in ascending
+    # order, a bit for each comes back, and the chunk's rows, read again, make the same hashes in the same order. Nothing here has a
+    # fixed size that a larger input would fill; hashes alike in BITS bits are taken for shared, which costs time only
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = -1
+
+        def blobs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            run = pa.Table.from_batches(rows)
+            v = Piece(run.column("text")).sent
+            b = (v * np.uint64(nb) >> np.uint64(BITS)).astype(np.int32)
+            # a run without shingles is told too
+            cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(v) else np.zeros(1, np.int64)
+            row = [pa.array([run.column(c)[i].as_py()] * len(cut), pa.int64()) for c, i in (("chunk", 0), ("_rid", 0), ("_rid", -1))]
+            return pa.RecordBatch.from_arrays([*row, pa.array(b[cut] if len(v) else [0], pa.int32()), B.binary_array([pack_ascending(x) for x in np.split(v, cut[1:])])], ["chunk", "low", "high", "b", "blob"])
 
         for batch in batches:
-            for _, _, data, at in B.pieces(batch.column("text")):
-                held.append((shingle_sets(data, at)[0] >> np.uint64(32)).astype(np.uint32))
-                if sum(map(len, held)) >= 8 * FLUSH:
-                    yield flushed()
-        if held and sum(map(len, held)):
-            yield flushed()
+            rid, alone = batch.column("_rid").to_numpy(), batch.column("chunk").to_numpy() < 0
+            # a run holds rows that follow each other; a task may read a part of a chunk only
+            before = np.append(last, rid[:-1])
+            new = (rid != before + 1) | (rid >> shift != before >> shift)
+            start = np.unique(np.append(0, np.flatnonzero(new)))
+            for i, j in zip(start.tolist(), [*start[1:].tolist(), len(rid)]):
+                if new[i] and held:
+                    yield blobs(held)
+                    held.clear()
+                for x in (i + np.flatnonzero(alone[i:j])).tolist():
+                    yield blobs([batch.slice(x, 1)])
+                if not alone[i:j].all():
+                    held.append(batch.slice(i, j - i).filter(pa.array(~alone[i:j])))
+            last = int(rid[-1]) if len(rid) else last
+        if held:
+            yield blobs(held)
 
     def marked(group: pa.Table) -> pa.Table:
-        v, times = np.unique(np.frombuffer(b"".join(group.column("blob").to_pylist()), np.uint32), return_counts=True)
-        v, times = v[times > 1], times[times > 1]
-        b = group.column("b")[0].as_py()
-        base = (b << 32) // nb >> SLOT_SHIFT >> 3 << 3
-        top = (((b + 1) << 32) // nb >> SLOT_SHIFT) + 8
-        bits = np.zeros(top - base, np.uint8)
-        bits[(v >> np.uint32(SLOT_SHIFT)).astype(np.int64) - base] = 1
-        many = np.zeros(top - base, np.uint8)
-        many[(v[times >= COMMON_TIMES] >> np.uint32(SLOT_SHIFT)).astype(np.int64) - base] = 1
+        parts = [unpack_ascending(x) for x in group.column("blob").to_pylist()]
+        v, back, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared, many = (times > 1)[back], (times >= COMMON_TIMES)[back]
+        cut = np.cumsum([len(x) for x in parts])[:-1]
+        bits = [np.packbits(np.concatenate(x)).tobytes() for x in zip(np.split(shared, cut), np.split(many, cut))]
         often = np.argsort(-times, kind="stable")[: 4 + 2 * COMMON // nb]
         often = np.sort(often[times[often] >= COMMON_TIMES])
-        return pa.table([pa.array([base], pa.int64()), B.binary_array([np.packbits(bits).tobytes()]), B.binary_array([np.packbits(many).tobytes()]), B.binary_array([v[often].tobytes()]), B.binary_array([times[often].astype(np.int64).tobytes()])], ["base", "bits", "many", "common", "times"])
+        n = pa.array([len(x) for x in parts] + [None], pa.int64())
+        row = [pa.concat_arrays([*group.column(c).chunks, pa.nulls(1, t)]) for c, t in (("chunk", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("b", pa.int32()))]
+        lists = [B.binary_array([None] * len(parts) + [x.tobytes()]) for x in (v[often], times[often].astype(np.int64))]
+        return pa.table([*row, n, B.binary_array([*bits, None]), *lists], ["chunk", "low", "high", "b", "n", "bits", "common", "times"])
+
+    def most_common(lists: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        v, n = np.frombuffer(b"".join(x for x, _ in lists), np.uint64), np.frombuffer(b"".join(x for _, x in lists), np.int64)
+        most = np.lexsort((v, -n))[:COMMON]
+        return v[most], n[most]
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Slices of neighbouring buckets as one, with the most common shingles of all of them."""
-        found = [r for batch in batches for r in batch.to_pylist()]
-        if found:
-            base = min(r["base"] for r in found)
-            wide = (max(r["base"] + 8 * len(r["bits"]) for r in found) - base) >> 3
-            out = {c: np.zeros(wide, np.uint8) for c in ("bits", "many")}
-            for r in found:
-                at = (r["base"] - base) >> 3
-                for c, bitmap in out.items():
-                    own = np.frombuffer(r[c], np.uint8)
-                    bitmap[at : at + len(own)] |= own
-            v, n = np.frombuffer(b"".join(r["common"] for r in found), np.uint32), np.frombuffer(b"".join(r["times"] for r in found), np.int64)
-            most = np.lexsort((v, -n))[:COMMON]
-            yield pa.RecordBatch.from_arrays([pa.array([base], pa.int64()), *(B.binary_array([x.tobytes()]) for x in (out["bits"], out["many"], v[most], n[most]))], ["base", "bits", "many", "common", "times"])
-
-    texts = rows.select("_rid", "text")
-    schema = "base long, bits binary, many binary, common binary, times binary"
-    each = texts.mapInArrow(seen, "b int, blob binary").groupBy("b").applyInArrow(marked, schema)
-    # buckets grow with the input; what reaches the driver doesn't: neighbouring slices are joined by JOINERS tasks
-    slices = each.repartitionByRange(JOINERS, "base").mapInArrow(joined, schema).collect()
-    bitmaps = {c: np.zeros((1 << 32 >> SLOT_SHIFT >> 3) + 16, np.uint8) for c in ("bits", "many")}
-    for r in slices:
-        at = r["base"] >> 3
-        for c, bitmap in bitmaps.items():
-            own = np.frombuffer(bytes(r[c]), np.uint8)
-            bitmap[at : at + len(own)] |= own[: len(bitmap) - at]
-    common = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(bytes(r["common"]), np.uint32) for r in slices)])
-    times = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r["times"]), np.int64) for r in slices)])
-    most = np.lexsort((common, -times))[:COMMON]
-    common, times = common[most], times[most]
+        v, n = most_common([x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("common", "times")))])
+        yield pa.RecordBatch.from_arrays([B.binary_array([v.tobytes()]), B.binary_array([n.tobytes()])], ["common", "times"])
+
+    back = texts.mapInArrow(sent, "chunk long, low long, high long, b int, blob binary").groupBy("b")
+    back = materialize(back.applyInArrow(marked, "chunk long, low long, high long, b int, n long, bits binary, common binary, times binary"), "shared")
+    # what has been sent and come back takes no disk any more
+    release(spark)
+    # buckets grow with the input; what reaches the driver doesn't: their lists are joined by JOINERS tasks
+    lists = back.where("chunk is null").select("common", "times").repartition(JOINERS).mapInArrow(joined, "common binary, times binary").collect()
+    common, times = most_common([(bytes(r["common"]), bytes(r["times"])) for r in lists])
     place = np.empty(len(common), np.uint64)
     place[np.lexsort((common, times))] = np.arange(len(common), dtype=np.uint64)
     order = np.argsort(common)
-    shared = spark.sparkContext.broadcast((bitmaps["bits"], bitmaps["many"], common[order], place[order]))
-    del slices, bitmaps
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_rid", "doc_id", "n_shingles", "sid", "b", "blob"]
-        held: list[np.ndarray] = []
-        bits, many, common, place = shared.value
-        has = lambda bitmap, slot: (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-
-        def flushed() -> pa.RecordBatch:
-            e = np.concatenate(held)
-            held.clear()
-            b = (e["h"] % np.uint64(nb)).astype(np.int32)
-            order = np.argsort(b, kind="stable")
-            e, b = e[order], b[order]
-            cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            gap = [pa.nulls(len(cut), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            return pa.RecordBatch.from_arrays([*gap, pa.array(b[cut]), B.binary_array([x.tobytes() for x in np.split(e, cut[1:])])], names)
-
-        for batch in batches:
-            for i, j, data, at in B.pieces(batch.column("text")):
-                h, offset = shingle_sets(data, at)
-                n = np.diff(offset)
-                ids = set_ids(h, offset)
-                yield pa.RecordBatch.from_arrays([batch.column("_rid").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array([x if m else None for x, m in zip(ids, n.tolist())], pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
-                sid = np.frombuffer(b"".join(ids), "V12")
-                chosen = np.zeros(len(n), bool)
-                chosen[np.unique(sid, return_index=True)[1]] = True
-                slot = (h >> np.uint64(32 + SLOT_SHIFT)).astype(np.int64)
-                is_shared = has(bits, slot)
-                of = np.repeat(np.arange(len(n)), n)
-                alone = np.bincount(of[~is_shared], minlength=len(n))
-                take = np.where(chosen & (n > 0), np.maximum(n - needed(n) + 1 - alone, 0), 0)
-                may = is_shared & (take > 0)[of]
-                h, of, slot = h[may], of[may], slot[may]
-                v = (h >> np.uint64(32)).astype(np.uint32)
-                # those found once or a few times, then common ones, then the most common ones by their numbers
-                key = (h >> np.uint64(2)) | (has(many, slot).astype(np.uint64) << np.uint64(62))
-                if len(common):
-                    where = np.searchsorted(common, v)
-                    where[where == len(common)] = 0
-                    hit = common[where] == v
-                    key[hit] = (np.uint64(1) << np.uint64(63)) | place[where[hit]]
-                h = h[np.lexsort((key, of))]
-                first = np.searchsorted(of, np.arange(len(n) + 1))
-                pick = B.ragged(first[:-1], take)
-                e = np.empty(len(pick), ENTRY)
-                e["h"], e["sid"], e["n"] = h[pick], np.repeat(sid, take), np.repeat(n, take)
-                # the shingles that no other set has come before all these
-                e["most"] = largest_partner(np.repeat(n, take), np.repeat(alone - first[:-1], take) + pick)
-                held.append(e)
-                if sum(map(len, held)) >= FLUSH:
-                    yield flushed()
-        if held and sum(map(len, held)):
-            yield flushed()
-
-    told = materialize(rows.mapInArrow(prefixes, "_rid long, doc_id long, n_shingles long, sid binary, b int, blob binary"), "sets")
+    ranks = spark.sparkContext.broadcast((common[order], place[order]))
+
+    def prefixes(texts: pa.Table, back: pa.Table) -> pa.Table:
+        common, place = ranks.value
+        names = ["_rid", "doc_id", "n_shingles", "sid", "set", "b", "blob"]
+        out: list[pa.Table] = []
+        entries: list[np.ndarray] = []
+        texts, back = texts.sort_by("_rid"), back.sort_by([("low", "ascending"), ("b", "ascending")])
+        rid, low, high = texts.column("_rid").to_numpy(), back.column("low").to_numpy(), back.column("high").to_numpy()
+        start = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), len(low)]):
+            run = texts.slice(x := int(np.searchsorted(rid, low[i])), int(np.searchsorted(rid, high[i], side="right")) - x)
+            p = Piece(run.column("text"))
+            counts, bits = back.column("n").slice(i, j - i).to_pylist(), back.column("bits").slice(i, j - i).to_pylist()
+            both = [np.unpackbits(np.frombuffer(x, np.uint8), count=2 * n).reshape(2, n).astype(bool) for n, x in zip(counts, bits)]
+            shared, many = np.concatenate(both, axis=1)[:, p.place][:, p.back]
+            h, of = p.h, p.of
+            alone = np.bincount(of[~shared], minlength=len(p.n))
+            take = np.where(p.chosen, np.maximum(p.n - needed(p.n) + 1 - alone, 0), 0)
+            whole = np.flatnonzero(take)
+            sets: list[bytes | None] = [None] * len(p.n)
+            for x, a, z in zip(whole.tolist(), np.searchsorted(of, whole), np.searchsorted(of, whole, side="right")):
+                sets[x] = h[a:z].tobytes()
+            own = [*(run.column(c) for c in ("_rid", "doc_id")), pa.array(p.n, pa.int64()), pa.array([x if m else None for x, m in zip(p.ids, p.n.tolist())], pa.binary()), pa.array(sets, pa.binary())]
+            out.append(pa.table([*own, pa.nulls(len(p.n), pa.int32()), pa.nulls(len(p.n), pa.binary())], names))
+            may = shared & (take > 0)[of]
+            h, of, many = h[may], of[may], many[may]
+            v = h >> np.uint64(64 - BITS)
+            # those found once or a few times, then common ones, then the most common ones by their numbers
+            key = (h >> np.uint64(2)) | (many.astype(np.uint64) << np.uint64(62))
+            if len(common):
+                where = np.searchsorted(common, v)
+                where[where == len(common)] = 0
+                hit = common[where] == v
+                key[hit] = (np.uint64(1) << np.uint64(63)) | place[where[hit]]
+            h = h[np.lexsort((key, of))]
+            first = np.searchsorted(of, np.arange(len(p.n) + 1))
+            pick = B.ragged(first[:-1], take)
+            e = np.empty(len(pick), ENTRY)
+            e["h"], e["sid"], e["n"] = h[pick], np.repeat(p.sid, take), np.repeat(p.n, take)
+            # the shingles that no other set has come before all these
+            e["most"] = largest_partner(np.repeat(p.n, take), np.repeat(alone - first[:-1], take) + pick)
+            entries.append(e)
+        e = np.concatenate(entries)
+        b = (e["h"] % np.uint64(nb)).astype(np.int32)
+        order = np.argsort(b, kind="stable")
+        e, b = e[order], b[order]
+        cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
+        gap = [pa.nulls(len(cut), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        out.append(pa.table([*gap, pa.array(b[cut], pa.int32()), B.binary_array([x.tobytes() for x in np.split(e, cut[1:])] if len(cut) else [])], names))
+        return pa.concat_tables(out)
+
+    back = back.where("chunk is not null").select(F.col("chunk").alias("of"), "low", "high", "b", "n", "bits")
+    told = texts.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(prefixes, "_rid long, doc_id long, n_shingles long, sid binary, set binary, b int, blob binary")
+    told = materialize(told, "sets")
+    # nor do the texts, unless the caller holds them
+    del back, texts, rows
+    release(spark)
     slim = told.where("b is null").select("_rid", "doc_id", "n_shingles", "sid")
 
     def stars(group: pa.Table) -> pa.Table:
@@ -367,17 +409,10 @@ def groups(rows: DataFrame, key: str = "_rid") -> DataFrame:
     edges = told.where("b is not null").select("b", "blob").groupBy("b").applyInArrow(stars, "a binary, b binary")
     regions = connected_components(edges, "regions").withColumnRenamed("node", "sid").withColumnRenamed("component", "region")
     sizes = regions.groupBy("region").agg(F.count("*").alias("region_size"))
-    first = slim.where("sid is not null").groupBy("sid").agg(F.min("_rid").alias("_rid"))
+    sets = told.where("set is not null")
+    first = sets.groupBy("sid").agg(F.min("_rid").alias("_rid"))
     wanted = materialize(regions.join(sizes, "region").join(first, "sid"), "region-members")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, at in B.pieces(batch.column("text")):
-                h, offset = shingle_sets(data, at)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("sid", "region", "region_size")), B.binary_array([h[a:z].tobytes() for a, z in zip(offset, offset[1:])])], ["sid", "region", "region_size", "set"])
-
-    full = texts.join(wanted.hint("shuffle_hash"), "_rid").mapInArrow(sets, "sid binary, region binary, region_size long, set binary")
-    full = materialize(full, "region-sets")
+    full = materialize(sets.select("_rid", "set").join(wanted.hint("shuffle_hash"), "_rid").select("sid", "region", "region_size", "set"), "region-sets")
 
     small = _joined(full.where(f"region_size <= {REGION}"), buckets(full))
     large = full.where(f"region_size > {REGION}")

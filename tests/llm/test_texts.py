@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import re
 import zlib
 
@@ -504,6 +505,32 @@ def test_form_letters_are_not_compared(spark, monkeypatch):
     assert sent < 30 and got == components_by_force(texts, list(range(300)))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, (1 << 40) - 1), max_size=30), st.integers(0, 39))
+def test_ascending_numbers_packed(numbers, shift):
+    v = np.sort(np.array(numbers, np.uint64) >> np.uint64(shift))
+    assert jaccard.unpack_ascending(jaccard.pack_ascending(v)).tolist() == v.tolist()
+
+
+def test_shared_shingles_come_back(spark, tmp_path, monkeypatch):
+    """Chunks of four rows, long texts apart, several files read by one task: each chunk gets its own bits back, and
+    no table of a fixed size, which a larger input would fill, goes to the tasks."""
+    monkeypatch.setattr(jaccard, "CHUNK_SHIFT", 2)
+    monkeypatch.setattr(jaccard, "LONG", 600)
+    sizes = []
+    plain = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: (sizes.append(len(pickle.dumps(x))), plain(x))[1])
+    copies = family(9, 120, 3, 5) + family(7, 60, 4, 3) + ["", None, "one two"] * 2
+    texts = [t for i, c in enumerate(copies) for t in (c, *(f"x{i}y{k} " * 3 + " ".join(f"u{i}v{k}w{j}" for j in range(30 * k)) for k in range(5)))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    sent = []
+    store_table = store.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, label: (out := store_table(df, label), label == "region-sets" and sent.append(out.count()))[0])
+    rows = jaccard.component_ids(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == components_by_force(texts, list(range(len(texts))))
+    assert sum(sent) <= 17 and max(sizes) < 1 << 20
+
+
 def test_large_regions_are_cut(spark, monkeypatch):
     """Families that hang together by some shared passages only: their region is cut along cells, round by round."""
     monkeypatch.setattr(jaccard, "REGION", 12)
