@@ -265,6 +265,13 @@ class Piece:
         times = np.minimum(times, 2)
         self.sent, self.place = np.repeat(own, times), np.append(0, np.cumsum(times))[:-1]
 
+    def dealt(self, nb: int) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen rows in the order of the buckets of their sets, and those buckets."""
+        rows = np.flatnonzero(self.chosen)
+        b = (np.frombuffer(self.sid[rows].tobytes(), [("a", "<u8"), ("b", "<u4")])["a"] % np.uint64(nb)).astype(np.int32)
+        order = np.argsort(b, kind="stable")
+        return rows[order], b[order]
+
 
 def groups(rows: DataFrame, key: str = "_rid") -> DataFrame:
     """_rid (rows' column key, which each scan of rows must give alike), doc_id, n_shingles, member (the digest of the row's set) and cluster (the smallest digest it is connected with)
@@ -278,19 +285,24 @@ def groups(rows: DataFrame, key: str = "_rid") -> DataFrame:
 
     # which shingles occur in two sets: the others can link nothing. A chunk's hashes are sent to their buckets in ascending
     # order, a bit for each comes back, and the chunk's rows, read again, make the same hashes in the same order. Nothing here has a
-    # fixed size that a larger input would fill; hashes alike in BITS bits are taken for shared, which costs time only
+    # fixed size that a larger input would fill; hashes alike in BITS bits are taken for shared, which costs time only. Copies in
+    # several chunks share all shingles, so the chunk's sets are sent too: a bit tells which rows are the first of their set anywhere
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = -1
 
         def blobs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             run = pa.Table.from_batches(rows)
-            v = Piece(run.column("text")).sent
+            p = Piece(run.column("text"))
+            v, (own, of) = p.sent, p.dealt(nb)
             b = (v * np.uint64(nb) >> np.uint64(BITS)).astype(np.int32)
             # a run without shingles is told too
-            cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(v) else np.zeros(1, np.int64)
-            row = [pa.array([run.column(c)[i].as_py()] * len(cut), pa.int64()) for c, i in (("chunk", 0), ("_rid", 0), ("_rid", -1))]
-            return pa.RecordBatch.from_arrays([*row, pa.array(b[cut] if len(v) else [0], pa.int32()), B.binary_array([pack_ascending(x) for x in np.split(v, cut[1:])])], ["chunk", "low", "high", "b", "blob"])
+            told = np.union1d(b, of) if len(v) else np.zeros(1, np.int32)
+            row = [pa.array([run.column(c)[i].as_py()] * len(told), pa.int64()) for c, i in (("chunk", 0), ("_rid", 0), ("_rid", -1))]
+            sids, rids = p.sid[own], run.column("_rid").to_numpy()[own].astype("<i8")
+            lists = [[x.tobytes() for x in np.split(y, np.searchsorted(of, told[1:]))] for y in (sids, rids)]
+            blobs = [pack_ascending(x) for x in np.split(v, np.searchsorted(b, told[1:]))]
+            return pa.RecordBatch.from_arrays([*row, pa.array(told, pa.int32()), *map(B.binary_array, (blobs, *lists))], ["chunk", "low", "high", "b", "blob", "sids", "rids"])
 
         for batch in batches:
             rid, alone = batch.column("_rid").to_numpy(), batch.column("chunk").to_numpy() < 0
@@ -319,9 +331,16 @@ def groups(rows: DataFrame, key: str = "_rid") -> DataFrame:
         often = np.argsort(-times, kind="stable")[: 4 + 2 * COMMON // nb]
         often = np.sort(often[times[often] >= COMMON_TIMES])
         n = pa.array([len(x) for x in parts] + [None], pa.int64())
+        rids = [np.frombuffer(x, "<i8") for x in group.column("rids").to_pylist()]
+        rid, sid = np.concatenate(rids), np.frombuffer(b"".join(group.column("sids").to_pylist()), [("a", "<u8"), ("b", "<u4")])
+        by_set = np.lexsort((rid, sid["b"], sid["a"]))
+        lead = np.ones(len(rid), bool)
+        lead[by_set[1:]] = sid[by_set[1:]] != sid[by_set[:-1]]
+        leads = [np.packbits(x).tobytes() for x in np.split(lead, np.cumsum([len(x) for x in rids])[:-1])]
+        m = pa.array([len(x) for x in rids] + [None], pa.int64())
         row = [pa.concat_arrays([*group.column(c).chunks, pa.nulls(1, t)]) for c, t in (("chunk", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("b", pa.int32()))]
         lists = [B.binary_array([None] * len(parts) + [x.tobytes()]) for x in (v[often], times[often].astype(np.int64))]
-        return pa.table([*row, n, B.binary_array([*bits, None]), *lists], ["chunk", "low", "high", "b", "n", "bits", "common", "times"])
+        return pa.table([*row, n, B.binary_array([*bits, None]), m, B.binary_array([*leads, None]), *lists], ["chunk", "low", "high", "b", "n", "bits", "m", "leads", "common", "times"])
 
     def most_common(lists: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         v, n = np.frombuffer(b"".join(x for x, _ in lists), np.uint64), np.frombuffer(b"".join(x for _, x in lists), np.int64)
@@ -332,8 +351,8 @@ def groups(rows: DataFrame, key: str = "_rid") -> DataFrame:
         v, n = most_common([x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("common", "times")))])
         yield pa.RecordBatch.from_arrays([B.binary_array([v.tobytes()]), B.binary_array([n.tobytes()])], ["common", "times"])
 
-    back = texts.mapInArrow(sent, "chunk long, low long, high long, b int, blob binary").groupBy("b")
-    back = materialize(back.applyInArrow(marked, "chunk long, low long, high long, b int, n long, bits binary, common binary, times binary"), "shared")
+    back = texts.mapInArrow(sent, "chunk long, low long, high long, b int, blob binary, sids binary, rids binary").groupBy("b")
+    back = materialize(back.applyInArrow(marked, "chunk long, low long, high long, b int, n long, bits binary, m long, leads binary, common binary, times binary"), "shared")
     # what has been sent and come back takes no disk any more
     release(spark)
     # buckets grow with the input; what reaches the driver doesn't: their lists are joined by JOINERS tasks
@@ -346,7 +365,7 @@ def groups(rows: DataFrame, key: str = "_rid") -> DataFrame:
 
     def prefixes(texts: pa.Table, back: pa.Table) -> pa.Table:
         common, place = ranks.value
-        names = ["_rid", "doc_id", "n_shingles", "sid", "set", "b", "blob"]
+        names = ["_rid", "doc_id", "n_shingles", "sid", "b", "blob"]
         out: list[pa.Table] = []
         entries: list[np.ndarray] = []
         texts, back = texts.sort_by("_rid"), back.sort_by([("low", "ascending"), ("b", "ascending")])
@@ -355,17 +374,15 @@ def groups(rows: DataFrame, key: str = "_rid") -> DataFrame:
         for i, j in zip(start.tolist(), [*start[1:].tolist(), len(low)]):
             run = texts.slice(x := int(np.searchsorted(rid, low[i])), int(np.searchsorted(rid, high[i], side="right")) - x)
             p = Piece(run.column("text"))
-            counts, bits = back.column("n").slice(i, j - i).to_pylist(), back.column("bits").slice(i, j - i).to_pylist()
+            counts, bits, sizes, leads = (back.column(c).slice(i, j - i).to_pylist() for c in ("n", "bits", "m", "leads"))
             both = [np.unpackbits(np.frombuffer(x, np.uint8), count=2 * n).reshape(2, n).astype(bool) for n, x in zip(counts, bits)]
+            lead = np.zeros(len(p.n), bool)
+            lead[p.dealt(nb)[0]] = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=m) for m, x in zip(sizes, leads)])
             shared, many = np.concatenate(both, axis=1)[:, p.place][:, p.back]
             h, of = p.h, p.of
             alone = np.bincount(of[~shared], minlength=len(p.n))
-            take = np.where(p.chosen, np.maximum(p.n - needed(p.n) + 1 - alone, 0), 0)
-            whole = np.flatnonzero(take)
-            sets: list[bytes | None] = [None] * len(p.n)
-            for x, a, z in zip(whole.tolist(), np.searchsorted(of, whole), np.searchsorted(of, whole, side="right")):
-                sets[x] = h[a:z].tobytes()
-            own = [*(run.column(c) for c in ("_rid", "doc_id")), pa.array(p.n, pa.int64()), pa.array([x if m else None for x, m in zip(p.ids, p.n.tolist())], pa.binary()), pa.array(sets, pa.binary())]
+            take = np.where(lead, np.maximum(p.n - needed(p.n) + 1 - alone, 0), 0)
+            own = [*(run.column(c) for c in ("_rid", "doc_id")), pa.array(p.n, pa.int64()), pa.array([x if m else None for x, m in zip(p.ids, p.n.tolist())], pa.binary())]
             out.append(pa.table([*own, pa.nulls(len(p.n), pa.int32()), pa.nulls(len(p.n), pa.binary())], names))
             may = shared & (take > 0)[of]
             h, of, many = h[may], of[may], many[may]
@@ -390,29 +407,43 @@ def groups(rows: DataFrame, key: str = "_rid") -> DataFrame:
         order = np.argsort(b, kind="stable")
         e, b = e[order], b[order]
         cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
-        gap = [pa.nulls(len(cut), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        gap = [pa.nulls(len(cut), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
         out.append(pa.table([*gap, pa.array(b[cut], pa.int32()), B.binary_array([x.tobytes() for x in np.split(e, cut[1:])] if len(cut) else [])], names))
         return pa.concat_tables(out)
 
-    back = back.where("chunk is not null").select(F.col("chunk").alias("of"), "low", "high", "b", "n", "bits")
-    told = texts.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(prefixes, "_rid long, doc_id long, n_shingles long, sid binary, set binary, b int, blob binary")
-    told = materialize(told, "sets")
-    # nor do the texts, unless the caller holds them
-    del back, texts, rows
+    back = back.where("chunk is not null").select(F.col("chunk").alias("of"), "low", "high", "b", "n", "bits", "m", "leads")
+    told = texts.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(prefixes, "_rid long, doc_id long, n_shingles long, sid binary, b int, blob binary")
+    told = materialize(told, "entries")
+    del back
     release(spark)
-    slim = told.where("b is null").select("_rid", "doc_id", "n_shingles", "sid")
 
     def stars(group: pa.Table) -> pa.Table:
         a, b = ties(np.frombuffer(b"".join(group.column("blob").to_pylist()), ENTRY))
         return pa.table([B.binary_array(a), B.binary_array(b)], ["a", "b"])
 
     edges = told.where("b is not null").select("b", "blob").groupBy("b").applyInArrow(stars, "a binary, b binary")
-    regions = connected_components(edges, "regions").withColumnRenamed("node", "sid").withColumnRenamed("component", "region")
+    regions = connected_components(edges, "regions").select(F.col("node").alias("sid"), F.col("component").alias("region"))
+    slim = materialize(told.where("b is null").select("_rid", "doc_id", "n_shingles", "sid"), "members")
+    # entries are as many as shingles that chance shares, more a document in a larger input; only who is in a region matters from here on
+    del told, edges
+    release(spark)
     sizes = regions.groupBy("region").agg(F.count("*").alias("region_size"))
-    sets = told.where("set is not null")
-    first = sets.groupBy("sid").agg(F.min("_rid").alias("_rid"))
-    wanted = materialize(regions.join(sizes, "region").join(first, "sid"), "region-members")
-    full = materialize(sets.select("_rid", "set").join(wanted.hint("shuffle_hash"), "_rid").select("sid", "region", "region_size", "set"), "region-sets")
+    first = slim.where("sid is not null").groupBy("sid").agg(F.min("_rid").alias("_rid"))
+    wanted = materialize(regions.join(sizes, "region").join(first, "sid").select("_rid", "sid", "region", "region_size"), "region-members")
+
+    # a set takes more room than its text, so it is made again, for one text of each set of a region
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in B.pieces(batch.column("text")):
+                h, offset = shingle_sets(data, at)
+                sets = B.binary_array([h[a:z].tobytes() for a, z in zip(offset[:-1], offset[1:])])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("sid", "region", "region_size")), sets], ["sid", "region", "region_size", "set"])
+
+    full = texts.select("_rid", "text").join(wanted.hint("shuffle_hash"), "_rid").select("sid", "region", "region_size", "text")
+    full = materialize(full.mapInArrow(made, "sid binary, region binary, region_size long, set binary"), "region-sets")
+    # nor are the texts needed any more, unless the caller holds them
+    del texts, rows, wanted, first, sizes, regions
+    release(spark)
 
     small = _joined(full.where(f"region_size <= {REGION}"), buckets(full))
     large = full.where(f"region_size > {REGION}")

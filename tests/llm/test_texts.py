@@ -564,6 +564,28 @@ def test_ties_connect_all_partners(rows):
                 assert links.find(bytes(x["sid"])[0]) == links.find(bytes(y["sid"])[0])
 
 
+def test_jaccard_copies_take_no_room(spark, monkeypatch):
+    """Copies in other chunks share all shingles; they add no entries, no sets, and change no component."""
+    monkeypatch.setattr(jaccard, "CHUNK_SHIFT", 2)
+    rng = np.random.default_rng(8)
+    once = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 120)) for _ in range(12)]
+    once.append(once[3] + " one more")
+    plain, room = jaccard.materialize, {}
+
+    def measured(df, label):
+        out = plain(df, label)
+        for c in {"set", "blob"} & set(out.columns) if label in ("sets", "entries", "region-sets") else ():
+            room[n] = room.get(n, 0) + (out.agg(F.sum(F.length(c))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", measured)
+    for n in (2, 10):
+        texts = once * n
+        rows = jaccard.component_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+        assert {r.doc_id: r.component_id for r in rows} == {i: 3 if i % 13 == 12 else i % 13 for i in range(len(texts))}
+    assert 0 < room[10] <= room[2]
+
+
 def test_jaccard_odd(odd, none):
     rows = jaccard.component_ids(odd).collect()
     by = collections.defaultdict(list)
