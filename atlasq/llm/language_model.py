@@ -103,8 +103,15 @@ def _ascend(x: np.ndarray, seen: np.ndarray, at: np.ndarray, g: np.ndarray) -> N
         return
     at = at[:n]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    g = np.add.reduceat(g.take(order[:n], axis=0), first, axis=0)
+    rows, size = order[:n], np.diff(np.append(first, n))
     at = at[first]
+    # most rows have one gradient; only those with several are summed
+    several = np.flatnonzero(size > 1)
+    own = g.take(rows[first], axis=0)
+    if len(several):
+        size = size[several]
+        own[several] = np.add.reduceat(g.take(rows[B.ragged(first[several], size)], axis=0), np.cumsum(size) - size, axis=0)
+    g = own
     sum_of_squares = seen.take(at, axis=0)
     sum_of_squares += g * g
     seen[at] = sum_of_squares
@@ -125,8 +132,9 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def _sums(at: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
     """The rows of g added up by their places."""
-    columns = np.ascontiguousarray(g.T)
-    return np.stack([np.bincount(at, weights=c, minlength=rows) for c in columns], axis=1).astype(np.float32)
+    width = g.shape[1]
+    place = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(place, weights=g.ravel(), minlength=rows * width).reshape(rows, width).astype(np.float32)
 
 
 class Model:
@@ -168,10 +176,11 @@ class Model:
     def log_in_class(self, unit: np.ndarray, r: np.ndarray, word: np.ndarray, classes: Classes) -> np.ndarray:
         """For tokens of classes the natural logarithm of their words' probabilities in the class over counts plus one; 0 for others."""
         out = np.zeros(len(unit))
-        order = np.argsort(unit, kind="stable")
-        order = order[unit[order] >= OWN]
-        for k in np.unique(unit[order]) - OWN:
-            a, b = np.searchsorted(unit[order], [k + OWN, k + OWN + 1])
+        # two bytes hold a unit; numpy sorts those by digits
+        order = np.argsort(unit.astype(np.uint16), kind="stable")
+        edge = np.searchsorted(unit[order], np.arange(OWN, UNITS + 1))
+        for k in np.flatnonzero(np.diff(edge)):
+            a, b = edge[k], edge[k + 1]
             low, high = classes.edges[k], classes.edges[k + 1]
             # scores of a step stay in a core's cache
             step = max(64, (1 << 16) // max(1, high - low))

@@ -564,6 +564,45 @@ def test_ties_connect_all_partners(rows):
                 assert links.find(bytes(x["sid"])[0]) == links.find(bytes(y["sid"])[0])
 
 
+def test_scores_in_classes_sort_once(monkeypatch):
+    """Probabilities in classes equal the plain sums; tokens are put in order once, not for each class."""
+    m, n = language_model, 400
+    rng = np.random.default_rng(4)
+    dealt = np.arange(n) * m.CLASSES // n
+    weight = rng.integers(1, 50, n) + 1.0
+    classes = m.Classes(np.searchsorted(dealt, np.arange(m.CLASSES + 1)), weight, np.bincount(dealt, weights=weight, minlength=m.CLASSES) + 3)
+    model = m.Model.start(np.full(m.UNITS, 1 / m.UNITS), n)
+    word = rng.integers(0, n + 1, 900)
+    unit = np.where(word < n, m.OWN + dealt[np.minimum(word, n - 1)], rng.integers(0, m.UNITS, 900))
+    r = rng.normal(0, 1, (900, m.WIDTH)).astype(np.float32)
+    want = np.zeros(900)
+    for t in np.flatnonzero(unit >= m.OWN):
+        k = unit[t] - m.OWN
+        w = slice(classes.edges[k], classes.edges[k + 1])
+        want[t] = r[t] @ model.inner[word[t]] - np.log(np.exp(model.inner[w] @ r[t]) @ weight[w] + classes.rest[k])
+    plain, asked = np.searchsorted, []
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **b: asked.append(1) or plain(*a, **b))
+    got = model.log_in_class(unit, r, word, classes)
+    monkeypatch.undo()
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
+    assert len(asked) == 1
+
+
+def test_sums_of_gradients():
+    """Rows with one gradient, several and none; the last row of the table stays."""
+    rng = np.random.default_rng(5)
+    at = np.array([3, 1, 3, 7, 0, 3, 7, 5])
+    g = rng.normal(0, 1, (8, 16)).astype(np.float32)
+    plain = np.zeros((8, 16), np.float32)
+    np.add.at(plain, at, g)
+    assert np.allclose(language_model._sums(at, g, 8), plain, atol=1e-6)
+    x, seen = np.zeros((8, 16), np.float32), np.ones((8, 16), np.float32)
+    language_model._ascend(x, seen, at, g)
+    plain[7] = 0
+    assert np.allclose(seen, 1 + plain**2, atol=1e-5)
+    assert np.allclose(x, language_model.RATE * plain / np.sqrt(1 + plain**2), atol=1e-6)
+
+
 def test_jaccard_copies_take_no_room(spark, monkeypatch):
     """Copies in other chunks share all shingles; they add no entries, no sets, and change no component."""
     monkeypatch.setattr(jaccard, "CHUNK_SHIFT", 2)
