@@ -100,7 +100,14 @@ def _batch(kind: str, together, alone):
 
 
 _wkt = _read(C.from_wkt)
-from_wkt = _scalar("binary", lambda t: C.plain_wkt(t) or _wkt(t))
+
+
+@F.arrow_udf(T.BinaryType())
+def from_wkt(text: pa.Array) -> pa.Array:
+    """WKB of texts, whole batches of usual spellings at once; null for what can't be read."""
+    return B.from_wkt(text, lambda t: C.plain_wkt(t) or _wkt(t))
+
+
 from_geojson = _scalar("binary", _read(C.from_geojson))
 from_twkb = _scalar("binary", _read(C.from_twkb))
 _wkt_of, _json_of = _wkb(C.to_wkt), _wkb(C.to_geojson)

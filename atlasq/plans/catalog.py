@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where its files give fewer: small files may hold rows that take long."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def customers(spark: SparkSession, sf: str) -> DataFrame:
     """Points from c_custkey."""
     df = table(spark, sf, "customer").withColumns({"id": F.col("c_custkey"), "x": F.expr("cast((c_custkey * 37) % 360 - 180 as double)"), "y": F.expr("cast((c_custkey * 17) % 170 - 85 as double)")})
@@ -486,7 +492,7 @@ def _square(x: str, y: str, side: int, outer: bool = True) -> F.Column:
 @query("""SELECT o_orderkey, p > 0 AND p < 7 AND q > 0 AND q < 7 AS valid FROM (SELECT o_orderkey, o_orderkey % 17 - 5 AS p, o_custkey % 16 - 5 AS q FROM orders)""")
 def holes_in_rings(spark, sf):
     """A square with a square hole that lies inside, outside, across, or shares a piece of its border, as the keys have it."""
-    df = table(spark, sf, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 17 - 5 as int) as p", "cast(o_custkey % 16 - 5 as int) as q")
+    df = spread(table(spark, sf, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 17 - 5 as int) as p", "cast(o_custkey % 16 - 5 as int) as q"))
     text = F.concat(F.lit("POLYGON("), _square("0", "0", 10), F.lit(","), _square("p", "q", 3, False), F.lit(")"))
     return df.select("o_orderkey", geometry.is_valid(geometry.from_wkt(text)).alias("valid"))
 

@@ -121,6 +121,74 @@ def test_batches_equal_rows():
                 assert got == pytest.approx(want), (texts[i], got, want)
 
 
+def _squares(rng, polygons: int, holes: int) -> list[list[np.ndarray]]:
+    """Rings on a small grid, so that many touch, cross, share a piece or lie in each other; the first of each polygon is clockwise."""
+    out = []
+    for _ in range(polygons):
+        rings = []
+        for k in range(1 + holes):
+            (x, y), side = rng.integers(0, 9, 2), int(rng.integers(1, 12 if k == 0 else 4))
+            turned = np.array([(x - side, y), (x, y + side), (x + side, y), (x, y - side), (x - side, y)], float)
+            ring = turned if rng.random() < 0.4 else np.array([(x, y), (x, y + side), (x + side, y + side), (x + side, y), (x, y)], float)
+            rings.append(ring if k == 0 else ring[::-1])
+        out.append(rings)
+    return out
+
+
+def test_holes_of_whole_batches(monkeypatch):
+    """Polygons with holes are tested together: no Arrangement is made but where rings touch without another fault."""
+    import pyarrow as pa
+
+    from atlasq.functions import batches as B
+
+    rng = np.random.default_rng(1)
+    shapes = [C.Geometry("Polygon", _squares(rng, 1, int(rng.integers(0, 4)))[0]) for _ in range(800)]
+    wide = np.linspace(0, 2 * math.pi, 150)[::-1]
+    ring = np.stack([50 * np.cos(wide), 50 * np.sin(wide)], 1)
+    ring[-1] = ring[0]
+    shapes += [C.Geometry("Polygon", [ring, *_squares(rng, 1, 1)[0][1:]]), C.Geometry("Polygon", [_squares(rng, 1, 0)[0][0], np.zeros((0, 2))])]
+    b = B.Batch(pa.array([C.to_wkb(g) for g in shapes], pa.binary()))
+    want = [S.invalid_reason(g) for g in shapes]
+    assert len(set(want)) > 6 and B.invalid_reason(b) == want
+    hole = lambda p, q: [[(0, 0), (0, 10), (10, 10), (10, 0), (0, 0)], [(p, q), (p + 3, q), (p + 3, q + 3), (p, q + 3), (p, q)]]
+    shapes = [C.Geometry("Polygon", [C.points(r) for r in hole(p, q)]) for p in range(-5, 12) for q in range(-5, 11)]
+    want = [S.invalid_reason(g) for g in shapes]
+
+    def none(*_):
+        raise AssertionError("a row by itself")
+
+    monkeypatch.setattr(S, "invalid_reason", none)
+    touching = {(p, q) for p in (-3, 10) for q in (-3, 10)}
+    keep = [i for i, (p, q) in enumerate((p, q) for p in range(-5, 12) for q in range(-5, 11)) if (p, q) not in touching]
+    b = B.Batch(pa.array([C.to_wkb(shapes[i]) for i in keep], pa.binary()))
+    assert B.invalid_reason(b) == [want[i] for i in keep]
+
+
+def test_texts_of_whole_batches():
+    """Usual spellings are read together, others by themselves, with the same bytes."""
+    import pyarrow as pa
+
+    from atlasq.functions import batches as B
+
+    rng = np.random.default_rng(2)
+    run = lambda: "(" + ",".join(f"{x:.3g} {y}" for x, y in rng.normal(0, 100, (rng.integers(1, 6), 2))) + ")"
+    many = lambda f: "(" + ", ".join(f() for _ in range(rng.integers(1, 4))) + ")"
+    texts = [t for _ in range(60) for t in (f"POINT({rng.integers(9)} -3)", "LINESTRING " + run(), "POLYGON" + many(run), "MULTIPOLYGON" + many(lambda: many(run)))]
+    alone: list[str] = []
+
+    def row(text: str) -> bytes | None:
+        alone.append(text)
+        g = B.readable(C.from_wkt, text)
+        return None if g is None else C.to_wkb(g)
+
+    assert B.from_wkt(pa.array(texts), row).to_pylist() == [C.to_wkb(C.from_wkt(t)) for t in texts] and not alone
+    odd = ["", "POINT(1 2", "POINT(1 2 3)", "POINT(1 2,3 4)", "POLYGON((0 0,1 1)", "POLYGON((0 0),)", "POLYGON(0 0,1 1)", "LINESTRING(1 2,3)", "LINESTRING(1e400 +3)", "LINESTRING(1-2 3)", "MULTIPOLYGON(((1 2)),(1 2))", "POINT EMPTY", "point(1 2)", "LINESTRING(.5 7.)", "LINESTRING(1  2)", "POINT(1 2)(3 4)"]
+    mixed = [v for pair in zip(odd, texts) for v in (*pair, None)]
+    told = B.from_wkt(pa.array(["cut off", *mixed]).slice(1), row).to_pylist()
+    assert told == [None if t is None else row(t) for t in mixed]
+    assert B.from_wkt(pa.array([], pa.string()), row).to_pylist() == []
+
+
 def test_inner_points():
     """A long tongue draws the farthest point off, the centroid holds the other one back."""
     key = C.from_wkt("POLYGON((0 0,0 6,6 6,6 4,20 4,20 2,6 2,6 0,0 0))")
