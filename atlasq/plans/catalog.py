@@ -501,7 +501,7 @@ def holes_in_rings(spark, sf):
     WHEN abs(p - 4) < 4 AND abs(q - 4) < 4 THEN 'two parts overlap' END AS reason FROM (SELECT o_orderkey, o_orderkey % 11 AS p, o_custkey % 13 AS q FROM orders)""")
 def parts_of_areas(spark, sf):
     """Two squares of a multipolygon: apart, touching in a corner (valid), sharing a piece of their borders or overlapping."""
-    df = table(spark, sf, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 11 as int) as p", "cast(o_custkey % 13 as int) as q")
+    df = spread(table(spark, sf, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 11 as int) as p", "cast(o_custkey % 13 as int) as q"))
     text = F.concat(F.lit("MULTIPOLYGON(("), _square("4", "4", 4), F.lit("),("), _square("p", "q", 4), F.lit("))"))
     return df.select("o_orderkey", geometry.invalid_reason(geometry.from_wkt(text)).alias("reason"))
 

@@ -189,6 +189,31 @@ def test_texts_of_whole_batches():
     assert B.from_wkt(pa.array([], pa.string()), row).to_pylist() == []
 
 
+def test_parts_of_whole_batches(monkeypatch):
+    """Multipolygons are decoded and tested together, whatever their parts and holes."""
+    import pyarrow as pa
+
+    from atlasq.functions import batches as B
+
+    rng = np.random.default_rng(3)
+    shapes = [C.Geometry("MultiPolygon", [p for _ in range(rng.integers(0, 4)) for p in _squares(rng, 1, int(rng.integers(0, 2)))]) for _ in range(800)]
+    shapes += [C.Geometry("MultiPolygon", [[], _squares(rng, 1, 0)[0]])]
+    raws = [C.to_wkb(g) for g in shapes]
+    b = B.Batch(pa.array([*raws, raws[5][:-3], C.to_wkb(shapes[5], ">"), None], pa.binary()))
+    assert (b.kind[: len(shapes)] == 6).all() and not b.kind[len(shapes) :].any() and b.rest.tolist() == [len(shapes), len(shapes) + 1]
+    want = [S.invalid_reason(g) for g in shapes]
+    assert len(set(want)) > 5 and B.invalid_reason(b)[: len(shapes)] == want
+    for told, alone in ((B.area(b), S.area), (B.path_length(b), S.path_length), (B.is_simple(b), S.is_simple), (B.envelope(b), S.envelope), (B.centroid(b), S.centroid)):
+        for i, g in enumerate(shapes):
+            got, own = tuple(told[n][i] for n in told) if isinstance(told, dict) else told[i], alone(g)
+            assert math.isnan(got[0]) if own is None else got == pytest.approx(own), C.to_wkt(g)
+    pair = lambda p, q: C.Geometry("MultiPolygon", [[C.points([(x, y), (x, y + 4), (x + 4, y + 4), (x + 4, y), (x, y)])] for x, y in ((4, 4), (p, q))])
+    shapes = [pair(p, q) for p in range(11) for q in range(13)]
+    want = [S.invalid_reason(g) for g in shapes]
+    monkeypatch.setattr(S, "invalid_reason", None)
+    assert B.invalid_reason(B.Batch(pa.array([C.to_wkb(g) for g in shapes], pa.binary()))) == want
+
+
 def test_inner_points():
     """A long tongue draws the farthest point off, the centroid holds the other one back."""
     key = C.from_wkt("POLYGON((0 0,0 6,6 6,6 4,20 4,20 2,6 2,6 0,0 0))")
