@@ -319,6 +319,91 @@ def _read_together(raw: np.ndarray, start: np.ndarray, size: np.ndarray, kind: n
     return wkb(kind, row[path], fresh & ~first[path], count, xy)
 
 
+def outline(b: Batch, width: np.ndarray, join: list, cap: list, limit: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The rows whose strokes are worked out together, and these: open lines with mitred or bevelled joins and butt or square caps."""
+    told = np.array([j in ("miter", "miter-revert", "bevel") and c in ("butt", "square") for j, c in zip(join, cap)], bool)
+    finite = np.bincount(b.point_row, weights=~np.isfinite(b.xy).all(1), minlength=b.n) == 0
+    fits = (b.kind == 2) & told & finite & (width > 0) & np.isfinite(width) & np.isfinite(limit)
+    path = np.flatnonzero(fits[b.path_row] & (b.count > 0))
+    count, row = b.count[path], b.path_row[path]
+    xy, of = b.xy[ragged(b.path_at[path], count)], np.repeat(np.arange(len(path)), count)
+    moves = np.append(True, (of[1:] != of[:-1]) | (np.diff(xy, axis=0) != 0).any(1)) if len(xy) else np.zeros(0, bool)
+    xy, of = xy[moves], of[moves]
+    count = np.bincount(of, minlength=len(path))
+    long = count > 1
+    xy, row, count = xy[long[of]], row[long], count[long]
+    if not len(row):
+        return row, pa.array([], pa.binary())
+    # each path there and back: two sides, each at the left of its way
+    at = np.cumsum(count) - count
+    twice = np.repeat(count, 2)
+    begin, step = np.stack([at, at + count - 1], 1).ravel(), np.tile([1, -1], len(row))
+    line = np.repeat(np.arange(len(row)), 2 * count)
+    side = np.cumsum(twice) - twice
+    within = np.arange(int(twice.sum())) - np.repeat(side, twice)
+    p = xy[np.repeat(begin, twice) + within * np.repeat(step, twice)]
+    first, last = within == 0, within == np.repeat(twice, twice) - 1
+    by, far_limit = (width[row] / 2)[line], limit[row][line]
+    d = np.zeros_like(p)
+    d[:-1] = np.diff(p, axis=0)
+    d[last] = 0
+    size = np.hypot(d[:, 0], d[:, 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # at a point, the segments before and after it; at the end of a side the one before counts as both
+        u = d / size[:, None]
+        u[last] = u[np.flatnonzero(last) - 1]
+        size[last] = size[np.flatnonzero(last) - 1]
+        v = np.roll(u, 1, axis=0)
+        v[first] = u[first]
+        size_before = np.roll(size, 1)
+        normal = np.stack([-u[:, 1], u[:, 0]], 1) * by[:, None]
+        normal_before = np.stack([-v[:, 1], v[:, 0]], 1) * by[:, None]
+        cross, dot = v[:, 0] * u[:, 1] - v[:, 1] * u[:, 0], (v * u).sum(1)
+        meet = p + (normal_before + normal) / np.maximum(1 + dot, 1e-12)[:, None]
+        reach = by * cross / np.maximum(1 + dot, 1e-12)
+        away = meet - p
+        far = np.hypot(away[:, 0], away[:, 1])
+        axis = away / far[:, None]
+        edge = far_limit * by
+
+        def toward(q: np.ndarray) -> np.ndarray:
+            on = ((q - p) * axis).sum(1)
+            return q + (meet - q) * np.clip((edge - on) / np.maximum(far - on, 1e-12), 0.0, 1.0)[:, None]
+
+        bevelled = np.array([j == "bevel" for j in join], bool)[row][line]
+        squared = np.array([c == "square" for c in cap], bool)[row][line]
+        ahead, behind = p + normal, p + normal_before
+        straight = (cross == 0) & (dot > 0)
+        inner = ~straight & (cross > 0)
+        close = inner & (reach <= np.minimum(size_before, size))
+        bevel = ~straight & ~inner & (bevelled | (dot <= -1 + 1e-12))
+        mitre = ~straight & ~inner & ~bevel & (far <= edge)
+        cut = ~straight & ~inner & ~bevel & ~mitre
+        cases = [last, first | straight, close | mitre, inner, bevel, cut]
+        # up to three points of the outline for each point of a side
+        rim = np.zeros((len(p), 3, 2))
+        pick = lambda *of: np.select([c[:, None] for c in cases], of, 0.0)
+        tip = p + normal + u * by[:, None]
+        tail = p - normal + u * by[:, None]
+        rim[:, 0] = pick(ahead, ahead, meet, behind, behind, toward(behind))
+        rim[:, 1] = pick(tip, 0.0, 0.0, p, ahead, toward(ahead))
+        rim[:, 2] = pick(tail, 0.0, 0.0, ahead, 0.0, 0.0)
+    used = np.select(cases, [np.where(squared, 3, 1), 1, 1, 3, 2, 2])
+    ring = np.bincount(line, weights=used, minlength=len(row)).astype(np.int64)
+    rim = rim[np.arange(3) < used[:, None]]
+    # closed, and clockwise
+    begin = np.cumsum(ring) - ring
+    after = np.arange(1, len(rim) + 1)
+    after[begin + ring - 1] = begin
+    o = rim - np.repeat(rim[begin], ring, axis=0)
+    area = np.bincount(np.repeat(np.arange(len(row)), ring), weights=o[:, 0] * o[after, 1] - o[after, 0] * o[:, 1], minlength=len(row))
+    place = np.arange(int(ring.sum()) + len(row)) - np.repeat(np.cumsum(ring + 1) - ring - 1, ring + 1)
+    full = np.repeat(ring, ring + 1)
+    place = np.where(np.repeat(area > 0, ring + 1), full - place, place) % full
+    rim = rim[np.repeat(begin, ring + 1) + place]
+    return row, wkb(np.full(len(row), 6), np.arange(len(row)), np.ones(len(row), bool), ring + 1, rim)
+
+
 def readable(f: Callable, x: object) -> object:
     """f(x), or nothing where x can't be read."""
     try:

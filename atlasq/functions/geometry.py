@@ -133,7 +133,7 @@ correct = _scalar("binary", _wkb(lambda g: C.to_wkb(S.corrected(g))))
 simplify = _scalar("binary", _wkb(lambda g, how, tol: C.to_wkb(S.simplified(g, how, tol))))
 smooth = _scalar("binary", _wkb(lambda g, amount: C.to_wkb(g.mapped(lambda a: S.smoothed(a, amount)))))
 offset = _scalar("binary", _wkb(lambda g, by: C.to_wkb(g.mapped(lambda a: S.offset_line(a, by)))))
-outline = _scalar("binary", _wkb(lambda g, width, join, cap, limit: C.to_wkb(S.outline(g, width, join, cap, limit))))
+_outline = _wkb(lambda g, width, join, cap, limit: C.to_wkb(S.outline(g, width, join, cap, limit)))
 extend = _scalar("binary", _wkb(lambda g, by: C.to_wkb(g.mapped(lambda a: S.extended(a, by)))))
 clip = _scalar("binary", _wkb(lambda g, x0, y0, x1, y1: C.to_wkb(S.clipped(g, (x0, y0, x1, y1)))))
 
@@ -155,6 +155,20 @@ def affine(geom: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e
     return pa.array([None if bad[i] else more.get(i) if i in more else v for i, v in enumerate(out.to_pylist())], pa.binary())
 
 
+@F.arrow_udf(T.BinaryType())
+def outline(geom: pa.Array, width: pa.Array, join: pa.Array, cap: pa.Array, limit: pa.Array) -> pa.Array:
+    """The strokes of a geometry's lines and rings as polygons, open lines of a batch at once; null where anything is."""
+    batch = B.Batch(geom)
+    joins, caps = join.to_pylist(), cap.to_pylist()
+    w, most = (np.asarray(v.cast(pa.float64()).fill_null(np.nan)) for v in (width, limit))
+    rows, told = B.outline(batch, w, joins, caps, most)
+    left = np.asarray(geom.is_valid())
+    left[rows] = False
+    given = [np.asarray(v.is_valid()) for v in (width, join, cap, limit)]
+    more = {i: _outline(geom[i].as_py(), float(w[i]), joins[i], caps[i], float(most[i])) for i in np.flatnonzero(left & np.all(given, axis=0)).tolist()}
+    return B.merged(batch.n, rows, told, more)
+
+
 hit = _scalar("boolean", _wkb(S.hit))
 point_at_length = _scalar("x double, y double, angle double", _wkb(lambda g, d: S.at_length(g.arrays[0], d)))
 grid_points = _scalar("binary", _wkb(lambda g, dx, dy, alternating: C.to_wkb(C.Geometry("MultiPoint", S.grid_points(g, dx, dy, alternating)))))

@@ -516,7 +516,12 @@ def crossing_lines(spark, sf):
 
 def bent_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that go a right and then b up."""
-    df = customers(spark, sf).withColumns({"a": F.expr("c_custkey % 9 + 1"), "b": F.expr("c_custkey % 6 + 1")})
+    return bent(customers(spark, sf))
+
+
+def bent(df: DataFrame) -> DataFrame:
+    """The lines of customers."""
+    df = df.withColumns({"a": F.expr("c_custkey % 9 + 1"), "b": F.expr("c_custkey % 6 + 1")})
     return df.withColumn("geom", geometry.from_wkt(_wkt("LINESTRING", ("x", "y"), ("x + a", "y"), ("x + a", "y + b"))))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, paths
 from ..operators import labels
 from . import formats
-from .catalog import _BENT, _C, bent_lines, customers, query
+from .catalog import _BENT, _C, bent, bent_lines, customers, query, spread
 
 #: Where a distance along a line that goes a right and then b up ends: columns px, py for a distance column d.
 _ON = "x + least({d}, a) AS {n}x, y + greatest({d} - a, 0) AS {n}y"
@@ -45,11 +45,11 @@ def line_dashes(spark, sf):
 @query(f"SELECT id, round(0.5e0 * (a + b), 6) AS mitred, round(0.5e0 * (a + b) - 0.03125e0, 6) AS bevelled, round(0.5e0 * (a + b + 0.5e0), 6) AS squared, x - 0.25e0 AS minx, x + a + 0.25e0 AS maxx, y + b + 0.25e0 AS maxy FROM {_BENT}")
 def line_strokes(spark, sf):
     """Outlines of lines half a unit wide: areas by join and cap, and how far square ends reach."""
-    df = bent_lines(spark, sf)
     drawn = lambda join, cap: geometry.outline("geom", F.lit(0.5), F.lit(join), F.lit(cap), F.lit(4.0))
-    area = lambda join, cap: F.round(geometry.area(drawn(join, cap)), 6)
-    e = geometry.envelope(drawn("miter", "square"))
-    return df.select("id", area("miter", "butt").alias("mitred"), area("bevel", "butt").alias("bevelled"), area("miter", "square").alias("squared"), e["minx"].alias("minx"), e["maxx"].alias("maxx"), e["maxy"].alias("maxy"))
+    df = bent(spread(customers(spark, sf))).select("id", drawn("miter", "butt").alias("mitred"), drawn("bevel", "butt").alias("bevelled"), drawn("miter", "square").alias("squared"))
+    area = lambda c: F.round(geometry.area(c), 6).alias(c)
+    e = geometry.envelope("squared")
+    return df.select("id", area("mitred"), area("bevelled"), area("squared"), e["minx"].alias("minx"), e["maxx"].alias("maxx"), e["maxy"].alias("maxy"))
 
 
 @query(f"""SELECT id, k AS place, round((x0 + x1) / 2, 9) AS lx, round((y0 + y1) / 2, 9) AS ly, round(atan2(y1 - y0, x1 - x0), 9) AS angle FROM (

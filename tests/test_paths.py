@@ -156,3 +156,34 @@ def test_maps_of_whole_batches(spark):
     zone = df.where("i = 2").select(G.reproject(projection.LONLAT, "epsg:32631")("g").alias("w")).first().w
     assert C.from_wkb(bytes(zone)).parts[0].tolist() == pytest.approx(projection.project_point(0, 0, projection.LONLAT, "epsg:32631"))
     assert df.select(G.affine("g", F.lit(None).cast("double"), *number[1:]).alias("a")).where("a is not null").count() == 0
+
+
+def test_outlines_of_whole_batches():
+    """Strokes of open lines are worked out together; round ones, rings and dots go by themselves."""
+    import pyarrow as pa
+
+    from atlasq.functions import batches as B
+
+    rng = np.random.default_rng(4)
+    lines, drawn = [], []
+    for k in range(1500):
+        a = rng.integers(0, 4, (rng.integers(1, 8), 2)).astype(float) if k % 2 else rng.random((rng.integers(2, 8), 2))
+        lines.append(np.concatenate([a, a[:1]]) if k % 10 == 0 else a)
+        drawn.append((float(rng.choice([0.2, 1.0, 3.0])), str(rng.choice(["miter", "bevel", "miter-revert"])), str(rng.choice(["butt", "square"])), float(rng.choice([1.0, 2.0, 8.0]))))
+    b = B.Batch(pa.array([C.to_wkb(C.Geometry("LineString", a)) for a in lines], pa.binary()))
+    width, join, cap, limit = (list(v) for v in zip(*drawn))
+    rows, told = B.outline(b, np.array(width), join, cap, np.array(limit))
+    assert rows.tolist() == [i for i, a in enumerate(lines) if len(np.unique(a, axis=0)) > 1]
+    for i, raw in zip(rows.tolist(), told.to_pylist()):
+        got, want = C.from_wkb(raw).arrays, S.outline(C.Geometry("LineString", lines[i]), *drawn[i]).arrays
+        assert [x.shape for x in got] == [x.shape for x in want] and np.allclose(np.concatenate(got), np.concatenate(want), atol=1e-9), (lines[i], drawn[i])
+    assert not len(B.outline(b, np.array(width), ["round"] * len(lines), cap, np.array(limit))[0])
+
+
+def test_outline_column(spark):
+    rows = [("LINESTRING(0 0,4 0,4 3)", 1.0, "miter"), ("LINESTRING(0 0,4 0,4 3)", 1.0, "round"), ("POLYGON((0 0,0 9,9 9,9 0,0 0))", 1.0, "bevel"), ("MULTILINESTRING((0 0,1 0),(5 5,6 6))", 1.0, "miter"), ("LINESTRING(1 1,1 1)", 1.0, "miter"), (None, 1.0, "miter"), ("LINESTRING(0 0,1 0)", None, "miter")]
+    df = spark.createDataFrame(rows, "t string, w double, j string").coalesce(1).withColumn("g", G.from_wkt("t"))
+    got = [r.o for r in df.select(G.outline("g", "w", "j", F.lit("square"), F.lit(4.0)).alias("o")).collect()]
+    for (t, w, j), o in zip(rows, got):
+        want = None if t is None or w is None else C.to_wkt(S.outline(C.from_wkt(t), w, j, "square", 4.0))
+        assert (None if o is None else C.to_wkt(C.from_wkb(bytes(o)))) == want
