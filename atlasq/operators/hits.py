@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ from .ordering import free_names
 
 #: Sides up to this many bytes (by Catalyst's own estimate) may be broadcast by join_boxes().
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a table (by the same estimate) for each array that rows with one place go to, and tasks of a join for each core.
+ARRAY_BYTES, TASKS_PER_CORE = 8 << 20, 4
+#: Arrays for each place of a table whose size Catalyst doesn't know, and the estimate from which on that is so.
+ARRAYS, UNKNOWN_BYTES = 64, 1 << 50
 
 
 def hit_test(df: DataFrame, x: float, y: float, tolerance: float) -> DataFrame:
@@ -35,12 +41,62 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def grouped(df: DataFrame, by: list[str], rows: str) -> DataFrame:
+    """by, and an array of all rows that share it: structs of their other columns, or the values of the only one. Rows without one of by are left out.
+
+    Equal places are then joined once, not once for each pair of copies. Copies beyond what a task should hold at once
+    come in several arrays: as many as Catalyst's estimate of the table asks for at ARRAY_BYTES each, or ARRAYS where it has none.
+    """
+    names = [c for c in df.columns if c not in by]
+    others = [F.col(f"`{c}`") for c in names] or [F.lit(True).alias("none")]
+    size = estimated_bytes(df)
+    arrays = 1 + size // ARRAY_BYTES if size < UNKNOWN_BYTES else ARRAYS
+    (share,) = free_names("_share", df, rows)
+    dealt = df.where(reduce(lambda u, v: u & v, [F.col(f"`{c}`").isNotNull() for c in by])).withColumn(share, F.pmod(F.monotonically_increasing_id(), F.lit(arrays)))
+    out = dealt.groupBy(*(f"`{c}`" for c in by), share).agg(F.collect_list(F.struct(*others)).alias(rows)).drop(share)
+    return out.withColumn(rows, F.col(rows)[names[0]]) if len(names) == 1 else out
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks of a join whose sides are small for what they give; a fixed number isn't joined to fewer tasks by bytes."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
+def _in_cells(left: DataFrame, right: DataFrame, left_cells: Column, right_cells: Column, condition: Callable[[Column, Column], Column]) -> DataFrame:
+    """left joined with right where they share a cell {cx, cy} and the condition on that cell holds. Sides that are small in bytes aren't broadcast: they may give very many pairs."""
+    cx, cy, rx, ry, cell = free_names("_cx _cy _rcx _rcy _cell", left, right)
+    n = _tasks(left)
+    dealt = lambda df, own, x, y: df.withColumn(cell, F.explode(own)).withColumns({x: F.col(f"{cell}.cx"), y: F.col(f"{cell}.cy")}).drop(cell).repartition(n, x, y)
+    lc, rc = dealt(left, left_cells, cx, cy), dealt(right, right_cells, rx, ry)
+    return lc.join(rc.hint("merge"), (F.col(cx) == F.col(rx)) & (F.col(cy) == F.col(ry)) & condition(F.col(cx), F.col(cy))).drop(cx, cy, rx, ry)
+
+
+def _unfolded(pairs: DataFrame, left: DataFrame, right: DataFrame, rows: str) -> DataFrame:
+    """Rows of left with groups of right as rows of both, with their columns in their order."""
+    others = [c for c in right.columns if c not in pairs.columns]
+    kept = [F.col(f"`{c}`") for c in pairs.columns if c != rows]
+    out = pairs.select(*kept, F.explode(rows).alias(others[0]) if len(others) == 1 else F.inline(rows))
+    return out.select(*(f"`{c}`" for c in (*left.columns, *right.columns)))
+
+
+def _sides(prefix: str) -> list[str]:
+    return [f"{prefix}{c}" for c in ("minx", "miny", "maxx", "maxy")]
+
+
+def _meet_once(a: Box, b: Box, size: float) -> Callable[[Column, Column], Column]:
+    """Whether two boxes meet, in the cell of the lower left corner of what they share."""
+    first = lambda u, v: F.floor(F.greatest(u, v) / size).cast("long")
+    return lambda cx, cy: a.intersects(b) & (cx == first(a.minx, b.minx)) & (cy == first(a.miny, b.miny))
+
+
 def join_boxes(left: DataFrame, right: DataFrame, size: float, how: str = "inner", left_prefix: str = "l_", right_prefix: str = "r_") -> DataFrame:
     """Pairs of rows whose boxes meet (closed), each once. Both sides have minx, miny, maxx, maxy under their prefixes.
 
     Boxes are dealt to grid cells of a size, cells are joined by equality (which partitions, spills and
     is split where a cell is hot), and a pair counts in the cell of the lower left corner of what the
-    two boxes share, so that it comes out once without a distinct. how may be left_semi or left_anti.
+    two boxes share, so that it comes out once without a distinct. Rows of right with equal boxes are joined as one and
+    come apart at the end. how may be left_semi or left_anti.
     """
     a, b = Box.columns(left_prefix), Box.columns(right_prefix)
     if how in ("left_semi", "left_anti"):
@@ -50,13 +106,20 @@ def join_boxes(left: DataFrame, right: DataFrame, size: float, how: str = "inner
         keyed = left.withColumn(row, F.monotonically_increasing_id())
         found = join_boxes(keyed, right, size, "inner", left_prefix, right_prefix).select(row).distinct()
         return keyed.join(found, row, how).drop(row)
-    cell, rcell = free_names("_cell _rcell", left, right)
-    lc = left.withColumn(cell, F.explode(cells(a, size)))
-    rc = right.withColumn(rcell, F.explode(cells(b, size)))
-    first = lambda u, v: F.floor(F.greatest(u, v) / size).cast("long")
-    pairs = lc.join(rc, (F.col(f"{cell}.cx") == F.col(f"{rcell}.cx")) & (F.col(f"{cell}.cy") == F.col(f"{rcell}.cy")))
-    once = (F.col(f"{cell}.cx") == first(a.minx, b.minx)) & (F.col(f"{cell}.cy") == first(a.miny, b.miny))
-    return pairs.where(a.intersects(b) & once).drop(cell, rcell)
+    (rows,) = free_names("_rows", left, right)
+    groups = grouped(right, _sides(right_prefix), rows)
+    return _unfolded(_in_cells(left, groups, cells(a, size), cells(b, size), _meet_once(a, b, size)), left, right, rows)
+
+
+def self_join_boxes(df: DataFrame, size: float, key: str, first: str, second: str) -> DataFrame:
+    """first and second: the keys of pairs of rows of one table whose boxes meet, the smaller key first."""
+    left = df.select(F.col(key).alias("l_key"), *(F.col(c).alias(f"l_{c}") for c in _sides("")))
+    right = df.select(F.col(key).alias("r_key"), *(F.col(c).alias(f"r_{c}") for c in _sides(""))).where(F.col("r_key").isNotNull())
+    groups = grouped(right, _sides("r_"), "keys").withColumn("most", F.array_max("keys"))
+    a, b = Box.columns("l_"), Box.columns("r_")
+    meet = _meet_once(a, b, size)
+    pairs = _in_cells(left, groups, cells(a, size), cells(b, size), lambda cx, cy: (F.col("l_key") < F.col("most")) & meet(cx, cy))
+    return pairs.select(F.col("l_key").alias(first), F.explode("keys").alias(second)).where(F.col(first) < F.col(second))
 
 
 def join_points(points: DataFrame, boxes: DataFrame, size: float, x: str = "x", y: str = "y", prefix: str = "") -> DataFrame:

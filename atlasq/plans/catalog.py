@@ -311,8 +311,7 @@ def join_points_in_boxes(spark, sf):
 @query(f"SELECT a.id AS a, b.id AS b FROM {_P} a JOIN {_P} b ON a.id < b.id AND a.minx <= b.maxx AND a.maxx >= b.minx AND a.miny <= b.maxy AND a.maxy >= b.miny")
 def join_boxes(spark, sf):
     """The whole part table with itself."""
-    side = lambda p: parts(spark, sf).select(F.col("id").alias(p[0]), *[F.col(c).alias(f"{p}{c}") for c in ("minx", "miny", "maxx", "maxy")])
-    return hits.join_boxes(side("a_"), side("b_"), 6.0, "inner", "a_", "b_").where("a < b").select("a", "b")
+    return hits.self_join_boxes(parts(spark, sf), 6.0, "id", "a", "b")
 
 
 @query(f"SELECT c.c_custkey, s.s_suppkey, round(sqrt((c.x - s.ox) * (c.x - s.ox) + (c.y - s.oy) * (c.y - s.oy)), 6) AS distance FROM {_C} c JOIN {_S} s ON (c.x - s.ox) * (c.x - s.ox) + (c.y - s.oy) * (c.y - s.oy) <= 25")

@@ -6,7 +6,7 @@ from atlasq.functions import boxes, projection
 from atlasq.functions.boxes import Extent
 from atlasq.operators import hits, labels, ordering, raster
 from atlasq.plans import catalog, processor, registered, spec
-from atlasq.sources import registry
+from atlasq.sources import registry, scratch
 
 XML = """<Map width="256" height="256" srs="epsg:4326" extent="-10,-10,10,10" aspect-mode="RESPECT">
 <Style name="s" filter-mode="all"><Rule name="a"><Filter>[n] &gt; 1</Filter><PointSymbolizer allow-overlap="true"/></Rule><Rule name="b"><ElseFilter/><DotSymbolizer/></Rule>
@@ -435,3 +435,35 @@ def test_hextree_palette(spark, most):
     found = raster.hextree_palette(df, most)
     assert found == hextree_by_force(pixels, most) and len(found) <= most
     assert raster.hextree_palette(df.limit(0), most) == [] and raster.hextree_palette(df.where("a = 0"), most) == [(0, 0, 0, 0)]
+
+
+def test_joins_of_equal_places(spark, monkeypatch):
+    """Equal boxes are joined as one and come apart again: every pair is there once, whatever the keys, nulls and the number of arrays."""
+    rows = [(i if i % 11 else None, i // 3, float(i % 4), float(i % 3)) for i in range(60)] + [(99, 1, None, 0.0), (5, 2, 0.0, 0.0), (5, 2, 0.0, 0.0)]
+    df = scratch.written(spark.createDataFrame(rows, "id long, v long, x double, y double"))
+    whole = df.withColumns({"minx": F.col("x") - 1, "miny": F.col("y") - 0.25, "maxx": F.col("x") + 1, "maxy": F.col("y") + 0.25})
+    met = lambda a, b: None not in (a[2], b[2]) and abs(a[2] - b[2]) <= 2 and abs(a[3] - b[3]) <= 0.5
+    count = lambda found: sorted(map(str, found))
+    for size in (8 << 20, 1):
+        monkeypatch.setattr(hits, "ARRAY_BYTES", size)
+        groups = hits.grouped(whole.select("id", "minx", "miny", "maxx", "maxy"), ["minx", "miny", "maxx", "maxy"], "rows")
+        assert (groups.count() == 12) == (size > 1) and groups.agg(F.sum(F.size("rows"))).first()[0] == 62
+        got = hits.self_join_boxes(whole, 1.5, "id", "a", "b").collect()
+        assert count(map(tuple, got)) == count((a[0], b[0]) for a in rows for b in rows if None not in (a[0], b[0]) and a[0] < b[0] and met(a, b))
+        left, right = (whole.select(*(F.col(c).alias(f"{p}_{c}") for c in cols)) for p, cols in (("l", ("minx", "miny", "maxx", "maxy", "id", "v")), ("r", ("minx", "v", "miny", "maxx", "maxy", "id"))))
+        both = hits.join_boxes(left, right, 1.5)
+        assert both.columns == left.columns + right.columns
+        assert count((r.l_id, r.l_v, r.r_id, r.r_v) for r in both.collect()) == count((*a[:2], *b[:2]) for a in rows for b in rows if met(a, b))
+        boxes_only = right.select("r_minx", "r_miny", "r_maxx", "r_maxy")
+        assert hits.join_boxes(left, boxes_only, 1.5).count() == both.count()
+        held = hits.join_points(df.select("id", "x", "y"), whole.select(F.col("id").alias("box"), "minx", "miny", "maxx", "maxy"), 1.5)
+        assert count((r.id, r.box) for r in held.collect()) == count((a[0], b[0]) for a in rows for b in rows if None not in (a[2], b[2]) and abs(a[2] - b[2]) <= 1 and abs(a[3] - b[3]) <= 0.25)
+
+
+def test_equal_boxes_are_compared_once(spark):
+    """What comes out of the join by cells grows with different boxes of one side, not with the copies of both."""
+    df = spark.range(3000).select("id", *(F.lit(v).alias(n) for n, v in (("minx", 0.0), ("miny", 0.0), ("maxx", 1.0), ("maxy", 1.0))))
+    joined = hits.self_join_boxes(df, 6.0, "id", "a", "b")
+    assert joined.count() == 3000 * 2999 // 2
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(keys") < plan.index("Join Inner") < plan.index("collect_list")
