@@ -123,12 +123,12 @@ def self_join_boxes(df: DataFrame, size: float, key: str, first: str, second: st
 
 
 def join_points(points: DataFrame, boxes: DataFrame, size: float, x: str = "x", y: str = "y", prefix: str = "") -> DataFrame:
-    """Points and the boxes that hold them. A point lies in one cell, so only boxes are multiplied."""
+    """Points and the boxes that hold them. A point lies in one cell, so only boxes are multiplied; equal boxes are joined as one and come apart at the end."""
     b = Box.columns(prefix)
-    cx, cy, cell = free_names("_cx _cy _cell", points, boxes)
-    keyed = points.withColumns({cx: F.floor(F.col(x) / size).cast("long"), cy: F.floor(F.col(y) / size).cast("long")})
-    dealt = boxes.withColumn(cell, F.explode(cells(b, size)))
-    return keyed.join(dealt, (F.col(cx) == F.col(f"{cell}.cx")) & (F.col(cy) == F.col(f"{cell}.cy"))).where(b.contains(F.col(x), F.col(y))).drop(cx, cy, cell)
+    (rows,) = free_names("_rows", points, boxes)
+    own = F.array(F.struct(F.floor(F.col(x) / size).cast("long").alias("cx"), F.floor(F.col(y) / size).cast("long").alias("cy")))
+    pairs = _in_cells(points, grouped(boxes, _sides(prefix), rows), own, cells(b, size), lambda cx, cy: b.contains(F.col(x), F.col(y)))
+    return _unfolded(pairs, points, boxes, rows)
 
 
 def join_near(points: DataFrame, others: DataFrame, distance: float, x: str = "x", y: str = "y", ox: str = "ox", oy: str = "oy") -> DataFrame:

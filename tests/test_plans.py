@@ -467,3 +467,12 @@ def test_equal_boxes_are_compared_once(spark):
     assert joined.count() == 3000 * 2999 // 2
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(keys") < plan.index("Join Inner") < plan.index("collect_list")
+
+
+def test_points_meet_equal_boxes_once(spark):
+    """A point meets a box's copies as one."""
+    boxes_ = spark.range(1000).select(F.col("id").alias("box"), *(F.lit(v).alias(n) for n, v in (("minx", 0.0), ("miny", 0.0), ("maxx", 1.0), ("maxy", 1.0))))
+    held = hits.join_points(spark.range(2000).select("id", F.lit(0.5).alias("x"), F.lit(1.0).alias("y")), boxes_, 6.0).select("id", "box")
+    assert held.count() == 2_000_000 and held.distinct().count() == 2_000_000
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_rows") < plan.index("Join Inner") < plan.index("collect_list")
