@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.boxes import Box
+from ..sources import scratch
 from .ordering import free_names
 
 #: Sides up to this many bytes (by Catalyst's own estimate) may be broadcast by join_boxes().
@@ -19,6 +20,8 @@ BROADCAST_BYTES = 32 << 20
 ARRAY_BYTES, TASKS_PER_CORE = 8 << 20, 4
 #: Arrays for each place of a table whose size Catalyst doesn't know, and the estimate from which on that is so.
 ARRAYS, UNKNOWN_BYTES = 64, 1 << 50
+#: Pairs of points, in all and for each point, that nearest_within() looks at before it tries a smaller distance.
+PAIRS, PAIRS_PER_POINT = 50_000_000, 32
 
 
 def hit_test(df: DataFrame, x: float, y: float, tolerance: float) -> DataFrame:
@@ -141,6 +144,45 @@ def join_near(points: DataFrame, others: DataFrame, distance: float, x: str = "x
     return keyed.join(dealt, (F.col(cx) == F.col(f"{cell}.cx")) & (F.col(cy) == F.col(f"{cell}.cy"))).where(d <= distance).withColumn("distance", d).drop(cx, cy, cell)
 
 
+def _candidates(points: DataFrame, others: DataFrame, distance: float) -> tuple[int, int]:
+    """How many pairs join_near() looks at (others in the nine cells around a point's), and how many points there are."""
+    at = lambda c: F.floor(F.col(c) / distance).cast("long")
+    own = points.groupBy(at("x").alias("cx"), at("y").alias("cy")).agg(F.count("*").alias("n"))
+    around = F.explode(F.array(*(F.struct((at("ox") + i).alias("cx"), (at("oy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    met = others.select(around.alias("c")).groupBy("c.cx", "c.cy").agg(F.count("*").alias("m"))
+    found = own.join(met, ["cx", "cy"], "left").agg(F.sum(F.col("n") * F.coalesce("m", F.lit(0))), F.sum("n")).first()
+    return found[0] or 0, found[1] or 0
+
+
+def nearest_within(points: DataFrame, others: DataFrame, distance: float, key: str, x: str = "x", y: str = "y", ox: str = "ox", oy: str = "oy") -> DataFrame:
+    """points with nearest, the key of the nearest of the others within a distance, and apart, how far it is; equally near ones go by key. Points without one are left out.
+
+    Equal points, and equal others, are looked at once. Where the distance holds very many others, a smaller one is
+    tried first: who has a neighbour within that needs no farther one, and only the rest goes on to larger distances.
+    """
+    spots = points.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null").distinct()
+    kept = others.where(F.col(ox).isNotNull() & F.col(oy).isNotNull()).groupBy(F.col(ox).alias("ox"), F.col(oy).alias("oy")).agg(F.min(key).alias("key"))
+    found, least, left = [], distance / 4096, spots
+    while True:
+        within = distance
+        while within / 2 >= least:
+            pairs, n = _candidates(left, kept, within)
+            if pairs <= max(PAIRS, PAIRS_PER_POINT * n):
+                break
+            within /= 2
+        apart = F.struct((F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)).alias("apart"), F.col("key").alias("nearest"))
+        near = join_near(left, kept, within).groupBy("x", "y").agg(F.min(apart).alias("best"))
+        if within == distance:
+            found.append(near)
+            break
+        found.append(scratch.written(near))
+        left, least = scratch.written(left.join(found[-1], ["x", "y"], "left_anti")), 2 * within
+    px, py, best = free_names("_px _py _best", points)
+    every = reduce(DataFrame.unionByName, found).select(F.col("x").alias(px), F.col("y").alias(py), F.col("best").alias(best))
+    joined = points.join(every, (F.col(x) == F.col(px)) & (F.col(y) == F.col(py)))
+    return joined.withColumns({"nearest": F.col(best)["nearest"], "apart": F.sqrt(F.col(best)["apart"])}).drop(px, py, best)
+
+
 def morton(box: Box, extent_width: float = 360.0, bits: int = 16) -> Column:
     """A Z-order key of a box's centre: the bits of its two scaled coordinates in turn."""
     x, y = box.center()

@@ -975,9 +975,8 @@ def multi_policy_largest(spark, sf):
 
 @query(f"SELECT c.id AS id, min_by(s.s_suppkey, {{'d': (c.x - s.ox) * (c.x - s.ox) + (c.y - s.oy) * (c.y - s.oy), 'k': s.s_suppkey}}) AS nearest FROM {_C} c JOIN {_S} s ON (c.x - s.ox) * (c.x - s.ox) + (c.y - s.oy) * (c.y - s.oy) <= 400 GROUP BY 1")
 def nearest_neighbour(spark, sf):
-    near = hits.join_near(customers(spark, sf), suppliers(spark, sf), 20.0)
-    d = F.struct((F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)).alias("d"), F.col("s_suppkey").alias("k"))
-    return ordering.nearest(near, ["id"], F.col("s_suppkey"), d).select("id", F.col("part").alias("nearest"))
+    near = hits.nearest_within(customers(spark, sf).select("id", "x", "y"), suppliers(spark, sf), 20.0, "s_suppkey")
+    return ordering.nearest(near, ["id"], F.col("nearest"), F.struct("apart", "nearest")).select("id", F.col("part").alias("nearest"))
 
 
 @query("SELECT n_nationkey, round(-20037508.342789244e0 + n_nationkey % 8 * 40075016.68557849e0 / 8, 3) AS minx, round(20037508.342789244e0 - (n_nationkey % 8) * 40075016.68557849e0 / 8, 3) AS maxy, 7 - n_nationkey % 8 AS tms FROM nation")

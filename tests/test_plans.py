@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -476,3 +478,25 @@ def test_points_meet_equal_boxes_once(spark):
     assert held.count() == 2_000_000 and held.distinct().count() == 2_000_000
     plan = held._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(_rows") < plan.index("Join Inner") < plan.index("collect_list")
+
+
+def test_nearest_within(spark, monkeypatch):
+    """The nearest by distance and key, of equal places too, in one search or from small distances on."""
+    own = [(i, float(i * 7 % 50), float(i * 3 % 40)) for i in range(150)] + [(i, 3.0, 4.0) for i in range(200, 240)] + [(900, None, 1.0), (901, 400.0, 400.0), (902, 60.0, 0.0)]
+    other = [(i, float(i * 11 % 50), float(i * 13 % 20)) for i in range(100)] + [(i, 0.0, 0.0) for i in range(300, 340)] + [(7000, 75.0, 0.0), (7001, 45.0, 0.0), (7002, None, 0.0)]
+    points, others = spark.createDataFrame(own, "id long, x double, y double"), spark.createDataFrame(other, "k long, ox double, oy double")
+    want = {}
+    for i, x, y in own:
+        near = [((x - ox) ** 2 + (y - oy) ** 2, k) for k, ox, oy in other if None not in (x, ox) and (x - ox) ** 2 + (y - oy) ** 2 <= 225]
+        if near:
+            want[i] = (min(near)[1], math.sqrt(min(near)[0]))
+    assert 902 in want and 901 not in want and len(want) < len(own)
+    looked = []
+    plain = hits.join_near
+    monkeypatch.setattr(hits, "join_near", lambda p, o, d, *more: (looked.append(d), plain(p, o, d, *more))[1])
+    for pairs, most in ((50_000_000, 32), (0, 1)):
+        monkeypatch.setattr(hits, "PAIRS", pairs)
+        monkeypatch.setattr(hits, "PAIRS_PER_POINT", most)
+        found = hits.nearest_within(points, others, 15.0, "k")
+        assert found.columns == ["id", "x", "y", "nearest", "apart"] and {r.id: (r.nearest, r.apart) for r in found.collect()} == want and found.count() == len(want)
+    assert looked[0] == 15.0 and looked[1] < 15.0 and looked[-1] == 15.0
