@@ -89,6 +89,8 @@ def place_labels(df: DataFrame, by: str, order: list[str], extent: tuple[float,
 BARRED, WAITING, FREE, PLACED = range(4)
 #: Sides of the first round's tiles in reaches, growth from round to round, and undecided boxes up to which a tile grows.
 TILE, GROWTH, MOST_IN_TILE = 16, 4, 1_000_000
+#: Undecided boxes from which on the firsts of cells are placed again before tiles are taken, as long as that leaves at most this share of them.
+CROWDED, THINNED = 100_000, 0.7
 
 
 def _tiles(boxes: DataFrame, size: float, pad: float) -> DataFrame:
@@ -146,11 +148,20 @@ def _first_of_cells(boxes: DataFrame, reach: float, margin: float, repeat: float
     return new.select("k"), scratch.written(boxes.join(barred, "k", "left_anti").join(won, "k", "left_anti"))
 
 
+def _firsts_of_copies(boxes: DataFrame, margin: float) -> DataFrame:
+    """The first of each set of equal boxes with equal texts. If it is placed it bars the others; if an earlier box bars it, that one bars them too."""
+    box = ["minx", "miny", "maxx", "maxy", "t"]
+    # a box that is turned over by more than the margin doesn't meet its copies
+    apart = F.when((F.col("minx") <= F.col("maxx") + margin) & (F.col("miny") <= F.col("maxy") + margin), F.lit(-1)).otherwise(F.col("k"))
+    return boxes.groupBy(*box, apart.alias("apart")).agg(F.min("k").alias("k")).select("k", *box, F.lit(False).alias("fixed"))
+
+
 def place_labels_everywhere(df: DataFrame, order: list[tuple[str, bool]], reach: float, margin: float = 0.0, repeat: float = 0.0, text: str | None = None) -> DataFrame:
     """df with a column placed, as place_labels() over one group of all rows gives it, without any task seeing all of them.
 
-    order is a total one (columns, ascending or not); reach is about the size of a box. First, boxes that come
-    first in all their cells are placed and what they bar goes. Then, in rounds, each tile takes its undecided
+    order is a total one (columns, ascending or not); reach is about the size of a box. Of equal boxes with equal texts only
+    the first can be placed, so the others take no further part. Then boxes that come first in all their cells are placed and
+    what they bar goes, again and again while many are left. Then, in rounds, each tile takes its undecided
     boxes in order: one that meets a placed box is barred, one that meets an earlier undecided one waits, one
     that lies in this tile alone is placed, and one that all its tiles find free is placed after the round. Only chains
     of boxes over borders of tiles are left for the next round, whose tiles are GROWTH times as wide, up to MOST_IN_TILE
@@ -160,8 +171,15 @@ def place_labels_everywhere(df: DataFrame, order: list[tuple[str, bool]], reach:
     (key,) = free_names("_place", df, "placed")
     ranked = scratch.written(numbered(df, order, key))
     boxes = ranked.select(F.col(key).alias("k"), *(F.col(c).cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")), (F.col(text).cast("string") if text else F.lit(None).cast("string")).alias("t"), F.lit(False).alias("fixed"))
-    won, open_boxes = _first_of_cells(boxes, reach, margin, repeat)
+    won, open_boxes = _first_of_cells(_firsts_of_copies(boxes, margin), reach, margin, repeat)
     placed, size, pad = [won], TILE * reach, max(margin, repeat) / 2
+    left = open_boxes.count()
+    while left > CROWDED:
+        won, open_boxes = _first_of_cells(open_boxes, reach, margin, repeat)
+        placed.append(won)
+        before, left = left, open_boxes.count()
+        if left > THINNED * before:
+            break
     fixed = None
     while open_boxes.limit(1).count():
         if fixed is not None:

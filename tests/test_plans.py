@@ -500,3 +500,28 @@ def test_nearest_within(spark, monkeypatch):
         found = hits.nearest_within(points, others, 15.0, "k")
         assert found.columns == ["id", "x", "y", "nearest", "apart"] and {r.id: (r.nearest, r.apart) for r in found.collect()} == want and found.count() == len(want)
     assert looked[0] == 15.0 and looked[1] < 15.0 and looked[-1] == 15.0
+
+
+def test_copies_and_crowds_of_labels(spark, monkeypatch):
+    """Copies of a label take no part but for the first, and crowds are thinned again and again; the placed ones are those placed one by one."""
+    rng = np.random.default_rng(12)
+    spots = [(float(x), float(y), float(x + w), float(y + 1), t) for x, y, w, t in zip(rng.uniform(0, 25, 60), rng.uniform(0, 25, 60), rng.uniform(1, 4, 60), ["a", "b", None] * 20)]
+    # turned over: such a box meets none of its copies
+    spots += [(3.0, 40.0, 1.0, 41.0, "a"), (3.0, 44.0, 1.0, 45.0, None)]
+    rows = [(i, *spots[s]) for i, s in enumerate(rng.integers(0, len(spots), 1500).tolist())]
+    df = spark.createDataFrame(rows, "i long, minx double, miny double, maxx double, maxy double, t string")
+    seen, plain = [], labels._first_of_cells
+    monkeypatch.setattr(labels, "_first_of_cells", lambda b, *more: seen.append(b.count()) or plain(b, *more))
+    for margin, repeat, crowd in ((0.0, 0.0, 100_000), (0.3, 4.0, 1)):
+        monkeypatch.setattr(labels, "CROWDED", crowd)
+        own = [r for r in rows if r[1] < r[3]] if crowd > 1 else rows[:400]
+        done, want = [], set()
+        for i, x0, y0, x1, y1, t in own:
+            gap = lambda o, d: x0 <= o[3] + d and x1 >= o[1] - d and y0 <= o[4] + d and y1 >= o[2] - d
+            if not any(gap(o, repeat if repeat > margin and t is not None and t == o[5] else margin) for o in done):
+                done.append((i, x0, y0, x1, y1, t))
+                want.add(i)
+        seen.clear()
+        found = labels.place_labels_everywhere(df.where("minx < maxx") if crowd > 1 else df.where("i < 400"), [("i", True)], 4.0, margin, repeat, "t")
+        assert {r.i for r in found.where("placed").collect()} == want and found.count() == len(own)
+        assert seen[0] <= 60 if crowd > 1 else len(seen) > 1
