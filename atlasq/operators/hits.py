@@ -75,12 +75,12 @@ def _in_cells(left: DataFrame, right: DataFrame, left_cells: Column, right_cells
     return lc.join(rc.hint("merge"), (F.col(cx) == F.col(rx)) & (F.col(cy) == F.col(ry)) & condition(F.col(cx), F.col(cy))).drop(cx, cy, rx, ry)
 
 
-def _unfolded(pairs: DataFrame, left: DataFrame, right: DataFrame, rows: str) -> DataFrame:
-    """Rows of left with groups of right as rows of both, with their columns in their order."""
-    others = [c for c in right.columns if c not in pairs.columns]
-    kept = [F.col(f"`{c}`") for c in pairs.columns if c != rows]
-    out = pairs.select(*kept, F.explode(rows).alias(others[0]) if len(others) == 1 else F.inline(rows))
-    return out.select(*(f"`{c}`" for c in (*left.columns, *right.columns)))
+def _unfolded(pairs: DataFrame, left: DataFrame, right: DataFrame, by: list[str], rows: str) -> DataFrame:
+    """Rows of left with groups of right, by these columns, as rows of both: all columns of left, then all of right, alike names or not."""
+    kept, own = [F.col(f"`{c}`") for c in left.columns], [F.col(f"`{c}`") for c in by]
+    others = [c for c in right.columns if c not in by]
+    value = lambda c: F.col(f"`{c}`") if c in by else (F.col(rows) if len(others) == 1 else F.col(rows)[c]).alias(c)
+    return pairs.select(*kept, *own, F.explode(rows).alias(rows)).select(*kept, *map(value, right.columns))
 
 
 def _sides(prefix: str) -> list[str]:
@@ -111,7 +111,7 @@ def join_boxes(left: DataFrame, right: DataFrame, size: float, how: str = "inner
         return keyed.join(found, row, how).drop(row)
     (rows,) = free_names("_rows", left, right)
     groups = grouped(right, _sides(right_prefix), rows)
-    return _unfolded(_in_cells(left, groups, cells(a, size), cells(b, size), _meet_once(a, b, size)), left, right, rows)
+    return _unfolded(_in_cells(left, groups, cells(a, size), cells(b, size), _meet_once(a, b, size)), left, right, _sides(right_prefix), rows)
 
 
 def self_join_boxes(df: DataFrame, size: float, key: str, first: str, second: str) -> DataFrame:
@@ -131,7 +131,7 @@ def join_points(points: DataFrame, boxes: DataFrame, size: float, x: str = "x",
     (rows,) = free_names("_rows", points, boxes)
     own = F.array(F.struct(F.floor(F.col(x) / size).cast("long").alias("cx"), F.floor(F.col(y) / size).cast("long").alias("cy")))
     pairs = _in_cells(points, grouped(boxes, _sides(prefix), rows), own, cells(b, size), lambda cx, cy: b.contains(F.col(x), F.col(y)))
-    return _unfolded(pairs, points, boxes, rows)
+    return _unfolded(pairs, points, boxes, _sides(prefix), rows)
 
 
 def join_near(points: DataFrame, others: DataFrame, distance: float, x: str = "x", y: str = "y", ox: str = "ox", oy: str = "oy") -> DataFrame:

@@ -456,6 +456,10 @@ def test_joins_of_equal_places(spark, monkeypatch):
         both = hits.join_boxes(left, right, 1.5)
         assert both.columns == left.columns + right.columns
         assert count((r.l_id, r.l_v, r.r_id, r.r_v) for r in both.collect()) == count((*a[:2], *b[:2]) for a in rows for b in rows if met(a, b))
+        alike = hits.join_boxes(left.withColumnsRenamed({"l_id": "id", "l_v": "v"}), right.withColumnsRenamed({"r_id": "id", "r_v": "v"}), 1.5)
+        assert alike.columns == [c.removeprefix("l_") if c in ("l_id", "l_v") else c for c in left.columns] + [c.removeprefix("r_") if c in ("r_id", "r_v") else c for c in right.columns]
+        assert count(map(tuple, alike.collect())) == count(map(tuple, both.collect()))
+        assert hits.join_points(df.select("id", "x", "y"), whole.select("id", "minx", "miny", "maxx", "maxy"), 1.5).columns == ["id", "x", "y", "id", "minx", "miny", "maxx", "maxy"]
         boxes_only = right.select("r_minx", "r_miny", "r_maxx", "r_maxy")
         assert hits.join_boxes(left, boxes_only, 1.5).count() == both.count()
         held = hits.join_points(df.select("id", "x", "y"), whole.select(F.col("id").alias("box"), "minx", "miny", "maxx", "maxy"), 1.5)
